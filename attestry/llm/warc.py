@@ -61,8 +61,9 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = D
     # The first row of each payload brings the bytes; its page_id is unique but for repeated rows.
     kept = rows.withColumn("address", F.sha2("payload", 256)).withColumn("at", F.coalesce(F.col("page_id").cast("string"), F.col("address")))
     wanted = firsts.select(F.col("address").alias("want"), F.coalesce(F.col("first_id").cast("string"), F.col("address")).alias("at"))
-    stored = kept.join(wanted, "at").filter(F.col("address") == F.col("want")).select("address", "payload")
-    stored.dropDuplicates(["address"]).write.parquet(f"{path}/payloads")
+    stored = kept.join(wanted, "at").filter(F.col("address") == F.col("want"))
+    # An address has one "at", by which the rows already lie together.
+    stored.dropDuplicates(["at", "address"]).select("address", "payload").write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
