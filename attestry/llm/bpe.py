@@ -12,6 +12,7 @@ Defined cases: null is the empty text, with no tokens; one result row for each r
 
 import base64
 import heapq
+import random
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
@@ -27,7 +28,7 @@ from attestry.llm.common import cut, let, literal_array
 FREQUENT = 1 << 19
 LONG = 128
 NO_RANK = 1 << 30
-PRIME, MULT, SPREAD, SLOT_BITS = 4_294_967_291, 715_827_881, 15, 18  # the prime is above every pair key: no two keys meet
+PRIME, MULT, SPREAD, SLOT_BITS = 4_294_967_291, 1_640_531_527, 15, 18  # the prime is above every pair key: no two keys meet
 #: What \s means to the library: Unicode's White_Space.
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 
@@ -64,16 +65,14 @@ class RankMap:
             buckets.setdefault(low, []).append(i)
         self.shift, self.keys, self.values = [0] * (1 << SPREAD), [-1] * size, [NO_RANK] * size
         high, values = (x >> SPREAD).tolist(), list(pairs.values())
-        free = 0
-        for low, items in sorted(buckets.items(), key=lambda kv: -len(kv[1])):
-            d = free
+        draw = random.Random(1)
+        for low, items in sorted(buckets.items(), key=lambda kv: -len(kv[1])):  # the full ones while slots are free
             while True:
+                d = draw.randrange(size)
                 slots = [(high[i] * 3 + d) & (size - 1) for i in items]
                 if len(set(slots)) == len(slots) and all(self.keys[s] < 0 for s in slots):
                     break
-                d += 1
-            self.shift[low] = d & (size - 1)
-            free = (d + 1) % size if len(items) > 1 else d
+            self.shift[low] = d
             for i, s in zip(items, slots, strict=True):
                 self.keys[s], self.values[s] = int(keys[i]), values[i]
         self.bytes = [ranks[bytes([i])] for i in range(256)]
