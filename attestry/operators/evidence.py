@@ -37,11 +37,19 @@ def sound(verified: DataFrame) -> DataFrame:
 
 
 def containing(needles: DataFrame, hay: DataFrame, gram: int = 12) -> DataFrame:
-    """(needle_id, hay_id): where a needle's text is part of a hay text, met by the needle's first characters rather than pair by pair."""
-    probe = needles.filter(F.length("needle") >= gram).withColumn("g", F.xxhash64(F.substring("needle", 1, gram)))
-    grams = hay.select("hay_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay") - gram + 1, F.lit(1))), lambda i: F.xxhash64(F.substr("hay", i, F.lit(gram)))))).alias("g"))
-    small = F.broadcast(probe.select("needle_id", "g")) if probe.count() <= 100_000 else probe.select("needle_id", "g")
-    pairs = grams.join(small, "g").select("needle_id", "hay_id")
+    """(needle_id, hay_id): where a needle's text is part of a hay text, met by shared pieces rather than pair by pair.
+
+    A hay text is cut into pieces of gram characters from its start; wherever a needle of 2 gram - 1
+    characters or more lies, it covers a whole piece, so its pieces at gram offsets are its probes.
+    """
+    shortest = needles.agg(F.min(F.length("needle"))).first()[0] or 1
+    gram = max(1, min(gram, (shortest + 1) // 2))
+    piece = lambda x: F.regexp_extract_all(x, F.lit(f"(?s)(.{{{gram}}})"), 1)
+    offsets = F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda i: F.try_element_at(piece(F.substr("needle", i)), F.lit(1)))
+    probe = needles.select("needle_id", F.explode(F.array_distinct(F.array_compact(offsets))).alias("g"))
+    pieces = hay.select("hay_id", F.explode(F.array_distinct(piece(F.col("hay")))).alias("g"))
+    small = F.broadcast(probe) if probe.count() <= 100_000 else probe
+    pairs = pieces.join(small, "g").select("needle_id", "hay_id").distinct()
     return pairs.join(needles, "needle_id").join(hay, "hay_id").filter(F.contains("hay", "needle")).select("needle_id", "hay_id")
 
 

@@ -1,17 +1,415 @@
-"""Every registered query with its SQL twin."""
+"""Every registered query with its SQL twin. Queries bind the operators to the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from attestry.functions import dates, lexical, text, vector
+from attestry.operators import analytics, evidence, search, state, structure, verdicts
+from attestry.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_COSINE = "1 - list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE)) / (sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform({b}, lambda x: x::DOUBLE * x::DOUBLE))))"
+
+
+@_query(f"""
+WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+dist AS (SELECT v.vec_id AS doc_id, {_COSINE.format(a='v.embedding', b='q.e')} AS d FROM embeddings v, q),
+dense AS (SELECT doc_id, row_number() OVER (ORDER BY d, doc_id) AS vector_rank FROM dist QUALIFY vector_rank <= 40),
+terms AS (SELECT DISTINCT t FROM (SELECT unnest(regexp_split_to_array(lower(substr(text, 1, 200)), '[^a-z0-9.]+')) AS t FROM documents WHERE doc_id = 0) WHERE length(t) >= 3),
+toks AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9.]+')) AS t FROM documents),
+hits AS (SELECT doc_id, count(*) AS n FROM toks JOIN terms USING (t) GROUP BY doc_id),
+lex AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS lexical_rank FROM hits QUALIFY lexical_rank <= 40)
+SELECT doc_id, round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0), 9) AS score, vector_rank, lexical_rank
+FROM dense FULL JOIN lex USING (doc_id) ORDER BY score DESC, doc_id LIMIT 8""")
+def hybrid_search_rrf(spark, sf_dir):
+    docs, vecs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    terms = docs.filter("doc_id = 0").select(F.explode(lexical.content_words(F.substring("text", 1, 200))).alias("term")).distinct()
+    query = vecs.filter("vec_id = 0").select(F.col("embedding").alias("query"))
+    hits = search.hybrid(docs, vecs.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), query, terms, "doc_id", limit=8, pool=40)
+    return hits.select("doc_id", F.round("score", 9).alias("score"), "vector_rank", "lexical_rank")
+
+
+@_query(f"""
+WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7)
+SELECT label, vec_id, rank FROM (SELECT v.label, v.vec_id, row_number() OVER (PARTITION BY v.label ORDER BY {_COSINE.format(a='v.embedding', b='q.e')}, v.vec_id) AS rank FROM embeddings v, q) WHERE rank <= 3""")
+def dense_topk_per_label(spark, sf_dir):
+    vecs = table(spark, sf_dir, "embeddings")
+    near = vecs.crossJoin(F.broadcast(vecs.filter("vec_id = 7").select(F.col("embedding").alias("q"))))
+    rows = near.select("label", "vec_id", vector.cosine_distance(F.col("embedding"), F.col("q")).alias("d"))
+    return search.ranked(rows, "rank", F.col("d"), F.col("vec_id"), by="label", pool=3).select("label", "vec_id", "rank")
+
+
+@_query(f"""
+WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 3)
+SELECT v.vec_id, round({_COSINE.format(a='v.embedding', b='q.e')}, 6) AS distance FROM embeddings v, q
+WHERE {_COSINE.format(a='v.embedding', b='q.e')} <= 0.55""")
+def nearest_under_threshold(spark, sf_dir):
+    vecs = table(spark, sf_dir, "embeddings")
+    near = vecs.crossJoin(F.broadcast(vecs.filter("vec_id = 3").select(F.col("embedding").alias("q"))))
+    d = vector.cosine_distance(F.col("embedding"), F.col("q"))
+    return near.withColumn("d", d).filter(F.col("d") <= vector.threshold(F.lit("large"))).select("vec_id", F.round("d", 6).alias("distance"))
+
+
+@_query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
+def chunks_missing_embedding(spark, sf_dir):
+    return analytics.lacking(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+
+
+@_query("SELECT source AS grp, count(*) AS chunks, count(e.vec_id) AS embedded FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY source")
+def embedding_coverage(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("grp"))
+    return analytics.embedding_coverage(docs, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+
+
+@_query("""
+SELECT organisation_id, lacking, stale, lacking = 0 AND stale > 0 AS may_drop FROM (
+SELECT source AS organisation_id, count_if(e.vec_id IS NULL OR e.label % 2 <> 0) AS lacking, CAST(count_if(e.label % 2 <> 0) AS BIGINT) AS stale
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY source)""")
+def reembed_plan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("organisation_id"))
+    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("label") % 2 == 0, "new").otherwise("old").alias("model"))
+    return state.reembed_plan(docs, vecs, "new")
+
+
+@_query("""
+SELECT 0::BIGINT AS level, NULL::BIGINT AS person, NULL AS stage, round(sum(value), 4) AS total, count(*) AS calls, round(coalesce(sum(value) FILTER (WHERE event_id % 3 = 0), 0), 4) AS estimated FROM events
+UNION ALL SELECT 1, user_id, NULL, round(sum(value), 4), count(*), round(coalesce(sum(value) FILTER (WHERE event_id % 3 = 0), 0), 4) FROM events GROUP BY user_id
+UNION ALL SELECT 2, NULL, event_type, round(sum(value), 4), count(*), round(coalesce(sum(value) FILTER (WHERE event_id % 3 = 0), 0), 4) FROM events GROUP BY event_type""")
+def spend_report(spark, sf_dir):
+    out = analytics.spend_report(table(spark, sf_dir, "events"), "user_id", "event_type", "value", F.col("event_id") % 3 == 0)
+    return out.withColumn("total", F.round("total", 4)).withColumn("estimated", F.round("estimated", 4))
+
+
+@_query("SELECT user_id, event_type, round(coalesce(sum(value), 0), 4) AS total, count(*) AS calls FROM events GROUP BY user_id, event_type")
+def spend_by_person_stage(spark, sf_dir):
+    return analytics.spend_by(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value").withColumn("total", F.round("total", 4))
+
+
+@_query("SELECT user_id, round(sum(value), 4) AS total, max(ts) AS last_seen FROM events GROUP BY user_id")
+def last_seen(spark, sf_dir):
+    return analytics.last_seen(table(spark, sf_dir, "events"), "user_id", "ts", "value").withColumn("total", F.round("total", 4))
+
+
+@_query("SELECT c.c_custkey AS person, round(coalesce(u.used, 0), 2) AS used, u.last_seen FROM customer c LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS used, max(o_orderdate) AS last_seen FROM orders GROUP BY o_custkey) u ON u.o_custkey = c.c_custkey")
+def roster_usage(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"))
+    usage = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person"), F.col("o_totalprice").alias("amount"), F.col("o_orderdate").alias("at"))
+    return analytics.roster(people, usage, "person").withColumn("used", F.round("used", 2))
+
+
+@_query("""
+SELECT who, sum(CASE WHEN kind = 'orders' THEN n ELSE 0 END)::DOUBLE AS orders, sum(CASE WHEN kind = 'events' THEN n ELSE 0 END)::DOUBLE AS events FROM (
+SELECT coalesce(c_custkey::VARCHAR, 'Unattributed') AS who, 'orders' AS kind, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey < 20 GROUP BY 1
+UNION ALL SELECT user_id::VARCHAR, 'events', count(*) FROM events GROUP BY 1) GROUP BY who""")
+def activity_by_person(spark, sf_dir):
+    known = table(spark, sf_dir, "customer").filter("c_nationkey < 20").select(F.col("c_custkey").alias("o_custkey"), F.col("c_custkey").alias("user"))
+    orders = table(spark, sf_dir, "orders").join(known, "o_custkey", "left").groupBy("user").agg(F.count("*").alias("n"))
+    events = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("user")).agg(F.count("*").alias("n"))
+    return analytics.activity({"orders": orders, "events": events})
+
+
+@_query("""
+SELECT "at", id, detail, kind FROM (
+(SELECT o_orderdate AS "at", o_orderkey AS id, o_orderstatus AS detail, 'order' AS kind FROM orders ORDER BY "at" DESC, id LIMIT 40)
+UNION ALL (SELECT ts, event_id, event_type, 'event' FROM events ORDER BY ts DESC, event_id LIMIT 40)) ORDER BY "at" DESC, kind, id LIMIT 60""")
+def activity_feed(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("detail"))
+    events = table(spark, sf_dir, "events").select(F.col("ts").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("detail"))
+    return analytics.feed({"order": orders, "event": events})
+
+
+@_query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+def latest_per_key(spark, sf_dir):
+    return analytics.latest(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], F.desc("o_orderdate"), F.col("o_orderkey"))
+
+
+@_query("SELECT user_id, event_type, min(event_id) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1 GROUP BY user_id, event_type")
+def first_seen(spark, sf_dir):
+    return analytics.first_seen(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
+
+
+@_query("SELECT w.word, coalesce(n, 0) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) w(word) LEFT JOIN (SELECT o_orderstatus AS word, count(*) AS n FROM orders GROUP BY 1) c USING (word)")
+def verdict_counts(spark, sf_dir):
+    return analytics.vocabulary_counts(table(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O", "P", "X"])
+
+
+@_query("SELECT o_custkey, count_if(o_orderstatus = 'F') AS \"F\", count_if(o_orderstatus = 'O') AS \"O\" FROM orders GROUP BY o_custkey")
+def issue_pivot(spark, sf_dir):
+    return analytics.pivot_counts(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", ["F", "O"])
+
+
+@_query("SELECT o_custkey AS org, min(o_orderkey) AS owner FROM orders GROUP BY o_custkey HAVING count(*) = 1")
+def sole_owner(spark, sf_dir):
+    return analytics.sole_owner(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "org"), "org", "o_orderkey")
+
+
+@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50")
+def json_payload_filter(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k")).filter("k >= 50")
+
+
+@_query("""
+WITH l AS (SELECT source AS document_id, doc_id AS page, trim(unnest(string_split(text, chr(10)))) AS line FROM documents),
+m AS (SELECT document_id, page, regexp_replace(line, '[0-9]+', '#', 'g') AS mask FROM l WHERE line <> ''),
+p AS (SELECT document_id, count(DISTINCT page) AS pages FROM l GROUP BY 1 HAVING count(DISTINCT page) >= 3)
+SELECT document_id, mask FROM (SELECT document_id, mask, count(DISTINCT page) AS n FROM m GROUP BY 1, 2) JOIN p USING (document_id) WHERE n >= greatest(2, floor(0.02 * pages))""")
+def furniture_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("text"))
+    lines = lines.filter(F.length(F.trim("text")) > 0).withColumn("y", F.lit(0.0))
+    return structure.furniture(lines, share=0.02).select("document_id", "mask")
+
+
+@_query("SELECT b.item_id AS needle_id, d.doc_id AS hay_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))")
+def quote_in_document(spark, sf_dir):
+    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.substring("text", 1, 40).alias("needle"))
+    hay = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hay_id"), F.col("text").alias("hay"))
+    return evidence.containing(needles, hay)
+
+
+@_query("SELECT source, sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY source, sha256(text)")
+def content_hash_dedupe(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source", F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@_query("SELECT doc_id, sha256('v1' || chr(0) || lang || chr(0) || text || chr(0)) AS fingerprint FROM documents")
+def fingerprints(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(F.lit("v1"), F.col("lang"), F.col("text")).alias("fingerprint"))
+
+
+_SCRUB = "substr(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g'), '[0-9]{9,}', '<number>', 'g'), 1, 400)"
+
+
+@_query(f"SELECT 'd' AS kind, doc_id AS id, {_SCRUB} AS scrubbed FROM documents UNION ALL SELECT 'c', conv_id * 1000 + turn, {_SCRUB} FROM conversations")
+def pii_scrub(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), text.scrub(F.col("text")).alias("scrubbed"))
+    return d.unionByName(table(spark, sf_dir, "conversations").select(F.lit("c").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), text.scrub(F.col("text")).alias("scrubbed")))
+
+
+@_query("""
+SELECT conv_id, island, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS turns FROM (
+SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations) GROUP BY conv_id, island""")
+def turn_sections(spark, sf_dir):
+    rows = structure.islands(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user")
+    return rows.groupBy("conv_id", "island").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("turns"))
+
+
+@_query("""
+WITH v AS (SELECT lang AS section, doc_id % 3 AS read, substr(text, 1, 5) AS quote FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT section, count(DISTINCT read) AS reads FROM v GROUP BY section HAVING count(DISTINCT read) >= 2),
+q AS (SELECT section, quote, row_number() OVER (PARTITION BY section ORDER BY count(DISTINCT read) DESC, length(quote) DESC, quote DESC) AS r FROM v GROUP BY section, quote)
+SELECT section, quote, reads FROM q JOIN s USING (section) WHERE r = 1""")
+def agreement(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    reads = docs.select(F.col("lang").alias("section"), (F.col("doc_id") % 3).alias("read"), F.substring("text", 1, 5).alias("quote"))
+    return analytics.agreement(reads, 3)
+
+
+_LABELLED = """(SELECT doc_id, CASE quality * 2 + toxic WHEN 0 THEN 'contradicts' WHEN 1 THEN 'absent' WHEN 2 THEN 'covered' ELSE 'partial' END AS verdict, CASE doc_id % 4 WHEN 0 THEN 'must' WHEN 1 THEN 'should' WHEN 2 THEN 'may' ELSE 'unstated' END AS obligation FROM labels)"""
+
+
+def _labelled(spark, sf_dir):
+    v = F.col("quality") * 2 + F.col("toxic")
+    verdict = F.when(v == 0, "contradicts").when(v == 1, "absent").when(v == 2, "covered").otherwise("partial")
+    m = F.col("doc_id") % 4
+    return table(spark, sf_dir, "labels").select("doc_id", verdict.alias("verdict"), F.when(m == 0, "must").when(m == 1, "should").when(m == 2, "may").otherwise("unstated").alias("obligation"))
+
+
+_SEVERITY = """CASE WHEN verdict IN ('covered', 'not_applicable') THEN NULL WHEN verdict = 'not_assessable' THEN CASE WHEN obligation = 'must' THEN 'moderate' ELSE 'check' END
+WHEN verdict = 'contradicts' THEN CASE WHEN obligation IN ('should', 'may') THEN 'moderate' ELSE 'critical' END
+WHEN verdict = 'absent' THEN CASE WHEN obligation = 'must' THEN 'critical' WHEN obligation IN ('should', 'may') THEN 'moderate' ELSE 'check' END
+WHEN verdict = 'partial' THEN CASE WHEN obligation = 'may' THEN 'check' ELSE 'moderate' END ELSE 'check' END"""
+
+
+@_query(f"SELECT doc_id, verdict, obligation, {_SEVERITY} AS severity FROM {_LABELLED}")
+def severity_matrix(spark, sf_dir):
+    return _labelled(spark, sf_dir).withColumn("severity", verdicts.severity(F.col("verdict"), F.col("obligation")))
+
+
+@_query(f"""
+WITH r AS (SELECT doc_id % 50 AS clause_id, min(CASE verdict WHEN 'contradicts' THEN 1 WHEN 'covered' THEN 2 WHEN 'partial' THEN 3 WHEN 'needs_review' THEN 4 ELSE 5 END) AS r FROM {_LABELLED} GROUP BY 1)
+SELECT clause_id, CASE r WHEN 1 THEN 'contradicts' WHEN 2 THEN 'covered' WHEN 3 THEN 'partial' WHEN 4 THEN 'needs_review' ELSE 'absent' END AS verdict FROM r""")
+def project_verdict(spark, sf_dir):
+    return verdicts.project_verdict(_labelled(spark, sf_dir).withColumn("clause_id", F.col("doc_id") % 50))
+
+
+@_query(f"""
+SELECT q.o_custkey, CASE WHEN sig AND crit > 0 THEN 'board' WHEN crit > 0 THEN 'architect' WHEN sig THEN 'architect' WHEN open_ > 0 THEN 'architect' ELSE 'auto_approve' END AS route
+FROM (SELECT o_custkey, max(o_totalprice) > 300000 AS sig, count_if(o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AS crit, count_if(o_orderstatus = 'P') AS open_ FROM orders GROUP BY 1) q""")
+def next_step_routing(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.when(F.max("o_totalprice") > 300000, "significant").otherwise("not_significant").alias("sig"),
+        F.count_if((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")).alias("crit"), F.count_if(F.col("o_orderstatus") == "P").alias("open_"))
+    return o.select("o_custkey", verdicts.next_step(F.col("crit"), F.lit(0), F.col("sig"), F.col("open_")).alias("route"))
+
+
+@_query("""
+SELECT o_orderkey AS request_id, CASE WHEN o_totalprice >= 200000 OR o_orderpriority IN ('1-URGENT', '2-HIGH') OR CAST(o_orderdate AS DATE) > DATE '1996-01-31' + INTERVAL 12 MONTH THEN 'significant' ELSE 'not_significant' END AS significance FROM orders""")
+def significance_rules(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    fields = F.array(
+        F.struct(F.lit("cost").alias("field"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("value")),
+        F.struct(F.lit("priority").alias("field"), F.col("o_orderpriority").alias("value")),
+        F.struct(F.lit("golive").alias("field"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value")),
+    )
+    answers = o.select(F.col("o_orderkey").alias("request_id"), F.lit("1996-01-31").alias("as_of"), F.explode(fields).alias("f")).select("request_id", "as_of", "f.*").withColumn("items", F.lit(None).cast("array<string>"))
+    rules = spark.createDataFrame(
+        [("cost", True, "cost", "at_least", "200000", None, "high cost"), ("urgent", True, "priority", "one_of", None, ["1-URGENT", "2-HIGH"], "urgent"), ("late", True, "golive", "further_out_than_months", "12", None, "far off"), ("off", False, "cost", "at_least", "0", None, "inactive"), ("odd", True, "nothing", "is_true", "true", None, "no such question")],
+        "category string, active boolean, field string, operator string, value string, items array<string>, text string",
+    )
+    return verdicts.classify(verdicts.significance(answers, rules))
+
+
+@_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber BETWEEN 1 AND 2 THEN 'head' ELSE 'tail' END AS label FROM lineitem WHERE l_linenumber BETWEEN 1 AND 2 OR l_linenumber BETWEEN 5 AND 7")
+def range_label_lines(spark, sf_dir):
+    ranges = spark.createDataFrame([(1, 2, "head"), (5, 7, "tail")], "from_at int, to_at int, label string").withColumn("all", F.lit(1))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), F.lit(1).alias("all"))
+    return structure.in_ranges(lines, ranges, "all", "l_linenumber").select("l_orderkey", "l_linenumber", "label")
+
+
+@_query("""
+WITH t AS (SELECT min(event_type) AS kind FROM events), m AS (SELECT user_id, ts, max(event_id) AS mark FROM events, t WHERE event_type = kind GROUP BY user_id, ts)
+SELECT e.event_id, m.mark FROM (SELECT events.* FROM events, t WHERE event_type <> kind) e ASOF LEFT JOIN m ON e.user_id = m.user_id AND e.ts >= m.ts""")
+def asof_section(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    kind = F.broadcast(events.agg(F.min("event_type").alias("kind")))
+    both = events.crossJoin(kind)
+    marks = both.filter("event_type = kind").groupBy("user_id", "ts").agg(F.max("event_id").alias("mark"))
+    return structure.as_of(both.filter("event_type <> kind").select("event_id", "user_id", "ts"), marks, "user_id", "ts", "mark").select("event_id", "mark")
+
+
+@_query("""
+WITH r AS (SELECT o_custkey % 20 AS query, o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+w AS (SELECT query, o_custkey, o_orderkey, rank, row_number() OVER (PARTITION BY query ORDER BY rank, o_custkey) AS place FROM r),
+b AS (SELECT query, least(24, 2 * count(DISTINCT o_custkey)) AS budget FROM r GROUP BY query)
+SELECT query, o_custkey, o_orderkey, rank, place FROM w JOIN b USING (query) WHERE place <= budget""")
+def weave_round_robin(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("query"), "o_custkey", "o_orderkey", "o_totalprice")
+    ranked = search.ranked(o, "rank", F.desc("o_totalprice"), F.col("o_orderkey"), by="o_custkey").drop("o_totalprice")
+    return analytics.weave(ranked, "query", "o_custkey", "rank", 2).withColumn("place", F.col("place").cast("long"))
+
+
+@_query("SELECT event_type AS stage, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS turn FROM events WHERE event_id % 4 <> 0 AND event_id % 5 < 3")
+def queue_claim_order(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    jobs = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("stage"), F.when(F.col("event_id") % 4 == 0, "done").otherwise("queued").alias("state"), F.col("ts").alias("created_at"), F.col("ts").alias("run_after"), F.lit(None).cast("timestamp_ntz").alias("lease_until"), (F.col("event_id") % 5).cast("int").alias("attempts"), F.lit(3).alias("max_attempts"))
+    return streams.claimable(jobs, F.lit("2999-01-01").cast("timestamp_ntz")).select("stage", "id", F.col("turn").cast("long").alias("turn"))
+
+
+@_query("SELECT event_id, ts + to_seconds(CAST(least(3600, pow(2, event_id % 14)) AS BIGINT)) AS again FROM events")
+def backoff_schedule(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", dates.backoff(F.col("ts"), F.col("event_id") % 14).alias("again"))
+
+
+@_query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_counts(spark, sf_dir):
+    out = streams.tumbling(streams.with_time(table(spark, sf_dir, "events")))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@_query("""
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (
+SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s""")
+def session_counts(spark, sf_dir):
+    out = streams.sessions(streams.with_time(table(spark, sf_dir, "events")))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@_query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_custkey, 'U', o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0)")
+def upsert_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return state.upsert(o, o.filter("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("U")), ["o_orderkey"])
+
+
+@_query("SELECT coalesce(a.o_custkey, b.o_custkey) AS clause_ref, a.s AS first, b.s AS second, a.s IS NOT DISTINCT FROM b.s AS agree FROM (SELECT o_custkey, max(o_orderstatus) AS s FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey, max(o_orderstatus) AS s FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) b ON a.o_custkey = b.o_custkey")
+def mode_comparison(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    run = lambda k: o.filter(F.col("o_orderkey") % 2 == k).groupBy(F.col("o_custkey").alias("clause_ref")).agg(F.max("o_orderstatus").alias("verdict"))
+    return state.compare_modes(run(0), run(1), ["F", "O", "P"])
+
+
+@_query("SELECT doc_id, greatest(1, length(text) // 4) AS tokens, CAST(floor(length(text) / 3.8::DOUBLE) AS BIGINT) AS chunk_tokens FROM documents")
+def token_estimates(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"), text.chunk_tokens(F.col("text")).alias("chunk_tokens"))
+
+
+@_query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, length(html) - length(replace(html, '<li>', '1234')) = 0 AS same_length FROM pages")
+def page_titles(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    same = F.length("html") - F.length(F.replace(F.col("html"), F.lit("<li>"), F.lit("1234"))) == 0
+    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), same.alias("same_length"))
+
+
+@_query("""
+WITH s AS (SELECT doc_id AS id, source AS run, length(text) AS n FROM documents),
+c AS (SELECT run, n AS c FROM s), w AS (SELECT run, sum(n) AS whole, max(n) AS top FROM s GROUP BY run),
+o AS (SELECT run, n, coalesce(sum(n) OVER (PARTITION BY run ORDER BY n, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, count(*) OVER (PARTITION BY run) - row_number() OVER (PARTITION BY run ORDER BY n, id) + 1 AS rest FROM s)
+SELECT run, CAST(greatest(600, CASE WHEN whole <= 50000 THEN top ELSE cut END) AS BIGINT) AS cap FROM w JOIN (SELECT run, min(CASE WHEN floor((50000 - before) / rest::DOUBLE) < n THEN floor((50000 - before) / rest::DOUBLE) END) AS cut FROM o GROUP BY run) USING (run)""")
+def budget_cap(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("run"), F.length("text").cast("long").alias("n"))
+    return analytics.budget_cap(d, "run", "n", 50000)
+
+
+@_query("SELECT run_id, count(DISTINCT coalesce('c:' || cause, 'f:' || finding_id)) AS work FROM (SELECT o_custkey AS run_id, CASE WHEN o_orderpriority < '3' THEN o_orderpriority END AS cause, CAST(o_orderkey AS VARCHAR) AS finding_id FROM orders) GROUP BY run_id")
+def root_cause_work(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.when(F.col("o_orderpriority") < "3", F.col("o_orderpriority")).alias("cause"), F.col("o_orderkey").cast("string").alias("finding_id"))
+    return analytics.work_count(o)
+
+
+@_query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id) WHERE lang IN ('en', 'de') AND (quality IS NULL OR quality IN (1)) AND source IS DISTINCT FROM 'src3'")
+def scoped_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "de") & ~F.col("source").eqNullSafe(F.lit("src3"))).select("doc_id", "lang")
+    return rows.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").filter(F.col("quality").isNull() | F.col("quality").isin(1))
+
+
+@_query("SELECT source FROM documents EXCEPT SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1")
+def sources_without_toxic(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    bad = docs.join(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("source")
+    return docs.select("source").distinct().join(bad, "source", "left_anti")
+
+
+@_query("""
+WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey) AS siblings FROM lineitem)
+SELECT o_orderkey, l_linenumber, p_brand, n_name, siblings FROM c JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F'""")
+def framework_clauses(spark, sf_dir):
+    siblings = F.count("*").over(Window.partitionBy("l_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").withColumn("siblings", siblings)
+    orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    out = lines.join(orders, "l_orderkey").join(customers, "o_custkey").join(nations, "c_nationkey").join(parts, "l_partkey")
+    return out.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "p_brand", "n_name", "siblings")
