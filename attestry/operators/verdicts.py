@@ -191,7 +191,7 @@ def risk(suggestions: DataFrame, findings: DataFrame, dimensions: list[str]) ->
     rank = links.join(findings, "clause_id").withColumn("r", F.array_position(order, severity(F.col("verdict"), F.col("obligation")))).filter("r > 0")
     worst = rank.groupBy("dimension").agg(F.min("r").cast("int").alias("r"))
     names = suggestions.sparkSession.createDataFrame([(d,) for d in dimensions], "dimension string")
-    return F.broadcast(names).join(worst, "dimension", "left").select("dimension", F.coalesce(F.element_at(order, F.col("r")), F.lit("not assessed")).alias("risk"))
+    return F.broadcast(names).join(worst, "dimension", "left").select("dimension", F.when(F.col("r").isNull(), "not assessed").otherwise(F.get(order, F.col("r") - 1)).alias("risk"))
 
 
 def may_reject(role: Column, own: Column, state: Column, note: Column, breaches: Column) -> Column:
