@@ -1,9 +1,8 @@
 """Connected components and bucket linking as joins; no task or driver sees a whole component."""
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.common import cut
@@ -16,75 +15,60 @@ def components(edges: DataFrame) -> DataFrame:
     and edges shrink to edges between roots. Every frame that is joined is written first, so both
     sides of a join are exchanged and a hot root is split at run time.
     """
-    left = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    ordered = lambda df, x, y: df.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+    left = cut(ordered(edges.filter("a <> b"), "a", "b"))
     rounds = []
     while not left.isEmpty():
         forest = cut(left.groupBy("a").agg(F.min("b").alias("root")))
-        while True:
-            up = forest.select(F.col("a").alias("root"), F.col("root").alias("far"))
-            moved = cut(forest.join(up, "root", "left").select("a", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
-            forest = moved.select("a", "root")
-            if moved.filter("moved").isEmpty():
+        while True:  # two jumps a pass
+            up = lambda x, y: forest.select(F.col("a").alias(x), F.col("root").alias(y))  # noqa: E731, B023
+            far = forest.join(up("root", "r2"), "root", "left").join(up("r2", "r3"), "r2", "left")
+            far = cut(far.select("a", F.coalesce("r3", "r2", "root").alias("root"), F.col("r2").isNotNull().alias("moved")))
+            forest = far.select("a", "root")
+            if far.filter("moved").isEmpty():
                 break
         rounds.append(forest)
         a, b = forest.select("a", F.col("root").alias("ra")), forest.select(F.col("a").alias("b"), F.col("root").alias("rb"))
         ends = left.join(a, "a").join(b, "b", "left").select(F.col("ra").alias("x"), F.coalesce("rb", "b").alias("y")).filter("x <> y")
-        left = cut(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        left = cut(ordered(ends, "x", "y"))
     if not rounds:
         return edges.select(F.col("a").alias("item"), F.col("b").alias("component")).filter("false")
     # A round's roots are the next round's items: follow them to the last.
-    step = lambda done, later: cut(done.join(later.select(F.col("a").alias("root"), F.col("root").alias("far")), "root", "left").select("a", F.coalesce("far", "root").alias("root")))
-    whole = None
-    for i, forest in enumerate(rounds):
-        own = reduce(step, rounds[i + 1 :], forest)
-        whole = own if whole is None else whole.unionByName(own)
-    # Roots are items too; an item that took part in several rounds is named by its first.
-    named = whole.groupBy("a").agg(F.min("root").alias("root"))
-    roots = named.select(F.col("root").alias("a"), F.col("root").alias("root")).distinct()
-    return cut(named.unionByName(roots).groupBy(F.col("a").alias("item")).agg(F.min("root").alias("component")))
+    whole = rounds[-1]
+    for forest in reversed(rounds[:-1]):
+        later = whole.select(F.col("a").alias("root"), F.col("root").alias("far"))
+        whole = cut(forest.join(later, "root", "left").select("a", F.coalesce("far", "root").alias("root")).unionByName(whole))
+    # Roots are items too.
+    return cut(whole.unionByName(whole.select(F.col("root").alias("a"), "root")).groupBy(F.col("a").alias("item")).agg(F.min("root").alias("component")))
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profile: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column]) -> DataFrame:
     """Components of the links that verify confirms among items sharing a bucket; see components().
 
-    members: (key, item), each pair of items that may be linked in some bucket together. verify takes
-    distinct candidates (a, b) and returns the linked ones. A bucket isn't expanded into all its pairs:
-    in each round its items are held against one of them, and a bucket whose items have become one
-    component is done. What then is left apart is compared across components, so no link is lost.
+    members: distinct (key, item), written; each pair of items that may be linked has some bucket in
+    common. verify takes distinct candidates (a, b) and returns the linked ones. A bucket isn't expanded
+    into all its pairs. First its items are held against two of them, the least, on which copies mostly
+    hang, and one by hash; a bucket whose items have become one component is done. In the others, items
+    outside the largest component are then held against the rest, where possible(p, q) doesn't rule a
+    link out; profile gives (item, p), bounds that hold among the items it is asked about. So no link
+    between components is lost.
     """
-    members = cut(members.select("key", "item").distinct())
-    open_, links, named, tested = members, None, None, []
-    for k in range(rounds + 1):
-        if named is not None:
-            own = members.join(named, "item", "left").select("key", "item", F.coalesce("component", "item").alias("component"))
-            own = cut(own)
-            parts = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            unsettled = cut(parts.filter("lo <> hi").select("key"))
-            open_ = cut(own.join(unsettled, "key", "left_semi"))
-        else:
-            open_ = open_.withColumn("component", F.col("item"))
-        if open_.isEmpty():
-            break
-        if k < rounds:
-            # The least item first: copies mostly hang on their original. Later another, by hash.
-            chosen = F.min("item") if k == 0 else F.min_by("item", F.xxhash64("item", F.lit(k)))
-            mid = cut(open_.groupBy("key").agg(chosen.alias("mid"))).select("key", "mid")
-            met = open_.join(mid, "key").filter("item <> mid")
-            pairs = met.select(F.greatest("item", "mid").alias("a"), F.least("item", "mid").alias("b"))
-            if named is not None:
-                pairs = pairs.join(named.select(F.col("item").alias("a"), F.col("component").alias("ca")), "a", "left").join(named.select(F.col("item").alias("b"), F.col("component").alias("cb")), "b", "left")
-                pairs = pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        else:
-            other = open_.select("key", F.col("item").alias("b"), F.col("component").alias("cb"))
-            pairs = open_.join(other, "key").filter("item > b and component <> cb").select(F.col("item").alias("a"), "b")
-        pairs = pairs.distinct()
-        for done in tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested.append(pairs)
-        found = cut(verify(pairs))
-        links = found if links is None else links.unionByName(found)
-        named = components(links)
-    if named is None:
-        return members.select("item", F.col("item").alias("component")).filter("false")
-    return named
+    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    mids = cut(members.groupBy("key").agg(F.array_distinct(F.array(F.min("item"), F.min_by("item", F.xxhash64("item")))).alias("mids")))
+    met = members.join(mids, "key").select("item", F.explode("mids").alias("mid")).filter("item <> mid")
+    tested = cut(met.select(*pair("item", "mid")).distinct())
+    links = cut(verify(tested))
+    named = components(links)
+    own = cut(members.join(named, "item", "left").select("key", "item", F.coalesce("component", "item").alias("component")))
+    parts = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rest = cut(own.join(cut(parts.filter("lo <> hi").select("key")), "key", "left_semi"))
+    if rest.isEmpty():
+        return named
+    sized = cut(rest.join(cut(profile(rest.select("item").distinct())), "item"))
+    # A pair that isn't linked by now has an item outside the largest component of each shared bucket.
+    most = sized.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    apart = cut(sized.join(cut(most), "key").filter("component <> main").select("key", F.col("item").alias("x"), F.col("component").alias("cx"), F.col("p").alias("px")))
+    met = apart.join(sized, "key").filter((F.col("cx") != F.col("component")) & possible(F.col("px"), F.col("p")))
+    more = met.select(*pair("item", "x")).distinct().join(tested, ["a", "b"], "left_anti")
+    found = cut(verify(cut(more)))
+    return named if found.isEmpty() else components(links.unionByName(found))

@@ -22,8 +22,37 @@ BROADCAST_ROWS = 500_000
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+MARK = "\ue000"
+
+
+def fold_ascii(text: Column) -> Column:
+    """A-Z to a-z, every other difference kept: equal results mean texts equal but for the case of A-Z.
+
+    lower() is fast but folds other letters too, so those it may change are marked first; a text that
+    holds the mark itself is folded letter by letter.
+    """
+    marked = F.lower(F.regexp_replace(text, r"([\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]])", f"$1{MARK}"))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(F.contains(text, F.lit(MARK)), lower_ascii(text)).otherwise(marked)
+
+
 def alnum_words(text: Column) -> Column:
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAPS), "")
+    return F.array_remove(F.split(fold_ascii(F.coalesce(text, F.lit(""))), GAPS), "")
+
+
+def _from(a: Column, by: int) -> Column:
+    return F.slice(a, F.lit(by + 1), F.size(a))
+
+
+def _sliding(a: Column, width: int, join) -> Column:
+    """join over every width neighbours of a, by doubling: whole arrays are shifted, none is cut out for each place."""
+
+    def grown(one: Column, now: int) -> Column:
+        if now == width:
+            return F.slice(one, F.lit(1), F.size(one) - (width - 1))
+        by = min(now, width - now)
+        return let(F.zip_with(one, _from(one, by), join), lambda two: grown(two, now + by))
+
+    return let(a, lambda x: grown(x, 1))
 
 
 def _shape(length: int) -> tuple[int, int]:
@@ -35,16 +64,14 @@ def _shape(length: int) -> tuple[int, int]:
 def _hashes(toks: Column, length: int) -> Column:
     """Hashes of the grams of a text of at least length words, by start."""
     gram, _ = _shape(length)
-    whole = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (gram - 1)), lambda i: F.xxhash64(F.lit(length), F.slice(h, i, gram)))
-    return let(F.transform(toks, lambda w: F.xxhash64(w)), whole)
+    # Neighbours that overlap are hashed together, so a hash still stands for exactly gram words.
+    return _sliding(F.transform(toks, lambda w: F.xxhash64(w, F.lit(length))), gram, lambda a, b: F.xxhash64(a, b))
 
 
 def _least(h: Column, length: int) -> Column:
     """The distinct hashes that winnowing keeps."""
     _, width = _shape(length)
-    if width == 1:
-        return F.array_distinct(h)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - (width - 1)), lambda i: F.array_min(F.slice(h, i, width))))
+    return F.array_distinct(_sliding(h, width, lambda a, b: F.least(a, b)))
 
 
 def _points(toks: Column, length: int, passes=None) -> Column:

@@ -110,7 +110,7 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     lines = lines.filter(F.length("line") >= LEAST_CHARS)
     keys = lines.select(F.col("h").alias("item"), F.explode(bucket_keys(F.col("line"), edits)).alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).filter("lo <> hi").select("key"))
-    members = keys.join(shared, "key", "left_semi")
+    members = cut(keys.join(shared, "key", "left_semi").distinct())
 
     def texts(items):  # items (h), written
         wanted = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items

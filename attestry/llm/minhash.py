@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.common import cut
@@ -148,11 +148,7 @@ def verifier(documents: DataFrame):
     """Candidates (a, b) to those whose full sets meet the threshold."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        if wanted.count() <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-        sets = cut(texts.mapInArrow(_sets, SETS))
+        sets = _texts_of(documents, cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
         side = lambda x: sets.select(F.col("item").alias(x), F.col("shingles").alias(f"s{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         # Sets whose sizes alone rule out the threshold are not intersected.
@@ -165,6 +161,32 @@ def verifier(documents: DataFrame):
     return verify
 
 
+def _texts_of(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, shingles) of the documents named in items (doc_id), which must be written."""
+    wanted = F.broadcast(items) if items.count() <= BROADCAST_IDS else items
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    return cut(texts.mapInArrow(_sets, SETS))
+
+
+def profiler(documents: DataFrame):
+    """For items: n, the size of the set; own, how many of its shingles no other of the items holds; sure, if it has one text."""
+
+    def profile(items: DataFrame) -> DataFrame:
+        sets = _texts_of(documents, cut(items.select(F.col("item").alias("doc_id"))))
+        holders = sets.select("item", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("item").alias("item"), F.max("item").alias("last"))
+        own = holders.filter("item = last").groupBy("item").agg(F.count("*").alias("own"))
+        sizes = sets.groupBy("item").agg(F.max(F.size("shingles").cast("long")).alias("n"), (F.count("*") == 1).alias("sure"))
+        return sizes.join(cut(own), "item", "left").select("item", F.struct("n", F.coalesce("own", F.lit(0)).cast("long").alias("own"), "sure").alias("p"))
+
+    return profile
+
+
+def possible(p: Column, q: Column) -> Column:
+    """Whether two documents of these profiles can meet the threshold: what only one holds, they don't share."""
+    most = F.least(p["n"] - p["own"], q["n"] - q["own"])
+    return ~p["sure"] | ~q["sure"] | (100 * most >= PERCENT * (p["n"] + q["n"] - most))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and kept for each row of documents (doc_id, text)."""
     rows = cut(sketch(documents))
@@ -172,8 +194,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("item"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
     keys = classes.filter("item is not null").select(F.explode("bands").alias("key"), "item")
     shared = keys.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).filter("lo <> hi").select("key")
-    members = keys.join(cut(shared), "key", "left_semi")
-    named = link(members, verifier(documents))
+    members = cut(keys.join(cut(shared), "key", "left_semi"))
+    named = link(members, verifier(documents), profiler(documents), possible)
     # Copies and linked classes; all else is a component of its own.
     owner = classes.join(named, "item", "left").withColumn("component_id", F.coalesce("component", "item"))
     owner = cut(owner.filter("copies > 1 or component_id <> item").select("d1", "d2", "component_id"))
