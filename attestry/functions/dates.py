@@ -4,12 +4,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lifecycle_status(eol: Column, support: Column, today: Column, soon: int = 365) -> Column:
-    """ended, ending, security_only or supported; an end without a date counts if flagged by a past day."""
-    return (
-        F.when(eol.isNotNull() & (eol < today), "ended").when(eol.isNotNull() & (eol <= F.date_add(today, soon)), "ending")
-        .when(support.isNotNull() & (support < today), "security_only").otherwise("supported")
-    )
+def lifecycle_status(eol: Column, support: Column, today: Column, soon: int = 365, ended: Column | None = None) -> Column:
+    """(status, security_only): ended, ending or supported. The last day itself is supported; ended flags an end without a date."""
+    over = F.coalesce(F.lit(False) if ended is None else ended, F.lit(False)) | F.coalesce(eol < today, F.lit(False))
+    status = F.when(over, "ended").when(eol <= F.date_add(today, soon), "ending").otherwise("supported")
+    return F.struct(status.alias("status"), (~over & F.coalesce(support < today, F.lit(False))).alias("security_only"))
 
 
 def backoff(now: Column, attempts: Column, most: int = 3600) -> Column:

@@ -172,7 +172,7 @@ def product_matches(name: Column, text: Column) -> Column:
 
 def version_stated(version: Column, quote: Column) -> Column:
     """Whether the version stands in the quote with no digit or dotted digit around it."""
-    escaped = F.regexp_replace(version, r"\.", r"\\.")
+    escaped = F.regexp_replace(version, "[.]", "[.]")
     return F.regexp_like(quote, F.concat(F.lit(r"(?<![0-9.])"), escaped, F.lit(r"(?![0-9]|\.[0-9])")))
 
 

@@ -106,17 +106,33 @@ def difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def release_of(products: DataFrame, lines: DataFrame) -> DataFrame:
-    """The release line of a stated version: the longest dotted prefix; 1.x is read as 1. lines is a small reference table."""
-    stated = F.regexp_replace("version", r"\.x$", "")
-    own = products.withColumn("_v", stated).withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("_v", r"\."))), lambda i: F.array_join(F.slice(F.split("_v", r"\."), F.lit(1), i), "."))))
-    met = own.join(lines.withColumnRenamed("line", "_p"), ["product", "_p"])
-    best = met.groupBy("product_id").agg(F.max_by(F.struct(F.col("_p").alias("line"), "eol", "support"), F.length("_p")).alias("r"))
-    return products.join(best, "product_id", "left").select(*products.columns, "r.line", "r.eol", "r.support")
+    """line, eol, support of a stated version: the longest line that is a dotted prefix of it; 1.8 is also tried as 8.
+
+    A version less specific than the lines has none; the lines it could be are given as wider.
+    """
+    number = F.nullif(F.regexp_extract("version", r"[0-9]+(?:\.[0-9]+)*", 0), F.lit(""))
+    prefixes = lambda v: F.transform(F.sequence(F.lit(1), F.size(F.split(v, "[.]"))), lambda i: F.array_join(F.slice(F.split(v, "[.]"), F.lit(1), i), "."))
+    own = products.withColumn("_v", number)
+    old = F.when(F.col("_v").startswith("1.") & (F.length("_v") > 2), prefixes(F.substr("_v", F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    tries = F.concat(F.transform(prefixes(F.col("_v")), lambda p: F.struct(F.lit(1).alias("band"), p.alias("line"))), F.transform(old, lambda p: F.struct(F.lit(0).alias("band"), p.alias("line"))))
+    met = own.filter("_v is not null").select("product_id", "product", F.explode(tries).alias("t")).select("product_id", "product", "t.band", "t.line").join(lines, ["product", "line"])
+    best = met.groupBy("product_id").agg(F.max_by(F.struct("line", "eol", "support"), F.struct("band", F.length("line"))).alias("r"))
+    wide = own.join(lines.select("product", F.col("line").alias("_l")), "product").filter(F.startswith("_l", F.concat("_v", F.lit(".")))).groupBy("product_id").agg(F.array_sort(F.collect_set("_l")).alias("wider"))
+    out = products.join(best, "product_id", "left").join(wide, "product_id", "left")
+    none = F.array().cast("array<string>")
+    return out.select(*products.columns, "r.line", "r.eol", "r.support", F.when(F.col("r").isNull(), F.coalesce("wider", none)).otherwise(none).alias("wider"))
 
 
 def technology(products: DataFrame, lines: DataFrame, today) -> DataFrame:
-    """Products with their release line and its status."""
-    return release_of(products, lines).withColumn("status", F.when(F.col("line").isNotNull(), dates.lifecycle_status(F.col("eol"), F.col("support"), today)).otherwise("unknown"))
+    """Products with their release line and its status; unknown without a line."""
+    state = dates.lifecycle_status(F.col("eol"), F.col("support"), today)
+    return release_of(products, lines).withColumn("status", F.when(F.col("line").isNotNull(), state["status"]).otherwise("unknown")).withColumn("security_only", F.col("line").isNotNull() & state["security_only"])
+
+
+def support_facts(technologies: DataFrame) -> DataFrame:
+    """What advice may say of a document's products: ended or ending rows with a version and a line to move to."""
+    rows = technologies.filter(F.col("status").isin("ended", "ending") & F.col("version").isNotNull() & F.col("move_to").isNotNull())
+    return rows.groupBy("document_id").agg(F.array_sort(F.collect_set(F.struct("name", "version", "status", "move_to"))).alias("facts"))
 
 
 def collapse_products(rows: DataFrame) -> DataFrame:

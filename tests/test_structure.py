@@ -73,10 +73,10 @@ def test_rehome(spark):
 def test_release_line(spark):
     import datetime as dt
 
-    p = spark.createDataFrame([("1", "java", "17.0.2"), ("2", "java", "8.x"), ("3", "java", "99")], "product_id string, product string, version string")
-    r = spark.createDataFrame([("java", "17", dt.date(2030, 1, 1), None), ("java", "17.0", dt.date(2023, 1, 1), None), ("java", "8", dt.date(2024, 7, 1), None)], "product string, line string, eol date, support date")
+    p = spark.createDataFrame([("1", "java", "17.0.2"), ("2", "java", "8.x"), ("3", "java", "99"), ("4", "java", "1.8"), ("5", "py", "2")], "product_id string, product string, version string")
+    r = spark.createDataFrame([("java", "17", dt.date(2030, 1, 1), None), ("java", "17.0", dt.date(2023, 1, 1), None), ("java", "8", dt.date(2024, 7, 1), None), ("py", "2.7", None, None)], "product string, line string, eol date, support date")
     got = {x["product_id"]: (x["line"], x["status"]) for x in evidence.technology(p, r, F.lit("2024-06-01").cast("date")).collect()}
-    assert got == {"1": ("17.0", "ended"), "2": ("8", "ending"), "3": (None, "unknown")}
+    assert got == {"1": ("17.0", "ended"), "2": ("8", "ending"), "3": (None, "unknown"), "4": ("8", "ending"), "5": (None, "unknown")}
 
 
 HITS = "query_id long, place long, chunk_id long, document_id long, source_id string, source_kind string, text string, page int, heading string"
