@@ -413,3 +413,155 @@ def framework_clauses(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     out = lines.join(orders, "l_orderkey").join(customers, "o_custkey").join(nations, "c_nationkey").join(parts, "l_partkey")
     return out.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "p_brand", "n_name", "siblings")
+
+
+# Further operators over the driver's tables; each query shapes a table into the operator's frame.
+
+
+@_query("""
+WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS "at", unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, "at", (line LIKE '%!%' OR line LIKE '%?%') AS loud FROM l WHERE length(line) BETWEEN 25 AND 400 AND regexp_matches(line, '(?i)\\b(must|shall|required to|is required|are required|mandatory|prohibited|license|licensed)\\b')""")
+def normative_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("at", F.col("at").cast("long"))
+    said = text.normative(F.col("line")) | (F.length("line").between(25, 400) & F.col("line").rlike(r"(?i)\b(?:license|licensed)\b"))
+    return lines.filter(said).select("doc_id", "at", (F.contains("line", F.lit("!")) | F.contains("line", F.lit("?"))).alias("loud"))
+
+
+@_query("""
+WITH w AS (SELECT conv_id, turn, role, unnest(range(greatest(0, CAST(ceil((turn - 3) / 3.0) AS BIGINT)), CAST(floor(turn / 3.0) AS BIGINT) + 1)) AS win FROM conversations),
+d AS (SELECT *, least(turn - win * 3, 3 - (turn - win * 3)) AS depth FROM w)
+SELECT conv_id, turn, arg_max(role || win, depth * 1000 + win) AS role, count(DISTINCT role || win) > 1 AS disputed FROM d GROUP BY conv_id, turn""")
+def fused_windows(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ordinal"), "role")
+    views = structure.windows(c, size=4, overlap=1).withColumn("role", F.concat("role", F.col("window").cast("string")))
+    return structure.fuse_windows(views).select(F.col("document_id").alias("conv_id"), F.col("ordinal").alias("turn"), "role", "disputed")
+
+
+@_query("""
+WITH g AS (SELECT conv_id, turn, text, CASE WHEN lag(turn) OVER w IS NULL OR turn <> lag(turn) OVER w + 1 OR role = 'assistant' OR lag(role) OVER w = 'assistant' THEN 1 ELSE 0 END AS gap FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+i AS (SELECT *, sum(gap) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM g)
+SELECT conv_id, min(turn) AS first, max(turn) AS last, md5(string_agg(text, chr(10) ORDER BY turn)) AS said FROM i GROUP BY conv_id, island""")
+def passages(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ordinal"), F.when(F.col("role") == "assistant", "bullet").otherwise("text").alias("kind"), "text")
+    return structure.passages(c).select(F.col("document_id").alias("conv_id"), "first", "last", F.md5("text").alias("said"))
+
+
+@_query("""
+WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9.]+'), lambda x: length(x) >= 3)) AS words FROM documents WHERE doc_id < 200)
+SELECT a.doc_id AS kept, b.doc_id AS dropped FROM w a JOIN w b ON a.doc_id < b.doc_id WHERE len(b.words) >= 20 AND len(list_intersect(a.words, b.words)) >= 0.9 * len(b.words)
+AND NOT EXISTS (SELECT 1 FROM w c WHERE c.doc_id < a.doc_id AND len(list_intersect(c.words, b.words)) >= 0.9 * len(b.words))""")
+def twin_pairs(spark, sf_dir):
+    """The first earlier document (of a shortlist) that holds most of a document's content words; shortlists are small by definition."""
+    w = table(spark, sf_dir, "documents").filter("doc_id < 200").select("doc_id", lexical.content_words(F.col("text")).alias("words"))
+    # Twins share at least a tenth more than half of their words, so some word of a fixed sample of each meets.
+    post = w.select("doc_id", F.explode("words").alias("w"))
+    least = post.join(post.groupBy("w").count(), "w").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("count", "w")))
+    probe = least.join(w.select("doc_id", F.size("words").alias("n")), "doc_id").filter("r <= floor(0.1 * n) + 1").select(F.col("doc_id").alias("b"), "w")
+    pairs = probe.join(post.withColumnRenamed("doc_id", "a"), "w").filter("a < b").select("a", "b").distinct()
+    full = pairs.join(w.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a").join(w.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b")
+    near = full.filter((F.size("wb") >= 20) & (F.size(F.array_intersect("wa", "wb")) >= 0.9 * F.size("wb")))
+    return near.groupBy("b").agg(F.min("a").alias("kept")).select("kept", F.col("b").alias("dropped"))
+
+
+@_query("""
+WITH t AS (SELECT l_orderkey AS table_id, l_linenumber AS pos, CASE WHEN l_tax > 0.04 THEN CAST(l_partkey AS VARCHAR) ELSE '' END AS value, CASE WHEN l_linenumber <= 2 THEN 'c' || l_linenumber ELSE '' END AS name FROM lineitem)
+SELECT table_id, round(0.35 * avg(CASE WHEN value <> '' THEN 1.0::DOUBLE ELSE 0 END) + 0.65 * count(DISTINCT CASE WHEN name <> '' THEN name END) / count(DISTINCT pos)::DOUBLE, 3) AS confidence FROM t GROUP BY table_id""")
+def table_confidence(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    name = F.when(F.col("l_linenumber") <= 2, F.concat(F.lit("c"), F.col("l_linenumber").cast("string"))).otherwise("")
+    return structure.table_confidence(l.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("at"), F.when(F.col("l_tax") > 0.04, F.col("l_partkey").cast("string")).otherwise("").alias("value"), name.alias("column")))
+
+
+@_query("""
+WITH p AS (SELECT o_custkey AS doc, o_orderkey % 40 AS page, o_orderkey AS ord, o_totalprice AS h FROM orders),
+m AS (SELECT doc, page, arg_max(h, ord) AS h FROM p GROUP BY doc, page)
+SELECT doc, page, h > coalesce(lag(h) OVER (PARTITION BY doc ORDER BY page), 0) AS taller FROM m""")
+def next_row_test(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), (F.col("o_orderkey") % 40).alias("page"), F.col("o_orderkey").alias("ord"), F.col("o_totalprice").alias("h"))
+    m = analytics.latest(o, ["doc", "page"], F.desc("ord"))
+    return m.select("doc", "page", (F.col("h") > F.coalesce(F.lag("h").over(Window.partitionBy("doc").orderBy("page")), F.lit(0.0))).alias("taller"))
+
+
+@_query("""
+SELECT o_custkey AS run_id, o_orderkey, lead, row_number() OVER (PARTITION BY o_custkey ORDER BY lead, o_orderkey) AS place FROM (
+SELECT o_custkey, o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey, coalesce('k:' || CASE WHEN o_orderpriority < '4' THEN o_orderpriority END, 'p:' || CAST(o_orderkey AS VARCHAR))) AS lead FROM orders)""")
+def group_adjacent(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), "o_orderkey", F.when(F.col("o_orderpriority") < "4", F.col("o_orderpriority")).alias("cause"))
+    return analytics.group_adjacent(o, "cause", "o_orderkey").select("run_id", "o_orderkey", "lead", F.col("place").cast("long").alias("place"))
+
+
+@_query("""
+SELECT o_custkey, o_orderkey, place, more FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place, greatest(count(*) OVER (PARTITION BY o_custkey) - 3, 0) AS more FROM orders) WHERE place <= 3""")
+def capped_findings(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return analytics.capped(o, "o_custkey", 3, F.desc("o_totalprice"), F.col("o_orderkey")).select("o_custkey", "o_orderkey", F.col("place").cast("long").alias("place"), "more")
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1997-06-01' THEN 'ended' WHEN o_orderdate + INTERVAL 30 DAY <= TIMESTAMP '1998-06-01' THEN 'ending' ELSE 'supported' END AS status FROM orders")
+def lifecycle_of_orders(spark, sf_dir):
+    eol = F.date_add(F.col("o_orderdate").cast("date"), 30)
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.lifecycle_status(eol, F.lit(None).cast("date"), F.lit("1997-06-01").cast("date"))["status"].alias("status"))
+
+
+@_query("""
+SELECT clause_ref AS c_nationkey, decision_id, band FROM (SELECT n.n_nationkey AS clause_ref, c.c_custkey AS decision_id, 0 AS band, row_number() OVER (PARTITION BY n.n_nationkey ORDER BY c.c_custkey DESC) AS r
+FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey WHERE c.c_acctbal > 0 AND (c.c_mktsegment = 'BUILDING' OR c.c_custkey % 25 = n.n_nationkey)) WHERE r <= 3""")
+def anchored_precedents(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("clause_id"), F.col("n_nationkey").alias("clause_ref"), F.col("n_nationkey").cast("long").alias("project_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("clause_vector"))
+    c = table(spark, sf_dir, "customer")
+    decisions = c.select(
+        F.col("c_custkey").alias("decision_id"), F.col("c_nationkey").alias("clause_ref"), F.when(F.col("c_acctbal") > 0, "active").otherwise("expired").alias("status"), F.lit(None).cast("timestamp").alias("expires_at"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "organisation").otherwise("project").alias("scope"), (F.col("c_custkey") % 25).alias("project_id"), F.timestamp_seconds("c_custkey").alias("created_at"), F.array(F.lit(0.0), F.lit(1.0)).alias("vector"), F.lit("accepts").alias("effect"))
+    got = search.precedents(nations, decisions, F.lit("2024-01-01").cast("timestamp"), F.lit(0.42))
+    return got.select(F.col("clause_id").alias("c_nationkey"), "decision_id", F.col("band").cast("int").alias("band"))
+
+
+@_query("SELECT who_, entry FROM (SELECT CAST(c_custkey AS VARCHAR) AS who_, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'member' WHEN c_mktsegment = 'BUILDING' THEN 'invited' WHEN c_mktsegment = 'MACHINERY' THEN 'blocked' ELSE 'founder' END AS entry FROM customer)")
+def admissions(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("email"), "c_mktsegment")
+    members = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("email"))
+    roster = c.select("email", F.when(F.col("c_mktsegment") == "BUILDING", "invited").when(F.col("c_mktsegment") == "MACHINERY", "blocked").otherwise("none").alias("status"))
+    return state.admission(c.select("email"), members, roster).select(F.col("email").alias("who_"), "entry")
+
+
+def guarded_verdicts(spark, sf_dir):
+    """The guard chain over labelled documents as answers; no SQL twin: its word rules use look-arounds."""
+    docs = table(spark, sf_dir, "documents").join(_labelled(spark, sf_dir), "doc_id")
+    said = F.array_compact(F.array(F.when(F.col("n_chars") > 500, F.substring("text", 1, 300))))
+    rows = docs.select(
+        "doc_id", "verdict", ((F.col("doc_id") % 100) / 100).alias("confidence"), said.alias("evidence"), F.lit(0.03).alias("best_score"), F.substring("text", 301, 200).alias("rationale"), F.lit(2).alias("cited_total"),
+        (F.col("doc_id") % 3).cast("int").alias("cited_generated"), F.array().cast("array<string>").alias("fabricated"), (F.col("doc_id") % 11 == 0).alias("conflicted"), F.substring("text", 1, 200).alias("clause_text"), F.lit("").alias("figure_text"))
+    return verdicts.guard(rows).select("doc_id", "verdict", "verdict_after", "why")
+
+
+def batch_search(spark, sf_dir):
+    """Hybrid search for many queries at once, tables and twins folded; no SQL twin for the ordered fold."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 10).alias("document_id"), F.lit(None).cast("string").alias("source_id"), F.lit("section").alias("source_kind"), "text", F.substring("text", 1, 40).alias("heading_path"))
+    asked = d.filter("doc_id % 100 = 0").join(e.withColumnRenamed("chunk_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"), lexical.query_terms(F.substring("text", 1, 200)).alias("terms"))
+    return search.fold_twins(search.fold_tables(search.batch_hybrid(asked, chunks, e)))
+
+
+def section_tree(spark, sf_dir):
+    """Sections and paths of conversations read as documents, a turn a line."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.when(F.col("role") == "user", F.concat((F.col("turn") / 2 + 1).cast("int").cast("string"), F.lit(" "), F.substring("text", 1, 40))).otherwise(F.col("text"))
+    lines = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ordinal"), F.lit(1).alias("page"), F.lit(0.0).alias("y"), F.lit(0.0).alias("x0"), said.alias("text"))
+    return structure.sections(lines)
+
+
+def clause_extraction(spark, sf_dir):
+    return structure.clauses(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("Statement: "), F.substring("text", 1, 80), F.lit(" Rationale: "), F.substring("text", 81, 80)).alias("text")))
+
+
+def quote_verification(spark, sf_dir):
+    """Benchmark openings as quotes against documents by source, a document a page."""
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), "text")
+    first = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    quotes = table(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("document_id"), F.col("item_id").cast("string").alias("quote_id"), first.alias("quote"), F.lit(0).cast("long").alias("page"))
+    return evidence.verify_quotes(quotes, pages)
+
+
+for _f in (guarded_verdicts, batch_search, section_tree, clause_extraction, quote_verification):
+    _query()(_f)
