@@ -42,16 +42,19 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(whole.unionByName(whole.select(F.col("root").alias("a"), "root")).groupBy(F.col("a").alias("item")).agg(F.min("root").alias("component")))
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profile: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column]) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profile: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column], compare: tuple[Callable, Callable] | None = None) -> DataFrame:
     """Components of the links that verify confirms among items sharing a bucket; see components().
 
     members: distinct (key, item), written; each pair of items that may be linked has some bucket in
     common. verify takes distinct candidates (a, b) and returns the linked ones. A bucket isn't expanded
     into all its pairs. First its items are held against two of them, the least, on which copies mostly
-    hang, and one by hash; a bucket whose items have become one component is done. In the others, items
-    outside the largest component are then held against the rest, where possible(p, q) doesn't rule a
-    link out; profile gives (item, p), bounds that hold among the items it is asked about. So no link
-    between components is lost.
+    hang, and one by hash; a bucket whose items have become one component is done. The others' items are
+    held against the one with least of its own; profile gives (item, p), p.own among other bounds that
+    hold among the items it is asked about, and possible(p, q) says whether they leave room for a link.
+    At last items outside a bucket's largest component are held against the rest under the same bounds
+    and, if given, compare = (describe, allowed): describe takes (item, ref) and gives (item, d), what
+    sets an item apart from a reference; allowed(d, e) rules out what two such differences rule out.
+    So no link between components is lost.
     """
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     mids = cut(members.groupBy("key").agg(F.array_distinct(F.array(F.min("item"), F.min_by("item", F.xxhash64("item")))).alias("mids")))
@@ -59,16 +62,38 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profile:
     tested = cut(met.select(*pair("item", "mid")).distinct())
     links = cut(verify(tested))
     named = components(links)
-    own = cut(members.join(named, "item", "left").select("key", "item", F.coalesce("component", "item").alias("component")))
-    parts = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rest = cut(own.join(cut(parts.filter("lo <> hi").select("key")), "key", "left_semi"))
+
+    def unsettled(rows: DataFrame) -> DataFrame:
+        own = cut(rows.join(named, "item", "left").withColumn("component", F.coalesce("component", "item")))
+        parts = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        return cut(own.join(cut(parts), "key", "left_semi"))
+
+    rest = unsettled(members)
     if rest.isEmpty():
         return named
-    sized = cut(rest.join(cut(profile(rest.select("item").distinct())), "item"))
+    rest = cut(rest.join(cut(profile(rest.select("item").distinct())), "item"))
+    middle = cut(rest.groupBy("key").agg(F.min_by(F.struct("item", "component", "p"), F.struct("p.own", "item")).alias("mid")))
+    met = rest.join(middle, "key").filter((F.col("component") != F.col("mid.component")) & possible(F.col("p"), F.col("mid.p")))
+    again = cut(met.select(*pair("item", "mid.item")).distinct().join(tested, ["a", "b"], "left_anti"))
+    found = cut(verify(again))
+    if not found.isEmpty():
+        tested, links = tested.unionByName(again), links.unionByName(found)
+        named = components(links)
+        rest = unsettled(rest.drop("component"))
+        if rest.isEmpty():
+            return named
+    if compare:
+        refs = rest.join(middle, "key").groupBy("item").agg(F.min_by("mid.item", F.struct("mid.p.own", "mid.item")).alias("ref"))
+        rest = cut(rest.join(cut(compare[0](cut(refs))), "item"))
+    else:
+        rest = rest.withColumn("d", F.lit(0))
     # A pair that isn't linked by now has an item outside the largest component of each shared bucket.
-    most = sized.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    apart = cut(sized.join(cut(most), "key").filter("component <> main").select("key", F.col("item").alias("x"), F.col("component").alias("cx"), F.col("p").alias("px")))
-    met = apart.join(sized, "key").filter((F.col("cx") != F.col("component")) & possible(F.col("px"), F.col("p")))
+    most = rest.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    apart = rest.join(cut(most), "key").filter("component <> main").select("key", F.col("item").alias("x"), F.col("component").alias("cx"), F.col("p").alias("px"), F.col("d").alias("dx"))
+    room = possible(F.col("px"), F.col("p"))
+    if compare:
+        room = room & compare[1](F.col("dx"), F.col("d"))
+    met = cut(apart).join(rest, "key").filter((F.col("cx") != F.col("component")) & room)
     more = met.select(*pair("item", "x")).distinct().join(tested, ["a", "b"], "left_anti")
     found = cut(verify(cut(more)))
     return named if found.isEmpty() else components(links.unionByName(found))

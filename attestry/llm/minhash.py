@@ -187,6 +187,30 @@ def possible(p: Column, q: Column) -> Column:
     return ~p["sure"] | ~q["sure"] | (100 * most >= PERCENT * (p["n"] + q["n"] - most))
 
 
+def describer(documents: DataFrame):
+    """For (item, ref): what the item's set lacks of ref's, what it has besides, and the size of ref's."""
+
+    def describe(refs: DataFrame) -> DataFrame:
+        sets = _texts_of(documents, cut(refs.select(F.explode(F.array("item", "ref")).alias("doc_id")).distinct()))
+        # A document with several texts has no one difference.
+        one = sets.groupBy("item").agg(F.count("*").alias("n")).filter("n = 1").select("item")
+        sets = cut(sets.join(cut(one), "item"))
+        met = refs.join(sets, "item").join(sets.select(F.col("item").alias("ref"), F.col("shingles").alias("whole")), "ref")
+        d = F.struct("ref", F.size("whole").cast("long").alias("n"), F.array_except("whole", "shingles").alias("lacks"), F.array_except("shingles", "whole").alias("more"))
+        return refs.select("item").join(met.select("item", d.alias("d")), "item", "left")
+
+    return describe
+
+
+def allowed(d: Column, e: Column) -> Column:
+    """Exact for two documents with the same reference: their sets follow from their differences to it."""
+    size = lambda x: F.size(x).cast("long")
+    lacks = size(d["lacks"]) + size(e["lacks"]) - size(F.array_intersect(d["lacks"], e["lacks"]))
+    common = d["n"] - lacks + size(F.array_intersect(d["more"], e["more"]))
+    total = 2 * d["n"] - size(d["lacks"]) - size(e["lacks"]) + size(d["more"]) + size(e["more"])
+    return F.when(d["ref"] == e["ref"], 100 * common >= PERCENT * (total - common)).otherwise(True)
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and kept for each row of documents (doc_id, text)."""
     rows = cut(sketch(documents))
@@ -195,7 +219,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     keys = classes.filter("item is not null").select(F.explode("bands").alias("key"), "item")
     shared = keys.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).filter("lo <> hi").select("key")
     members = cut(keys.join(cut(shared), "key", "left_semi"))
-    named = link(members, verifier(documents), profiler(documents), possible)
+    named = link(members, verifier(documents), profiler(documents), possible, (describer(documents), allowed))
     # Copies and linked classes; all else is a component of its own.
     owner = classes.join(named, "item", "left").withColumn("component_id", F.coalesce("component", "item"))
     owner = cut(owner.filter("copies > 1 or component_id <> item").select("d1", "d2", "component_id"))
