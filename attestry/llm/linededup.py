@@ -45,20 +45,45 @@ def bucket_keys(line: Column, edits: int) -> Column:
     Of equal length the own segments serve both sides but for shifted places.
     """
     parts = edits + 1
-    size = F.length(line)
-    found = []
-    for less in range(edits + 1):
-        for i, (start, own) in enumerate(segments(size - less, parts)):
-            # Edits before the segment move it by at most i places, edits after it by at most the rest.
-            for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                at = start + move
-                inside = (at >= 1) & (at + own - 1 <= size) & (own > 0)
-                found.append(F.when(inside, F.xxhash64(size - less, F.lit(i), F.substring(line, at, own))))
-    return F.array_compact(F.array_distinct(F.array(*found)))
+
+    def keys(size: Column) -> Column:
+        found = []
+        for less in range(edits + 1):
+            for i, (start, own) in enumerate(segments(size - less, parts)):
+                # Edits before the segment move it by at most i places, edits after it by at most the rest.
+                for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                    at = start + move
+                    inside = (at >= 1) & (at + own - 1 <= size) & (own > 0)
+                    found.append(F.when(inside, F.xxhash64(size - less, F.lit(i), F.substring(line, at, own))))
+        return F.array_compact(F.array_distinct(F.array(*found)))
+
+    return let(F.length(line), keys)  # the length takes a pass over the line; it is used throughout
+
+
+def _stripped(a: Column, b: Column, rounds: int = 6) -> Column:
+    """(a, b) without equal halves at either end, over and over; that leaves their distance as it is."""
+
+    def cut_half(s):
+        half = F.floor(F.least(F.length(s["a"]), F.length(s["b"])) / 2).cast("int")
+
+        def cut_at(m):
+            head, tail = F.left(s["a"], m) == F.left(s["b"], m), F.right(s["a"], m) == F.right(s["b"], m)
+            short = lambda x: F.when(head, F.substr(x, m + 1)).when(tail, F.left(x, F.length(x) - m)).otherwise(x)
+            return F.struct(short(s["a"]).alias("a"), short(s["b"]).alias("b"))
+
+        return let(half, cut_at)
+
+    out = F.struct(a.alias("a"), b.alias("b"))
+    for _ in range(rounds):
+        out = let(out, cut_half)
+    return out
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are at most edits apart: Hyyro's bit-vector recurrence on a band of diagonals."""
+    """Whether two strings are at most edits apart: Hyyro's bit-vector recurrence on a band of diagonals.
+
+    Once the distance along the band is over twice the edits it can't come back, and steps do nothing.
+    """
     width = 2 * edits + 2
     mask, top = (1 << width) - 1, width - 1
 
@@ -88,27 +113,28 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
                 return let(d0, done)
 
-            return let(match, rest)
+            return F.when(s["d"] > 2 * edits, s).otherwise(let(match, rest))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(short) - 1), first, step, lambda s: s["d"])
 
     letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
     of = lambda x, y: let(letters(x), lambda p: let(letters(y), lambda q: F.when(F.size(q) > 0, distance(p, q)).otherwise(F.size(p))))
     apart = F.abs(F.length(a) - F.length(b))
-    return (apart <= edits) & (F.when(F.length(a) >= F.length(b), of(a, b)).otherwise(of(b, a)) <= edits)
+    near = lambda s: F.when(F.length(s["a"]) >= F.length(s["b"]), of(s["a"], s["b"])).otherwise(of(s["b"], s["a"])) <= edits
+    return F.when(apart > edits, False).otherwise(let(_stripped(a, b), near))
 
 
 def places(documents: DataFrame) -> DataFrame:
     """(doc_id, at, h, line): the lines of documents that have words enough."""
     rows = documents.filter("doc_id is not null and text is not null")
     rows = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.filter(F.size(F.split(F.trim(F.translate("line", "\t\x0b\f\r", "    ")), WORD_GAP)) >= LEAST_WORDS).withColumn("h", F.xxhash64("line"))
+    word, gap = r"[^\x20\x09-\x0D]+", WORD_GAP
+    return rows.filter(F.col("line").rlike(gap.join([word] * LEAST_WORDS))).withColumn("h", F.xxhash64("line"))
 
 
-def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(item, component) of the lines (h, line) that are linked with others."""
-    lines = lines.filter(F.length("line") >= LEAST_CHARS)
-    keys = lines.select(F.col("h").alias("item"), F.explode(bucket_keys(F.col("line"), edits)).alias("key"))
+def links(narrow: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(item, component) of the lines that are linked with others; narrow: (h, keys), lines: (h, line)."""
+    keys = narrow.select(F.col("h").alias("item"), F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).filter("lo <> hi").select("key"))
     members = cut(keys.join(shared, "key", "left_semi").distinct())
 
@@ -137,9 +163,12 @@ def links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def repeats(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """(doc_id, drop): the numbers of the lines that stand earlier in the corpus, for documents that have any."""
-    rows = places(documents)
+    lines = places(documents)
+    # The narrow table is read several times; texts are read again only for the few lines that are compared.
+    keys = F.when(F.length("line") >= LEAST_CHARS, bucket_keys(F.col("line"), edits))
+    rows = cut(lines.select("doc_id", "at", "h", keys.alias("keys")))
     firsts = cut(rows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")))
-    named = links(rows.select("h", "line"), edits)
+    named = links(rows, lines.select("h", "line").filter(F.length("line") >= LEAST_CHARS), edits)
     linked = firsts.join(named.withColumnRenamed("item", "h"), "h")
     joint = cut(linked.groupBy("component").agg(F.min("first").alias("first")))
     owner = linked.drop("first").join(joint, "component").select("h", "first")
@@ -151,12 +180,12 @@ def repeats(documents: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def dedup_lines(documents: DataFrame, edits: int = EDITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For each row of documents: keep, the text less its repeated lines, n_lines, n_dropped, words_before, words_after."""
+    """For each row of documents: keep, the text less its repeated lines, n_lines, n_dropped, and where lines went words_before and words_after."""
     rows = documents.select(*keep, F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
     gone = cut(repeats(documents, edits)).select(F.col("doc_id").alias("_gone"), F.col("drop").alias("_drop"))
     out = rows.join(gone, rows["_id"] == gone["_gone"], "left")
     lines, dropped = F.split("_text", "\n"), F.coalesce(F.size("_drop"), F.lit(0))
     kept = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_drop")), lambda i: F.get(x, i)), "\n"))
     out = out.select(*keep, "_text", F.when(dropped == 0, F.col("_text")).otherwise(kept).alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
-    count = lambda x: F.size(words(F.col(x))).cast("long")
+    count = lambda x: F.when(F.col("n_dropped") > 0, F.size(words(F.col(x)))).cast("long")
     return out.select(*keep, "text", "n_lines", "n_dropped", count("_text").alias("words_before"), count("text").alias("words_after"))
