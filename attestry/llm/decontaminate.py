@@ -128,7 +128,8 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep:
     """Every row of documents: keep, text_hash, n_words, n_hit, n_items, item_ids, hit_starts (start, len), contaminated."""
     prints, lengths, n = fingerprints(benchmark, window)
     passes = _bit_table(prints, n)
-    rows = documents.select(*keep, F.xxhash64("text").alias("text_hash"), alnum_words(F.col("text")).alias("toks"))
+    # The generator makes a text's words once; a projection would be merged into every place that uses them.
+    rows = documents.select(*keep, F.xxhash64("text").alias("text_hash"), F.explode(F.array(alnum_words(F.col("text")))).alias("toks"))
     points = F.concat(F.array(F.lit(None).cast("struct<len:int,hash:bigint,at:int,before:int,near:array<string>>")), *(_points(F.col("toks"), length, passes) for length in lengths))
     rows = rows.select(*keep, "text_hash", F.size("toks").cast("long").alias("n_words"), points.alias("p"))
     rows = rows.select(*keep, "text_hash", "n_words", F.explode("p").alias("p")).select(*keep, "text_hash", "n_words", "p.*")
