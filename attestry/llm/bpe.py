@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import cut, let, literal_array
 
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 LONG = 128
 NO_RANK = 1 << 30
 PRIME, MULT, SPREAD, SLOT_BITS = 4_294_967_291, 1_640_531_527, 15, 18  # the prime is above every pair key: no two keys meet
@@ -210,9 +210,13 @@ def encode(documents: DataFrame, path: str, pattern: str, with_ids: bool = True)
     while least > 0 and total + found.get(least - 1, 0) <= FREQUENT:
         least -= 1
         total += found.get(least, 0)
-    table = counts.filter(F.col("n") >= 2.0**least).select("word", merges.fold(F.col("word")).alias("ids")).toPandas()  # FREQUENT rows at most
-    often = sc.broadcast(dict(zip(table["word"], table["ids"], strict=True)))
+    table = counts.filter(F.col("n") >= 2.0**least).select("word", merges.fold(F.col("word")).alias("ids")).toArrow()  # FREQUENT rows at most
+    words: dict[str, str] = {}
+    for batch in table.to_batches(max_chunksize=10_000):
+        words.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
     del table
+    often = sc.broadcast(words)
+    words.clear()
     rare = rows.mapInArrow(_rare(pattern, known, often), "doc_id long, text string, rare array<string>")
     coded = rare.select("doc_id", "text", "rare", F.transform("rare", merges.fold).alias("coded"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
