@@ -1,15 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training rows are counted once: every task sums its words and word pairs (tokens are lower-cased words
-and one end a text) and hands them on as packed runs by hash range. The runs of a range meet in one
-task, which sums them; word counts become a table, and the range's n-grams become its block of the
-filter. An n-gram of count c is stored under levels 1 .. 1 + floor(log2 c); asking for levels until
-one is missing gives its quantised count. The filter has 8 bits a training token and ``FILTER_BITS``
-bits at most, so what is broadcast is bounded; past that size false positives grow, nothing is dropped.
+Rows are read once, in chunks: every task sums the words and word pairs of a chunk (tokens are
+lower-cased words and one end a text; held-out rows count nothing) and hands them on as packed runs by
+hash range. The runs of a range meet in one task, which sums them, builds the range's block of the
+filter and answers every run with what the block says of its n-grams; answers go back to their chunk.
+An n-gram of count c is stored under levels 1 .. 1 + floor(log2 c); asking for levels until one is
+missing gives its quantised count. A block has ``BITS`` bits for each n-gram and level that it stores,
+so the filter grows with the corpus and its false positives don't; no one holds the whole of it.
 
 score: log10 of the product of P(w | previous) = L * min(1, c(previous, w) / c(previous)) + (1 - L) *
-(c(w) + 1) / (N + V + 1), all counts from the filter. base_score: the exact add-one unigram sum. Words
-of high count come from a broadcast table of at most ``FREQUENT`` entries, all others through a join.
+(c(w) + 1) / (N + V + 1), all counts from the filter. base_score: the add-one unigram sum of exact
+counts, which come back with the answers.
 
 Defined cases: null is the empty text, one end; without training rows all counts are 0; one result row
 for each row of documents, repeats included; a null doc_id has no remainder and counts as training.
@@ -17,6 +18,7 @@ for each row of documents, repeats included; a null doc_id has no remainder and
 
 from collections.abc import Iterator
 from math import log10
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +31,20 @@ from attestry.llm.minhash import WordHashes, mix
 
 SHIFT = 54  # a key's bits from here up are its range
 RANGES = 1 << (64 - SHIFT)
-FILTER_BITS = 1 << 28
-FREQUENT = 1 << 18
+BITS = 16  # of the filter for each n-gram and level
 MIX = 0.6  # L, the weight of the pair estimate
 PROBES = 2
 LEVELS = 40
-FLUSH = 3_000_000  # tokens a task holds before it sums them
+FLUSH = 1_500_000  # tokens of a chunk, about
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 END = _U(0x5BD1E995C0FFEE11)
 START = _U(0xA24BAED4963EE407)
-RUNS = "kind int, range int, keys binary, counts binary"
+WORD, PAIR, TEXTS = 0, 1, 2  # kinds of rows; TEXTS: a chunk's words, tokens and documents
+RUNS = "chunk long, kind int, range int, keys binary, counts binary, ids binary, flags binary, sizes binary"
+ANSWERS = "chunk long, kind int, range int, levels binary, exact binary, total long, distinct long"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def tokens(texts: pa.Array, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -62,212 +66,211 @@ def pairs(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(before * _STEP + h), before
 
 
-def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable") if counts is not None else None
-    keys = np.sort(keys) if counts is None else keys[order]
-    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    if counts is None:
-        return keys[at], np.diff(np.append(at, len(keys)))
-    return keys[at], np.add.reduceat(counts[order], at)
-
-
-def _runs(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Sorted keys as a row for each range and for each of: counts of one, other counts."""
-    rows: dict[str, list] = {"kind": [], "range": [], "keys": [], "counts": []}
-    for single in (True, False):
-        pick = (counts == 1) == single
-        k, c = keys[pick], counts[pick].astype(np.uint64)
-        part = (k >> _U(SHIFT)).astype(np.int64)
-        edge = np.searchsorted(part, np.arange(RANGES + 1))
-        packed = k.view(np.uint8).reshape(-1, 8)[:, : 8 if kind == 0 else 7]  # the last byte's low bits complete the range
-        for r in np.flatnonzero(np.diff(edge)):
-            a, b = edge[r], edge[r + 1]
-            rows["kind"].append(kind)
-            rows["range"].append(int(r))
-            rows["keys"].append((packed if kind == 0 else packed[:, 1:])[a:b].tobytes())
-            rows["counts"].append(b"" if single else c[a:b].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(rows["kind"], pa.int32()), pa.array(rows["range"], pa.int32()), pa.array(rows["keys"], pa.binary()), pa.array(rows["counts"], pa.binary())], ["kind", "range", "keys", "counts"])
+def _packed(counts: np.ndarray) -> bytes:
+    top = int(counts.max(initial=0))
+    return compress(counts.astype(np.uint8 if top < 1 << 8 else np.uint32 if top < 1 << 32 else _U).tobytes(), 1)
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    """n numbers as _packed wrote them."""
+    raw = decompress(data)
+    return np.frombuffer(raw, f"u{len(raw) // n}").astype(_U)
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+def _runs(chunk: int, kind: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Sorted keys and their counts as a row for each range."""
+    edge = np.searchsorted((keys >> _U(SHIFT)).astype(np.int64), np.arange(RANGES + 1))
+    of = lambda x, r: x[edge[r] : edge[r + 1]]
+    pack = np.ndarray.tobytes if kind == WORD else _gaps
+    return [(chunk, kind, int(r), pack(of(keys, r)), _packed(of(counts, r)), None, None, None) for r in np.flatnonzero(np.diff(edge))]
+
+
+def _gaps(keys: np.ndarray) -> bytes:
+    """Sorted keys of a range less their last byte, as steps from one to the next; the first byte is a step's width."""
+    x = (keys & _U((1 << SHIFT) - 1)) >> _U(8)
+    step = np.diff(x, prepend=_U(0))
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    return bytes([width]) + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, words, both, held = WordHashes(), [], [], 0
+    """The runs of each chunk, with count 0 for what only held-out rows hold, and its TEXTS row."""
+    hashes, chunk, held, n = WordHashes(), TaskContext.get().partitionId() << 32, [], 0
 
     def flush():
-        for kind, held_ in ((0, words), (1, both)):
-            if held_:
-                yield _runs(kind, *_counted(np.concatenate(held_)))
-            held_.clear()
+        h, size, ids, flags = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        train = np.repeat(flags & 1 == 0, size)
+        word, back = np.unique(h, return_inverse=True)
+        yield _batch(RUNS, _runs(chunk, WORD, word, np.bincount(back, train, len(word)).astype(_U)))
+        pair, at = np.unique(pairs(h, size)[0], return_inverse=True)
+        yield _batch(RUNS, _runs(chunk, PAIR, pair, np.bincount(at, train, len(pair)).astype(_U)))
+        del pair, at
+        planes = back.astype(np.uint32).view(np.uint8).reshape(-1, 4).T  # a plane a byte: the high ones compress well
+        yield _batch(RUNS, [(chunk, TEXTS, 0, word.tobytes(), compress(planes.tobytes(), 1), ids.tobytes(), flags.tobytes(), size.tobytes())])
 
     for batch in batches:
         for at in range(0, len(batch), 1024):
-            h, size = tokens(batch.column(0).slice(at, 1024), hashes)
-            words.append(h)
-            both.append(pairs(h, size)[0])
-            held += len(h)
-            if held >= FLUSH:
+            rows = batch.slice(at, 1024)
+            h, size = tokens(rows.column(2), hashes)
+            ids = rows.column(0).cast(pa.int64())
+            flags = np.array([bool(x) for x in rows.column(1).to_pylist()], np.uint8) | (ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8) << np.uint8(1))
+            held.append((h, size, ids.fill_null(0).to_numpy(zero_copy_only=False), flags))
+            n += len(h)
+            if n >= FLUSH:
                 yield from flush()
-                held = 0
-    yield from flush()
+                chunk, n = chunk + 1, 0
+    if held:
+        yield from flush()
 
 
 def _unpacked(kind: int, part: int, keys: bytes) -> np.ndarray:
-    if kind == 0:
+    if kind == WORD:
         return np.frombuffer(keys, _U)
-    raw = np.zeros((len(keys) // 6, 8), np.uint8)
-    raw[:, 1:7] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
-    return (raw.view(_U).ravel() & _U((1 << SHIFT) - 1)) | (_U(part) << _U(SHIFT))
-
-
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(kind, range, keys, counts), summed; rows must come in order of kind and range."""
-    last, keys, counts = None, [], []
-    for batch in batches:
-        for kind, part, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if last not in (None, (kind, part)):
-                yield (*last, *_counted(np.concatenate(keys), np.concatenate(counts)))
-                keys, counts = [], []
-            last = kind, part
-            keys.append(_unpacked(kind, part, k))
-            counts.append(np.frombuffer(c, _U) if c else np.ones(len(keys[-1]), _U))
-    if last is not None:
-        yield (*last, *_counted(np.concatenate(keys), np.concatenate(counts)))
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, keys, counts in _ranges(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "c"])
+    width = keys[0]
+    raw = np.zeros(((len(keys) - 1) // width, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(keys, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(raw.view(_U).ravel(), dtype=_U) << _U(8) | _U(part) << _U(SHIFT)
 
 
 def _places(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    """Bits of n-grams at a level: all within the block of their range."""
-    block = _U(bits // RANGES)
-    start = (keys >> _U(SHIFT)) * block
+    """Bits of n-grams at a level, in a block of so many."""
     x = mix((keys & _U((1 << SHIFT) - 1) & ~_U(0xFF)) * _STEP + _U(level))
     for _ in range(PROBES):
-        yield start + x % block
+        yield x % _U(bits)
         x = x >> _U(24)
 
 
-def _block(bits: int):
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = bits // RANGES
-        for _, part, keys, counts in _ranges(batches):
-            block = np.zeros(size, bool)
-            top = np.floor(np.log2(counts.astype(np.float64))).astype(np.int64) + 1
-            for level in range(1, int(top.max()) + 1):
-                for at in _places(keys[top >= level], level, bits):
-                    block[(at % _U(size)).astype(np.int64)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(block, bitorder="little").tobytes()], pa.binary())], ["range", "block"])
-
-    return build
-
-
-class Filter:
-    """The filter's bits; counts() gives quantised counts."""
+class Block:
+    """A range's part of the filter: BITS bits for each of some n-grams and each of its levels."""
 
-    def __init__(self, bits: int, data: np.ndarray | None = None):
-        self.bits, self.data = bits, np.zeros(bits // 8, np.uint8) if data is None else data
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        top = np.floor(np.log2(counts.astype(np.float64))).astype(np.int64) + 1
+        self.bits = max(64, BITS * int(top.sum()))
+        self.data = np.zeros(self.bits, bool)
+        for level in range(1, int(top.max(initial=0)) + 1):
+            for place in _places(keys[top >= level], level, self.bits):
+                self.data[place] = True
 
-    def put(self, part: int, block: bytes) -> None:
-        width = self.bits // RANGES // 8
-        self.data[part * width : (part + 1) * width] |= np.frombuffer(block, np.uint8)
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The mean of the counts that share an n-gram's last level: 0, 1, 2.5, 5.5, 11.5, ..."""
-        level, at, left = np.zeros(len(keys), np.int64), np.arange(len(keys)), keys
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The last level without a gap below it under which each n-gram is found; 0 for none."""
+        level, at, left = np.zeros(len(keys), np.uint8), np.arange(len(keys)), keys
         for k in range(1, LEVELS):
             there = np.ones(len(left), bool)
             for place in _places(left, k, self.bits):
-                there &= (self.data[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1 > 0
+                there &= self.data[place]
             at, left = at[there], left[there]
             if not len(at):
                 break
             level[at] = k
-        return np.where(level > 0, (3 * 2.0 ** (level - 1) - 1) / 2, 0.0)
-
+        return level
+
+
+def quantised(level: np.ndarray) -> np.ndarray:
+    """The mean of the counts that share a last level: 0, 1, 2.5, 5.5, 11.5, ..."""
+    return np.where(level > 0, (3 * 2.0 ** (level.astype(np.float64) - 1) - 1) / 2, 0.0)
+
+
+def _answered(part: int, runs: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Levels of each run's keys and exact counts of words, in order, and a row with the sum and number of the range's words."""
+    found = {}
+    for kind in (WORD, PAIR):
+        mine = [_unpacked(kind, part, r[2]) for r in runs if r[1] == kind]
+        if mine:
+            keys, back = np.unique(np.concatenate(mine), return_inverse=True)
+            counts = np.concatenate([_numbers(r[3], len(k)) for r, k in zip((r for r in runs if r[1] == kind), mine, strict=True)])
+            found[kind] = keys, np.bincount(back, counts, len(keys)).astype(_U), back
+    keys, counts = (np.concatenate([x[i] for x in found.values()]) for i in (0, 1))
+    block = Block(keys[counts > 0], counts[counts > 0])  # words are n-grams of one word
+    out, at = [], dict.fromkeys(found, 0)
+    levels = {kind: block.levels(x[0]) for kind, x in found.items()}
+    for chunk, kind, raw, _ in runs:
+        _, exact, back = found[kind]
+        mine = back[at[kind] : at[kind] + (len(raw) // 8 if kind == WORD else (len(raw) - 1) // raw[0])]
+        at[kind] += len(mine)
+        out.append((chunk, kind, part, compress(levels[kind][mine].tobytes(), 1), _packed(exact[mine]) if kind == WORD else None, None, None))
+    exact = found[WORD][1] if WORD in found else np.empty(0, _U)
+    out.append((None, None, part, None, None, int(exact.sum()), int((exact > 0).sum())))
+    for k in range(0, len(out), 1024):
+        yield _batch(ANSWERS, out[k : k + 1024])
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers to runs (chunk, kind, range, keys, counts), which must come in order of range."""
+    last, held = None, []
+    for batch in batches:
+        for chunk, kind, part, keys, counts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if held and last != part:
+                yield from _answered(last, held)
+                held = []
+            last = part
+            held.append((chunk, kind, keys, counts))
+    if held:
+        yield from _answered(last, held)
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<int>"
 
+def _score(total: int, distinct: int):
+    floor = total + distinct + 1
 
-def _score(shared, total: int, distinct: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, data, often, often_c = shared.value
-        model = Filter(bits, data)
-        hashes, uid = WordHashes(), TaskContext.get().partitionId() << 40
-        floor = total + distinct + 1
+        """Rows must come in order of chunk, kind and range: a chunk's answers are in the order of its keys."""
+        levels, exact = {WORD: [], PAIR: []}, []
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                rows = batch.slice(at, 512)
-                h, size = tokens(rows.column(2), hashes)
-                doc = np.repeat(np.arange(len(size)), size)
-                add = lambda x: np.bincount(doc, x, len(size))  # noqa: E731, B023
-                word, back = np.unique(h, return_inverse=True)
-                own = model.counts(word)
-                both, before = pairs(h, size)
-                pair, pair_back = np.unique(both, return_inverse=True)
-                prior = np.empty(len(h))
-                prior[1:] = own[back][:-1]
-                start = np.cumsum(size) - size
-                prior[start] = own[np.searchsorted(word, END)]  # as many starts as ends
-                one = (own[back] + 1) / floor
-                two = np.minimum(1.0, model.counts(pair)[pair_back] / np.maximum(prior, 1.0))
-                logp = np.log10(np.minimum(1.0, MIX * two + (1 - MIX) * one))
-                place = np.minimum(np.searchsorted(often, word), max(len(often) - 1, 0))
-                seen = often[place] == word if len(often) else np.zeros(len(word), bool)
-                exact = np.where(seen, np.log10(1.0 + (often_c[place] if len(often) else 0)), 0.0)
-                rare = np.flatnonzero(~seen[back])
-                key = np.stack([doc[rare], back[rare]])
-                key, times = np.unique(key[0] * (len(word) + 1) + key[1], return_counts=True)
-                of, which = np.divmod(key, len(word) + 1)
-                ends = pa.array(np.searchsorted(of, np.arange(len(size) + 1)).astype(np.int32))
+            for kind, level, times, keys, back, ids, flags, sizes in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if kind != TEXTS:
+                    levels[kind].append(np.frombuffer(decompress(level), np.uint8))
+                    if kind == WORD:
+                        exact.append(_numbers(times, len(levels[kind][-1])))
+                    continue
+                word, size = np.frombuffer(keys, _U), np.frombuffer(sizes, np.int64)
+                back = np.ascontiguousarray(np.frombuffer(decompress(back), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+                ids, flags = np.frombuffer(ids, np.int64), np.frombuffer(flags, np.uint8)
+                own, times = quantised(np.concatenate(levels[WORD])), np.concatenate(exact)
+                one, known, logs = (own + 1) / floor, times > 0, np.log10(times + 1.0)
+                pair, pair_back = np.unique(pairs(word[back], size)[0], return_inverse=True)
+                both = quantised(np.concatenate(levels[PAIR]))
+                if len(own) != len(word) or len(both) != len(pair):
+                    raise ValueError("answers and keys of a chunk differ in number")
+                del pair
+                end, edge = own[np.searchsorted(word, END)], np.concatenate(([0], np.cumsum(size)))  # as many starts as ends
+                n_known, base, total_log = np.empty(len(size), np.int64), np.empty(len(size)), np.empty(len(size))
+                for d in range(0, len(size), 512):
+                    few = slice(d, d + 512)
+                    a, b = edge[d], edge[min(d + 512, len(size))]
+                    doc, at = np.repeat(np.arange(len(size[few])), size[few]), back[a:b]
+                    add = lambda x: np.bincount(doc, x, len(size[few]))  # noqa: E731, B023
+                    prior = np.empty(b - a)
+                    prior[1:] = own[at[:-1]]
+                    prior[edge[:-1][few] - a] = end
+                    two = np.minimum(1.0, both[pair_back[a:b]] / np.maximum(prior, 1.0))
+                    n_known[few], base[few] = add(known[at]), add(logs[at])
+                    total_log[few] = add(np.log10(np.minimum(1.0, MIX * two + (1 - MIX) * one[at])))
                 columns = [
-                    pa.array(uid + np.arange(len(size))), rows.column(0).cast(pa.int64()), rows.column(1), pa.array(size), pa.array(add(seen[back]).astype(np.int64)), pa.array(add(exact[back])), pa.array(add(logp)),
-                    pa.ListArray.from_arrays(ends, pa.array(word[which].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32))),
+                    pa.array(ids, pa.int64(), mask=flags & 2 > 0), pa.array(flags & 1 > 0), pa.array(size), pa.array(n_known),
+                    pa.array(np.full(len(size), total, np.int64)), pa.array(base - size * log10(floor)), pa.array(total_log),
                 ]
-                uid += len(size)
-                yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare", "times"])
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
+                levels, exact = {WORD: [], PAIR: []}, []
 
     return score
 
 
-def train(rows: DataFrame) -> tuple[DataFrame, int, int, Filter]:
-    """Word counts (h, c), their sum and number, and the filter, from the texts of rows."""
-    runs = cut(rows.select("text").mapInArrow(_count, RUNS))
-    gathered = lambda x: x.repartition("range").sortWithinPartitions("kind", "range")
-    counts = cut(gathered(runs.filter("kind = 0")).mapInArrow(_words, "h long, c long"))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    bits = min(FILTER_BITS, 1 << max(18, (8 * total).bit_length()))
-    # Words are n-grams of one word: both kinds go to the same blocks.
-    model = Filter(bits)
-    for kind in (0, 1):
-        for row in gathered(runs.filter(F.col("kind") == kind)).mapInArrow(_block(bits), "range int, block binary").collect():
-            model.put(row["range"], row["block"])  # RANGES blocks, FILTER_BITS bits in all at most
-    return counts, total, distinct, model
-
-
-def frequent(counts: DataFrame) -> DataFrame:
-    """Words of at least the least power of two that leaves no more than FREQUENT of them."""
-    power = F.floor(F.log2("c")).cast("int").alias("power")
-    found = {r["power"]: r["n"] for r in counts.groupBy(power).agg(F.count("*").alias("n")).collect()}  # 64 rows at most
-    least, n = 64, 0
-    while least > 0 and n + found.get(least - 1, 0) <= FREQUENT:
-        least -= 1
-        n += found.get(least, 0)
-    return counts.filter(F.col("c") >= 2.0**least)
-
-
 def scores(documents: DataFrame, every: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of documents (doc_id, text)."""
-    spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_bucket(F.col("doc_id"), every) == held, F.lit(False)).alias("held_out"), "text")
-    counts, total, distinct, model = train(rows.filter("not held_out"))
-    table = frequent(counts).toPandas()
-    h, c = table["h"].to_numpy(np.int64).view(_U), table["c"].to_numpy(np.int64)
-    order = np.argsort(h)
-    shared = spark.sparkContext.broadcast((model.bits, model.data, h[order], c[order]))
-    scored = cut(rows.mapInArrow(_score(shared, total, distinct), SCORED))
-    rare = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
-    rest = rare.join(counts, "h").groupBy("uid").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("more_logs"))
-    out = scored.join(rest, "uid", "left")
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(log10(total + distinct + 1))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    runs = cut(rows.mapInArrow(_count, RUNS))
+    asked = runs.filter(F.col("kind") != TEXTS).select("chunk", "kind", "range", "keys", "counts")
+    answers = cut(asked.repartition("range").sortWithinPartitions("range").mapInArrow(_answers, ANSWERS))
+    total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    texts = runs.filter(F.col("kind") == TEXTS)
+    chunks = max(1, texts.count())
+    back = answers.filter("chunk is not null").select("chunk", "kind", "range", "levels", "exact")
+    both = back.unionByName(texts.select("chunk", "kind", "range", "keys", "counts", "ids", "flags", "sizes"), allowMissingColumns=True)
+    both = both.repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind", "range").select("kind", "levels", "exact", "keys", "counts", "ids", "flags", "sizes")
+    return both.mapInArrow(_score(total, distinct), SCORED)

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,6 +251,23 @@ def test_language_model(docs, texts, empty):
     assert lm.scores(empty).count() == 0
 
 
+def test_filter_grows_with_what_it_holds():
+    rng = np.random.default_rng(1)
+    for n in (1000, 30_000, 1_000_000):
+        keys = rng.integers(0, 1 << 54, n, np.uint64)
+        counts = rng.integers(1, 20, n).astype(np.uint64)
+        block = lm.Block(keys, counts)
+        assert (block.levels(keys) >= np.floor(np.log2(counts)) + 1).all()
+        assert (block.levels(rng.integers(0, 1 << 54, n, np.uint64)) > 0).mean() < 0.03
+
+
+def test_answers_of_several_chunks(docs):
+    got = lm.scores(docs.repartition(7)).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["held_out"])
+    one, many = sorted(lm.scores(docs.coalesce(1)).collect(), key=key), sorted(got, key=key)
+    assert len(one) == len(many) and all(key(a) == key(b) and math.isclose(a["score"], b["score"], rel_tol=1e-9) and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9) for a, b in zip(one, many, strict=True))
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a", "<p>one"), (2, "http://b", "<p>one"), (3, "http://c\r\nX: y", None), (4, None, ""), (5, "u", "é"), (5, "u", "é"), (None, "n", "é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("header", F.lit("clash"))
