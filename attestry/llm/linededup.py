@@ -1,17 +1,18 @@
-"""Line dedup: a line stays at its first place in the corpus and goes wherever it, or one within
-``EDITS`` edits of it, stands again.
-
-Lines are texts between line feeds. Equal lines of at least ``LEAST_WORDS`` words are one class; lines
-of at least ``LEAST_CHARS`` characters are also linked if at most EDITS insertions, deletions or
-substitutions apart, and linked classes are one (union-find). Candidates come from a segment join: a
-line is cut into EDITS + 1 segments, one of which any line within reach holds unchanged; lines are
-entered under (length, segment number, segment) and probed with the substrings of every length within
-reach that could meet a segment, by their places. Candidates are verified by a banded bit-parallel
-edit distance: the 2 EDITS + 2 diagonals around the main one as bits of one number.
+"""Line dedup: a line stays at its first place in the corpus and goes wherever it, or one within as
+many edits of it as its length allows, stands again.
+
+Lines are texts between line feeds. Equal lines of at least ``LEAST_WORDS`` words are one class; lines of at least
+``LEAST_CHARS`` characters are also linked if at most ``allowed`` insertions, deletions or substitutions
+apart, by the shorter one's length: one in 20 to 30 characters, one in all under 40. Linked classes are
+one (union-find). Candidates come from a segment join in groups of lengths with one number e of edits:
+of e + 1 segments, the first half placed from the left end and the others from the right, a line within
+reach holds some segment i moved by at most i, or e - i, places. From ``ANYWHERE`` edits on a segment is
+looked for at every place, which is fewer keys. A line enters the group below too if one of that group
+may be within reach. Candidates are verified by Spark's levenshtein with that threshold.
 
 Built-in expressions only. Defined cases: the first place is the least (doc_id, line number); rows
-without doc_id or text are left as they are; rows that repeat a doc_id are read as one document; lines
-are told apart by 64-bit hashes; an empty table gives none; other columns pass through.
+without doc_id or text are left as they are; rows that repeat a doc_id are read as one document; lines are told apart by 64-bit hashes; an empty table gives none; other
+columns pass through.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 from attestry.llm.common import WORD_GAP, cut, let, words
 from attestry.llm.components import link
 
-EDITS = 1
 LEAST_CHARS = 30
 LEAST_WORDS = 3
+PER_EDIT = 20
+ANYWHERE = 32
+#: Edits of the groups of lengths: 1 to 6, 8, 10, 12, 16, 20, 24, ...; a group begins at PER_EDIT characters an edit.
+GROUPS = (1, 2, 3, *(k << n for n in range(25) for k in (4, 5, 6)))
 GRAM = 4
 BROADCAST_ROWS = 500_000
 
@@ -124,29 +128,88 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(apart > edits, False).otherwise(let(_stripped(a, b), near))
 
 
+def _begin(e: int) -> int:
+    return LEAST_CHARS if e == 1 else PER_EDIT * e
+
+
+def allowed(n: Column) -> Column:
+    """Edits that a line of n characters may be away from a line at least as long."""
+    return _lookup(n, list(GROUPS))
+
+
+def _lookup(n: Column, values: list[int]) -> Column:
+    found = None
+    for e, v in reversed(list(zip(GROUPS, values, strict=True))):
+        if _begin(e) < 1 << 31:
+            found = F.when(n >= _begin(e), v) if found is None else found.when(n >= _begin(e), v)
+    return found.otherwise(values[0])
+
+
+def _group_keys(line: Column, n: Column, e: Column) -> Column:
+    """(key, own) of a line of n characters in the group of e edits; own: a segment in its own place."""
+    size = F.floor(F.when(e == 1, LEAST_CHARS).otherwise(e * PER_EDIT) / (e + 1)).cast("int")
+
+    def keys(s):
+        key = lambda i, x, own: F.struct(F.xxhash64(e, i, x).alias("key"), own.alias("own"))
+
+        def moved(i):
+            left = i * 2 <= e
+            at = F.when(left, i * s).otherwise(n - (e + 1 - i) * s) + 1
+            m = F.when(left, i).otherwise(e - i)
+            inside = lambda d: (at + d >= 1) & (at + d + s - 1 <= n)
+            return F.transform(F.filter(F.sequence(-m, m), inside), lambda d: key(i, F.substr(line, at + d, s), d == 0))
+
+        def anywhere(letters):
+            piece = lambda p: F.array_join(F.slice(letters, p, s), "")
+            own = F.transform(F.sequence(F.lit(0), e), lambda i: key(F.lit(-1), piece(i * s + 1), F.lit(True)))
+            return F.concat(own, F.transform(F.sequence(F.lit(1), n - s + 1), lambda p: key(F.lit(-1), piece(p), F.lit(False))))
+
+        placed = F.flatten(F.transform(F.sequence(F.lit(0), e), moved))
+        return F.when(e < ANYWHERE, placed).otherwise(let(F.filter(F.split(line, ""), lambda c: c != ""), anywhere))
+
+    return let(size, keys)
+
+
+def line_keys(line: Column) -> Column:
+    """(key, own) in the line's group and, if a line of the group below may be within reach, there."""
+    below = _lookup(F.length(line), [0, *GROUPS[:-1]])
+
+    def keys(x):
+        near = (x["below"] > 0) & (x["n"] - x["e"] * PER_EDIT < x["below"])
+        more = F.when(near, _group_keys(line, x["n"], x["below"])).otherwise(F.array().cast("array<struct<key:bigint,own:boolean>>"))
+        return F.concat(_group_keys(line, x["n"], x["e"]), more)
+
+    return let(F.struct(F.length(line).alias("n"), allowed(F.length(line)).alias("e"), below.alias("below")), keys)
+
+
+def near(a: Column, b: Column) -> Column:
+    """Whether two lines are as few edits apart as the shorter one's length allows."""
+    e = allowed(F.least(F.length(a), F.length(b)))
+    return F.when(F.abs(F.length(a) - F.length(b)) > e, False).otherwise(F.call_function("levenshtein", a, b, e) >= 0)
+
+
 def places(documents: DataFrame) -> DataFrame:
     """(doc_id, at, h, line): the lines of documents that have words enough."""
     rows = documents.filter("doc_id is not null and text is not null")
     rows = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    word, gap = r"[^\x20\x09-\x0D]+", WORD_GAP
-    return rows.filter(F.col("line").rlike(gap.join([word] * LEAST_WORDS))).withColumn("h", F.xxhash64("line"))
+    return rows.filter(F.col("line").rlike(WORD_GAP.join([r"[^\x20\x09-\x0D]+"] * LEAST_WORDS))).withColumn("h", F.xxhash64("line"))
 
 
-def links(narrow: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(item, component) of the lines that are linked with others; narrow: (h, keys), lines: (h, line)."""
-    keys = narrow.select(F.col("h").alias("item"), F.explode("keys").alias("key"))
-    shared = cut(keys.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).filter("lo <> hi").select("key"))
-    members = cut(keys.join(shared, "key", "left_semi").distinct())
+def links(lines: DataFrame) -> DataFrame:
+    """(item, component) of the lines that are linked with others; lines: distinct (h, line), written."""
+    keys = lines.select(F.col("h").alias("item"), F.explode(line_keys(F.col("line"))).alias("k")).select("item", "k.key", "k.own")
+    shared = cut(keys.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.max("own").alias("own")).filter("lo <> hi and own").select("key"))
+    members = cut(keys.join(shared, "key", "left_semi").select("item", "key").distinct())
 
     def texts(items):  # items (h), written
         wanted = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-        return lines.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+        return lines.join(wanted, "h", "left_semi")
 
     def verify(pairs):
         found = cut(texts(cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())))
         side = lambda x: found.select(F.col("h").alias(x), F.col("line").alias(f"l{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return both.filter(within(F.col("la"), F.col("lb"), edits)).select("a", "b")
+        return both.filter(near(F.col("la"), F.col("lb"))).select("a", "b")
 
     def profile(items):  # own: GRAM-character pieces that no other of the items holds
         found = cut(texts(cut(items.select(F.col("item").alias("h")))))
@@ -156,33 +219,35 @@ def links(narrow: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
         return found.select(F.col("h").alias("item"), F.length("line").alias("n")).join(own, "item", "left").select("item", F.struct("n", F.coalesce("own", F.lit(0)).alias("own")).alias("p"))
 
     def possible(p, q):  # an edit changes at most GRAM pieces
-        return (F.greatest(p["own"], q["own"]) <= edits * GRAM) & (F.abs(p["n"] - q["n"]) <= edits)
+        e = allowed(F.least(p["n"], q["n"]))
+        return (F.greatest(p["own"], q["own"]) <= e * GRAM) & (F.abs(p["n"] - q["n"]) <= e)
 
     return link(members, verify, profile, possible)
 
 
-def repeats(documents: DataFrame, edits: int = EDITS) -> DataFrame:
+def repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, drop): the numbers of the lines that stand earlier in the corpus, for documents that have any."""
     lines = places(documents)
-    # The narrow table is read several times; texts are read again only for the few lines that are compared.
-    keys = F.when(F.length("line") >= LEAST_CHARS, bucket_keys(F.col("line"), edits))
-    rows = cut(lines.select("doc_id", "at", "h", keys.alias("keys")))
+    rows = cut(lines.select("doc_id", "at", "h"))
     firsts = cut(rows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")))
-    named = links(rows, lines.select("h", "line").filter(F.length("line") >= LEAST_CHARS), edits)
+    # Each text is compared once, read at its first place.
+    places_ = firsts.select(F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"), "h")
+    once = cut(lines.filter(F.length("line") >= LEAST_CHARS).join(places_, ["doc_id", "at", "h"]).select("h", "line").dropDuplicates(["h"]))
+    named = links(once)
     linked = firsts.join(named.withColumnRenamed("item", "h"), "h")
     joint = cut(linked.groupBy("component").agg(F.min("first").alias("first")))
     owner = linked.drop("first").join(joint, "component").select("h", "first")
     alone = firsts.filter("n > 1").join(named.select(F.col("item").alias("h")), "h", "left_anti").select("h", "first")
     owner = cut(owner.unionByName(alone))
     # Both sides are exchanged, so a very common line is split at run time.
-    again = rows.select("doc_id", "at", "h").join(owner, "h").filter(F.struct("doc_id", "at") != F.col("first"))
+    again = rows.join(owner, "h").filter(F.struct("doc_id", "at") != F.col("first"))
     return again.groupBy("doc_id").agg(F.collect_set("at").alias("drop"))
 
 
-def dedup_lines(documents: DataFrame, edits: int = EDITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def dedup_lines(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """For each row of documents: keep, the text less its repeated lines, n_lines, n_dropped, and where lines went words_before and words_after."""
     rows = documents.select(*keep, F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    gone = cut(repeats(documents, edits)).select(F.col("doc_id").alias("_gone"), F.col("drop").alias("_drop"))
+    gone = cut(repeats(documents)).select(F.col("doc_id").alias("_gone"), F.col("drop").alias("_drop"))
     out = rows.join(gone, rows["_id"] == gone["_gone"], "left")
     lines, dropped = F.split("_text", "\n"), F.coalesce(F.size("_drop"), F.lit(0))
     kept = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_drop")), lambda i: F.get(x, i)), "\n"))

@@ -177,6 +177,29 @@ def test_line_dedup(spark, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_edits_grow_with_length(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in (30, 39, 40, 59, 60, 79, 81, 100, 119, 121, 160, 205, 330, 700):
+        for edits in (1, 2, n // 28, n // 20, n // 12):
+            a = [rng.choice("abcdé fgh") for _ in range(n)]
+            b = list(a)
+            for _ in range(edits):
+                i = rng.randrange(len(b))
+                b[i : i + rng.randrange(2)] = rng.choice(["", "a", "b", "é"])
+            rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame([r for r in rows if min(map(len, r)) >= 30], "a string, b string")
+    seen = collections.Counter()
+    for r in df.select("a", "b", linededup.near(F.col("a"), F.col("b")).alias("w"), linededup.allowed(F.least(F.length("a"), F.length("b"))).alias("e"), *[linededup.line_keys(F.col(c)).alias(f"k{c}") for c in "ab"]).collect():
+        shorter = min(len(r["a"]), len(r["b"]))
+        assert shorter / 30 <= r["e"] <= shorter / 20 or r["e"] == 1 and shorter < 40
+        assert r["w"] == (edit(r["a"], r["b"]) <= r["e"])
+        all_, own = ([{k["key"] for k in r[c] if only <= k["own"]} for c in ("ka", "kb")] for only in (False, True))
+        assert not r["w"] or (all_[0] & own[1]) | (own[0] & all_[1])
+        seen[r["w"]] += 1
+    assert seen[True] > 20 and seen[False] > 5
+
+
 def test_personal_data(spark, docs):
     rows = [(1, "a@b.c_d@e.f x@@y.z 1.2.3.4.5.6.7.8 256.1.1.1 or 4111 1111 1111 1111 +1 (555) 123-4567 "), (2, "é me@x.org"), (3, None), (4, "no data here")]
     got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
