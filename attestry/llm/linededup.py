@@ -1,7 +1,7 @@
 """Line dedup: a line stays at its first place in the corpus and goes wherever it, or one within as
 many edits of it as its length allows, stands again.
 
-Lines are texts between line feeds. Equal lines of at least ``LEAST_WORDS`` words are one class; lines of at least
+Lines are texts between line feeds. Equal lines that hold a word are one class; lines of at least
 ``LEAST_CHARS`` characters are also linked if at most ``allowed`` insertions, deletions or substitutions
 apart, by the shorter one's length: one in 20 to 30 characters, one in all under 40. Linked classes are
 one (union-find). Candidates come from a segment join in groups of lengths with one number e of edits:
@@ -11,18 +11,18 @@ looked for at every place, which is fewer keys. A line enters the group below to
 may be within reach. Candidates are verified by Spark's levenshtein with that threshold.
 
 Built-in expressions only. Defined cases: the first place is the least (doc_id, line number); rows
-without doc_id or text are left as they are; rows that repeat a doc_id are read as one document; lines are told apart by 64-bit hashes; an empty table gives none; other
+without doc_id or text are left as they are; rows that repeat a doc_id are read as one document; lines
+of a single character stay; lines are told apart by 64-bit hashes; an empty table gives none; other
 columns pass through.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import WORD_GAP, cut, let, words
+from attestry.llm.common import cut, let, words
 from attestry.llm.components import link
 
 LEAST_CHARS = 30
-LEAST_WORDS = 3
 PER_EDIT = 20
 ANYWHERE = 32
 #: Edits of the groups of lengths: 1 to 6, 8, 10, 12, 16, 20, 24, ...; a group begins at PER_EDIT characters an edit.
@@ -189,10 +189,10 @@ def near(a: Column, b: Column) -> Column:
 
 
 def places(documents: DataFrame) -> DataFrame:
-    """(doc_id, at, h, line): the lines of documents that have words enough."""
+    """(doc_id, at, h, line): the lines that hold a word and more than one character."""
     rows = documents.filter("doc_id is not null and text is not null")
     rows = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.filter(F.col("line").rlike(WORD_GAP.join([r"[^\x20\x09-\x0D]+"] * LEAST_WORDS))).withColumn("h", F.xxhash64("line"))
+    return rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]") & (F.length("line") > 1)).withColumn("h", F.xxhash64("line"))
 
 
 def links(lines: DataFrame) -> DataFrame:

@@ -200,6 +200,13 @@ def test_edits_grow_with_length(spark):
     assert seen[True] > 20 and seen[False] > 5
 
 
+def test_near_copies_and_short_lines_go(spark):
+    line = "a long line of prose that was copied with one word changed, as happens to boilerplate in many places"
+    rows = [(1, f"{line}\nShare\n{'漢字' * 200}"), (2, f"{line.replace('copied', 'quoted')}\nShare\nnew words"), (3, f"own\n{'漢字' * 200}")]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "new words", 3: "own"}
+
+
 def test_personal_data(spark, docs):
     rows = [(1, "a@b.c_d@e.f x@@y.z 1.2.3.4.5.6.7.8 256.1.1.1 or 4111 1111 1111 1111 +1 (555) 123-4567 "), (2, "é me@x.org"), (3, None), (4, "no data here")]
     got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
