@@ -524,13 +524,19 @@ def admissions(spark, sf_dir):
     return state.admission(c.select("email"), members, roster).select(F.col("email").alias("who_"), "entry")
 
 
+def _halves(body):
+    """The first and the second half of a text, which together are all of it."""
+    half = F.floor(F.length(body) / 2).cast("int")
+    return F.left(body, half), F.substr(body, half + 1)
+
+
 def guarded_verdicts(spark, sf_dir):
     """The guard chain over labelled documents as answers; no SQL twin: its word rules use look-arounds."""
     docs = table(spark, sf_dir, "documents").join(_labelled(spark, sf_dir), "doc_id")
-    said = F.array_compact(F.array(F.when(F.col("n_chars") > 500, F.substring("text", 1, 300))))
+    said = F.array_compact(F.array(F.when(F.col("n_chars") > 500, _halves(F.col("text"))[0])))
     rows = docs.select(
-        "doc_id", "verdict", ((F.col("doc_id") % 100) / 100).alias("confidence"), said.alias("evidence"), F.lit(0.03).alias("best_score"), F.substring("text", 301, 200).alias("rationale"), F.lit(2).alias("cited_total"),
-        (F.col("doc_id") % 3).cast("int").alias("cited_generated"), F.array().cast("array<string>").alias("fabricated"), (F.col("doc_id") % 11 == 0).alias("conflicted"), F.substring("text", 1, 200).alias("clause_text"), F.lit("").alias("figure_text"))
+        "doc_id", "verdict", ((F.col("doc_id") % 100) / 100).alias("confidence"), said.alias("evidence"), F.lit(0.03).alias("best_score"), F.when(F.col("n_chars") > 500, _halves(F.col("text"))[1]).otherwise(F.col("text")).alias("rationale"), F.lit(2).alias("cited_total"),
+        (F.col("doc_id") % 3).cast("int").alias("cited_generated"), F.array().cast("array<string>").alias("fabricated"), (F.col("doc_id") % 11 == 0).alias("conflicted"), F.col("text").alias("clause_text"), F.lit("").alias("figure_text"))
     return verdicts.guard(rows).select("doc_id", "verdict", "verdict_after", "why")
 
 
@@ -539,20 +545,22 @@ def batch_search(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     chunks = d.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 10).alias("document_id"), F.lit(None).cast("string").alias("source_id"), F.lit("section").alias("source_kind"), "text", F.substring("text", 1, 40).alias("heading_path"))
-    asked = d.filter("doc_id % 100 = 0").join(e.withColumnRenamed("chunk_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"), lexical.query_terms(F.substring("text", 1, 200)).alias("terms"))
+    asked = d.filter("doc_id % 100 = 0").join(e.withColumnRenamed("chunk_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"), lexical.query_terms(F.col("text")).alias("terms"))
     return search.fold_twins(search.fold_tables(search.batch_hybrid(asked, chunks, e)))
 
 
 def section_tree(spark, sf_dir):
     """Sections and paths of conversations read as documents, a turn a line."""
     c = table(spark, sf_dir, "conversations")
-    said = F.when(F.col("role") == "user", F.concat((F.col("turn") / 2 + 1).cast("int").cast("string"), F.lit(" "), F.substring("text", 1, 40))).otherwise(F.col("text"))
+    said = F.when(F.col("role") == "user", F.concat((F.col("turn") / 2 + 1).cast("int").cast("string"), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
     lines = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ordinal"), F.lit(1).alias("page"), F.lit(0.0).alias("y"), F.lit(0.0).alias("x0"), said.alias("text"))
     return structure.sections(lines)
 
 
 def clause_extraction(spark, sf_dir):
-    return structure.clauses(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("Statement: "), F.substring("text", 1, 80), F.lit(" Rationale: "), F.substring("text", 81, 80)).alias("text")))
+    """Whole documents, half of each labelled as statement and half as rationale."""
+    first, second = _halves(F.col("text"))
+    return structure.clauses(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("Statement: "), first, F.lit(" Rationale: "), second).alias("text")))
 
 
 def quote_verification(spark, sf_dir):

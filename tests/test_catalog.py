@@ -42,3 +42,11 @@ def test_entry(spark):
 def test_filters_reach_the_scan(spark, sf_dir):
     plan = catalog.queries()["scoped_filter"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(lang" in plan and "text" not in plan.split("ReadSchema")[1].split(">")[0]
+
+
+def test_whole_texts_reach_the_operators(spark, tmp_path):
+    said = " ".join(f"word{i}" for i in range(200))
+    spark.createDataFrame([(0, said, "en", "src0", len(said))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    row = catalog.queries()["clause_extraction"](spark, str(tmp_path)).first()
+    assert "word0" in row["statement"] and "word199" in row["rationale"]
+    assert len(row["statement"]) + len(row["rationale"]) >= len(said) - 2
