@@ -1,21 +1,28 @@
 """Byte-level BPE encoding and decoding of whole texts, as the tiktoken library encodes ordinary text.
 
-Texts are cut by the tokenizer's pattern. Distinct words are merged by Spark higher-order functions: a
-fold over the word's byte ids that merges the pair of least rank, leftmost first, until none has one.
-The rank map is a literal, a perfect hash in two constant arrays. The words that the corpus uses most
-(at most ``FREQUENT``, counted over all texts) are folded once and broadcast; a text's other words are
-folded in its own row, each once; words over ``LONG`` bytes, whose fold would take quadratic time, are
-merged by a heap where the text is put together. Decoding concatenates the ids' byte strings.
-
-Defined cases: null is the empty text, with no tokens; one result row for each row of documents.
+Texts are cut by the tokenizer's pattern in chunks of up to ``WORDS`` new distinct words. A chunk is one
+row: its distinct words as arrays of byte ids, its texts as runs of word numbers. Spark higher-order
+functions fold each word: as long as a pair of neighbours has a rank, the leftmost pair of least rank is
+merged. The rank map is a literal: row a of the pair table begins at ``shift[a]``, so the entry of (a, b)
+is ``table[shift[a] + b]``; it holds a beside the rank, which tells other rows' entries apart. The chunk's
+texts are then put together from its folded words. Decoding concatenates the ids' byte strings, by
+built-in functions on a literal array.
+
+Words that many chunks hold are folded once: about ``SAMPLE`` texts are counted, and their most frequent
+words, ``FREQUENT`` at most, are folded ahead and broadcast. That saves time and changes no result. Words
+over ``LONG`` bytes are merged by a heap instead: a fold over an array takes quadratic time.
+
+Defined cases: null is the empty text, with no tokens; one result row for each row of documents, repeats
+and rows without doc_id included; other columns are left out; an empty table gives an empty result; of
+pairs of equal rank the leftmost is merged first.
 """
 
 import base64
 import heapq
-import random
+import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
-from hashlib import sha256
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +32,12 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import cut, let, literal_array
 
-FREQUENT = 1 << 18
-LONG = 128
-NO_RANK = 1 << 30
-PRIME, MULT, SPREAD, SLOT_BITS = 4_294_967_291, 1_640_531_527, 15, 18  # the prime is above every pair key: no two keys meet
+WORDS, TOKENS = 1 << 18, 1 << 23  # of a chunk: distinct words beside the known ones, and words in all, about
+SAMPLE, FREQUENT = 64_000, 1 << 19
+LONG = 256
+RANK_BITS, PLACE_BITS = 17, 12  # a rank from 2^RANK_BITS up is none; a place is one in a word of LONG bytes at most
 #: What \s means to the library: Unicode's White_Space.
-SPACE = r"[\t-\r \x85\xa0  -     　]"
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,70 +45,66 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-def splitter(pattern: str):
-    """The pattern with white space spelled out, for a library whose own idea of it is another."""
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """The pattern's matches, with white space spelled out for a library whose own idea of it is another.
+
+    Up to U+024F its classes are a few ranges, which another library matches in half the time.
+    """
     inner = SPACE[1:-1]
     spelled = pattern.replace(r"[^\s", f"[^{inner}").replace(r"\s", SPACE).replace(r"\S", f"[^{inner}]")
-    return regex.compile(spelled).findall
-
-
-class RankMap:
-    """Ranks of id pairs as a perfect hash: a displacement for each bucket, then one slot a pair."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        pairs = {}
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                a, b = ranks.get(token[:i]), ranks.get(token[i:])
-                if a is not None and b is not None:
-                    pairs[(a << 16) | b] = rank
-        keys = np.array(list(pairs), np.int64)
-        x = (keys * MULT) % PRIME
-        if len(np.unique(x)) != len(x):
-            raise ValueError("two pairs share a hash; choose another multiplier")
-        size = 1 << SLOT_BITS
-        buckets: dict[int, list[int]] = {}
-        for i, low in enumerate((x & ((1 << SPREAD) - 1)).tolist()):
-            buckets.setdefault(low, []).append(i)
-        self.shift, self.keys, self.values = [0] * (1 << SPREAD), [-1] * size, [NO_RANK] * size
-        high, values = (x >> SPREAD).tolist(), list(pairs.values())
-        draw = random.Random(1)
-        for low, items in sorted(buckets.items(), key=lambda kv: -len(kv[1])):  # the full ones while slots are free
-            while True:
-                d = draw.randrange(size)
-                slots = [(high[i] * 3 + d) & (size - 1) for i in items]
-                if len(set(slots)) == len(slots) and all(self.keys[s] < 0 for s in slots):
-                    break
-            self.shift[low] = d
-            for i, s in zip(items, slots, strict=True):
-                self.keys[s], self.values[s] = int(keys[i]), values[i]
-        self.bytes = [ranks[bytes([i])] for i in range(256)]
-
-    def fold(self, word: Column) -> Column:
-        """The ids of a word, as a string of decimal ids joined by commas."""
-        shift, keys, values, single = literal_array(self.shift, "int"), literal_array(self.keys, "bigint"), literal_array(self.values, "int"), literal_array(self.bytes, "int")
-
-        def rank(a, b):
-            def at(x):
-                slot = (F.shiftright(x, SPREAD) * 3 + F.get(shift, x.bitwiseAND((1 << SPREAD) - 1).cast("int"))).bitwiseAND((1 << SLOT_BITS) - 1).cast("int")
-                return let(slot, lambda s: F.when(F.get(keys, s) == a.cast("bigint") * 65536 + b, F.get(values, s)).otherwise(NO_RANK))
-
-            return F.when(b.isNull(), NO_RANK).otherwise(let(F.pmod((a.cast("bigint") * 65536 + b) * MULT, F.lit(PRIME)), at))
-
-        def step(ids, _):
-            def merged(ranks):
-                def at(m):
-                    one = let(F.array_position(ranks, m).cast("int"), lambda p: F.concat(F.slice(ids, F.lit(1), p - 1), F.array(m), F.slice(ids, p + 2, F.size(ids))))
-                    return F.when(m == NO_RANK, ids).otherwise(one)
-
-                return let(F.array_min(ranks), at)
-
-            return let(F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), rank), merged)
-
-        letters = F.filter(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != "")
-        ids = F.transform(letters, lambda c: F.get(single, F.ascii(c)))
-        whole = let(ids, lambda x: F.when(F.size(x) < 2, x).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(x) - 1), x, step)))
-        return F.array_join(whole, ",")
+    letters, numbers = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+    western = spelled.replace(r"[^" + inner + r"\p{L}\p{N}]", f"[^{inner}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+    anything = regex.compile(spelled).findall
+    if "\\p" in western:
+        return anything
+    # Of what stands beyond, general punctuation and currency hold neither letters nor numbers nor white space.
+    other, few = re.compile(r"[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]").search, re.compile(western).findall
+    return lambda text: anything(text) if other(text) else few(text)
+
+
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(shift, table) of the pairs that merge: table[shift[a] + b] is a, rank and room for a place, or belongs to another row."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                rows.setdefault(a, []).append((b, rank))
+    n = max(ranks.values()) + 1
+    if n >= 1 << RANK_BITS:
+        raise ValueError("the vocabulary has too many tokens for RANK_BITS")
+    # Rows are placed at random, the full ones while there is room; a table twice as long as the pairs has room for all.
+    size = n + 2 * sum(map(len, rows.values()))
+    shift, table = np.zeros(n, np.int64), np.full(size + n, ((1 << RANK_BITS) - 1) << RANK_BITS, np.int64)
+    used, draw = np.zeros(size + n, bool), np.random.default_rng(1)
+    for a, row in sorted(rows.items(), key=lambda kv: (-len(kv[1]), kv[0])):
+        b, rank = (np.array(x) for x in zip(*row, strict=True))
+        free: np.ndarray = np.empty(0, np.int64)
+        while not len(free):
+            at = draw.integers(0, size, 64)
+            free = at[~used[at[:, None] + b].any(axis=1)]
+        shift[a] = free[0]
+        used[shift[a] + b] = True
+        table[shift[a] + b] = a << RANK_BITS | rank
+    return shift, table << PLACE_BITS
+
+
+def fold(word: Column, shift: Column, table: Column) -> Column:
+    """The ids of a word (array of byte ids): pairs are merged, least rank first, until none has a rank."""
+    upper = RANK_BITS + PLACE_BITS
+
+    def step(ids, _):
+        # (rank, place) as one number. With another row's entry the bits above differ, so it is no rank.
+        ranked = lambda a, i: F.get(table, F.get(shift, a) + F.get(ids, i + 1)).bitwiseXOR(F.shiftleft(a.cast("long"), upper)).bitwiseOR(i)
+
+        def merge(m):
+            at = m.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+            one = F.concat(F.slice(ids, F.lit(1), at), F.array(F.shiftright(m, PLACE_BITS).cast("int")), F.slice(ids, at + 3, F.lit(LONG)))
+            return F.when(m < 1 << upper, one).otherwise(ids)
+
+        return let(F.array_min(F.transform(ids, ranked)), merge)
+
+    return F.when(F.size(word) > 1, F.aggregate(F.sequence(F.lit(2), F.size(word)), word, step)).otherwise(word)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -125,106 +128,175 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _word_counts(pattern: str, known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, skip, count = splitter(pattern), known.value[0], Counter()
+class Known:
+    """Words whose ids need no fold in a chunk: tokens, then the frequent words, as flat ids; numbered in that order."""
+
+    def __init__(self, ranks: dict[bytes, int], words: pa.Array, ids: pa.ListArray):
+        self.ranks, self.words = ranks, words
+        self.tokens = max(ranks.values()) + 1
+        self.n = self.tokens + len(words)
+        lengths = ids.value_lengths().to_numpy().astype(np.int64)
+        self.flat = np.concatenate([np.arange(self.tokens, dtype=np.int32), ids.flatten().to_numpy().astype(np.int32)])
+        self.size = np.concatenate([np.ones(self.tokens, np.int64), lengths])
+        self._numbers: dict[str, int] = {}
+
+    def numbers(self) -> dict[str, int]:
+        """The number of each word; made where it is used."""
+        if not self._numbers:
+            for token, i in self.ranks.items():
+                try:
+                    self._numbers[token.decode()] = i
+                except UnicodeDecodeError:
+                    pass
+            self._numbers.update(zip(self.words.to_pylist(), range(self.tokens, self.n), strict=True))
+        return self._numbers
+
+
+class Coder(dict):
+    """Numbers of words: known ones, and from there on the place among a chunk's new words."""
+
+    def __init__(self, known: Known):
+        super().__init__(known.numbers())
+        self.first, self.new = known.n, []
 
-        def rows():
-            kept = [(w, n) for w, n in count.items() if w not in skip and len(w.encode("utf-8", "surrogatepass")) <= LONG]
-            count.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
+    def __missing__(self, word: str) -> int:
+        self[word] = code = self.first + len(self.new)
+        self.new.append(word)
+        return code
 
+
+def _lists(sizes, flat: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat, kind))
+
+
+def _letters(ranks: dict[bytes, int], words: list[bytes]) -> pa.ListArray:
+    """Words as lists of their bytes' ids."""
+    ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+    return _lists([len(w) for w in words], ids[np.frombuffer(b"".join(words), np.uint8)], pa.int32())
+
+
+def _counts(pattern: str, ranks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known, count = splitter(pattern), Known(ranks.value, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))).numbers(), Counter()
         for batch in batches:
             for text in batch.column(0):
                 count.update(find(text.as_py() or ""))
-                if len(count) > 400_000:
-                    yield rows()
-        yield rows()
+        words = [(w, n, w.encode("utf-8", "surrogatepass")) for w, n in count.items() if w not in known]
+        words = [x for x in words if len(x[2]) <= LONG]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _, _ in words], pa.string()), pa.array([n for _, n, _ in words], pa.int64()), _letters(ranks.value, [b for _, _, b in words])], ["word", "n", "letters"])
 
     return run
 
 
-def _rare(pattern: str, known, often):
+def _chunks(pattern: str, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, skip = splitter(pattern), {**known.value[0], **often.value}.keys()
+        find, ranks = splitter(pattern), known.value.ranks
+        coder, codes, sizes, ids = Coder(known.value), array("I"), array("q"), []
+
+        def row():
+            words = [w.encode("utf-8", "surrogatepass") for w in coder.new]
+            long = [i for i, w in enumerate(words) if len(w) > LONG]
+            merged = [np.array(merge_long(words[i], ranks), np.int32) for i in long]
+            for i in long:
+                words[i] = b""  # its ids come by themselves
+            inner, done = _letters(ranks, words), _lists([len(x) for x in merged], np.concatenate([np.empty(0, np.int32), *merged]), pa.int32())
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            columns = [one(pa.array(ids, pa.int64())), pa.array([codes.tobytes()]), pa.array([sizes.tobytes()]), one(inner), one(pa.array(long, pa.int32())), one(done)]
+            return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in CHUNK.split(", ")])
+
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                words = [sorted(w for w in set(find(t.as_py() or "")) - skip if len(w.encode("utf-8", "surrogatepass")) <= LONG) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words, pa.list_(pa.string()))], [*part.schema.names, "rare"])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = find(text.as_py() or "")
+                codes.extend(map(coder.__getitem__, found))
+                sizes.append(len(found))
+                ids.append(doc)
+                if len(coder.new) >= WORDS or len(codes) >= TOKENS:
+                    yield row()
+                    coder, codes, sizes, ids = Coder(known.value), array("I"), array("q"), []
+        if ids:
+            yield row()
 
     return run
 
 
-def _assemble(pattern: str, known, often, with_ids: bool):
+CHUNK = "docs array<long>, codes binary, sizes binary, words array<array<int>>, long array<int>, done array<array<int>>"
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The pieces flat[start : start + size], one after the other."""
+    ends = np.cumsum(sizes)
+    at = np.arange(int(ends[-1]) if len(ends) else 0)
+    return flat[at + np.repeat(starts - (ends - sizes), sizes)]
+
+
+def _assemble(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, (single, ranks) = splitter(pattern), known.value
-        common = {**single, **often.value}
-        piece = {str(i): b for b, i in ranks.items()}
+        first = known.value.n
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                n_tokens, joined, ids_sha, text_sha = [], [], [], []
-                for text, rare, coded in zip(part.column("text"), part.column("rare").to_pylist(), part.column("coded").to_pylist(), strict=True):
-                    own = dict(zip(rare, coded, strict=True))
-                    ids = []
-                    for w in find(text.as_py() or ""):
-                        s = common.get(w) or own.get(w)
-                        if s is None:
-                            s = own[w] = ",".join(map(str, merge_long(w.encode("utf-8", "surrogatepass"), ranks)))
-                        ids.append(s)
-                    ids = ",".join(ids)
-                    split = ids.split(",") if ids else []
-                    n_tokens.append(len(split))
-                    joined.append(np.array(split, np.int32) if with_ids else None)
-                    ids_sha.append(sha256(ids.encode()).hexdigest())
-                    text_sha.append(sha256(b"".join([piece[i] for i in split])).hexdigest())
-                columns = [part.column(k) for k in part.schema.names if k not in ("text", "rare", "coded")]
-                names = [k for k in part.schema.names if k not in ("text", "rare", "coded")]
-                extra = [pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                if with_ids:
-                    extra.append(pa.array(joined, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([*columns, *extra], [*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+            for i in range(len(batch)):
+                docs, codes, sizes, folded, long, done = (batch.column(k)[i] for k in range(6))
+                docs = docs.values
+                codes, sizes = np.frombuffer(codes.as_py(), np.uint32), np.frombuffer(sizes.as_py(), np.int64)
+                # The ids of all words end to end: known, folded, long words.
+                flat, size = [known.value.flat], [known.value.size]
+                for lists in (folded.values, done.values):
+                    flat.append(lists.flatten().to_numpy())
+                    size.append(lists.value_lengths().to_numpy().astype(np.int64))
+                size_of = np.concatenate(size[:2])
+                start_of = np.cumsum(size_of) - size_of
+                where = long.values.to_numpy()
+                start_of[first + where] = len(flat[0]) + len(flat[1]) + np.cumsum(size[2]) - size[2]
+                size_of[first + where] = size[2]
+                flat = np.concatenate(flat)
+                edge = np.concatenate(([0], np.cumsum(sizes)))
+                for d in range(0, len(sizes), 512):
+                    mine = codes[edge[d] : edge[min(d + 512, len(sizes))]]
+                    n = size_of[mine]
+                    upto = np.concatenate(([0], np.cumsum(n)))[edge[d : d + 513] - edge[d]]
+                    yield pa.RecordBatch.from_arrays([docs.slice(d, 512), _lists(np.diff(upto), _gather(start_of[mine], n, flat), pa.int32())], ["doc_id", "ids"])
 
     return run
 
 
-def encode(documents: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids, for each row of documents (doc_id, text)."""
-    sc = documents.sparkSession.sparkContext
-    ranks = load_ranks(path)
-    # Words that are tokens need no merges; the vocabulary is of a fixed size.
-    single = {}
-    for token, i in ranks.items():
-        try:
-            single[token.decode()] = str(i)
-        except UnicodeDecodeError:
-            pass
-    known = sc.broadcast((single, ranks))
-    merges = RankMap(ranks)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = cut(rows.select("text").mapInArrow(_word_counts(pattern, known), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    power = F.floor(F.log2("n")).cast("int").alias("power")
-    found = {r["power"]: r["k"] for r in counts.groupBy(power).agg(F.count("*").alias("k")).collect()}  # 64 rows at most
-    least, total = 64, 0
-    while least > 0 and total + found.get(least - 1, 0) <= FREQUENT:
+def frequent(rows: DataFrame, pattern: str, ranks, by_fold: Callable[[Column], Column]) -> Known:
+    """The most frequent words of about SAMPLE texts and their ids: FREQUENT at most, whatever the corpus."""
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, rows.count())) * (1 << 30)
+    counts = cut(rows.filter(share).select("text").mapInArrow(_counts(pattern, ranks), "word string, n long, letters array<int>").groupBy("word").agg(F.sum("n").alias("n"), F.first("letters").alias("letters")))
+    top = 1000
+    found = {r["n"]: r["k"] for r in counts.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count("*").alias("k")).collect()}  # top rows at most
+    least, total = top + 1, 0
+    while least > 2 and total + found.get(least - 1, 0) <= FREQUENT:
         least -= 1
         total += found.get(least, 0)
-    table = counts.filter(F.col("n") >= 2.0**least).select("word", merges.fold(F.col("word")).alias("ids")).toArrow()  # FREQUENT rows at most
-    words: dict[str, str] = {}
-    for batch in table.to_batches(max_chunksize=10_000):
-        words.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-    del table
-    often = sc.broadcast(words)
-    words.clear()
-    rare = rows.mapInArrow(_rare(pattern, known, often), "doc_id long, text string, rare array<string>")
-    coded = rare.select("doc_id", "text", "rare", F.transform("rare", merges.fold).alias("coded"))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return coded.mapInArrow(_assemble(pattern, known, often, with_ids), schema)
+    got = counts.filter(F.col("n") >= least).select("word", by_fold(F.array("letters"))[0].alias("ids")).toArrow().combine_chunks()  # FREQUENT rows at most
+    return Known(ranks.value, *(got.column(k).chunk(0) if len(got) else pa.array([], kind) for k, kind in enumerate((pa.string(), pa.list_(pa.int32())))))
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded (with ids) and the bytes that the ids stand for, in column decoded; built-in functions only."""
+def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id and ids for each row of documents (doc_id, text)."""
+    sc, ranks = documents.sparkSession.sparkContext, load_ranks(path)
+    shift, table = (literal_array(x.tolist(), kind) for x, kind in zip(pair_table(ranks), ("int", "bigint"), strict=True))
+    # The tables are named once: lambdas see them as variables.
+    by_fold = lambda words: let(shift, lambda s: let(table, lambda t: F.transform(words, lambda w: fold(w, s, t))))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = sc.broadcast(frequent(rows, pattern, sc.broadcast(ranks), by_fold))  # bounded by the vocabulary and FREQUENT
+    chunks = rows.mapInArrow(_chunks(pattern, known), CHUNK)
+    return chunks.select("docs", "codes", "sizes", by_fold(F.col("words")).alias("words"), "long", "done").mapInArrow(_assemble(known), "doc_id long, ids array<int>")
+
+
+def decoded(ids: Column, path: str) -> Column:
+    """The bytes that ids stand for; built-in functions only."""
     pieces = [b.hex() for b, _ in sorted(load_ranks(path).items(), key=lambda kv: kv[1])]
-    table = literal_array(pieces, "string")
-    return encoded.withColumn("decoded", F.unhex(F.array_join(F.transform("ids", lambda i: F.get(table, i)), "")))
+    return let(literal_array(pieces, "string"), lambda table: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")))
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """encoded (with ids) and the bytes that the ids stand for, in column decoded."""
+    return encoded.withColumn("decoded", decoded(F.col("ids"), path))
+
+
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded (doc_id, ids)."""
+    return decode(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -130,14 +130,15 @@ def test_language(spark, sf_dir, docs, texts):
 
 def test_bpe(spark, docs, texts):
     tiktoken = pytest.importorskip("tiktoken")
-    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1, "  \x1c  I'll²ß 日本語 12345\n\n \t x' it's　 "), (2, "ab" * 200 + " " + "日" * 90)], "doc_id long, text string"))
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1, "  \x1c  I'll²ß 日本語 12345\n\n \t x' it's　 "), (2, "ab" * 200 + " " + "日" * 90), (3, "a" * 255 + " " + "é" * 128 + " " + "a" * 256), (4, "\u0391\u03a3 \U0001f600\U0001f600 \x00\x7f zaza abababab")], "doc_id long, text string"))
     ranks = bpe.load_ranks(BPE)
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     encoded = bpe.encode(more, BPE, P.PATTERN)
-    rows = bpe.decode(encoded, BPE).collect()
-    for r, t in zip(rows, [x["text"] or "" for x in more.collect()], strict=True):
+    rows, sums = bpe.decode(encoded, BPE).collect(), bpe.digests(encoded, BPE).collect()
+    whole = [(x["doc_id"], x["text"] or "") for x in more.collect()]
+    for d, r, (doc, t) in zip(rows, sums, whole, strict=True):
         ids = lib.encode_ordinary(t)
-        assert r["ids"] == ids and r["n_tokens"] == len(ids) and bytes(r["decoded"]) == t.encode()
+        assert d["doc_id"] == r["doc_id"] == doc and d["ids"] == ids and r["n_tokens"] == len(ids) and bytes(d["decoded"]) == t.encode()
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
