@@ -55,7 +55,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode(docs, path, public_tokenizers.PATTERN, with_ids=False)
+    return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
 
 
 STAGES = [
