@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding of whole texts, as the tiktoken library encodes ordinary text.
 
-Texts are cut by the tokenizer's pattern in chunks of up to ``WORDS`` new distinct words. A chunk is one
-row: its distinct words as arrays of byte ids, its texts as runs of word numbers. Spark higher-order
+Texts are cut by the tokenizer's pattern. A task hands its texts on in chunks of about ``TOKENS`` words; a
+chunk is one row: the words that the task hasn't had before, as arrays of byte ids, and its texts as runs
+of word numbers. After ``WORDS`` words a task numbers anew. Spark higher-order
 functions fold each word: as long as a pair of neighbours has a rank, the leftmost pair of least rank is
 merged. The rank map is a literal: row a of the pair table begins at ``shift[a]``, so the entry of (a, b)
-is ``table[shift[a] + b]``; it holds a beside the rank, which tells other rows' entries apart. The chunk's
-texts are then put together from its folded words. Decoding concatenates the ids' byte strings, by
+is ``table[shift[a] + b]``; it holds a beside the rank, which tells other rows' entries apart. The
+texts are then put together from the folded words. Decoding concatenates the ids' byte strings, by
 built-in functions on a literal array.
 
 Words that many chunks hold are folded once: about ``SAMPLE`` texts are counted, and their most frequent
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import cut, let, literal_array
 
-WORDS, TOKENS = 1 << 18, 1 << 23  # of a chunk: distinct words beside the known ones, and words in all, about
+WORDS, TOKENS = 1 << 19, 1 << 20
 SAMPLE, FREQUENT = 64_000, 1 << 19
 LONG = 256
 RANK_BITS, PLACE_BITS = 17, 12  # a rank from 2^RANK_BITS up is none; a place is one in a word of LONG bytes at most
@@ -153,15 +154,18 @@ class Known:
 
 
 class Coder(dict):
-    """Numbers of words: known ones, and from there on the place among a chunk's new words."""
+    """Numbers of words: known ones, and from there on a task's new words in order."""
 
     def __init__(self, known: Known):
-        super().__init__(known.numbers())
-        self.first, self.new = known.n, []
+        self.known, self.n, self.new = known.numbers(), known.n, []
 
     def __missing__(self, word: str) -> int:
-        self[word] = code = self.first + len(self.new)
-        self.new.append(word)
+        code = self.known.get(word)
+        if code is None:
+            code = self.n
+            self.n += 1
+            self.new.append(word)
+        self[word] = code
         return code
 
 
@@ -178,12 +182,19 @@ def _letters(ranks: dict[bytes, int], words: list[bytes]) -> pa.ListArray:
 def _counts(pattern: str, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known, count = splitter(pattern), Known(ranks.value, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))).numbers(), Counter()
+
+        def rows():
+            words = [(w, n, w.encode("utf-8", "surrogatepass")) for w, n in count.items() if w not in known]
+            words = [x for x in words if len(x[2]) <= LONG]
+            count.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _, _ in words], pa.string()), pa.array([n for _, n, _ in words], pa.int64()), _letters(ranks.value, [b for _, _, b in words])], ["word", "n", "letters"])
+
         for batch in batches:
             for text in batch.column(0):
                 count.update(find(text.as_py() or ""))
-        words = [(w, n, w.encode("utf-8", "surrogatepass")) for w, n in count.items() if w not in known]
-        words = [x for x in words if len(x[2]) <= LONG]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _, _ in words], pa.string()), pa.array([n for _, n, _ in words], pa.int64()), _letters(ranks.value, [b for _, _, b in words])], ["word", "n", "letters"])
+                if len(count) > 200_000:
+                    yield rows()
+        yield rows()
 
     return run
 
@@ -191,7 +202,7 @@ def _counts(pattern: str, ranks):
 def _chunks(pattern: str, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks = splitter(pattern), known.value.ranks
-        coder, codes, sizes, ids = Coder(known.value), array("I"), array("q"), []
+        coder, fresh, codes, sizes, ids = Coder(known.value), True, array("I"), array("q"), []
 
         def row():
             words = [w.encode("utf-8", "surrogatepass") for w in coder.new]
@@ -201,7 +212,7 @@ def _chunks(pattern: str, known):
                 words[i] = b""  # its ids come by themselves
             inner, done = _letters(ranks, words), _lists([len(x) for x in merged], np.concatenate([np.empty(0, np.int32), *merged]), pa.int32())
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            columns = [one(pa.array(ids, pa.int64())), pa.array([codes.tobytes()]), pa.array([sizes.tobytes()]), one(inner), one(pa.array(long, pa.int32())), one(done)]
+            columns = [pa.array([fresh]), one(pa.array(ids, pa.int64())), pa.array([codes.tobytes()]), pa.array([sizes.tobytes()]), one(inner), one(pa.array(long, pa.int32())), one(done)]
             return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in CHUNK.split(", ")])
 
         for batch in batches:
@@ -210,16 +221,19 @@ def _chunks(pattern: str, known):
                 codes.extend(map(coder.__getitem__, found))
                 sizes.append(len(found))
                 ids.append(doc)
-                if len(coder.new) >= WORDS or len(codes) >= TOKENS:
+                if len(codes) >= TOKENS:
                     yield row()
-                    coder, codes, sizes, ids = Coder(known.value), array("I"), array("q"), []
+                    fresh = coder.n - known.value.n >= WORDS
+                    if fresh:
+                        coder = Coder(known.value)
+                    codes, sizes, ids, coder.new = array("I"), array("q"), [], []
         if ids:
             yield row()
 
     return run
 
 
-CHUNK = "docs array<long>, codes binary, sizes binary, words array<array<int>>, long array<int>, done array<array<int>>"
+CHUNK = "fresh boolean, docs array<long>, codes binary, sizes binary, words array<array<int>>, long array<int>, done array<array<int>>"
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -231,23 +245,22 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarr
 
 def _assemble(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = known.value.n
+        flat = start_of = size_of = np.empty(0, np.int64)
         for batch in batches:
             for i in range(len(batch)):
-                docs, codes, sizes, folded, long, done = (batch.column(k)[i] for k in range(6))
+                fresh, docs, codes, sizes, folded, long, done = (batch.column(k)[i] for k in range(7))
                 docs = docs.values
                 codes, sizes = np.frombuffer(codes.as_py(), np.uint32), np.frombuffer(sizes.as_py(), np.int64)
-                # The ids of all words end to end: known, folded, long words.
-                flat, size = [known.value.flat], [known.value.size]
-                for lists in (folded.values, done.values):
-                    flat.append(lists.flatten().to_numpy())
-                    size.append(lists.value_lengths().to_numpy().astype(np.int64))
-                size_of = np.concatenate(size[:2])
-                start_of = np.cumsum(size_of) - size_of
+                if fresh.as_py():
+                    flat, size_of = known.value.flat, known.value.size
+                    start_of = np.cumsum(size_of) - size_of
+                # The ids of all words end to end: earlier ones, the row's folded words, its long words.
+                ids, size = ([f(x.values) for x in (folded, done)] for f in (lambda x: x.flatten().to_numpy(), lambda x: x.value_lengths().to_numpy().astype(np.int64)))
                 where = long.values.to_numpy()
-                start_of[first + where] = len(flat[0]) + len(flat[1]) + np.cumsum(size[2]) - size[2]
-                size_of[first + where] = size[2]
-                flat = np.concatenate(flat)
+                own = np.cumsum(size[0]) - size[0] + len(flat)
+                own[where] = len(flat) + len(ids[0]) + np.cumsum(size[1]) - size[1]
+                size[0][where] = size[1]
+                flat, start_of, size_of = np.concatenate([flat, *ids]), np.concatenate([start_of, own]), np.concatenate([size_of, size[0]])
                 edge = np.concatenate(([0], np.cumsum(sizes)))
                 for d in range(0, len(sizes), 512):
                     mine = codes[edge[d] : edge[min(d + 512, len(sizes))]]
@@ -260,8 +273,8 @@ def _assemble(known):
 
 def frequent(rows: DataFrame, pattern: str, ranks, by_fold: Callable[[Column], Column]) -> Known:
     """The most frequent words of about SAMPLE texts and their ids: FREQUENT at most, whatever the corpus."""
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, rows.count())) * (1 << 30)
-    counts = cut(rows.filter(share).select("text").mapInArrow(_counts(pattern, ranks), "word string, n long, letters array<int>").groupBy("word").agg(F.sum("n").alias("n"), F.first("letters").alias("letters")))
+    few = rows.filter(F.rand(7) < SAMPLE / max(1, rows.count()))  # whatever ids or copies are common
+    counts = cut(few.select("text").mapInArrow(_counts(pattern, ranks), "word string, n long, letters array<int>").groupBy("word").agg(F.sum("n").alias("n"), F.first("letters").alias("letters")))
     top = 1000
     found = {r["n"]: r["k"] for r in counts.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count("*").alias("k")).collect()}  # top rows at most
     least, total = top + 1, 0
@@ -281,7 +294,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = sc.broadcast(frequent(rows, pattern, sc.broadcast(ranks), by_fold))  # bounded by the vocabulary and FREQUENT
     chunks = rows.mapInArrow(_chunks(pattern, known), CHUNK)
-    return chunks.select("docs", "codes", "sizes", by_fold(F.col("words")).alias("words"), "long", "done").mapInArrow(_assemble(known), "doc_id long, ids array<int>")
+    return chunks.select("fresh", "docs", "codes", "sizes", by_fold(F.col("words")).alias("words"), "long", "done").mapInArrow(_assemble(known), "doc_id long, ids array<int>")
 
 
 def decoded(ids: Column, path: str) -> Column:
