@@ -42,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(whole.unionByName(whole.select(F.col("root").alias("a"), "root")).groupBy(F.col("a").alias("item")).agg(F.min("root").alias("component")))
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profile: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column], compare: tuple[Callable, Callable] | None = None) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profile: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column], compare: tuple[Callable, Callable] | None = None, alone: Callable[[Column], Column] | None = None) -> DataFrame:
     """Components of the links that verify confirms among items sharing a bucket; see components().
 
     members: distinct (key, item), written; each pair of items that may be linked has some bucket in
@@ -50,7 +50,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profile:
     into all its pairs. First its items are held against two of them, the least, on which copies mostly
     hang, and one by hash; a bucket whose items have become one component is done. The others' items are
     held against the one with least of its own; profile gives (item, p), p.own among other bounds that
-    hold among the items it is asked about, and possible(p, q) says whether they leave room for a link.
+    hold among the items it is asked about, and possible(p, q) says whether they leave room for a link;
+    alone(p), if given, whether an item's own profile leaves room for any, else it is held against no one.
     At last items outside a bucket's largest component are held against the rest under the same bounds
     and, if given, compare = (describe, allowed): describe takes (item, ref) and gives (item, d), what
     sets an item apart from a reference; allowed(d, e) rules out what two such differences rule out.
@@ -72,6 +73,10 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profile:
     if rest.isEmpty():
         return named
     rest = cut(rest.join(cut(profile(rest.select("item").distinct())), "item"))
+    if alone:
+        rest = unsettled(rest.filter(alone(F.col("p"))).drop("component"))
+        if rest.isEmpty():
+            return named
     middle = cut(rest.groupBy("key").agg(F.min_by(F.struct("item", "component", "p"), F.struct("p.own", "item")).alias("mid")))
     met = rest.join(middle, "key").filter((F.col("component") != F.col("mid.component")) & possible(F.col("p"), F.col("mid.p")))
     again = cut(met.select(*pair("item", "mid.item")).distinct().join(tested, ["a", "b"], "left_anti"))

@@ -1,81 +1,96 @@
-"""Line dedup: a line stays at its first place in the corpus and goes wherever it, or one within as
-many edits of it as its length allows, stands again.
-
-Lines are texts between line feeds. Equal lines that hold a word are one class; lines of at least
-``LEAST_CHARS`` characters are also linked if at most ``allowed`` insertions, deletions or substitutions
-apart, by the shorter one's length: one in 20 to 30 characters, one in all under 40. Linked classes are
-one (union-find). Candidates come from a segment join in groups of lengths with one number e of edits:
-of e + 1 segments, the first half placed from the left end and the others from the right, a line within
-reach holds some segment i moved by at most i, or e - i, places. From ``ANYWHERE`` edits on a segment is
-looked for at every place, which is fewer keys. A line enters the group below too if one of that group
-may be within reach. Candidates are verified by Spark's levenshtein with that threshold.
-
-Built-in expressions only. Defined cases: the first place is the least (doc_id, line number); rows
-without doc_id or text are left as they are; rows that repeat a doc_id are read as one document; lines
-of a single character stay; lines are told apart by 64-bit hashes; an empty table gives none; other
-columns pass through.
+"""Line dedup: a line stays at its first place in the corpus and goes wherever it, or one within a few
+edits of it, stands again.
+
+Lines are texts between line feeds. Equal lines that hold a word are one class, whatever their length.
+Lines are also linked if few edits apart; an edit puts in, takes out or replaces a word (a run of anything
+but ASCII white space; Chinese, Japanese and Korean characters are words of their own). Lines of 8 to 19
+words, by the shorter one, may be one edit apart, of 20 to 39 two, of 40 or more three (``GROUPS``). Linked
+classes are one (union-find).
+
+Segment-partition join: a line of a group with e edits has e + 1 segments of fixed length, the first half
+placed from its left end and the others from its right. Of two lines within e edits the second holds some
+segment i of the first, moved by at most i, or e - i, words; so a line's keys are its own segments and the
+ones it might hold of others. A line up to e words longer than the group's longest looks into that group
+too. Candidates are verified by a banded bit-parallel edit distance on word hashes.
+
+Built-in expressions only. Defined cases: the first place is the least (doc_id, hash of the text, line
+number); rows without doc_id or text are left as they are; rows that repeat a doc_id with another text are
+documents of their own, rows that repeat both are one document twice and lose the same lines; lines and
+words are told apart by 64-bit hashes; an empty table gives none; other columns pass through.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import cut, let, words
+from attestry.llm.common import WORD_GAP, cut, let, words
 from attestry.llm.components import link
 
-LEAST_CHARS = 30
-PER_EDIT = 20
-ANYWHERE = 32
-#: Edits of the groups of lengths: 1 to 6, 8, 10, 12, 16, 20, 24, ...; a group begins at PER_EDIT characters an edit.
-GROUPS = (1, 2, 3, *(k << n for n in range(25) for k in (4, 5, 6)))
-GRAM = 4
+#: (least number of words, edits)
+GROUPS = ((8, 1), (20, 2), (40, 3))
+EDITS = max(e for _, e in GROUPS)
 BROADCAST_ROWS = 500_000
+#: Characters that are words of their own: Japanese, Chinese and Korean ones.
+OWN_WORDS = r"[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]"
 
 
-def segments(length: int | Column, parts: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each of parts even segments, the longer ones last."""
-    short = F.floor(length / F.lit(parts)).cast("int")
-    longer = length - short * parts  # so many at the end have one more
-    out = []
-    for i in range(parts):
-        ahead = F.greatest(F.lit(i) - (F.lit(parts) - longer), F.lit(0))
-        own = short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
-        out.append((short * i + ahead + 1, own))
-    return out
-
+def line_words(line: Column) -> Column:
+    spaced = F.when(F.octet_length(line) == F.length(line), line).when(line.rlike(OWN_WORDS), F.regexp_replace(line, f"({OWN_WORDS})", " $1 ")).otherwise(line)
+    return F.array_remove(F.split(spaced, WORD_GAP), "")
 
-def bucket_keys(line: Column, edits: int) -> Column:
-    """Keys of a line: its own segments, and the substrings that could be a segment of a line up to edits shorter.
 
-    Of equal length the own segments serve both sides but for shifted places.
-    """
-    parts = edits + 1
+def allowed(n: Column) -> Column:
+    """Edits that a line of n words may be away from a line at least as long."""
+    found = F.lit(0)
+    for least, e in GROUPS:
+        found = F.when(n >= least, e).otherwise(found)
+    return found
+
+
+def _group_keys(toks: Column, n: Column, least: int, e: int) -> tuple[list[Column], list[Column]]:
+    """Keys of the group of e edits: a line's own segments, and what it may hold of other lines' segments."""
+    size, own, near = least // (e + 1), [], []
+    for i in range(e + 1):
+        left = i * 2 <= e
+        at = F.lit(i * size + 1) if left else n - ((e + 1 - i) * size - 1)
+        most = i if left else e - i
+        for d in range(-most, most + 1):
+            (near if d else own).append(F.xxhash64(F.lit(e), F.lit(i), F.slice(toks, at + d, F.lit(size))))
+    return own, near
+
+
+def own_keys(toks: Column, n: Column) -> Column:
+    """The segments of a line of n words, as keys of its group."""
+    out = F.array().cast("array<bigint>")
+    for least, e in GROUPS:
+        out = F.when(n >= least, F.array(*_group_keys(toks, n, least, e)[0])).otherwise(out)
+    return out
 
-    def keys(size: Column) -> Column:
-        found = []
-        for less in range(edits + 1):
-            for i, (start, own) in enumerate(segments(size - less, parts)):
-                # Edits before the segment move it by at most i places, edits after it by at most the rest.
-                for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                    at = start + move
-                    inside = (at >= 1) & (at + own - 1 <= size) & (own > 0)
-                    found.append(F.when(inside, F.xxhash64(size - less, F.lit(i), F.substring(line, at, own))))
-        return F.array_compact(F.array_distinct(F.array(*found)))
 
-    return let(F.length(line), keys)  # the length takes a pass over the line; it is used throughout
+def near_keys(toks: Column, n: Column) -> Column:
+    """Keys under which a line may hold segments of others, its own left out: in its group, and in the one below if that may hold lines within reach."""
+    out, below = F.array().cast("array<bigint>"), None
+    for least, e in GROUPS:
+        near = _group_keys(toks, n, least, e)[1]
+        here = F.array(*near) if near else F.array().cast("array<bigint>")
+        if below:
+            under = F.array(*(k for part in _group_keys(toks, n, *below) for k in part))
+            here = F.when(n - below[1] < least, F.concat(here, under)).otherwise(here)
+        out, below = F.when(n >= least, here).otherwise(out), (least, e)
+    return out
 
 
-def _stripped(a: Column, b: Column, rounds: int = 6) -> Column:
-    """(a, b) without equal halves at either end, over and over; that leaves their distance as it is."""
+def _stripped(a: Column, b: Column, rounds: int = 7) -> Column:
+    """(a, b) without equal parts at either end, by halves; that leaves their distance as it is."""
 
     def cut_half(s):
-        half = F.floor(F.least(F.length(s["a"]), F.length(s["b"])) / 2).cast("int")
-
         def cut_at(m):
-            head, tail = F.left(s["a"], m) == F.left(s["b"], m), F.right(s["a"], m) == F.right(s["b"], m)
-            short = lambda x: F.when(head, F.substr(x, m + 1)).when(tail, F.left(x, F.length(x) - m)).otherwise(x)
-            return F.struct(short(s["a"]).alias("a"), short(s["b"]).alias("b"))
+            n = lambda x: F.size(x)
+            head = F.slice(s["a"], F.lit(1), m) == F.slice(s["b"], F.lit(1), m)
+            tail = F.slice(s["a"], n(s["a"]) - m + 1, m) == F.slice(s["b"], n(s["b"]) - m + 1, m)
+            short = lambda x: F.when(head, F.slice(x, m + 1, n(x))).when(tail, F.slice(x, F.lit(1), n(x) - m)).otherwise(x)
+            return F.when(m > 0, F.struct(short(s["a"]).alias("a"), short(s["b"]).alias("b"))).otherwise(s)
 
-        return let(half, cut_at)
+        return let(F.ceil(F.least(F.size(s["a"]), F.size(s["b"])) / 2).cast("int"), cut_at)
 
     out = F.struct(a.alias("a"), b.alias("b"))
     for _ in range(rounds):
@@ -83,15 +98,15 @@ def _stripped(a: Column, b: Column, rounds: int = 6) -> Column:
     return out
 
 
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are at most edits apart: Hyyro's bit-vector recurrence on a band of diagonals.
+def distance(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """Edit distance of two arrays if at most edits, else more than edits: Hyyro's bit-vector recurrence on a band of diagonals.
 
     Once the distance along the band is over twice the edits it can't come back, and steps do nothing.
     """
     width = 2 * edits + 2
     mask, top = (1 << width) - 1, width - 1
 
-    def distance(long, short):  # arrays of characters; long has at least as many
+    def banded(long, short):  # long has at least as many elements, short has some
         n = F.size(long)
         first = F.struct(F.lit(((1 << (edits + 1)) - 1) << (width - edits - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"), F.lit(1 << (top - 1)).alias("h"))
 
@@ -121,134 +136,88 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.size(short) - 1), first, step, lambda s: s["d"])
 
-    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    of = lambda x, y: let(letters(x), lambda p: let(letters(y), lambda q: F.when(F.size(q) > 0, distance(p, q)).otherwise(F.size(p))))
-    apart = F.abs(F.length(a) - F.length(b))
-    near = lambda s: F.when(F.length(s["a"]) >= F.length(s["b"]), of(s["a"], s["b"])).otherwise(of(s["b"], s["a"])) <= edits
-    return F.when(apart > edits, False).otherwise(let(_stripped(a, b), near))
-
-
-def _begin(e: int) -> int:
-    return LEAST_CHARS if e == 1 else PER_EDIT * e
-
-
-def allowed(n: Column) -> Column:
-    """Edits that a line of n characters may be away from a line at least as long."""
-    return _lookup(n, list(GROUPS))
-
-
-def _lookup(n: Column, values: list[int]) -> Column:
-    found = None
-    for e, v in reversed(list(zip(GROUPS, values, strict=True))):
-        if _begin(e) < 1 << 31:
-            found = F.when(n >= _begin(e), v) if found is None else found.when(n >= _begin(e), v)
-    return found.otherwise(values[0])
-
-
-def _group_keys(line: Column, n: Column, e: Column) -> Column:
-    """(key, own) of a line of n characters in the group of e edits; own: a segment in its own place."""
-    size = F.floor(F.when(e == 1, LEAST_CHARS).otherwise(e * PER_EDIT) / (e + 1)).cast("int")
-
-    def keys(s):
-        key = lambda i, x, own: F.struct(F.xxhash64(e, i, x).alias("key"), own.alias("own"))
-
-        def moved(i):
-            left = i * 2 <= e
-            at = F.when(left, i * s).otherwise(n - (e + 1 - i) * s) + 1
-            m = F.when(left, i).otherwise(e - i)
-            inside = lambda d: (at + d >= 1) & (at + d + s - 1 <= n)
-            return F.transform(F.filter(F.sequence(-m, m), inside), lambda d: key(i, F.substr(line, at + d, s), d == 0))
+    def padded(x, y):  # an equal end leaves the distance as it is; the band begins edits elements deep
+        longer = lambda z: F.when(F.size(x) > edits, z).otherwise(F.concat(z, F.array_repeat(F.get(x, F.lit(0)), edits)))
+        return let(longer(x), lambda p: let(longer(y), lambda q: banded(p, q)))
 
-        def anywhere(letters):
-            piece = lambda p: F.array_join(F.slice(letters, p, s), "")
-            own = F.transform(F.sequence(F.lit(0), e), lambda i: key(F.lit(-1), piece(i * s + 1), F.lit(True)))
-            return F.concat(own, F.transform(F.sequence(F.lit(1), n - s + 1), lambda p: key(F.lit(-1), piece(p), F.lit(False))))
+    of = lambda x, y: F.when(F.size(y) > 0, padded(x, y)).otherwise(F.size(x))
+    either = lambda s: F.when(F.size(s["a"]) >= F.size(s["b"]), of(s["a"], s["b"])).otherwise(of(s["b"], s["a"]))
+    return F.when(F.abs(F.size(a) - F.size(b)) > edits, edits + 1).otherwise(let(_stripped(a, b), either))
 
-        placed = F.flatten(F.transform(F.sequence(F.lit(0), e), moved))
-        return F.when(e < ANYWHERE, placed).otherwise(let(F.filter(F.split(line, ""), lambda c: c != ""), anywhere))
 
-    return let(size, keys)
+def _profile_fits(p: Column, q: Column) -> Column:
+    """Whether two lines' profiles leave room for a link: each edit changes two bits of either mask at most, and two pairs of neighbours."""
+    e = allowed(F.least(p["n"], q["n"]))
+    near = lambda m: F.bit_count(p[m].bitwiseXOR(q[m])) <= 2 * e
+    return (F.abs(p["n"] - q["n"]) <= e) & (F.greatest(p["own"], q["own"]) <= 2 * e) & near("m1") & near("m2")
 
 
-def line_keys(line: Column) -> Column:
-    """(key, own) in the line's group and, if a line of the group below may be within reach, there."""
-    below = _lookup(F.length(line), [0, *GROUPS[:-1]])
-
-    def keys(x):
-        near = (x["below"] > 0) & (x["n"] - x["e"] * PER_EDIT < x["below"])
-        more = F.when(near, _group_keys(line, x["n"], x["below"])).otherwise(F.array().cast("array<struct<key:bigint,own:boolean>>"))
-        return F.concat(_group_keys(line, x["n"], x["e"]), more)
-
-    return let(F.struct(F.length(line).alias("n"), allowed(F.length(line)).alias("e"), below.alias("below")), keys)
-
-
-def near(a: Column, b: Column) -> Column:
-    """Whether two lines are as few edits apart as the shorter one's length allows."""
-    e = allowed(F.least(F.length(a), F.length(b)))
-    return F.when(F.abs(F.length(a) - F.length(b)) > e, False).otherwise(F.call_function("levenshtein", a, b, e) >= 0)
+def linked(a: Column, b: Column) -> Column:
+    """Whether two lines, as arrays of words, are as few edits apart as the shorter one allows."""
+    return distance(a, b) <= allowed(F.least(F.size(a), F.size(b)))
 
 
 def places(documents: DataFrame) -> DataFrame:
-    """(doc_id, at, h, line): the lines that hold a word and more than one character."""
+    """(doc_id, version, at, line, h): the lines that hold a word; version: the hash of the text."""
     rows = documents.filter("doc_id is not null and text is not null")
-    rows = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]") & (F.length("line") > 1)).withColumn("h", F.xxhash64("line"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
-def links(lines: DataFrame) -> DataFrame:
-    """(item, component) of the lines that are linked with others; lines: distinct (h, line), written."""
-    keys = lines.select(F.col("h").alias("item"), F.explode(line_keys(F.col("line"))).alias("k")).select("item", "k.key", "k.own")
+def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """(item, component) of the lines that are linked with others; rows (h, own, near): keys of lines, written."""
+    keys = rows.select(F.col("h").alias("item"), F.explode("own").alias("key"), F.lit(True).alias("own")).unionByName(rows.select(F.col("h").alias("item"), F.explode("near").alias("key"), F.lit(False).alias("own")))
     shared = cut(keys.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.max("own").alias("own")).filter("lo <> hi and own").select("key"))
-    members = cut(keys.join(shared, "key", "left_semi").select("item", "key").distinct())
-
-    def texts(items):  # items (h), written
-        wanted = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-        return lines.join(wanted, "h", "left_semi")
+    n = shared.count()
+    members = cut(keys.join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, "key", "left_semi").groupBy("key", "item").agg(F.max("own").alias("own")))
+    items = cut(members.select(F.col("item").alias("h")).distinct())
+    wanted = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
+    mark = lambda w, by: F.aggregate(w, F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, by).bitwiseAND(63).cast("int"))))
+    bodies = places(documents).select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    bodies = cut(bodies.select(F.col("h").alias("item"), F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("w")))
+    bodies = cut(bodies.select("item", "w", F.size("w").alias("n"), mark(F.col("w"), 0).alias("m1"), mark(F.col("w"), 6).alias("m2")))
 
     def verify(pairs):
-        found = cut(texts(cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())))
-        side = lambda x: found.select(F.col("h").alias(x), F.col("line").alias(f"l{x}"))
+        side = lambda x: bodies.select(F.col("item").alias(x), F.struct("n", "m1", "m2", F.lit(0).alias("own")).alias(f"p{x}"), F.col("w").alias(f"w{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return both.filter(near(F.col("la"), F.col("lb"))).select("a", "b")
+        return both.filter(F.when(_profile_fits(F.col("pa"), F.col("pb")), linked(F.col("wa"), F.col("wb"))).otherwise(False)).select("a", "b")
 
-    def profile(items):  # own: GRAM-character pieces that no other of the items holds
-        found = cut(texts(cut(items.select(F.col("item").alias("h")))))
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("line") - (GRAM - 1)), lambda i: F.xxhash64(F.substr("line", i, F.lit(GRAM)))))
-        holders = found.select("h", F.explode(grams).alias("g")).groupBy("g").agg(F.min("h").alias("item"), F.max("h").alias("last"))
+    def profile(of):  # own: pairs of neighbouring words that no other of the items holds
+        mine = cut(bodies.join(cut(of), "item"))
+        pairs = F.array_distinct(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.xxhash64(a, b)))
+        holders = mine.select("item", F.explode(pairs).alias("g")).groupBy("g").agg(F.min("item").alias("item"), F.max("item").alias("last"))
         own = cut(holders.filter("item = last").groupBy("item").agg(F.count("*").alias("own")))
-        return found.select(F.col("h").alias("item"), F.length("line").alias("n")).join(own, "item", "left").select("item", F.struct("n", F.coalesce("own", F.lit(0)).alias("own")).alias("p"))
-
-    def possible(p, q):  # an edit changes at most GRAM pieces
-        e = allowed(F.least(p["n"], q["n"]))
-        return (F.greatest(p["own"], q["own"]) <= e * GRAM) & (F.abs(p["n"] - q["n"]) <= e)
+        return mine.join(own, "item", "left").select("item", F.struct("n", "m1", "m2", F.coalesce("own", F.lit(0)).alias("own")).alias("p"))
 
-    return link(members, verify, profile, possible)
+    describe = lambda refs: refs.select("item").join(bodies.select("item", F.col("w").alias("d")), "item")
+    return link(members.select("key", "item"), verify, profile, _profile_fits, (describe, linked), alone=lambda p: p["own"] <= 2 * allowed(p["n"]))
 
 
 def repeats(documents: DataFrame) -> DataFrame:
-    """(doc_id, drop): the numbers of the lines that stand earlier in the corpus, for documents that have any."""
-    lines = places(documents)
-    rows = cut(lines.select("doc_id", "at", "h"))
-    firsts = cut(rows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")))
-    # Each text is compared once, read at its first place.
-    places_ = firsts.select(F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"), "h")
-    once = cut(lines.filter(F.length("line") >= LEAST_CHARS).join(places_, ["doc_id", "at", "h"]).select("h", "line").dropDuplicates(["h"]))
-    named = links(once)
-    linked = firsts.join(named.withColumnRenamed("item", "h"), "h")
-    joint = cut(linked.groupBy("component").agg(F.min("first").alias("first")))
-    owner = linked.drop("first").join(joint, "component").select("h", "first")
+    """(doc_id, version, drop): the numbers of the lines that stand earlier in the corpus, for documents that have any."""
+    found = places(documents)
+    # The generator makes a line's words once; a projection would be merged into every place that uses them.
+    found = found.select("doc_id", "version", "at", "h", F.explode(F.array(line_words(F.col("line")))).alias("w")).withColumn("n", F.size("w"))
+    rows = cut(found.select("doc_id", "version", "at", "h", own_keys(F.col("w"), F.col("n")).alias("own"), near_keys(F.col("w"), F.col("n")).alias("near")))
+    place = F.struct("doc_id", "version", "at")
+    firsts = cut(rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    named = links(documents, rows)
+    both = firsts.join(named.withColumnRenamed("item", "h"), "h")
+    joint = cut(both.groupBy("component").agg(F.min("first").alias("first")))
+    owner = both.drop("first").join(joint, "component").select("h", "first")
     alone = firsts.filter("n > 1").join(named.select(F.col("item").alias("h")), "h", "left_anti").select("h", "first")
     owner = cut(owner.unionByName(alone))
     # Both sides are exchanged, so a very common line is split at run time.
-    again = rows.join(owner, "h").filter(F.struct("doc_id", "at") != F.col("first"))
-    return again.groupBy("doc_id").agg(F.collect_set("at").alias("drop"))
+    again = rows.select("doc_id", "version", "at", "h").join(owner, "h").filter(place != F.col("first"))
+    return again.groupBy("doc_id", "version").agg(F.collect_set("at").alias("drop"))
 
 
 def dedup_lines(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """For each row of documents: keep, the text less its repeated lines, n_lines, n_dropped, and where lines went words_before and words_after."""
-    rows = documents.select(*keep, F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    gone = cut(repeats(documents)).select(F.col("doc_id").alias("_gone"), F.col("drop").alias("_drop"))
-    out = rows.join(gone, rows["_id"] == gone["_gone"], "left")
+    rows = documents.select(*keep, F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.xxhash64("text").alias("_version"))
+    gone = cut(repeats(documents)).select(F.col("doc_id").alias("_gone"), F.col("version").alias("_of"), F.col("drop").alias("_drop"))
+    few = gone.count() <= BROADCAST_ROWS
+    out = rows.join(F.broadcast(gone) if few else gone, (rows["_id"] == gone["_gone"]) & (rows["_version"] == gone["_of"]), "left")
     lines, dropped = F.split("_text", "\n"), F.coalesce(F.size("_drop"), F.lit(0))
     kept = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_drop")), lambda i: F.get(x, i)), "\n"))
     out = out.select(*keep, "_text", F.when(dropped == 0, F.col("_text")).otherwise(kept).alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
