@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import cut, let, literal_array
 
-WORDS, TOKENS = 1 << 19, 1 << 20
-SAMPLE, FREQUENT = 64_000, 1 << 19
+WORDS, TOKENS = 1 << 18, 1 << 17
+SAMPLE, FREQUENT = 32_000, 1 << 18
 LONG = 256
 RANK_BITS, PLACE_BITS = 17, 12  # a rank from 2^RANK_BITS up is none; a place is one in a word of LONG bytes at most
 #: What \s means to the library: Unicode's White_Space.
@@ -141,6 +141,9 @@ class Known:
         self.size = np.concatenate([np.ones(self.tokens, np.int64), lengths])
         self._numbers: dict[str, int] = {}
 
+    def __getstate__(self):  # what cuts texts into numbers needs no ids
+        return self.__dict__ | {"flat": None, "size": None}
+
     def numbers(self) -> dict[str, int]:
         """The number of each word; made where it is used."""
         if not self._numbers:
@@ -192,7 +195,7 @@ def _counts(pattern: str, ranks):
         for batch in batches:
             for text in batch.column(0):
                 count.update(find(text.as_py() or ""))
-                if len(count) > 200_000:
+                if len(count) > 100_000:
                     yield rows()
         yield rows()
 
@@ -223,6 +226,7 @@ def _chunks(pattern: str, known):
                 ids.append(doc)
                 if len(codes) >= TOKENS:
                     yield row()
+                    pa.default_memory_pool().release_unused()
                     fresh = coder.n - known.value.n >= WORDS
                     if fresh:
                         coder = Coder(known.value)
@@ -243,7 +247,7 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarr
     return flat[at + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def _assemble(known):
+def _assemble(ready):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = start_of = size_of = np.empty(0, np.int64)
         for batch in batches:
@@ -252,7 +256,7 @@ def _assemble(known):
                 docs = docs.values
                 codes, sizes = np.frombuffer(codes.as_py(), np.uint32), np.frombuffer(sizes.as_py(), np.int64)
                 if fresh.as_py():
-                    flat, size_of = known.value.flat, known.value.size
+                    flat, size_of = ready.value
                     start_of = np.cumsum(size_of) - size_of
                 # The ids of all words end to end: earlier ones, the row's folded words, its long words.
                 ids, size = ([f(x.values) for x in (folded, done)] for f in (lambda x: x.flatten().to_numpy(), lambda x: x.value_lengths().to_numpy().astype(np.int64)))
@@ -292,9 +296,10 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     # The tables are named once: lambdas see them as variables.
     by_fold = lambda words: let(shift, lambda s: let(table, lambda t: F.transform(words, lambda w: fold(w, s, t))))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = sc.broadcast(frequent(rows, pattern, sc.broadcast(ranks), by_fold))  # bounded by the vocabulary and FREQUENT
-    chunks = rows.mapInArrow(_chunks(pattern, known), CHUNK)
-    return chunks.select("fresh", "docs", "codes", "sizes", by_fold(F.col("words")).alias("words"), "long", "done").mapInArrow(_assemble(known), "doc_id long, ids array<int>")
+    known = frequent(rows, pattern, sc.broadcast(ranks), by_fold)  # bounded by the vocabulary and FREQUENT
+    ready = sc.broadcast((known.flat, known.size))
+    chunks = rows.mapInArrow(_chunks(pattern, sc.broadcast(known)), CHUNK)
+    return chunks.select("fresh", "docs", "codes", "sizes", by_fold(F.col("words")).alias("words"), "long", "done").mapInArrow(_assemble(ready), "doc_id long, ids array<int>")
 
 
 def decoded(ids: Column, path: str) -> Column:

@@ -43,11 +43,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z and nothing else. lower() does that fast wherever it leaves the rest of the text alone."""
-    other = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+def translate_ascii(text: Column) -> Column:
+    """A-Z to a-z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.when(F.lower(other) == other, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+    return F.translate(text, upper, upper.lower())
 
 
 def let(value: Column, body) -> Column:

@@ -8,14 +8,14 @@ joined, and each meeting point is extended to the windows around it, compared wo
 Built-in expressions only. A document's hashes leave its row only if a bit table of the benchmark's
 hashes (fixed size at most) lets them through, so the join sees few rows. The benchmark's hashes are
 broadcast up to ``BROADCAST_ROWS`` rows and joined by shuffle beyond. Defined cases: null and empty
-texts have no words, no hits and no windows; equal items each count; null item_ids give hits but no
+texts have no words, no hits and no windows, an empty documents table gives an empty result; equal items each count; null item_ids give hits but no
 item; an empty benchmark hits nothing; one result row for each row of documents, repeats included.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import cut, let, literal_array, lower_ascii
+from attestry.llm.common import cut, let, literal_array, translate_ascii
 
 WINDOW, GRAM = 10, 5
 BROADCAST_ROWS = 500_000
@@ -28,11 +28,11 @@ MARK = "\ue000"
 def fold_ascii(text: Column) -> Column:
     """A-Z to a-z, every other difference kept: equal results mean texts equal but for the case of A-Z.
 
-    lower() is fast but folds other letters too, so those it may change are marked first; a text that
-    holds the mark itself is folded letter by letter.
+    lower() is fast but folds other letters too, so those it may change are marked first. A text that holds
+    the mark itself, or a capital sigma, which lower() folds by its neighbours, is folded letter by letter.
     """
     marked = F.lower(F.regexp_replace(text, r"([\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]])", f"$1{MARK}"))
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(F.contains(text, F.lit(MARK)), lower_ascii(text)).otherwise(marked)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(text.rlike(f"[{MARK}Σ]"), translate_ascii(text)).otherwise(marked)
 
 
 def alnum_words(text: Column) -> Column:

@@ -101,7 +101,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+SKETCH = "doc_id long, version long, n_shingles long, d1 long, d2 long, bands array<long>"
 SETS = "item long, shingles array<long>"
 
 
@@ -126,8 +126,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = iter(band_keys(signatures(full)) if full else ())
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            columns = [ids.slice(start, at - start).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), _lists([next(keys) if len(s) else none for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "bands"])
+            columns = [ids.slice(start, at - start).cast(pa.int64()), batch.column(2).slice(start, at - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), _lists([next(keys) if len(s) else none for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "n_shingles", "d1", "d2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +140,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a digest of the set (d1, d2) and its band keys; no keys for an empty set."""
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, SKETCH)
+    """doc_id, version (the text's hash), n_shingles, a digest of the set (d1, d2) and its band keys; no keys for an empty set."""
+    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(_sketch, SKETCH)
 
 
 def verifier(documents: DataFrame):
@@ -212,7 +212,7 @@ def allowed(d: Column, e: Column) -> Column:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable) and kept for each row of documents (doc_id, text)."""
+    """doc_id, version (the text's hash), n_shingles, component_id (least doc_id reachable) and kept for each row of documents (doc_id, text)."""
     rows = cut(sketch(documents))
     full = rows.filter("n_shingles > 0")
     classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("item"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
@@ -223,6 +223,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # Copies and linked classes; all else is a component of its own.
     owner = classes.join(named, "item", "left").withColumn("component_id", F.coalesce("component", "item"))
     owner = cut(owner.filter("copies > 1 or component_id <> item").select("d1", "d2", "component_id"))
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(owner, ["d1", "d2"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "version", "n_shingles", "d1", "d2").join(owner, ["d1", "d2"], "left")
+    out = out.select("doc_id", "version", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
