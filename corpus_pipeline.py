@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from attestry.llm import bpe, decontaminate, linededup, minhash, quality
 from attestry.llm.common import cut, shared_dir, table
 
-#: A document that loses more than this share of its words to earlier documents is a copy of them.
-MOST_REPEATED = 2 / 3
-
 
 def _whole(docs: DataFrame) -> DataFrame:
     """doc_id and text beside the whole row, whose other columns may have any names."""
@@ -29,9 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand earlier in the corpus; a document that was mostly such lines goes."""
+    """Documents without the lines that stand earlier in the corpus; a document goes if no word is left of it."""
     rows = linededup.dedup_lines(_whole(docs), keep=("_row",))
-    rows = rows.filter((F.col("n_dropped") == 0) | ((F.col("words_after") > 0) & (F.col("words_after") >= (1 - MOST_REPEATED) * F.col("words_before"))))
+    rows = rows.filter((F.col("n_dropped") == 0) | (F.col("words_after") > 0))
     row = F.col("_row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.when(F.col("n_dropped") == 0, F.col("_row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
@@ -39,9 +36,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id."""
-    others = cut(minhash.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates the document with the least doc_id.
+
+    A row goes by its doc_id and its text's hash, so another text with the same doc_id is judged by itself.
+    """
+    others = minhash.near_duplicates(docs).filter("not kept and doc_id is not null")
+    others = cut(others.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct())
+    return docs.join(others, (docs["doc_id"].cast("long") == others["_id"]) & (F.xxhash64(docs["text"]) == others["_version"]), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
