@@ -6,10 +6,12 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from attestry.llm import bpe, decontaminate, langid, linededup, lm, minhash, pii, quality, tokencount, warc
@@ -257,21 +259,58 @@ def test_tagger_learns_unseen_spans():
     assert (pii.decode(p, x) == y).mean() > 0.93
 
 
+def xx(value, seed=42):
+    return xxhash.xxh64_intdigest(value if isinstance(value, bytes) else struct.pack("<Q", value), seed)
+
+
+def quality_grams(t):
+    """Buckets of a text's unigrams and bigrams."""
+    h = [xx(w.encode()) for w in split(t)]
+    both = h + [xx(b, xx(a)) for a, b in zip(h, h[1:])]
+    return [(x - (x >> 63 << 64)) % quality.BUCKETS for x in both]
+
+
 def test_quality(spark, sf_dir, docs, texts, empty):
-    labels = table(spark, sf_dir, "labels")
+    labels = table(spark, sf_dir, "labels").withColumn("text", F.lit("a clashing name"))
     rows = quality.quality(docs, labels).collect()
     assert len(rows) == len(texts)
-    for r, (_, t) in zip(rows, texts, strict=True):
+    held, trusted = set(), set()
+    for r in labels.collect():
+        if r["quality"] == 1 and not r["toxic"]:
+            (held if xx(r["doc_id"]) % quality.HELD == 0 else trusted).add(r["doc_id"])
+    raw, target = collections.Counter(), collections.Counter()
+    for d, t in texts:
+        raw.update(quality_grams(t))
+        if d in trusted:
+            target.update(quality_grams(t))
+    n, m = sum(raw.values()), sum(target.values())
+    weight = {b: round(quality.SCALE * (math.log((target[b] + 1) / (m + quality.BUCKETS)) - math.log((raw[b] + 1) / (n + quality.BUCKETS)))) for b in raw}
+    want, passed = [], []
+    for r, (d, t) in zip(rows, texts, strict=True):
         w = split(t)
         n = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
         hit = {j for i in range(len(w) - 7) if n[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
         lines = [x for x in t.split("\n") if split(x)]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
-        assert r["base_failed"] == (len(w) < 20 or 100 * len(hit) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
-    assert quality.quality(empty, labels.filter("false")).count() == 0
+        assert r["base_failed"] == (len(w) < 20 or 100 * len(hit) > 30 * len(w))
+        g = quality_grams(t)
+        want.append(sum(weight[b] for b in g) / (len(g) * quality.SCALE) if g else 0.0)
+        assert math.isclose(r["score"], want[-1], abs_tol=1e-12)
+        if d in held and not r["base_failed"]:
+            passed.append(want[-1])
+    least = np.quantile(passed, quality.REJECTED)
+    assert len(passed) > 3 and [r["kept"] for r in rows] == [not r["base_failed"] and s >= least - 1e-12 for r, s in zip(rows, want, strict=True)]
+    assert quality.quality(empty, labels.filter("false")).count() == 0 and quality.quality(empty, labels).count() == 0
     assert all(r["score"] == 0 for r in quality.quality(docs, labels.filter("false")).collect())
 
 
+def test_a_sigma_is_folded_by_itself(spark):
+    bench = spark.createDataFrame([(1, "Σab two three"), (2, "ΑΣ İx end")], "item_id long, text string")
+    rows = [(1, "a.Σab two three"), (2, "a:Σab two three"), (3, "aΣab two three"), (4, "σab two three"), (5, "x ΑΣ İx END \ue000"), (6, "ας İx end"), (7, "Σab TWO\ue000three Σab TWO three")]
+    got = decontaminate.hits(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {r["doc_id"]: r["n_hit"] for r in got} == {1: 3, 2: 3, 3: 0, 4: 0, 5: 3, 6: 0, 7: 3}
+
+
 def test_decontamination(spark, sf_dir, docs, texts, empty):
     bench = table(spark, sf_dir, "benchmark").limit(20).unionByName(spark.createDataFrame([(900, "Ein wort"), (901, None), (None, "wort")], "item_id long, text string"))
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t or ""))
@@ -316,6 +355,39 @@ def test_language_model(docs, texts, empty):
     assert lm.scores(empty).count() == 0
 
 
+def test_scores_are_the_models(docs, texts, monkeypatch):
+    monkeypatch.setattr(lm, "BITS", 1024)  # no false positives here
+    rows = lm.scores(docs).collect()
+    low_words = [(d, ["<end>", *low(t).encode().split(), "<end>"]) for d, t in texts]  # a start counts as an end
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    one, two = collections.Counter(), collections.Counter()
+    for d, ts in low_words:
+        if not held(d):
+            one.update(ts[1:])
+            two.update(zip(ts, ts[1:]))
+    q = lambda c: 2 ** (c.bit_length() - 1) if c else 0
+    spread = sum(map(q, one.values())) + len(one) + 1
+
+    def p(w, before):
+        weight = lm.MIX if one[before] else 0
+        return weight * q(two[before, w]) / max(1, one[before]) + (1 - weight) * (q(one[w]) + 1) / spread
+
+    want = collections.defaultdict(list)
+    for d, ts in low_words:
+        want[d].append(sum(math.log10(p(w, b)) for b, w in zip(ts, ts[1:])))
+    assert all(any(math.isclose(r["score"], x, rel_tol=1e-9) for x in want[r["doc_id"]]) for r in rows)
+    for before in [*list(one)[:20], b"never seen"]:
+        assert 1 - lm.MIX - 1e-9 <= sum(p(w, before) for w in [*one, b"unknown"]) <= 1 + 1e-9
+
+
+def test_ranges_follow_the_size(docs, monkeypatch):
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["held_out"])
+    few = sorted(lm.scores(docs).collect(), key=key)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 64)
+    many = sorted(lm.scores(docs).collect(), key=key)
+    assert all(key(a) == key(b) and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9) and math.isclose(a["score"], b["score"], rel_tol=0.05) for a, b in zip(few, many, strict=True))
+
+
 def test_filter_grows_with_what_it_holds():
     rng = np.random.default_rng(1)
     for n in (1000, 30_000, 1_000_000):
