@@ -5,11 +5,12 @@ maximum over the window, rectifier, softmax. A text's windows are all read; its
 mean log-probabilities. As a filter is linear before its maximum, its value is a sum of entries
 of per-byte tables, and of byte-pair tables where widths allow; prediction looks them up.
 
-Training takes about ``TRAIN_PER_CLASS`` labelled rows a language (a share of doc_id hashes) and the first
-``TRAIN_WINDOWS`` windows of each; prediction reads every byte of every row. Defined cases: null texts
+Training takes about ``TRAIN_PER_CLASS`` labelled rows a language, by a share of hashes, but no more than
+``TRAIN_ROWS`` in all or one a language, and ``TRAIN_WINDOWS`` windows of each, spread evenly over the text;
+prediction reads every byte of every row. Defined cases: null texts
 and texts without a letter are ``und`` with score 0; rows without lang are not learned from but are
 predicted; with no labelled row all texts are ``und``; ties go to the alphabetically first language;
-one result row for each row of documents.
+one result row for each row of documents, repeats included; an empty table gives an empty result.
 """
 
 from collections.abc import Iterator
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import crc_bucket
+from attestry.llm.common import crc_bucket, cut
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 12, 8
-TRAIN_PER_CLASS, TRAIN_WINDOWS = 600, 4
+TRAIN_PER_CLASS, TRAIN_ROWS, TRAIN_WINDOWS = 600, 20_000, 4
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 CHUNK = 256  # windows read at once
 
@@ -85,12 +86,12 @@ class Network:
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> Network:
-    """Fit a network by Adam on cross entropy; gradients pass through the maxima to the bytes that made them."""
+def train(pieces: list[list[str]], langs: list[str], seed: int = 7) -> Network:
+    """Fit a network by Adam on cross entropy to a window of each piece; gradients pass through the maxima to the bytes that made them."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
-    cut = [windows(t.encode("utf-8", "surrogatepass"))[:TRAIN_WINDOWS] for t in texts]
-    x, y = np.concatenate(cut), np.repeat([names.index(v) for v in langs], [len(c) for c in cut])
+    x = np.concatenate([windows(t.encode("utf-8", "surrogatepass"))[:1] for own in pieces for t in own])
+    y = np.repeat([names.index(v) for v in langs], [len(own) for own in pieces])
     units = FILTERS * len(WIDTHS)
     net = Network(names, rng.normal(0, 0.3, (256, EMBED)), [rng.normal(0, 0.3, (w, EMBED, FILTERS)) for w in WIDTHS], np.zeros(units), rng.normal(0, 0.2, (units, len(names))), np.zeros(len(names)))
     params = [net.embed, *net.filters, net.bias, net.out, net.out_bias]
@@ -183,18 +184,22 @@ def _predict(net: Network | None):
     return run
 
 
+def spread(text, n: int, width: int):
+    """Distinct pieces of a text of width characters, n at most, from its start to its end."""
+    at = lambda k: F.floor(F.greatest(F.length(text) - width, F.lit(0)) * k / max(1, n - 1)).cast("int") + 1
+    return F.array_distinct(F.array(*(F.substr(text, at(k), F.lit(width)) for k in range(n))))
+
+
 def fit(rows: DataFrame) -> Network | None:
     """A network from a bounded sample of rows (doc_id, text, lang)."""
     labelled = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # A share of each language by the hash of doc_id; no task gathers a language's rows.
-    count = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    most = F.lit(0)
-    for lang, n in count.items():
-        most = F.when(F.col("lang") == lang, min(1 << 20, (TRAIN_PER_CLASS << 20) // n + 1)).otherwise(most)
-    texts = labelled.filter(share < most).select("doc_id", "lang", F.substring("text", 1, WINDOW * TRAIN_WINDOWS).alias("text"))
-    got = texts.dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()  # about TRAIN_PER_CLASS rows a language
-    return train(got["text"].tolist(), got["lang"].tolist()) if len(got) else None
+    # A share of each language by hash; no task gathers a language's rows.
+    count = cut(labelled.groupBy("lang").agg(F.count("*").alias("n")))
+    each = max(1, min(TRAIN_PER_CLASS, TRAIN_ROWS // max(1, count.count())))
+    few = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.least(F.lit(1.0), each / F.col("n")) * (1 << 30)
+    texts = labelled.join(count, "lang").filter(few).select("doc_id", "lang", spread(F.col("text"), TRAIN_WINDOWS, WINDOW).alias("pieces"))
+    got = texts.distinct().orderBy("doc_id", "lang", "pieces").toPandas()  # about each rows a language
+    return train([list(x) for x in got["pieces"]], got["lang"].tolist()) if len(got) else None
 
 
 def languages(documents: DataFrame, every: int = 4, held: int = 2) -> DataFrame:
