@@ -1,14 +1,17 @@
 """Personal data in whole texts: exact base rules, and a character BiLSTM with CRF transitions.
 
 The network is trained here in numpy on labelled spans: personal data of the four kinds, in plain and
-in unusual spellings, is set into snippets of at most ``TRAIN_TEXTS`` texts. It reads overlapping
-windows; a window without a digit or an @ can hold no span of these kinds and isn't read. Windows are
+in unusual spellings, is set into snippets of about ``TRAIN_TEXTS`` texts, a share of them by hash, each
+from anywhere in its text. It reads overlapping windows of the whole text but for those without a digit or
+an @: a span of these kinds has one, so no window without could add any. Windows are
 decoded by Viterbi; each place takes the tag of the window in which it lies deepest, over the whole
 text; runs of a kind are spans. Spans of the method that touch no base span and hold an @ or at least
 ``LEAST_DIGITS`` digits are added to the base spans.
 
 Offsets are code points, ends exclusive. Defined cases: null is the empty text, without spans; one
-result row for each row of documents; without any text the network learns from bare spans.
+result row for each row of documents, repeats included; without any text the network learns from bare
+spans; an empty table gives an empty result; where two windows lie equally deep at a place, the earlier
+one's tag stands; spans that start together are in order of their ends.
 """
 
 import re
@@ -31,6 +34,7 @@ WINDOW, STRIDE = 64, 32
 HIDDEN, EMBED, TAGS = 16, 8, 1 + len(KINDS)
 TRAIN_TEXTS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 400, 1600, 5, 32, 0.02
 LEAST_DIGITS = 7
+SNIPPET = 1000
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -287,10 +291,13 @@ def _find(p):
 
 
 def fit(documents: DataFrame) -> dict[str, np.ndarray]:
-    """A network trained in snippets of at most TRAIN_TEXTS texts."""
-    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    rows = documents.filter("text is not null and doc_id is not null").select(near.alias("h"), F.substring("text", 1, 1000).alias("t")).orderBy("h", "t").limit(TRAIN_TEXTS)
-    return train(*labelled([r["t"] for r in rows.collect()]))
+    """A network trained in snippets of about TRAIN_TEXTS texts."""
+    rows = documents.filter("text is not null and doc_id is not null")
+    at = F.xxhash64("doc_id", "text")
+    few = rows.filter(F.pmod(F.shiftrightunsigned(at, 8), F.lit(1 << 30)) < min(1.0, TRAIN_TEXTS / max(1, rows.count())) * (1 << 30))
+    start = F.pmod(at, F.greatest(F.length("text") - SNIPPET, F.lit(1)).cast("long")).cast("int") + 1
+    got = few.select(F.substr("text", start, F.lit(SNIPPET)).alias("t")).distinct().orderBy("t").collect()  # TRAIN_TEXTS rows, about
+    return train(*labelled([r["t"] for r in got]))
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
