@@ -3,12 +3,41 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that carry no subject.
+#: Wording of standards at large, which finds everything; and the common stop words of English text search.
 FILLER = (
-    "about after also and any are because been before being between but can could does each for from had has have how into its may "
-    "might more most must not only other over shall should some such than that the their them then there these they this those "
-    "through under was were what when where which while who will with within without would you your"
-).split()
+    "must shall should may will can standard standards requirement requirements policy policies guideline guidelines document documents documented documentation "
+    "use used using ensure ensures ensuring provide provides provided include includes including apply applies applied maintain maintained define defines defined "
+    "appropriate relevant applicable necessary current currently equivalent data system systems information organisation organization process processes"
+).split()
+STOP = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there "
+    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
+#: Words of four letters and more that match any diagram.
+KEYWORD_STOP = """
+    that this with from they them have been will must should shall each other than
+    when where which what while whose into onto upon over under about above below
+    such same both more most some many much very also only just then than there
+    these those their your ours theirn used using uses make makes made take taken
+    does done being were was are for the and but not any all can may via per
+    system systems design designs document documents solution solutions service
+    services provide provides provided ensure ensures ensured include includes
+    including requirement requirements standard standards clause clauses section
+    sections shall_not appropriate relevant necessary applicable
+
+    data through rather directly between flow flows across within around
+    context enterprise platform platforms component components interface
+    interfaces process processes manage managed management support supported
+    operate operated record records control controls access user users
+    application applications information business technical
+
+    related associated specific general various different additional further
+    following above below other others where whether during before after
+    because however therefore given based upon able need needs needed
+    required requires
+""".split()
 
 
 def tokens(text: Column, least: int = 3) -> Column:
@@ -21,13 +50,14 @@ def content_words(text: Column) -> Column:
 
 
 def keywords(text: Column) -> Column:
-    """Distinct words of at least four characters that are not filler."""
-    return F.array_except(F.array_distinct(tokens(text, 4)), F.array(*map(F.lit, FILLER)))
+    """Distinct words of at least four letters or digits that could tell what a diagram is about."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]{4,})"), 1)
+    return F.array_except(F.array_distinct(words), F.array(*map(F.lit, KEYWORD_STOP)))
 
 
 def query_terms(text: Column) -> Column:
-    """Distinct words less filler; all of them if nothing is left."""
-    words = content_words(text)
+    """Distinct words less filler and stop words; less stop words alone if nothing is left."""
+    words = F.array_except(content_words(text), F.array(*map(F.lit, STOP)))
     left = F.array_except(words, F.array(*map(F.lit, FILLER)))
     return F.when(F.size(left) > 0, left).otherwise(words)
 

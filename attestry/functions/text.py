@@ -3,15 +3,23 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Wording that states a duty, a permission, or advice without content.
-NORMATIVE = r"(?i)\b(?:must|shall|required to|is required|are required|mandatory|prohibited)\b"
+# Wording that makes a sentence a duty, a proposed line a rule, and advice or a rule without content.
+NORMATIVE = r"(?i)\b(?:must|shall|is\s+required\s+to|are\s+required\s+to|is\s+prohibited|are\s+prohibited|may\s+not|must\s+not|shall\s+not)\b"
+BINDING = r"(?i)\b(?:must|shall|is\s+required\s+to|are\s+required\s+to)\b"
 MODALS = [
-    ("must", ["must", "shall", "required", "mandatory", "prohibited", "not permitted", "is to be", "are to be"]),
-    ("should", ["should", "recommended", "preferred", "encouraged"]),
-    ("may", ["may", "optional", "permitted", "can"]),
+    ("must", ["must", "shall", "required", "require", "requires", "mandatory", "prohibited", "forbidden", "may not", "must not", "shall not"]),
+    ("should", ["should", "recommended", "expected", "ought"]),
+    ("may", ["may", "can", "optional", "permitted", "encouraged"]),
 ]
 COMPOUND_TAILS = "up|out|in|on|off|to|by|end|based|level|time|only|wide|specific|party|tier"
-VAGUE = r"(?i)\b(?:as appropriate|best practices?|where possible|as needed|in general|various|etc\.?)\b"
+VAGUE = (
+    r"(?i)\b(?:appropriate(?:ly)?|adequate(?:ly)?|as\s+necessary|where\s+possible|where\s+appropriate|best\s+practices?|consider(?:ing|ed)?|proper(?:ly)?|robust|sufficient(?:ly)?"
+    r"|as\s+needed|if\s+required|suitable|reasonable)\b"
+)
+GENERIC = (
+    r"(?i)\b(?:consider\s+(?:implementing|adding|reviewing|using|adopting)|ensure\s+(?:that\s+)?proper|confirm\s+(?:its\s+|the\s+)?support\s+status|align\s+with\s+stakeholders|review\s+and\s+update"
+    r"|follow\s+(?:industry\s+)?best\s+practices?|as\s+appropriate|where\s+appropriate)\b"
+)
 
 
 def normative(sentence: Column) -> Column:
@@ -21,7 +29,7 @@ def normative(sentence: Column) -> Column:
 
 def vague(text: Column) -> Column:
     """Fewer than six words, boilerplate, or an opening on a figure."""
-    return (F.size(F.split(F.trim(text), r"\s+")) < 6) | text.rlike(VAGUE) | text.rlike(r"(?i)^\s*(?:the\s+)?(?:diagram|figure|image|drawing)\b")
+    return (F.size(F.split(F.trim(text), r"\s+")) < 6) | text.rlike(GENERIC) | text.rlike(r"(?i)^\s*(?:the\s+)?(?:diagram|figure|image|drawing)\b")
 
 
 def substantive(text: Column) -> Column:
@@ -40,11 +48,12 @@ def strongest_modal(text: Column) -> Column:
 
 
 def obligation(parsed: Column, requirements: Column, statement: Column, title: Column) -> Column:
-    """(strength, source): parsed strengths if they line up with the requirements, else what the words say."""
+    """(strength, source): parsed strengths if they line up with the requirements, else what statement, title or requirements say."""
     order = F.array(*(F.lit(s) for s, _ in MODALS))
     sound = (F.size(parsed) == F.size(requirements)) & (F.size(parsed) > 0) & F.forall(parsed, lambda s: F.array_contains(order, s))
     best = lambda a: F.when(F.array_contains(a, "must"), "must").when(F.array_contains(a, "should"), "should").when(F.array_contains(a, "may"), "may")
-    read = F.coalesce(best(F.filter(F.transform(requirements, strongest_modal), lambda s: s.isNotNull())), strongest_modal(statement), strongest_modal(title))
+    # The statement governs; only where it and the title are silent do the requirements speak.
+    read = F.coalesce(strongest_modal(statement), strongest_modal(title), best(F.filter(F.transform(requirements, strongest_modal), lambda s: s.isNotNull())))
     return F.when(sound, F.struct(best(parsed).alias("strength"), F.lit("parsed").alias("source"))).when(
         read.isNotNull(), F.struct(read.alias("strength"), F.lit("read").alias("source"))).otherwise(F.struct(F.lit("unstated").alias("strength"), F.lit("unstated").alias("source")))
 
@@ -79,8 +88,11 @@ def first_sentences(text: Column, most: int) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    """Words only, lower case, typographic marks as plain ones. Compatibility forms of non-ASCII letters are left."""
-    plain = F.translate(text, "‘’“”–— ", "''\"\"-- ")
+    """Words only, lower case, typographic marks as plain ones; ligatures and full-width forms as plain letters."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))  # full-width ASCII
+    plain = F.translate(text, "‘’“”–—\u00a0" + wide, "''\"\"-- " + "".join(map(chr, range(0x21, 0x7F))))
+    for mark, letters in {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}.items():
+        plain = F.replace(plain, F.lit(mark), F.lit(letters))
     return F.trim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]+", " "))
 
 
@@ -121,7 +133,7 @@ def chunk_tokens(text: Column) -> Column:
 
 def reference(n: Column) -> Column:
     """AR-0001 and on."""
-    return F.concat(F.lit("AR-"), F.lpad(n.cast("string"), 4, "0"))
+    return F.concat(F.lit("AR-"), F.when(n > 9999, n.cast("string")).otherwise(F.lpad(n.cast("string"), 4, "0")))
 
 
 def file_format(content: Column) -> Column:

@@ -7,19 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions import lexical
+from attestry.functions import lexical, text
 from attestry.functions.text import normalise
+from attestry.operators import fidelity
 
 # Fixed values of the contract.
 CITING = ["covered", "partial", "contradicts", "not_assessable", "not_applicable"]
 DECISIVE = ["covered", "contradicts", "not_applicable"]
 KNOWN = [*CITING, "absent", "needs_review"]
 WEAK_SCORE, ABSENT_CONFIDENCE, FIGURE_CONFIDENCE, FIGURE_WORDS, FIGURE_COUNT = 0.018, 0.55, 0.80, 2, 2
+MAX_RATIONALE = 600
 PROJECT_ORDER = ["contradicts", "covered", "partial", "needs_review", "absent"]
-FAMILIES = {
-    "encryption": r"(?i)encrypt|\btls\b|cipher", "authentication": r"(?i)authenticat|\bmfa\b|single sign", "logging": r"(?i)\blog(?:s|ging|ged)?\b|audit trail",
-    "backup": r"(?i)back-?up|restor", "monitoring": r"(?i)monitor|alert", "access control": r"(?i)access control|least privilege|\brbac\b",
-}
 
 
 def severity(verdict: Column, obligation: Column) -> Column:
@@ -57,44 +55,6 @@ def cited_breaches(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("verdict") == "contradicts") & (F.size("evidence") > 0))
 
 
-def omission(rationale: Column) -> Column:
-    """Whether a rationale says that something isn't there."""
-    return rationale.rlike(r"(?i)\b(?:does not (?:mention|state|describe|address|include)|no (?:mention|evidence|reference)|not (?:mentioned|stated|described|addressed)|is missing|omits?)\b")
-
-
-def hedged_breach(rationale: Column) -> Column:
-    """A breach claimed over something unsaid."""
-    return rationale.rlike(r"(?i)\b(?:cannot be (?:confirmed|determined|verified)|not (?:documented|recorded|evidenced)|no (?:record|documentation))\b")
-
-
-def overreach(rationale: Column, clause: Column) -> Column:
-    """An exclusive demand in the rationale that the clause doesn't make."""
-    only = r"(?i)\b(?:only|exclusively|solely)\b"
-    return rationale.rlike(only) & ~clause.rlike(only)
-
-
-def approval_missing(clause: Column, evidence: Column, rationale: Column) -> Column:
-    word = r"(?i)\b(?:approved|certified|accredited|authori[sz]ed)\b"
-    return clause.rlike(word) & ~evidence.rlike(word) & ~rationale.rlike(word)
-
-
-def families(text: Column) -> Column:
-    """The control families that a text names."""
-    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(name)) for name, p in FAMILIES.items())))
-
-
-def families_missing(clause: Column, evidence: Column, rationale: Column) -> Column:
-    """Families that a compound clause (two or more) names and the answer doesn't."""
-    named = families(clause)
-    return F.when(F.size(named) >= 2, F.array_except(named, families(F.concat_ws(" ", evidence, rationale)))).otherwise(F.array().cast("array<string>"))
-
-
-def subject_mismatch(clause: Column, evidence: Column) -> Column:
-    """Evidence that shares no keyword with its clause."""
-    a, b = lexical.keywords(clause), lexical.keywords(evidence)
-    return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
-
-
 def figure_corroborates(clause: Column, figures: Column, count: Column) -> Column:
     return (count >= FIGURE_COUNT) | (F.size(F.array_intersect(lexical.keywords(clause), lexical.keywords(figures))) >= FIGURE_WORDS)
 
@@ -108,17 +68,17 @@ def guard(rows: DataFrame) -> DataFrame:
     c = F.col
     said = F.array_join("evidence", " ")
     stands = (c("verdict") == "covered") & (c("confidence") >= FIGURE_CONFIDENCE) & figure_corroborates(c("clause_text"), c("figure_text"), c("cited_generated"))
-    missing = families_missing(c("clause_text"), said, c("rationale"))
+    missing = fidelity.families_missing(c("clause_text"), said, c("rationale"))
     arms = [
         (c("verdict").isin(CITING) & (F.size("evidence") == 0), "needs_review", "cites nothing"),
         (c("verdict").isin(DECISIVE) & (c("cited_total") > 0) & (c("cited_generated") == c("cited_total")) & ~stands, "needs_review", "figures only"),
         (F.size("fabricated") > 0, "needs_review", "decision not on record"),
         (c("conflicted") & c("verdict").isin(DECISIVE), "needs_review", "decisions disagree"),
-        ((c("verdict") == "contradicts") & overreach(c("rationale"), c("clause_text")), "needs_review", "overreach"),
-        ((c("verdict") == "contradicts") & hedged_breach(c("rationale")), "not_assessable", "hedged breach"),
-        ((c("verdict") == "covered") & approval_missing(c("clause_text"), said, c("rationale")), "not_assessable", "approval missing"),
+        ((c("verdict") == "contradicts") & fidelity.overreach(c("rationale"), c("clause_text")), "needs_review", "overreach"),
+        ((c("verdict") == "contradicts") & fidelity.hedged_breach(c("rationale")), "not_assessable", "hedged breach"),
+        ((c("verdict") == "covered") & fidelity.approval_missing(c("clause_text"), said, c("rationale")), "not_assessable", "approval missing"),
         ((c("verdict") == "covered") & (F.size(missing) > 0), "partial", "families missing"),
-        (c("verdict").isin(CITING) & subject_mismatch(c("clause_text"), said), "needs_review", "subject mismatch"),
+        (c("verdict").isin(CITING) & fidelity.subject_mismatch(c("clause_text"), said), "needs_review", "subject mismatch"),
         ((c("verdict") == "absent") & (c("best_score") < WEAK_SCORE), "needs_review", "weak retrieval"),
         ((c("verdict") == "absent") & (c("confidence") < ABSENT_CONFIDENCE), "needs_review", "low confidence"),
     ]
@@ -127,12 +87,23 @@ def guard(rows: DataFrame) -> DataFrame:
 
 
 def normalise_answer(rows: DataFrame) -> DataFrame:
-    """Unknown verdicts are for review; confidence within 0 and 1; a partial answer told in words of breach contradicts; a paperwork answer is for review."""
-    c = F.col("verdict")
-    known = F.when(c.isin(KNOWN), c).otherwise("needs_review")
-    breach = (known == "partial") & F.col("rationale").rlike(r"(?i)\b(?:violates|contradicts|breach(?:es)?|forbidden|prohibited)\b")
-    paperwork = known.isin(DECISIVE) & F.col("rationale").rlike(r"(?i)\b(?:sign-?off|form|template|paperwork)\b is (?:missing|absent)")
-    return rows.withColumn("verdict", F.when(breach, "contradicts").when(paperwork, "needs_review").otherwise(known)).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)))))
+    """verdict, confidence and rationale of raw answers (verdict, confidence, rationale, clause_text) put right.
+
+    Unknown verdicts are for review; confidence lies within 0 and 1; a partial answer told in words of breach
+    contradicts; one whose remedy argues compliance is covered; families that the clause doesn't name are
+    marked in the rationale; a technical clause answered by missing paperwork is for review.
+    """
+    said, clause = F.coalesce("rationale", F.lit("")), F.coalesce("clause_text", F.lit(""))
+    low = F.lower(F.trim("verdict"))
+    rows = rows.withColumn("verdict", F.when(low.isin(KNOWN), low).otherwise("needs_review")).withColumn("rationale", text.first_sentences(said, MAX_RATIONALE))
+    rows = rows.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)))))
+    v, r = F.col("verdict"), F.col("rationale")
+    rows = rows.withColumn("verdict", F.when((v == "partial") & r.rlike(fidelity.BREACH), "contradicts").otherwise(v))
+    rows = rows.withColumn("verdict", F.when(fidelity.remedy_claims_compliance(v, r), "covered").otherwise(v))
+    stray = fidelity.invented_families(r, clause)
+    note = F.concat(r, F.lit(" (This clause does not state a requirement for "), F.array_join(stray, ", "), F.lit("; that part of the assessment is not traceable to it.)"))
+    rows = rows.withColumn("rationale", F.when(F.size(stray) > 0, F.substring(note, 1, MAX_RATIONALE)).otherwise(r))
+    return rows.withColumn("verdict", F.when(fidelity.paperwork_for_architecture(v, r, clause), "needs_review").otherwise(v))
 
 
 def breach_mark(quote: Column, extract: Column) -> Column:
@@ -209,12 +180,18 @@ def promote(findings: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def sharpening(lines: DataFrame) -> DataFrame:
-    """Proposed lines with the reason each is refused, or null: length, words, duty, vagueness, copies."""
-    from attestry.functions import text
+    """Proposed lines with the reason each is refused, or null.
 
+    lines: line, basis (ids of what it was read from), existing (lines of the standard), design_name. A line
+    is refused if it is too long or short, rests on nothing, states no duty, is vague, stands in the standard,
+    or names the design.
+    """
     c = F.col("line")
+    # The first part of a heading path is the document's title; capitalised runs of two words and more in it are its name.
+    names = F.regexp_extract_all(F.split(F.coalesce("design_name", F.lit("")), " › ")[0], F.lit(r"\b([A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+)+)\b"), 1)
     reason = (
-        F.when(F.length(c) > 240, "too long").when(F.size(F.split(F.trim(c), r"\s+")) < 6, "too short").when(~c.rlike(text.NORMATIVE), "states no duty")
-        .when(c.rlike(text.VAGUE), "vague").when(F.exists("existing", lambda e: normalise(e) == normalise(c)), "exists already")
+        F.when(F.length(c) > 240, "too long").when(F.size(F.split(F.trim(c), r"\s+")) < 6, "too short").when(F.size(F.coalesce("basis", F.array().cast("array<string>"))) == 0, "rests on nothing")
+        .when(~c.rlike(text.BINDING), "states no duty").when(c.rlike(text.VAGUE), "vague").when(F.exists("existing", lambda e: normalise(e) == normalise(c)), "exists already")
+        .when(F.exists(names, lambda n: F.contains(F.lower(c), F.lower(n))), "names the design")
     )
     return lines.withColumn("reason", reason)

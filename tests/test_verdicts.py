@@ -20,11 +20,11 @@ SCHEMA = "verdict string, confidence double, evidence array<string>, best_score
         ({"fabricated": ["d1"]}, ("needs_review", "decision not on record")),
         ({"conflicted": True}, ("needs_review", "decisions disagree")),
         ({"conflicted": True, "verdict": "partial"}, ("partial", None)),
-        ({"verdict": "contradicts", "rationale": "It must use only keys"}, ("needs_review", "overreach")),
+        ({"verdict": "contradicts", "rationale": "It must use keys", "clause_text": "Keys are the preferred storage"}, ("needs_review", "overreach")),
         ({"verdict": "contradicts", "rationale": "It is not documented"}, ("not_assessable", "hedged breach")),
-        ({"clause_text": "Storage is an approved product"}, ("not_assessable", "approval missing")),
-        ({"clause_text": "Storage encryption and backup and logging"}, ("partial", "families missing")),
-        ({"clause_text": "Network zones"}, ("needs_review", "subject mismatch")),
+        ({"clause_text": "Storage is an approved workload"}, ("not_assessable", "approval missing")),
+        ({"clause_text": "Storage encryption, governance and monitoring"}, ("partial", "families missing")),
+        ({"clause_text": "Latency and performance budgets", "evidence": ["The cipher and access list"]}, ("needs_review", "subject mismatch")),
         ({"verdict": "absent", "evidence": [], "best_score": 0.01}, ("needs_review", "weak retrieval")),
         ({"verdict": "absent", "evidence": [], "confidence": 0.5}, ("needs_review", "low confidence")),
         ({"verdict": "absent", "evidence": []}, ("absent", None)),
