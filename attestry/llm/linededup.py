@@ -11,7 +11,8 @@ Segment-partition join: a line of a group with e edits has e + 1 segments of fix
 placed from its left end and the others from its right. Of two lines within e edits the second holds some
 segment i of the first, moved by at most i, or e - i, words; so a line's keys are its own segments and the
 ones it might hold of others. A line up to e words longer than the group's longest looks into that group
-too. Candidates are verified by a banded bit-parallel edit distance on word hashes.
+too. Candidates that parity masks and outlines leave room for are verified by a banded bit-parallel edit
+distance on word hashes.
 
 Built-in expressions only. Defined cases: the first place is the least (doc_id, hash of the text, line
 number); rows without doc_id or text are left as they are; rows that repeat a doc_id with another text are
@@ -29,13 +30,22 @@ from attestry.llm.components import link
 GROUPS = ((8, 1), (20, 2), (40, 3))
 EDITS = max(e for _, e in GROUPS)
 BROADCAST_ROWS = 500_000
+BROADCAST_KEYS = 1_500_000  # 64-bit numbers alone
 #: Characters that are words of their own: Japanese, Chinese and Korean ones.
 OWN_WORDS = r"[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]"
 
 
+def spaced(line: Column) -> Column:
+    """A line's words with one space between them."""
+    odd = lambda x: F.regexp_replace(F.regexp_replace(x, f"({OWN_WORDS})", " $1 "), WORD_GAP, " ")
+    plain = ~F.contains(line, F.lit("  "))
+    for gap in "\t\x0b\f\r":
+        plain = plain & ~F.contains(line, F.lit(gap))
+    return F.trim(F.when((F.octet_length(line) == F.length(line)) & plain, line).when(~line.rlike(OWN_WORDS) & plain, line).otherwise(odd(line)))
+
+
 def line_words(line: Column) -> Column:
-    spaced = F.when(F.octet_length(line) == F.length(line), line).when(line.rlike(OWN_WORDS), F.regexp_replace(line, f"({OWN_WORDS})", " $1 ")).otherwise(line)
-    return F.array_remove(F.split(spaced, WORD_GAP), "")
+    return F.array_remove(F.split(spaced(line), " "), "")
 
 
 def allowed(n: Column) -> Column:
@@ -46,34 +56,37 @@ def allowed(n: Column) -> Column:
     return found
 
 
-def _group_keys(toks: Column, n: Column, least: int, e: int) -> tuple[list[Column], list[Column]]:
-    """Keys of the group of e edits: a line's own segments, and what it may hold of other lines' segments."""
+def _group_keys(said: Column, least: int, e: int) -> tuple[list[Column], list[Column]]:
+    """Keys of the group of e edits: a line's own segments, and what it may hold of other lines' segments. said: words and single spaces."""
     size, own, near = least // (e + 1), [], []
     for i in range(e + 1):
         left = i * 2 <= e
-        at = F.lit(i * size + 1) if left else n - ((e + 1 - i) * size - 1)
         most = i if left else e - i
         for d in range(-most, most + 1):
-            (near if d else own).append(F.xxhash64(F.lit(e), F.lit(i), F.slice(toks, at + d, F.lit(size))))
+            if left:
+                piece = F.substring_index(F.substring_index(said, " ", (i + 1) * size + d), " ", -size)
+            else:
+                piece = F.substring_index(F.substring_index(said, " ", -((e + 1 - i) * size - d)), " ", size)
+            (near if d else own).append(F.xxhash64(F.lit(e), F.lit(i), piece))
     return own, near
 
 
-def own_keys(toks: Column, n: Column) -> Column:
+def own_keys(said: Column, n: Column) -> Column:
     """The segments of a line of n words, as keys of its group."""
     out = F.array().cast("array<bigint>")
     for least, e in GROUPS:
-        out = F.when(n >= least, F.array(*_group_keys(toks, n, least, e)[0])).otherwise(out)
+        out = F.when(n >= least, F.array(*_group_keys(said, least, e)[0])).otherwise(out)
     return out
 
 
-def near_keys(toks: Column, n: Column) -> Column:
+def near_keys(said: Column, n: Column) -> Column:
     """Keys under which a line may hold segments of others, its own left out: in its group, and in the one below if that may hold lines within reach."""
     out, below = F.array().cast("array<bigint>"), None
     for least, e in GROUPS:
-        near = _group_keys(toks, n, least, e)[1]
+        near = _group_keys(said, least, e)[1]
         here = F.array(*near) if near else F.array().cast("array<bigint>")
         if below:
-            under = F.array(*(k for part in _group_keys(toks, n, *below) for k in part))
+            under = F.array(*(k for part in _group_keys(said, *below) for k in part))
             here = F.when(n - below[1] < least, F.concat(here, under)).otherwise(here)
         out, below = F.when(n >= least, here).otherwise(out), (least, e)
     return out
@@ -145,11 +158,34 @@ def distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(F.abs(F.size(a) - F.size(b)) > edits, edits + 1).otherwise(let(_stripped(a, b), either))
 
 
+#: 64-bit masks of a line: a bit for each kind of word, by hash, that stands an odd number of times.
+MASKS = ("m0", "m1", "m2", "m3")
+
+
+def _mask(w: Column, k: int) -> Column:
+    """Of the words whose hash falls to mask k, the parities."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    mine = lambda x: F.shiftright(x, 6).bitwiseAND(len(MASKS) - 1) == k
+    return F.aggregate(w, F.lit(0).cast("long"), lambda m, x: F.when(mine(x), m.bitwiseXOR(bit(x))).otherwise(m))
+
+
+def _outline(w: Column) -> Column:
+    """A line as a string of one character a word, of 4096 characters by the word's hash."""
+    return F.decode(F.unhex(F.array_join(F.transform(w, lambda x: F.concat(F.lit("4"), F.lpad(F.right(F.hex(x), F.lit(3)), 3, "0"))), "")), "UTF-16BE")
+
+
 def _profile_fits(p: Column, q: Column) -> Column:
-    """Whether two lines' profiles leave room for a link: each edit changes two bits of either mask at most, and two pairs of neighbours."""
+    """Whether two lines' profiles leave room for a link: an edit changes two bits of the masks at most, and two pairs of neighbours."""
     e = allowed(F.least(p["n"], q["n"]))
-    near = lambda m: F.bit_count(p[m].bitwiseXOR(q[m])) <= 2 * e
-    return (F.abs(p["n"] - q["n"]) <= e) & (F.greatest(p["own"], q["own"]) <= 2 * e) & near("m1") & near("m2")
+    apart = F.bit_count(p[MASKS[0]].bitwiseXOR(q[MASKS[0]]))
+    for m in MASKS[1:]:
+        apart = apart + F.bit_count(p[m].bitwiseXOR(q[m]))
+    return (F.abs(p["n"] - q["n"]) <= e) & (F.greatest(p["own"], q["own"]) <= 2 * e) & (apart <= 2 * e)
+
+
+def _near(d: Column, e: Column) -> Column:
+    """linked() for lines with their outlines, which are no further apart than the lines, and soon compared."""
+    return F.when(F.call_function("levenshtein", d["s"], e["s"], F.lit(EDITS)) >= 0, linked(d["w"], e["w"])).otherwise(False)
 
 
 def linked(a: Column, b: Column) -> Column:
@@ -158,10 +194,10 @@ def linked(a: Column, b: Column) -> Column:
 
 
 def places(documents: DataFrame) -> DataFrame:
-    """(doc_id, version, at, line, h): the lines that hold a word; version: the hash of the text."""
+    """(doc_id, version, at, line, h): all lines; version: the hash of the text."""
     rows = documents.filter("doc_id is not null and text is not null")
     rows = rows.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
+    return rows.withColumn("h", F.xxhash64("line"))
 
 
 def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
@@ -169,36 +205,35 @@ def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
     keys = rows.select(F.col("h").alias("item"), F.explode("own").alias("key"), F.lit(True).alias("own")).unionByName(rows.select(F.col("h").alias("item"), F.explode("near").alias("key"), F.lit(False).alias("own")))
     shared = cut(keys.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.max("own").alias("own")).filter("lo <> hi and own").select("key"))
     n = shared.count()
-    members = cut(keys.join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, "key", "left_semi").groupBy("key", "item").agg(F.max("own").alias("own")))
+    members = cut(keys.join(F.broadcast(shared) if n <= BROADCAST_KEYS else shared, "key", "left_semi").groupBy("key", "item").agg(F.max("own").alias("own")))
     items = cut(members.select(F.col("item").alias("h")).distinct())
-    wanted = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-    mark = lambda w, by: F.aggregate(w, F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, by).bitwiseAND(63).cast("int"))))
+    wanted = F.broadcast(items) if items.count() <= BROADCAST_KEYS else items
     bodies = places(documents).select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     bodies = cut(bodies.select(F.col("h").alias("item"), F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("w")))
-    bodies = cut(bodies.select("item", "w", F.size("w").alias("n"), mark(F.col("w"), 0).alias("m1"), mark(F.col("w"), 6).alias("m2")))
+    bodies = cut(bodies.select("item", F.struct("w", _outline(F.col("w")).alias("s")).alias("d"), F.size("w").alias("n"), *(_mask(F.col("w"), k).alias(m) for k, m in enumerate(MASKS))))
 
     def verify(pairs):
-        side = lambda x: bodies.select(F.col("item").alias(x), F.struct("n", "m1", "m2", F.lit(0).alias("own")).alias(f"p{x}"), F.col("w").alias(f"w{x}"))
+        side = lambda x: bodies.select(F.col("item").alias(x), F.struct("n", *MASKS, F.lit(0).alias("own")).alias(f"p{x}"), F.col("d").alias(f"d{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return both.filter(F.when(_profile_fits(F.col("pa"), F.col("pb")), linked(F.col("wa"), F.col("wb"))).otherwise(False)).select("a", "b")
+        return both.filter(F.when(_profile_fits(F.col("pa"), F.col("pb")), _near(F.col("da"), F.col("db"))).otherwise(False)).select("a", "b")
 
     def profile(of):  # own: pairs of neighbouring words that no other of the items holds
         mine = cut(bodies.join(cut(of), "item"))
-        pairs = F.array_distinct(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.xxhash64(a, b)))
+        pairs = F.array_distinct(F.zip_with("d.w", F.slice("d.w", F.lit(2), F.size("d.w")), lambda a, b: F.xxhash64(a, b)))
         holders = mine.select("item", F.explode(pairs).alias("g")).groupBy("g").agg(F.min("item").alias("item"), F.max("item").alias("last"))
         own = cut(holders.filter("item = last").groupBy("item").agg(F.count("*").alias("own")))
-        return mine.join(own, "item", "left").select("item", F.struct("n", "m1", "m2", F.coalesce("own", F.lit(0)).alias("own")).alias("p"))
+        return mine.join(own, "item", "left").select("item", F.struct("n", *MASKS, F.coalesce("own", F.lit(0)).alias("own")).alias("p"))
 
-    describe = lambda refs: refs.select("item").join(bodies.select("item", F.col("w").alias("d")), "item")
-    return link(members.select("key", "item"), verify, profile, _profile_fits, (describe, linked), alone=lambda p: p["own"] <= 2 * allowed(p["n"]))
+    describe = lambda refs: refs.select("item").join(bodies.select("item", "d"), "item")
+    return link(members.select("key", "item"), verify, profile, _profile_fits, (describe, _near), alone=lambda p: p["own"] <= 2 * allowed(p["n"]))
 
 
 def repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, version, drop): the numbers of the lines that stand earlier in the corpus, for documents that have any."""
-    found = places(documents)
+    words_of = lambda x: F.struct(x.alias("said"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
     # The generator makes a line's words once; a projection would be merged into every place that uses them.
-    found = found.select("doc_id", "version", "at", "h", F.explode(F.array(line_words(F.col("line")))).alias("w")).withColumn("n", F.size("w"))
-    rows = cut(found.select("doc_id", "version", "at", "h", own_keys(F.col("w"), F.col("n")).alias("own"), near_keys(F.col("w"), F.col("n")).alias("near")))
+    found = places(documents).select("doc_id", "version", "at", "h", F.explode(F.array(let(spaced(F.col("line")), words_of))).alias("w")).select("doc_id", "version", "at", "h", "w.said", "w.n").filter("said <> ''")
+    rows = cut(found.select("doc_id", "version", "at", "h", own_keys(F.col("said"), F.col("n")).alias("own"), near_keys(F.col("said"), F.col("n")).alias("near")))
     place = F.struct("doc_id", "version", "at")
     firsts = cut(rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     named = links(documents, rows)
