@@ -16,6 +16,11 @@ def backoff(now: Column, attempts: Column, most: int = 3600) -> Column:
     return now + F.make_dt_interval(secs=F.least(F.lit(most).cast("double"), F.pow(F.lit(2.0), attempts)).cast("decimal(18,6)"))
 
 
+def backoff_seconds(attempts: int, most: int = 3600) -> float:
+    """As backoff(), for keyed state."""
+    return float(min(most, 2**attempts))
+
+
 def lease_state(state: Column, lease_until: Column, attempts: Column, now: Column) -> Column:
     """queued, retrying, running, stalled, or the final state."""
     return F.when((state == "leased") & (lease_until < now), "stalled").when(state == "leased", "running").when((state == "queued") & (attempts > 0), "retrying").otherwise(state)

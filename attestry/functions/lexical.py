@@ -62,7 +62,7 @@ def query_terms(text: Column) -> Column:
     return F.when(F.size(left) > 0, left).otherwise(words)
 
 
-def weighted_tokens(chunks: DataFrame, heading: float = 1.0, body: float = 0.1) -> DataFrame:
+def weighted_tokens(chunks: DataFrame, heading: int = 10, body: int = 1) -> DataFrame:
     """(chunk_id, term, weight): one row an occurrence; headings count ten times the body.
 
     With terms joined by OR each occurrence is a cover of its own, so rank is the sum of weights.

@@ -14,9 +14,9 @@ def read_list(payload: Column, schema: str, fits, most: int) -> Column:
 
 
 def patch(payload: Column, **values: Column) -> Column:
-    """A flat JSON object with values set; other keys stay."""
-    old = F.coalesce(F.from_json(payload, "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
-    new = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v.cast("string"))))
+    """A JSON object with values set; other keys keep their values, whatever these are. No object counts as an empty one."""
+    old = F.coalesce(F.try_parse_json(payload).try_cast("map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    new = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.parse_json(F.regexp_replace(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", "$1")))))
     return F.to_json(F.map_concat(F.map_filter(old, lambda k, _: ~k.isin(*values)), new))
 
 

@@ -96,10 +96,18 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]+", " "))
 
 
-def quote_in(quote: Column, passage: Column) -> Column:
-    """Whether all parts of a quote (split at ellipses) stand in the passage in order, on word boundaries."""
-    hay = F.concat(F.lit(" "), normalise(passage), F.lit(" "))
-    parts = F.filter(F.transform(F.split(quote, r"…|\.\.\.|\[\.\.\.\]"), normalise), lambda p: p != "")
+def searchable(passage: Column) -> Column:
+    """A passage as parts_in() reads it."""
+    return F.concat(F.lit(" "), normalise(passage), F.lit(" "))
+
+
+def quote_parts(quote: Column) -> Column:
+    """The parts of a quote between ellipses, normalised."""
+    return F.filter(F.transform(F.split(quote, r"…|\.\.\.|\[\.\.\.\]"), normalise), lambda p: p != "")
+
+
+def parts_in(parts: Column, hay: Column) -> Column:
+    """Whether all parts stand in a searchable() passage in order, on word boundaries."""
 
     def step(at, part):
         found = F.call_function("locate", F.concat(F.lit(" "), part, F.lit(" ")), hay, at)
@@ -108,6 +116,11 @@ def quote_in(quote: Column, passage: Column) -> Column:
     return (F.size(parts) > 0) & (F.aggregate(parts, F.lit(1), step) > 0)
 
 
+def quote_in(quote: Column, passage: Column) -> Column:
+    """Whether all parts of a quote (split at ellipses) stand in the passage in order, on word boundaries."""
+    return parts_in(quote_parts(quote), searchable(passage))
+
+
 def scrub(text: Column, most: int = 400) -> Column:
     """E-mail addresses and long numbers replaced, cut to length: for logs."""
     mail = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")

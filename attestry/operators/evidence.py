@@ -8,27 +8,35 @@ from pyspark.sql import functions as F
 from attestry.functions import dates, text
 
 
+#: Pieces of needles that are held against texts in their rows.
+PROBES = 20_000
+
+
 def page_stretches(pages: DataFrame) -> DataFrame:
-    """Pages (document_id, page, text) with the page after joined on."""
+    """Pages (document_id, page, text) made ready for quotes, alone and with the page after joined on."""
     w = Window.partitionBy("document_id").orderBy("page")
-    return pages.withColumn("both", F.concat_ws("\n", "text", F.when(F.lead("page").over(w) == F.col("page") + 1, F.lead("text").over(w))))
+    following = F.when(F.lead("page").over(w) == F.col("page") + 1, F.lead("text").over(w))
+    rows = pages.withColumn("_next", following)
+    return rows.select("document_id", "page", text.searchable(F.col("text")).alias("one"), F.when(F.col("_next").isNotNull(), text.searchable(F.concat_ws("\n", "text", "_next"))).alias("both"))
 
 
 def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """(document_id, quote_id, page): where a quote stands; the named page first, then any, then over a page end; null if nowhere.
 
-    Quotes meet only the pages of their own document, by an equality join.
+    Quotes meet only the pages of their own document, by an equality join; pages and quotes are normalised once each.
     """
-    met = quotes.withColumnRenamed("page", "named").join(page_stretches(pages), "document_id")
-    whole = text.quote_in(F.col("quote"), F.col("text"))
-    rank = F.when(whole & (F.col("page") == F.col("named")), 0).when(whole, 1).when(text.quote_in(F.col("quote"), F.col("both")), 2)
+    ready = quotes.select("document_id", "quote_id", F.col("page").alias("named"), text.quote_parts(F.col("quote")).alias("parts"))
+    met = ready.join(page_stretches(pages), "document_id")
+    whole = text.parts_in(F.col("parts"), F.col("one"))
+    rank = F.when(whole & (F.col("page") == F.col("named")), 0).when(whole, 1).when(text.parts_in(F.col("parts"), F.col("both")), 2)
     best = met.withColumn("rank", rank).filter(F.col("rank").isNotNull()).groupBy("document_id", "quote_id").agg(F.min_by("page", F.struct("rank", "page")).alias("page"))
     return quotes.select("document_id", "quote_id").join(best, ["document_id", "quote_id"], "left")
 
 
 def split_quotes(quotes: DataFrame, most: int = 8) -> DataFrame:
-    """A quote's sentences as quotes of their own, at most so many."""
-    return quotes.withColumn("part", F.explode(F.slice(F.split("quote", r"(?<=[.!?])\s+"), 1, most)))
+    """An answer's first quotes (quotes: array), at most so many, each sentence as a quote of its own: all of them are checked."""
+    each = quotes.select("*", F.posexplode(F.slice("quotes", 1, most)).alias("n", "quote"))
+    return each.withColumn("part", F.explode(F.filter(F.split("quote", r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")))
 
 
 def sound(verified: DataFrame) -> DataFrame:
@@ -47,15 +55,21 @@ def containing(needles: DataFrame, hay: DataFrame, gram: int = 12) -> DataFrame:
     piece = lambda x: F.regexp_extract_all(x, F.lit(f"(?s)(.{{{gram}}})"), 1)
     offsets = F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda i: F.try_element_at(piece(F.substr("needle", i)), F.lit(1)))
     probe = needles.select("needle_id", F.explode(F.array_distinct(F.array_compact(offsets))).alias("g"))
-    pieces = hay.select("hay_id", F.explode(F.array_distinct(piece(F.col("hay")))).alias("g"))
-    small = F.broadcast(probe) if probe.count() <= 100_000 else probe
-    pairs = pieces.join(small, "g").select("needle_id", "hay_id").distinct()
-    return pairs.join(needles, "needle_id").join(hay, "hay_id").filter(F.contains("hay", "needle")).select("needle_id", "hay_id")
+    if probe.count() > PROBES:
+        pieces = hay.select("hay_id", F.explode(F.array_distinct(piece(F.col("hay")))).alias("g"))
+        pairs = pieces.join(probe, "g").select("needle_id", "hay_id").distinct()
+        return pairs.join(needles, "needle_id").join(hay, "hay_id").filter(F.contains("hay", "needle")).select("needle_id", "hay_id")
+    # Few probes: a text is looked through in its row and leaves it only with pieces that some needle has.
+    known = F.array(*(F.lit(r["g"]) for r in probe.select("g").distinct().collect()))
+    found = hay.select("hay_id", "hay", F.explode(F.array_intersect(piece(F.col("hay")), known.cast("array<string>"))).alias("g"))
+    met = found.join(F.broadcast(probe.join(needles, "needle_id")), "g").filter(F.contains("hay", "needle"))
+    return met.select("needle_id", "hay_id").distinct()
 
 
 def rehome(gaps: DataFrame, sections: DataFrame) -> DataFrame:
     """Gaps (gap_id, document_id, section, quote, what): a quote must stand in the named section, or in exactly one other."""
-    met = gaps.join(sections.select("document_id", F.col("section").alias("home"), F.col("text").alias("body")), "document_id").filter(text.quote_in(F.col("quote"), F.col("body")))
+    bodies = sections.select("document_id", F.col("section").alias("home"), text.searchable(F.col("text")).alias("body"))
+    met = gaps.withColumn("parts", text.quote_parts(F.col("quote"))).join(bodies, "document_id").filter(text.parts_in(F.col("parts"), F.col("body")))
     homes = met.groupBy("gap_id").agg(F.bool_or(F.col("home") == F.col("section")).alias("own"), F.count("*").alias("n"), F.min("home").alias("home"))
     good = homes.filter("own or n = 1")
     out = gaps.join(good, "gap_id").withColumn("section", F.when(F.col("own"), F.col("section")).otherwise(F.col("home")))

@@ -6,17 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import lexical, vector
+from attestry.operators import analytics
 
 RRF = 60
+BLOCK = 10_000  # queries broadcast at once
+BROADCAST_TERMS = 1_000_000
 
 
-def ranked(rows: DataFrame, name: str, *order: Column, by: str | None = None, pool: int | None = None) -> DataFrame:
-    """A rank column over a total order, by query if given, cut to a pool."""
+def scoped(rows: DataFrame, organisation=None, documents=None, sensitivities=None) -> DataFrame:
+    """What a reader may see: rows of an organisation, of documents (a list, or a frame with document_id), of no or a listed sensitivity.
+
+    A part left out (None) lets all through; the filters reach the scan.
+    """
+    if organisation is not None:
+        rows = rows.filter(F.col("organisation_id") == organisation)
+    if isinstance(documents, DataFrame):
+        rows = rows.join(documents.select("document_id").distinct(), "document_id", "left_semi")
+    elif documents is not None:
+        rows = rows.filter(F.col("document_id").isin(list(documents)))
+    if sensitivities is not None:
+        rows = rows.filter(F.col("sensitivity").isNull() | F.col("sensitivity").isin(list(sensitivities)))
+    return rows
+
+
+def ranked(rows: DataFrame, name: str, *order: Column, by: str | list[str] | None = None, pool: int | None = None) -> DataFrame:
+    """A rank column over a total order, by query if given, cut to a pool; without either all rows are one order."""
     if by is None and pool is not None:  # a top-k by partial sorts; only its rows are numbered
         rows = rows.orderBy(*order).limit(pool)
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
-    out = rows.withColumn(name, F.row_number().over(w).cast("long"))
-    return out if pool is None else out.filter(F.col(name) <= pool)
+    keys = [by] if isinstance(by, str) else by or [F.lit(0)]
+    out = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    # The limit stands right on the number, so that Spark keeps no more of a group in each task before the shuffle.
+    out = out if pool is None else out.filter(F.col(name) <= pool)
+    return out.withColumn(name, F.col(name).cast("long"))
 
 
 def fuse(dense: DataFrame, lexical_: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,43 +46,71 @@ def fuse(dense: DataFrame, lexical_: DataFrame, keys: list[str]) -> DataFrame:
     return dense.join(lexical_, keys, "full").withColumn("score", part("vector_rank") + part("lexical_rank"))
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, query_vector: list[float] | DataFrame, terms: list[str] | DataFrame, key: str, limit: int = 8, pool: int | None = None) -> DataFrame:
-    """The best chunks for one query: ids only until the top is known."""
+def hybrid(chunks: DataFrame, vectors: DataFrame, query_vector: list[float], terms: list[str], key: str, limit: int = 8, pool: int | None = None) -> DataFrame:
+    """The best chunks for one query: ids only until the top is known; terms are counted in their row."""
     pool = pool or max(4 * limit, 32)
-    if isinstance(query_vector, DataFrame):  # one row
-        near = vectors.crossJoin(F.broadcast(query_vector.limit(1)))
-        distance = vector.cosine_distance(F.col("vector"), F.col("query"))
-    else:
-        near, distance = vectors, vector.cosine_distance(F.col("vector"), F.array(*map(F.lit, query_vector)))
-    dense = ranked(near.select(key, distance.alias("distance")), "vector_rank", F.col("distance"), F.col(key), pool=pool).select(key, "vector_rank")
-    tokens = chunks.select(key, F.explode(lexical.tokens(F.col("text"))).alias("term"))
-    wanted = terms if isinstance(terms, DataFrame) else chunks.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    hits = tokens.join(F.broadcast(wanted), "term").groupBy(key).agg(F.count("*").alias("hits"))
+    distance = vector.cosine_distance(F.col("vector"), F.array(*map(F.lit, query_vector)))
+    dense = ranked(vectors.select(key, distance.alias("distance")), "vector_rank", F.col("distance"), F.col(key), pool=pool).select(key, "vector_rank")
+    hits = chunks.select(key, F.size(F.filter(lexical.tokens(F.col("text")), lambda w: w.isin(list(terms)))).alias("hits")).filter("hits > 0")
     words = ranked(hits, "lexical_rank", F.desc("hits"), F.col(key), pool=pool).select(key, "lexical_rank")
     return fuse(dense, words, [key]).orderBy(F.desc("score"), F.col(key)).limit(limit)
 
 
-def batch_hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int = 8, pool: int | None = None) -> DataFrame:
-    """As hybrid() for many queries (query_id, query, terms) at once, by query and document.
+def batch_ranks(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, pool: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, by, chunk_id, vector_rank, lexical_rank, score) of the pools of many queries (query_id, query, terms).
 
-    The vector side is an exact scan by definition; queries are few against chunks and are broadcast
-    only up to a size, beyond which Spark repartitions.
+    chunks (chunk_id, heading_path, text, by) bound both sides; with by each query has a pool for every value of it. The
+    vector side is an exact scan by definition: queries are broadcast in blocks.
     """
-    pool = pool or max(4 * limit, 32)
-    few = F.broadcast(queries) if queries.count() <= 10_000 else queries
-    near = vectors.crossJoin(few.select("query_id", "query")).select("query_id", "chunk_id", vector.cosine_distance(F.col("vector"), F.col("query")).alias("distance"))
-    dense = ranked(near, "vector_rank", F.col("distance"), F.col("chunk_id"), by="query_id", pool=pool).select("query_id", "chunk_id", "vector_rank")
+    keys = ["query_id", *by]
+    own = vectors.join(chunks.select("chunk_id", *by), "chunk_id")
+    blocks = max(1, -(-queries.count() // BLOCK))
+    dense = None
+    for b in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "query")
+        near = own.crossJoin(F.broadcast(block)).select(*keys, "chunk_id", vector.cosine_distance(F.col("vector"), F.col("query")).alias("distance"))
+        part = ranked(near, "vector_rank", F.col("distance"), F.col("chunk_id"), by=keys, pool=pool).select(*keys, "chunk_id", "vector_rank")
+        dense = part if dense is None else dense.unionByName(part)
     asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    index = lexical.weighted_tokens(chunks).groupBy("chunk_id", "term").agg(F.sum("weight").alias("weight"))
-    hits = index.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("rank"))
-    words = ranked(hits, "lexical_rank", F.desc("rank"), F.col("chunk_id"), by="query_id", pool=pool).select("query_id", "chunk_id", "lexical_rank")
-    fused = ranked(fuse(dense, words, ["query_id", "chunk_id"]), "place", F.desc("score"), F.col("chunk_id"), by="query_id", pool=max(2 * limit, limit + 8))
-    return fused.join(chunks.select("chunk_id", "document_id", "source_id", "source_kind", "text"), "chunk_id")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
+    hits = lexical.weighted_tokens(chunks).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("rank"))
+    hits = hits.join(chunks.select("chunk_id", *by), "chunk_id") if by else hits
+    words = ranked(hits, "lexical_rank", F.desc("rank"), F.col("chunk_id"), by=keys, pool=pool).select(*keys, "chunk_id", "lexical_rank")
+    return fuse(dense, words, [*keys, "chunk_id"])
+
+
+def batch_hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int = 8, pool: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """As hybrid() for many queries at once, with some passages more than limit for the folds; place is the rank by score."""
+    fused = batch_ranks(queries, chunks, vectors, pool or max(4 * limit, 32), by)
+    fused = ranked(fused, "place", F.desc("score"), F.col("chunk_id"), by=["query_id", *by], pool=max(2 * limit, limit + 8))
+    return fused.join(chunks.drop("heading_path", *by), "chunk_id")
+
+
+def evidence_windows(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int = 8, most: int = 24, organisation=None, documents=None) -> DataFrame:
+    """(query_id, place, chunk_id, design): the passages shown for each query.
+
+    For every design within the reader's scope: both rankings fused, tables folded over their rows, twins folded, cut to limit
+    with a figure kept; then the designs' windows are woven by rank, min(most, limit * designs) passages a query.
+    chunks: chunk_id, design, document_id, organisation_id, source_id, source_kind, heading_path, heading, page, text.
+    """
+    own = scoped(chunks, organisation, documents)
+    hits = batch_hybrid(queries, own, vectors, limit, by=("design",))
+    # The folds see a query and a design as one query.
+    hits = hits.withColumnRenamed("query_id", "asked").withColumn("query_id", F.struct("asked", "design"))
+    kept = fold_twins(fold_tables(hits)).select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("place")).cast("long").alias("place"))
+    shown = keep_figure(kept.join(own.select("chunk_id", "document_id", "source_kind", "heading", "page", "text"), "chunk_id"), limit)
+    rows = shown.select(F.col("query_id.asked").alias("query_id"), F.col("query_id.design").alias("design"), F.col("place").alias("rank"), "chunk_id")
+    return analytics.weave(rows, "query_id", "design", "rank", limit, most).select("query_id", F.col("place").cast("long").alias("place"), "chunk_id", "design")
+
+
+def clause_query(title: Column, statement: Column, requirements: Column, most: int = 2000) -> Column:
+    """The text a clause is searched by: title, statement and requirements, cut."""
+    return F.substring(F.array_join(F.filter(F.concat(F.array(title, statement), F.coalesce(requirements, F.array().cast("array<string>"))), lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), "\n"), 1, most)
 
 
 def fold_tables(hits: DataFrame) -> DataFrame:
     """A table stands for its rows: of hits sharing (query, document, source) one stays, a table if there is one, at the first place."""
-    key = [F.col("query_id"), F.col("document_id"), F.coalesce(F.col("source_id"), F.concat(F.lit("own:"), F.col("chunk_id").cast("string")))]
+    key = [F.col("query_id"), F.col("document_id"), F.coalesce(F.col("source_id").cast("string"), F.concat(F.lit("own:"), F.col("chunk_id").cast("string")))]
     w = Window.partitionBy(*key)
     first = F.min("place").over(w)
     kept = F.row_number().over(w.orderBy((F.col("source_kind") != "table").cast("int"), "place"))
@@ -100,13 +149,18 @@ def keep_figure(hits: DataFrame, limit: int) -> DataFrame:
 
 
 def precedents(clauses: DataFrame, decisions: DataFrame, as_of: Column, threshold: Column, most: int = 3) -> DataFrame:
-    """Standing decisions for each clause: anchored by reference, newest first, then nearest by vector under the threshold."""
+    """Standing decisions for each clause: anchored by reference, newest first, then nearest by vector under the threshold.
+
+    Clauses meet decisions of their own organisation only (organisation_id), those of the whole of it or of their project.
+    """
     live = decisions.filter((F.col("status") == "active") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of)))
-    seen = (F.col("scope") == "organisation") | (F.col("decision_project") == F.col("project_id"))
     live = live.withColumnRenamed("project_id", "decision_project")
-    anchored = clauses.join(live, "clause_ref").filter(seen).select("clause_id", "decision_id", F.lit(0).alias("band"), (-F.unix_micros("created_at")).cast("double").alias("o"), "effect")
-    near = clauses.crossJoin(live.drop("clause_ref")).filter(seen).withColumn("o", vector.cosine_distance(F.col("clause_vector"), F.col("vector"))).filter(F.col("o") <= threshold)
-    near = near.join(anchored.select("clause_id", "decision_id"), ["clause_id", "decision_id"], "left_anti").select("clause_id", "decision_id", F.lit(1).alias("band"), "o", "effect")
+    seen = (F.col("scope") == "organisation") | (F.col("decision_project") == F.col("project_id"))
+    anchored = clauses.join(live, ["organisation_id", "clause_ref"]).filter(seen).select("clause_id", "decision_id", F.lit(0).alias("band"), (-F.unix_micros("created_at")).cast("double").alias("o"), "effect")
+    anchored = ranked(anchored, "_n", F.col("o"), F.col("decision_id"), by="clause_id", pool=most).drop("_n")
+    near = clauses.join(live.withColumnRenamed("clause_ref", "ref"), "organisation_id").filter(seen & ~F.col("ref").eqNullSafe(F.col("clause_ref")))
+    near = near.select("clause_id", "decision_id", F.lit(1).alias("band"), vector.cosine_distance(F.col("clause_vector"), F.col("vector")).alias("o"), "effect").filter(F.col("o") <= threshold)
+    near = ranked(near, "_n", F.col("o"), F.col("decision_id"), by="clause_id", pool=most).drop("_n")
     return ranked(anchored.unionByName(near), "place", F.col("band"), F.col("o"), F.col("decision_id"), by="clause_id", pool=most)
 
 
@@ -114,3 +168,19 @@ def conflicting(found: DataFrame) -> DataFrame:
     """Clauses whose anchored decisions both accept and reject."""
     own = found.filter("band = 0").groupBy("clause_id").agg(F.bool_or(F.col("effect") == "accepts").alias("a"), F.bool_or(F.col("effect") == "rejects").alias("r"))
     return own.select("clause_id", (F.col("a") & F.col("r")).alias("conflicted"))
+
+
+def earlier_twins(rows: DataFrame, share: float = 0.9, least: int = 20) -> DataFrame:
+    """(id, twin): for each text (id, text) of least content words or more the first earlier one that holds share of them.
+
+    Whatever holds share of n words lacks (1 - share) n of them at most, so it holds one of the (1 - share) n + 1 rarest,
+    which are few texts' words; these are joined, and pairs are verified on whole word sets.
+    """
+    w = rows.select("id", lexical.content_words(F.col("text")).alias("words"))
+    post = w.select("id", F.explode("words").alias("w"), F.size("words").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("count", "w"))
+    probe = post.join(post.groupBy("w").count(), "w").withColumn("r", rank).filter(f"n >= {least} and r <= floor({1 - share} * n + 0.000001) + 1").select(F.col("id").alias("b"), "w")
+    pairs = probe.join(post.select(F.col("id").alias("a"), "w"), "w").filter("a < b").select("a", "b").distinct()
+    full = pairs.join(w.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(w.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    near = full.filter(F.size(F.array_intersect("wa", "wb")) >= share * F.size("wb"))
+    return near.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("twin"))

@@ -103,9 +103,9 @@ def in_ranges(points: DataFrame, ranges: DataFrame, key: str, at: str) -> DataFr
     return points.join(spread, [key, at])
 
 
-def islands(rows: DataFrame, key: str, at: str, breaks: Column) -> DataFrame:
-    """rows with island: the number of breaks up to each, in order."""
-    return rows.withColumn("island", F.sum(breaks.cast("int")).over(Window.partitionBy(key).orderBy(at)))
+def islands(rows: DataFrame, key: str, at: str | list[str], breaks: Column) -> DataFrame:
+    """rows with island: the number of breaks up to each, in order; rows that tie are in one place."""
+    return rows.withColumn("island", F.sum(breaks.cast("int")).over(Window.partitionBy(key).orderBy(*([at] if isinstance(at, str) else at))))
 
 
 def passages(lines: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def stitch_tables(tables: DataFrame, top: int = 160, bottom: int = 160) -> DataF
     w = Window.partitionBy("document_id").orderBy("page", "top")
     prev = lambda c: F.lag(c).over(w)
     goes_on = (F.col("page") == prev("page") + 1) & (F.col("top") <= top) & (prev("bottom") >= prev("page_height") - bottom) & ((F.col("headers") == prev("headers")) | (F.size("headers") == F.size(prev("headers"))) & ~F.coalesce(F.col("has_header"), F.lit(True)))
-    return islands(tables.withColumn("opens", ~F.coalesce(goes_on, F.lit(False))), "document_id", "page", F.col("opens")).withColumnRenamed("island", "group")
+    return islands(tables.withColumn("opens", ~F.coalesce(goes_on, F.lit(False))), "document_id", ["page", "top"], F.col("opens")).withColumnRenamed("island", "group")
 
 
 def table_confidence(cells: DataFrame) -> DataFrame:

@@ -130,24 +130,27 @@ def significance(answers: DataFrame, rules: DataFrame) -> DataFrame:
     """(request_id, category, triggered, text) for every active category; see classify().
 
     answers: request_id, as_of, field, value (text), items (list or null): one row a field. rules:
-    category, active, field, operator, value, items, text: one row a condition. A field without an
-    answer never meets a condition; nor does an operator not known here.
+    category, active, field, operator, value, items, text: one row a condition, a configuration of a
+    page or two. A field without an answer never meets a condition; nor does an operator not known here.
+    A request's answers are gathered once; its rules are looked at in its row.
     """
-    c = F.col
-    rules = rules.filter("active")
-    rules = F.broadcast(rules) if rules.count() <= 10_000 else rules
-    asked = answers.select("request_id", "as_of").distinct().crossJoin(rules.withColumnsRenamed({"value": "want", "items": "accept"}))
-    both = asked.join(answers.drop("as_of"), ["request_id", "field"], "left")
-    filled = F.filter("items", lambda x: F.trim(x) != "")
-    met = (
-        F.when(c("operator") == "is_true", c("value") == "true")
-        .when(c("operator") == "at_least", F.try_to_number("value", F.lit("999999999999.999999")) >= F.try_to_number("want", F.lit("999999999999.999999")))
-        .when(c("operator") == "count_at_least", F.size(filled) >= c("want").cast("int"))
-        .when(c("operator") == "one_of", F.array_contains("accept", F.coalesce("value", F.lit(""))))
-        .when(c("operator") == "further_out_than_months", c("value").cast("date") > F.add_months(c("as_of").cast("date"), c("want").cast("int")))
-        .otherwise(False)
-    )
-    return both.groupBy("request_id", "category").agg(F.bool_or(F.coalesce(met, F.lit(False))).alias("triggered"), F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
+    number = lambda x: F.try_to_number(x, F.lit("999999999999.999999"))
+    conditions = rules.filter("active").groupBy("category").agg(F.collect_list(F.struct("field", "operator", "value", "items", "text")).alias("conditions"))
+    asked = answers.groupBy("request_id").agg(F.max("as_of").alias("as_of"), F.collect_list(F.struct("field", "value", "items")).alias("answers"))
+
+    def met(rule, answer):
+        value, want, op = answer["value"], rule["value"], rule["operator"]
+        holds = (
+            F.when(op == "is_true", value == "true").when(op == "at_least", number(value) >= number(want))
+            .when(op == "count_at_least", F.size(F.filter(answer["items"], lambda x: F.trim(x) != "")) >= want.cast("int"))
+            .when(op == "one_of", F.array_contains(rule["items"], F.coalesce(value, F.lit(""))))
+            .when(op == "further_out_than_months", value.cast("date") > F.add_months(F.col("as_of").cast("date"), want.cast("int")))
+        )
+        return (answer["field"] == rule["field"]) & F.coalesce(holds, F.lit(False))
+
+    both = asked.crossJoin(F.broadcast(conditions))
+    triggered = F.exists("conditions", lambda r: F.exists("answers", lambda a: met(r, a)))
+    return both.select("request_id", "category", triggered.alias("triggered"), F.array_join(F.array_sort(F.transform("conditions", lambda r: r["text"])), " ").alias("text"))
 
 
 def classify(results: DataFrame) -> DataFrame:

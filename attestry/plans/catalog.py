@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import dates, lexical, text, vector
-from attestry.operators import analytics, evidence, search, state, structure, verdicts
+from attestry.operators import analytics, evidence, fidelity, search, state, structure, verdicts
 from attestry.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,42 +42,47 @@ _COSINE = "1 - list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE *
 
 
 @_query(f"""
-WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
-dist AS (SELECT v.vec_id AS doc_id, {_COSINE.format(a='v.embedding', b='q.e')} AS d FROM embeddings v, q),
-dense AS (SELECT doc_id, row_number() OVER (ORDER BY d, doc_id) AS vector_rank FROM dist QUALIFY vector_rank <= 40),
-terms AS (SELECT DISTINCT t FROM (SELECT unnest(regexp_split_to_array(lower(substr(text, 1, 200)), '[^a-z0-9.]+')) AS t FROM documents WHERE doc_id = 0) WHERE length(t) >= 3),
+WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0 AND vec_id IN (SELECT doc_id FROM documents)),
+dist AS (SELECT query_id, v.vec_id AS doc_id, {_COSINE.format(a='v.embedding', b='q.e')} AS d FROM embeddings v JOIN documents ON doc_id = vec_id, q),
+dense AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS vector_rank FROM dist QUALIFY vector_rank <= 40),
 toks AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9.]+')) AS t FROM documents),
-hits AS (SELECT doc_id, count(*) AS n FROM toks JOIN terms USING (t) GROUP BY doc_id),
-lex AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS lexical_rank FROM hits QUALIFY lexical_rank <= 40)
-SELECT doc_id, round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0), 9) AS score, vector_rank, lexical_rank
-FROM dense FULL JOIN lex USING (doc_id) ORDER BY score DESC, doc_id LIMIT 8""")
+terms AS (SELECT DISTINCT doc_id AS query_id, t FROM toks WHERE length(t) >= 3 AND doc_id IN (SELECT query_id FROM q)),
+hits AS (SELECT query_id, doc_id, count(*) AS n FROM toks JOIN terms USING (t) GROUP BY ALL),
+lex AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS lexical_rank FROM hits QUALIFY lexical_rank <= 40),
+f AS (SELECT query_id, doc_id, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) AS s, vector_rank, lexical_rank FROM dense FULL JOIN lex USING (query_id, doc_id))
+SELECT query_id, doc_id, round(s, 9) AS score, vector_rank, lexical_rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= 8""")
 def hybrid_search_rrf(spark, sf_dir):
+    """Every embedded document with an id divisible by 100 as a query, its whole text as terms, against all documents."""
     docs, vecs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    terms = docs.filter("doc_id = 0").select(F.explode(lexical.content_words(F.substring("text", 1, 200))).alias("term")).distinct()
-    query = vecs.filter("vec_id = 0").select(F.col("embedding").alias("query"))
-    hits = search.hybrid(docs, vecs.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), query, terms, "doc_id", limit=8, pool=40)
-    return hits.select("doc_id", F.round("score", 9).alias("score"), "vector_rank", "lexical_rank")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.lit("").alias("heading_path"), "text")
+    vectors = vecs.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    asked = docs.filter("doc_id % 100 = 0").join(vecs.withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    asked = asked.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query"), lexical.content_words(F.col("text")).alias("terms"))
+    hits = search.ranked(search.batch_ranks(asked, chunks, vectors, pool=40), "place", F.desc("score"), F.col("chunk_id"), by="query_id", pool=8)
+    return hits.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 9).alias("score"), "vector_rank", "lexical_rank")
+
+
+def _near(spark, sf_dir):
+    """Every vector with an id divisible by 100 (query_id, q) beside all vectors."""
+    vecs = table(spark, sf_dir, "embeddings")
+    asked = vecs.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vecs.crossJoin(F.broadcast(asked)).withColumn("d", vector.cosine_distance(F.col("embedding"), F.col("q")))
 
 
 @_query(f"""
-WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7)
-SELECT label, vec_id, rank FROM (SELECT v.label, v.vec_id, row_number() OVER (PARTITION BY v.label ORDER BY {_COSINE.format(a='v.embedding', b='q.e')}, v.vec_id) AS rank FROM embeddings v, q) WHERE rank <= 3""")
+WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0)
+SELECT query_id, label, vec_id, rank FROM (SELECT query_id, v.label, v.vec_id, row_number() OVER (PARTITION BY query_id, v.label ORDER BY {_COSINE.format(a='v.embedding', b='q.e')}, v.vec_id) AS rank FROM embeddings v, q) WHERE rank <= 3""")
 def dense_topk_per_label(spark, sf_dir):
-    vecs = table(spark, sf_dir, "embeddings")
-    near = vecs.crossJoin(F.broadcast(vecs.filter("vec_id = 7").select(F.col("embedding").alias("q"))))
-    rows = near.select("label", "vec_id", vector.cosine_distance(F.col("embedding"), F.col("q")).alias("d"))
-    return search.ranked(rows, "rank", F.col("d"), F.col("vec_id"), by="label", pool=3).select("label", "vec_id", "rank")
+    rows = _near(spark, sf_dir).select("query_id", "label", "vec_id", "d")
+    return search.ranked(rows, "rank", F.col("d"), F.col("vec_id"), by=["query_id", "label"], pool=3).select("query_id", "label", "vec_id", "rank")
 
 
 @_query(f"""
-WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 3)
-SELECT v.vec_id, round({_COSINE.format(a='v.embedding', b='q.e')}, 6) AS distance FROM embeddings v, q
+WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0)
+SELECT query_id, v.vec_id, round({_COSINE.format(a='v.embedding', b='q.e')}, 6) AS distance FROM embeddings v, q
 WHERE {_COSINE.format(a='v.embedding', b='q.e')} <= 0.55""")
 def nearest_under_threshold(spark, sf_dir):
-    vecs = table(spark, sf_dir, "embeddings")
-    near = vecs.crossJoin(F.broadcast(vecs.filter("vec_id = 3").select(F.col("embedding").alias("q"))))
-    d = vector.cosine_distance(F.col("embedding"), F.col("q"))
-    return near.withColumn("d", d).filter(F.col("d") <= vector.threshold(F.lit("large"))).select("vec_id", F.round("d", 6).alias("distance"))
+    return _near(spark, sf_dir).filter(F.col("d") <= vector.threshold(F.lit("large"))).select("query_id", "vec_id", F.round("d", 6).alias("distance"))
 
 
 @_query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)")
@@ -181,19 +186,19 @@ def json_payload_filter(spark, sf_dir):
 
 @_query("""
 WITH l AS (SELECT source AS document_id, doc_id AS page, trim(unnest(string_split(text, chr(10)))) AS line FROM documents),
-m AS (SELECT document_id, page, regexp_replace(line, '[0-9]+', '#', 'g') AS mask FROM l WHERE line <> ''),
+m AS (SELECT document_id, page, regexp_replace(line, '[0-9]+', '#', 'g') AS mask, page % 2 AS y_band FROM l WHERE line <> ''),
 p AS (SELECT document_id, count(DISTINCT page) AS pages FROM l GROUP BY 1 HAVING count(DISTINCT page) >= 3)
-SELECT document_id, mask FROM (SELECT document_id, mask, count(DISTINCT page) AS n FROM m GROUP BY 1, 2) JOIN p USING (document_id) WHERE n >= greatest(2, floor(0.02 * pages))""")
+SELECT document_id, mask, y_band FROM (SELECT document_id, mask, y_band, count(DISTINCT page) AS n FROM m GROUP BY ALL) JOIN p USING (document_id) WHERE n >= greatest(2, floor(0.02 * pages))""")
 def furniture_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     lines = docs.select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("text"))
-    lines = lines.filter(F.length(F.trim("text")) > 0).withColumn("y", F.lit(0.0))
-    return structure.furniture(lines, share=0.02).select("document_id", "mask")
+    lines = lines.filter(F.length(F.trim("text")) > 0).withColumn("y", 24.0 * (F.col("page") % 2) + 5)
+    return structure.furniture(lines, share=0.02)
 
 
-@_query("SELECT b.item_id AS needle_id, d.doc_id AS hay_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))")
+@_query("SELECT b.item_id AS needle_id, d.doc_id AS hay_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_in_document(spark, sf_dir):
-    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.substring("text", 1, 40).alias("needle"))
+    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
     hay = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hay_id"), F.col("text").alias("hay"))
     return evidence.containing(needles, hay)
 
@@ -226,14 +231,14 @@ def turn_sections(spark, sf_dir):
 
 
 @_query("""
-WITH v AS (SELECT lang AS section, doc_id % 3 AS read, substr(text, 1, 5) AS quote FROM documents JOIN labels USING (doc_id)),
+WITH v AS (SELECT lang AS section, doc_id % 3 AS read, text AS quote FROM documents JOIN labels USING (doc_id)),
 s AS (SELECT section, count(DISTINCT read) AS reads FROM v GROUP BY section HAVING count(DISTINCT read) >= 2),
-q AS (SELECT section, quote, row_number() OVER (PARTITION BY section ORDER BY count(DISTINCT read) DESC, length(quote) DESC, quote DESC) AS r FROM v GROUP BY section, quote)
+q AS (SELECT section, md5(quote) AS quote, row_number() OVER (PARTITION BY section ORDER BY count(DISTINCT read) DESC, length(quote) DESC, quote DESC) AS r FROM v GROUP BY section, quote)
 SELECT section, quote, reads FROM q JOIN s USING (section) WHERE r = 1""")
 def agreement(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
-    reads = docs.select(F.col("lang").alias("section"), (F.col("doc_id") % 3).alias("read"), F.substring("text", 1, 5).alias("quote"))
-    return analytics.agreement(reads, 3)
+    reads = docs.select(F.col("lang").alias("section"), (F.col("doc_id") % 3).alias("read"), F.col("text").alias("quote"))
+    return analytics.agreement(reads, 3).withColumn("quote", F.md5("quote"))
 
 
 _LABELLED = """(SELECT doc_id, CASE quality * 2 + toxic WHEN 0 THEN 'contradicts' WHEN 1 THEN 'absent' WHEN 2 THEN 'covered' ELSE 'partial' END AS verdict, CASE doc_id % 4 WHEN 0 THEN 'must' WHEN 1 THEN 'should' WHEN 2 THEN 'may' ELSE 'unstated' END AS obligation FROM labels)"""
@@ -418,13 +423,18 @@ def framework_clauses(spark, sf_dir):
 # Further operators over the driver's tables; each query shapes a table into the operator's frame.
 
 
-@_query("""
-WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS "at", unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, "at", (line LIKE '%!%' OR line LIKE '%?%') AS loud FROM l WHERE length(line) BETWEEN 25 AND 400 AND regexp_matches(line, '(?i)\\b(must|shall|required to|is required|are required|mandatory|prohibited|license|licensed)\\b')""")
+_DUTY = r"(?i)\\b(?:must|shall|is\\s+required\\s+to|are\\s+required\\s+to|is\\s+prohibited|are\\s+prohibited|may\\s+not|must\\s+not|shall\\s+not)\\b".replace("\\\\", "\\")
+
+
+@_query(f"""
+WITH l AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'Part ' || l_partkey || ' must ship from ' || l_suppkey WHEN 1 THEN 'Part ' || l_partkey || ' may not leave before its date' WHEN 2 THEN 'Part ' || l_partkey || ' is mustard from the supplier' ELSE 'It shall' END AS line FROM lineitem)
+SELECT l_orderkey, l_linenumber, md5(line) AS said FROM l WHERE length(line) BETWEEN 25 AND 400 AND regexp_matches(line, '{_DUTY}')""")
 def normative_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("at", F.col("at").cast("long"))
-    said = text.normative(F.col("line")) | (F.length("line").between(25, 400) & F.col("line").rlike(r"(?i)\b(?:license|licensed)\b"))
-    return lines.filter(said).select("doc_id", "at", (F.contains("line", F.lit("!")) | F.contains("line", F.lit("?"))).alias("loud"))
+    part = F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))
+    kind = F.col("l_linenumber") % 4
+    line = F.when(kind == 0, F.concat(part, F.lit(" must ship from "), F.col("l_suppkey").cast("string"))).when(kind == 1, F.concat(part, F.lit(" may not leave before its date"))).when(kind == 2, F.concat(part, F.lit(" is mustard from the supplier"))).otherwise("It shall")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line"))
+    return rows.filter(text.normative(F.col("line"))).select("l_orderkey", "l_linenumber", F.md5("line").alias("said"))
 
 
 @_query("""
@@ -446,21 +456,9 @@ def passages(spark, sf_dir):
     return structure.passages(c).select(F.col("document_id").alias("conv_id"), "first", "last", F.md5("text").alias("said"))
 
 
-@_query("""
-WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9.]+'), lambda x: length(x) >= 3)) AS words FROM documents WHERE doc_id < 200)
-SELECT a.doc_id AS kept, b.doc_id AS dropped FROM w a JOIN w b ON a.doc_id < b.doc_id WHERE len(b.words) >= 20 AND len(list_intersect(a.words, b.words)) >= 0.9 * len(b.words)
-AND NOT EXISTS (SELECT 1 FROM w c WHERE c.doc_id < a.doc_id AND len(list_intersect(c.words, b.words)) >= 0.9 * len(b.words))""")
 def twin_pairs(spark, sf_dir):
-    """The first earlier document (of a shortlist) that holds most of a document's content words; shortlists are small by definition."""
-    w = table(spark, sf_dir, "documents").filter("doc_id < 200").select("doc_id", lexical.content_words(F.col("text")).alias("words"))
-    # Twins share at least a tenth more than half of their words, so some word of a fixed sample of each meets.
-    post = w.select("doc_id", F.explode("words").alias("w"))
-    least = post.join(post.groupBy("w").count(), "w").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("count", "w")))
-    probe = least.join(w.select("doc_id", F.size("words").alias("n")), "doc_id").filter("r <= floor(0.1 * n) + 1").select(F.col("doc_id").alias("b"), "w")
-    pairs = probe.join(post.withColumnRenamed("doc_id", "a"), "w").filter("a < b").select("a", "b").distinct()
-    full = pairs.join(w.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a").join(w.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b")
-    near = full.filter((F.size("wb") >= 20) & (F.size(F.array_intersect("wa", "wb")) >= 0.9 * F.size("wb")))
-    return near.groupBy("b").agg(F.min("a").alias("kept")).select("kept", F.col("b").alias("dropped"))
+    """The first earlier document that holds most of a document's content words, over all documents; no SQL twin: it would hold all pairs."""
+    return search.earlier_twins(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select(F.col("twin").alias("kept"), F.col("id").alias("dropped"))
 
 
 @_query("""
@@ -504,15 +502,20 @@ def lifecycle_of_orders(spark, sf_dir):
 
 
 @_query("""
-SELECT clause_ref AS c_nationkey, decision_id, band FROM (SELECT n.n_nationkey AS clause_ref, c.c_custkey AS decision_id, 0 AS band, row_number() OVER (PARTITION BY n.n_nationkey ORDER BY c.c_custkey DESC) AS r
-FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey WHERE c.c_acctbal > 0 AND (c.c_mktsegment = 'BUILDING' OR c.c_custkey % 25 = n.n_nationkey)) WHERE r <= 3""")
+WITH d AS (SELECT c_custkey AS decision_id, c_nationkey AS ref, c_nationkey % 2 AS org, c_custkey % 25 AS project, c_mktsegment = 'BUILDING' AS whole, 1 + (c_custkey % 7) AS x, 1 + (c_custkey % 5) AS y FROM customer WHERE c_acctbal > 0),
+m AS (SELECT n_nationkey AS c, decision_id, 0 AS band, CAST(-decision_id AS DOUBLE) * 1000000 AS o FROM nation JOIN d ON ref = n_nationkey AND org = n_nationkey % 2 WHERE whole OR project = n_nationkey
+UNION ALL SELECT n_nationkey, decision_id, 1, 1 - (n_nationkey * x + y) / (sqrt(n_nationkey * n_nationkey + 1) * sqrt(x * x + y * y)) FROM nation JOIN d ON ref <> n_nationkey AND org = n_nationkey % 2 WHERE whole OR project = n_nationkey)
+SELECT c AS c_nationkey, decision_id, band FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY band, round(o, 9), decision_id) AS r FROM m WHERE band = 0 OR o <= 0.42) WHERE r <= 3""")
 def anchored_precedents(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("clause_id"), F.col("n_nationkey").alias("clause_ref"), F.col("n_nationkey").cast("long").alias("project_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("clause_vector"))
+    nations = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    clauses = nations.select(key.alias("clause_id"), key.alias("clause_ref"), (key % 2).alias("organisation_id"), key.cast("long").alias("project_id"), F.array(key.cast("double"), F.lit(1.0)).alias("clause_vector"))
     c = table(spark, sf_dir, "customer")
     decisions = c.select(
-        F.col("c_custkey").alias("decision_id"), F.col("c_nationkey").alias("clause_ref"), F.when(F.col("c_acctbal") > 0, "active").otherwise("expired").alias("status"), F.lit(None).cast("timestamp").alias("expires_at"),
-        F.when(F.col("c_mktsegment") == "BUILDING", "organisation").otherwise("project").alias("scope"), (F.col("c_custkey") % 25).alias("project_id"), F.timestamp_seconds("c_custkey").alias("created_at"), F.array(F.lit(0.0), F.lit(1.0)).alias("vector"), F.lit("accepts").alias("effect"))
-    got = search.precedents(nations, decisions, F.lit("2024-01-01").cast("timestamp"), F.lit(0.42))
+        F.col("c_custkey").alias("decision_id"), F.col("c_nationkey").alias("clause_ref"), (F.col("c_nationkey") % 2).alias("organisation_id"), F.when(F.col("c_acctbal") > 0, "active").otherwise("expired").alias("status"), F.lit(None).cast("timestamp").alias("expires_at"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "organisation").otherwise("project").alias("scope"), (F.col("c_custkey") % 25).alias("project_id"), F.timestamp_seconds("c_custkey").alias("created_at"),
+        F.array((1 + F.col("c_custkey") % 7).cast("double"), (1 + F.col("c_custkey") % 5).cast("double")).alias("vector"), F.lit("accepts").alias("effect"))
+    got = search.precedents(clauses, decisions, F.lit("2024-01-01").cast("timestamp"), F.lit(0.42))
     return got.select(F.col("clause_id").alias("c_nationkey"), "decision_id", F.col("band").cast("int").alias("band"))
 
 
@@ -530,23 +533,82 @@ def _halves(body):
     return F.left(body, half), F.substr(body, half + 1)
 
 
+#: Answers for every arm of the guards, dealt to documents by id: verdict, confidence, best score, rationale, cited, generated, fabricated, conflicted, clause, figure text, evidence (null: the document's text).
+_ANSWERS = [
+    ("covered", 0.9, 0.03, "It is described.", 1, 0, 0, False, "Statement: Services shall emit structured logs.", "", None),
+    ("covered", 0.9, 0.03, "It is described.", 0, 0, 0, False, "Statement: Services shall emit structured logs.", "", ""),
+    ("contradicts", 0.95, 0.03, "The store is shared.", 2, 2, 0, False, "Statement: Stores shall be separate.", "gateway broker", None),
+    ("covered", 0.85, 0.03, "The broker is drawn.", 1, 1, 0, False, "Statement: A gateway with a broker shall be used.", "gateway broker", None),
+    ("covered", 0.7, 0.03, "The broker is drawn.", 2, 2, 0, False, "Statement: A gateway with a broker shall be used.", "gateway broker", None),
+    ("partial", 0.9, 0.03, "A decision allows it.", 1, 0, 1, False, "Statement: Stores shall be separate.", "", None),
+    ("covered", 0.9, 0.03, "A decision allows it.", 1, 0, 0, True, "Statement: Stores shall be separate.", "", None),
+    ("contradicts", 0.9, 0.03, "It must use Alpha unless exceptions are approved.", 1, 0, 0, False, "Statement: Alpha is the preferred platform. Requirements: Other platforms may apply.", "", None),
+    ("contradicts", 0.9, 0.03, "It must use Alpha.", 1, 0, 0, False, "Statement: Beta is prohibited; Alpha is preferred.", "", None),
+    ("contradicts", 0.9, 0.03, "Readiness is not confirmed. It uses one unit.", 1, 0, 0, False, "Statement: Readiness shall be shown.", "", None),
+    ("covered", 0.9, 0.03, "It meets the approved platform requirement.", 1, 0, 0, False, "Statement: Workloads with an approved target platform stay there.", "", None),
+    ("covered", 0.9, 0.03, "Identity and security are described.", 1, 0, 0, False, "Statement: Public hosting is considered.\nRequirements: governance, cybersecurity, identity and data protection.", "", None),
+    ("partial", 0.9, 0.03, "A list is given.", 1, 0, 0, False, "Statement: latency and performance budgets shall be kept.", "", "The cipher and access list"),
+    ("absent", 0.9, 0.01, "Nothing mentions it.", 0, 0, 0, False, "Statement: Growth shall follow thresholds.", "", ""),
+    ("absent", 0.5, 0.03, "Nothing mentions it.", 0, 0, 0, False, "Statement: Growth shall follow thresholds.", "", ""),
+    ("absent", 0.9, 0.03, "Nothing mentions it.", 0, 0, 0, False, "Statement: Growth shall follow thresholds.", "", ""),
+]
+
+
+def _guard_sql() -> str:
+    """The guard chain in SQL; look-behinds, which it lacks, are spelled otherwise."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    items = lambda xs: "[" + ", ".join(q(x) for x in xs) + "]"
+    has = lambda x, pattern: f"regexp_matches({x}, {q(pattern)})"
+    words = lambda x, form: f"regexp_extract_all(lower({x}), '{form}')"
+    families = lambda x: "list_filter([" + ", ".join(f"CASE WHEN {has(x, rf'(?i)\b(?:{w})\b')} THEN {q(n)} END" for n, w in fidelity.FAMILIES.items()) + "], lambda v: v IS NOT NULL)"
+    kinds = " ".join(f"WHEN list_contains({items(g.split())}, w) THEN {q(min(g.split()))}" for g in fidelity.SUBJECT_ALIASES)
+    terms = lambda x: f"list_distinct(list_transform(list_filter({words(x, '[a-z0-9]+')}, lambda w: length(w) > 2 AND NOT list_contains({items(fidelity.SUBJECT_STOP)}, w)), lambda w: CASE {kinds} ELSE w END))"
+    domains = lambda t: "list_filter([" + ", ".join(f"CASE WHEN list_has_any({t}, {items(w.split())}) THEN {q(n)} END" for n, w in fidelity.SUBJECT_DOMAINS.items()) + "], lambda v: v IS NOT NULL)"
+    figure = lambda x: f"list_filter(list_distinct({words(x, '[a-z0-9]{4,}')}), lambda w: NOT list_contains({items(lexical.KEYWORD_STOP)}, w))"
+    value = lambda v: "NULL" if v is None else q(v) if isinstance(v, str) else str(v)
+    rows = ", ".join("(" + ", ".join([str(k), *map(value, a)]) + ")" for k, a in enumerate(_ANSWERS))
+    return f"""
+WITH a(k, verdict, confidence, best, r, cited, generated, fabricated, conflicted, clause, figure, ev) AS (VALUES {rows}),
+x AS (SELECT doc_id, a.* EXCLUDE (k, ev), coalesce(ev, text) AS said, coalesce(ev, 'x') <> '' AS cites, coalesce(nullif(regexp_extract(r, '(?s)^(.*?[.!?])\\s', 1), ''), r) AS gap FROM documents JOIN a ON k = doc_id % {len(_ANSWERS)}),
+y AS (SELECT *, list_transform(string_split_regex(clause, '[.;:]\\s+|\\n'), lambda s: CASE WHEN {has('s', fidelity.ENUMERATED)} THEN {families('s')} ELSE [] END) AS listed, {families("said || ' ' || r")} AS shown, {terms('clause')} AS tc, {terms('said')} AS te,
+  regexp_replace(r, '(?i)\\b(?:' || array_to_string(list_distinct(regexp_extract_all(lower(clause), {q(fidelity.APPROVAL)}, 1)), '|') || ')\\b', ' ', 'g') AS own FROM x),
+z AS (SELECT *, listed[list_position(list_transform(listed, lambda l: len(l)), list_max(list_transform(listed, lambda l: len(l))))] AS named FROM y),
+w AS (SELECT doc_id, verdict, CASE
+ WHEN verdict IN ({', '.join(map(q, verdicts.CITING))}) AND NOT cites THEN 'cites nothing'
+ WHEN verdict IN ({', '.join(map(q, verdicts.DECISIVE))}) AND cited > 0 AND generated = cited AND NOT (verdict = 'covered' AND confidence >= 0.8 AND (generated >= 2 OR len(list_intersect({figure('clause')}, {figure('figure')})) >= 2)) THEN 'figures only'
+ WHEN fabricated > 0 THEN 'decision not on record'
+ WHEN conflicted AND verdict IN ({', '.join(map(q, verdicts.DECISIVE))}) THEN 'decisions disagree'
+ WHEN verdict = 'contradicts' AND {has('r', fidelity.EXCLUSIVE)} AND ({has('clause', fidelity.ALTERNATIVES)} OR (NOT {has('clause', fidelity.RESTRICTIVE)} AND {has('clause', fidelity.PREFERENTIAL)})) THEN 'overreach'
+ WHEN verdict = 'contradicts' AND {has('gap', fidelity.HEDGE)} AND NOT {has('gap', fidelity.AFFIRMATIVE)} THEN 'hedged breach'
+ WHEN verdict = 'covered' AND {has('clause', fidelity.APPROVAL)} AND NOT {has('said', fidelity.APPROVAL_EVIDENCE)} AND NOT {has('own', fidelity.APPROVAL_EVIDENCE)} THEN 'approval missing'
+ WHEN verdict = 'covered' AND len(named) >= 3 AND NOT list_has_all(shown, named) THEN 'families missing'
+ WHEN verdict IN ({', '.join(map(q, verdicts.CITING))}) AND len(tc) >= 2 AND len(te) >= 2 AND NOT list_has_any(tc, te) AND len({domains('tc')}) = 1 AND len({domains('te')}) = 1 AND {domains('tc')} <> {domains('te')} THEN 'subject mismatch'
+ WHEN verdict = 'absent' AND best < 0.018 THEN 'weak retrieval'
+ WHEN verdict = 'absent' AND confidence < 0.55 THEN 'low confidence' END AS why FROM z)
+SELECT doc_id, verdict, CASE WHEN why IS NULL THEN verdict WHEN why IN ('hedged breach', 'approval missing') THEN 'not_assessable' WHEN why = 'families missing' THEN 'partial' ELSE 'needs_review' END AS verdict_after, why FROM w"""
+
+
+@_query(_guard_sql())
 def guarded_verdicts(spark, sf_dir):
-    """The guard chain over labelled documents as answers; no SQL twin: its word rules use look-arounds."""
-    docs = table(spark, sf_dir, "documents").join(_labelled(spark, sf_dir), "doc_id")
-    said = F.array_compact(F.array(F.when(F.col("n_chars") > 500, _halves(F.col("text"))[0])))
-    rows = docs.select(
-        "doc_id", "verdict", ((F.col("doc_id") % 100) / 100).alias("confidence"), said.alias("evidence"), F.lit(0.03).alias("best_score"), F.when(F.col("n_chars") > 500, _halves(F.col("text"))[1]).otherwise(F.col("text")).alias("rationale"), F.lit(2).alias("cited_total"),
-        (F.col("doc_id") % 3).cast("int").alias("cited_generated"), F.array().cast("array<string>").alias("fabricated"), (F.col("doc_id") % 11 == 0).alias("conflicted"), F.col("text").alias("clause_text"), F.lit("").alias("figure_text"))
+    """The guard chain over an answer for each document, every arm among them."""
+    names = "k int, verdict string, confidence double, best_score double, rationale string, cited_total int, cited_generated int, n_fabricated int, conflicted boolean, clause_text string, figure_text string, said string"
+    answers = spark.createDataFrame([(k, *a) for k, a in enumerate(_ANSWERS)], names)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % len(_ANSWERS)).cast("int").alias("k")).join(F.broadcast(answers), "k")
+    none = F.array().cast("array<string>")
+    rows = docs.withColumn("evidence", F.when(F.col("said") == "", none).otherwise(F.array(F.coalesce("said", "text")))).withColumn("fabricated", F.when(F.col("n_fabricated") > 0, F.array(F.lit("d"))).otherwise(none))
     return verdicts.guard(rows).select("doc_id", "verdict", "verdict_after", "why")
 
 
 def batch_search(spark, sf_dir):
-    """Hybrid search for many queries at once, tables and twins folded; no SQL twin for the ordered fold."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    """The passages shown for every document with an id divisible by 100 as a query, by language as design; no SQL twin for the ordered fold."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    chunks = d.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 10).alias("document_id"), F.lit(None).cast("string").alias("source_id"), F.lit("section").alias("source_kind"), "text", F.substring("text", 1, 40).alias("heading_path"))
+    kind = F.when(F.col("doc_id") % 7 == 0, "figure").when(F.col("doc_id") % 5 == 0, "table").otherwise("section")
+    chunks = d.select(
+        F.col("doc_id").alias("chunk_id"), F.col("lang").alias("design"), F.crc32("source").alias("document_id"), F.lit(1).alias("organisation_id"), F.when(F.col("doc_id") % 5 < 2, F.floor(F.col("doc_id") / 5)).alias("source_id"), kind.alias("source_kind"),
+        F.col("source").alias("heading_path"), F.col("source").alias("heading"), F.lit(1).alias("page"), "text")
     asked = d.filter("doc_id % 100 = 0").join(e.withColumnRenamed("chunk_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"), lexical.query_terms(F.col("text")).alias("terms"))
-    return search.fold_twins(search.fold_tables(search.batch_hybrid(asked, chunks, e)))
+    return search.evidence_windows(asked, chunks, e, organisation=1)
 
 
 def section_tree(spark, sf_dir):
@@ -557,19 +619,34 @@ def section_tree(spark, sf_dir):
     return structure.sections(lines)
 
 
+@_query("""
+WITH d AS (SELECT doc_id AS key, text, CAST(floor(length(text) / 2) AS BIGINT) AS h FROM documents)
+SELECT key, md5(trim(regexp_replace(substr(text, 1, h), '^\\s+', ''), ' ')) AS statement, nullif(md5(trim(regexp_replace(substr(text, h + 1), '^\\s+', ''), ' ')), md5('')) AS rationale, 0 AS requirements, 'labelled' AS how FROM d WHERE regexp_matches(substr(text, 1, h), '\\S')""")
 def clause_extraction(spark, sf_dir):
     """Whole documents, half of each labelled as statement and half as rationale."""
     first, second = _halves(F.col("text"))
-    return structure.clauses(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("Statement: "), first, F.lit(" Rationale: "), second).alias("text")))
+    got = structure.clauses(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("Statement: "), first, F.lit(" Rationale: "), second).alias("text")))
+    return got.select("key", F.md5("statement").alias("statement"), F.md5("rationale").alias("rationale"), F.coalesce(F.size("requirements"), F.lit(0)).alias("requirements"), "how")
+
 
+_PLAIN = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
+
+@_query(f"""
+WITH p AS (SELECT source AS document_id, doc_id AS page, text, CASE WHEN lead(doc_id) OVER w = doc_id + 1 THEN lead(text) OVER w END AS after FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+n AS (SELECT document_id, page, ' ' || {_PLAIN.format(x='text')} || ' ' AS one, ' ' || {_PLAIN.format(x='text || chr(10) || after')} || ' ' AS both_ FROM p),
+q AS (SELECT document_id, CAST(item_id AS VARCHAR) AS quote_id, item_id AS named, ' ' || {_PLAIN.format(x='text')} || ' ' AS said FROM benchmark, (SELECT DISTINCT source AS document_id FROM documents)),
+m AS (SELECT document_id, quote_id, page, CASE WHEN contains(one, said) AND page = named THEN 0 WHEN contains(one, said) THEN 1 WHEN contains(both_, said) THEN 2 END AS rank FROM q JOIN n USING (document_id)),
+b AS (SELECT document_id, quote_id, arg_min(page, rank * 1000000000000 + page) AS page FROM m WHERE rank IS NOT NULL GROUP BY ALL)
+SELECT document_id, quote_id, page FROM q LEFT JOIN b USING (document_id, quote_id)""")
 def quote_verification(spark, sf_dir):
-    """Benchmark openings as quotes against documents by source, a document a page."""
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), "text")
-    first = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    quotes = table(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("document_id"), F.col("item_id").cast("string").alias("quote_id"), first.alias("quote"), F.lit(0).cast("long").alias("page"))
+    """Every benchmark text as a quote from every source, whose documents are its pages; the item's number is the page named."""
+    docs = table(spark, sf_dir, "documents")
+    pages = docs.select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("quote_id"), F.col("text").alias("quote"), F.col("item_id").alias("page"))
+    quotes = docs.select(F.col("source").alias("document_id")).distinct().crossJoin(F.broadcast(items))  # sources and items are few
     return evidence.verify_quotes(quotes, pages)
 
 
-for _f in (guarded_verdicts, batch_search, section_tree, clause_extraction, quote_verification):
+for _f in (twin_pairs, batch_search, section_tree):
     _query()(_f)

@@ -35,7 +35,7 @@ def test_twin(spark, sf_dir, sql, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 8
+    assert e.entry(spark).count() == 16
     assert set(e.oracle_sql()) <= set(e.queries())
 
 

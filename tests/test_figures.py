@@ -28,7 +28,10 @@ def test_payloads(spark):
     got = [tuple(r["x"]) for r in df.select(payload.read_list(F.col("p"), "struct<t:string,n:int>", lambda x: x["t"].isNotNull(), 5).alias("x")).collect()]
     assert [(len(i), s) for i, s in got] == [(2, 2), (0, 0)]
     one = spark.range(1)
-    assert json.loads(one.select(payload.patch(F.lit('{"a": "1", "b": "2"}'), b=F.lit(3)).alias("x")).first()["x"]) == {"a": "1", "b": "3"}
+    patched = lambda old: json.loads(one.select(payload.patch(F.lit(old), b=F.lit(3), c=F.lit("x")).alias("x")).first()["x"])
+    assert patched('{"a": "1", "b": "2"}') == {"a": "1", "b": 3, "c": "x"}
+    assert patched('{"n": 1.5, "t": true, "l": [1, {"k": null}], "b": 0}') == {"n": 1.5, "t": True, "l": [1, {"k": None}], "b": 3, "c": "x"}
+    assert patched("no json") == patched("[1]") == {"b": 3, "c": "x"}
     assert one.select(payload.without_extract_ids(F.lit("It is open [E1, E2]. See extract 3.")).alias("x")).first()["x"] == "It is open. See the design."
     parts = one.select(payload.rationale_parts(F.lit("Keys are open. Anyone may read. The design must lock them.")).alias("x")).first()["x"]
     assert [p["label"] for p in parts] == ["Gap", "Impact", "Fix"]

@@ -21,16 +21,34 @@ def test_windows_over_a_stream(spark, sf_dir, tmp_path):
 
 
 def test_queue_state(spark, tmp_path):
-    rows = [("d", "parse", 1.0, "enqueue"), ("d", "parse", 2.0, "enqueue"), ("d", "parse", 3.0, "claim"), ("d", "parse", 4.0, "fail"), ("d", "parse", 5.0, "claim"), ("d", "parse", 6.0, "fail"), ("e", "parse", 1.0, "enqueue"), ("e", "parse", 2.0, "claim"), ("e", "parse", 3.0, "complete")]
+    a, b = "worker a", "worker b"
+    rows = [
+        ("d", 1.0, "enqueue", ""), ("d", 2.0, "enqueue", ""), ("d", 3.0, "claim", a), ("d", 4.0, "fail", a), ("d", 5.0, "claim", b), ("d", 6.0, "claim", b), ("d", 7.0, "fail", a), ("d", 8.0, "fail", b),
+        ("e", 1.0, "enqueue", ""), ("e", 2.0, "claim", a), ("e", 3.0, "heartbeat", b), ("e", 4.0, "complete", b), ("e", 5.0, "complete", a), ("f", 1.0, "enqueue", ""), ("f", 2.0, "claim", a), ("f", 3.0, "fail", a),
+    ]
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"document_id": d, "stage": s, "at": a, "action": x, "lease_s": 600.0, "max_attempts": 2}) for d, s, a, x in rows))
-    stream = spark.readStream.schema("document_id string, stage string, at double, action string, lease_s double, max_attempts int").json(str(tmp_path / "in"))
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"document_id": d, "stage": "parse", "at": t, "action": x, "owner": o, "lease_s": 600.0, "max_attempts": 2}) for d, t, x, o in rows))
+    stream = spark.readStream.schema("document_id string, stage string, at double, action string, owner string, lease_s double, max_attempts int").json(str(tmp_path / "in"))
     q = events.queue(stream).writeStream.outputMode("update").format("memory").queryName("jobs").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
-    assert {r["document_id"]: (r["state"], r["attempts"]) for r in spark.table("jobs").collect()} == {"d": ("dead", 2), "e": ("done", 1)}
+    # d: its second claim came before its time at 5, and stood at 6; another worker's failure doesn't count.
+    assert {r["document_id"]: (r["state"], r["attempts"], r["run_after"]) for r in spark.table("jobs").collect()} == {"d": ("dead", 2, 12.0), "e": ("done", 1, 1.0), "f": ("queued", 1, 5.0)}
     assert [r["stage"] for r in events.chained(spark.table("jobs").filter("state = 'done'")).collect()] == ["chunk"]
 
 
+def test_claim_order_over_hours(spark):
+    rows = [(f"j{i:02}", "parse" if i % 3 else "embed", f"2024-01-01 0{i // 5}:{59 - i:02}:00") for i in range(20)]
+    jobs = spark.createDataFrame(rows, "id string, stage string, created_at string").select("*", F.col("created_at").cast("timestamp").alias("c")).drop("created_at").withColumnRenamed("c", "created_at")
+    jobs = jobs.select("*", F.lit("queued").alias("state"), F.lit("2024-01-01").cast("timestamp").alias("run_after"), F.lit(None).cast("timestamp").alias("lease_until"), F.lit(0).alias("attempts"), F.lit(3).alias("max_attempts"))
+    now = F.lit("2024-01-02").cast("timestamp")
+    got = {r["id"]: r["turn"] for r in events.claimable(jobs, now).collect()}
+    for stage in ("parse", "embed"):
+        own = sorted((c, i) for i, s, c in rows if s == stage)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+    few = {r["id"]: r["turn"] for r in events.claimable(jobs, now, most=2).collect()}
+    assert few == {i: n for i, n in got.items() if n <= 2}
+
+
 def test_docx(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     body = '<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Scope</w:t></w:r></w:p><w:p><w:r><w:t>All of it.</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>'
