@@ -213,3 +213,9 @@ def compound_cells(text: Column) -> Column:
     """Records of a flattened grid marked "#: n |", if there are two or more."""
     parts = F.filter(F.split(text, r"#:\s*\d+\s*\|"), lambda p: F.trim(p) != "")
     return F.when(F.size(F.regexp_extract_all(text, F.lit(r"(#:\s*\d+\s*\|)"), 1)) >= 2, F.transform(parts, lambda p: F.transform(F.split(p, r"\|"), lambda c: F.trim(c))))
+
+
+def title_starts(title: Column, reference: Column) -> Column:
+    """Whether a title opens on a reference and a space, spelled as it is or with spaces for its marks."""
+    plain = F.regexp_replace(reference, "[_-]+", " ")
+    return F.startswith(title, F.concat(reference, F.lit(" "))) | F.startswith(title, F.concat(plain, F.lit(" ")))

@@ -157,3 +157,65 @@ def budget_cap(lengths: DataFrame, key: str, length: str, budget: int, least: in
     fits = lengths.withColumn("room", F.floor((budget - before) / left)).withColumn("whole", F.sum(length).over(Window.partitionBy(key)))
     cut = F.when(F.max("whole") <= budget, F.max(length)).otherwise(F.min(F.when(F.col("room") < F.col(length), F.col("room"))))
     return fits.groupBy(key).agg(F.greatest(cut, F.lit(least)).cast("long").alias("cap"))
+
+
+def clauses_per_document(sections: DataFrame, clauses: DataFrame) -> DataFrame:
+    """How many clauses the sections of a document hold; none counts as 0."""
+    own = clauses.groupBy("section_id").agg(F.count("*").alias("n"))
+    return sections.join(own, "section_id", "left").groupBy("document_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("clauses"))
+
+
+def with_project(documents: DataFrame, projects: DataFrame) -> DataFrame:
+    """Documents with the name of their project, null without one."""
+    return documents.join(projects.select("project_id", F.col("name").alias("project")), "project_id", "left")
+
+
+def backfill(rows: DataFrame, source: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """rows with column filled from source where it is null; source holds a key once."""
+    found = source.select(*keys, F.col(column).alias("_found"))
+    return rows.join(found, keys, "left").withColumn(column, F.coalesce(column, "_found")).drop("_found")
+
+
+def project_listing(projects: DataFrame, documents: DataFrame, runs: DataFrame, findings: DataFrame) -> DataFrame:
+    """Each project with its designs, ready ones, runs, findings that wait for review, and last activity.
+
+    A run belongs to its own project or to its document's. Of each scope (a document, or the project as a
+    whole) the newest complete run is current; of its findings those pending and not absent are counted.
+    """
+    designs = documents.groupBy("project_id").agg(F.count("*").alias("designs"), F.count_if(F.col("status") == "ready").alias("ready"), F.max("updated_at").alias("last_activity"))
+    owner = documents.select("document_id", F.col("project_id").alias("_through"))
+    own = runs.join(owner, "document_id", "left").withColumn("project_id", F.coalesce("project_id", "_through")).filter("project_id is not null")
+    counted = own.groupBy("project_id").agg(F.count("*").alias("runs"))
+    scope = F.struct("document_id", F.when(F.col("document_id").isNull(), F.col("project_id")))
+    current = latest(own.filter("state = 'complete'").withColumn("_scope", scope), ["_scope"], F.desc("started_at"), F.col("run_id")).select("run_id", "project_id")
+    waiting = findings.filter("reviewer_state = 'pending' and verdict <> 'absent'").join(current, "run_id").groupBy("project_id").agg(F.count("*").alias("unreviewed"))
+    out = projects
+    for part in (designs, counted, waiting):
+        out = out.join(part, "project_id", "left")
+    return out.na.fill(0, ["designs", "ready", "runs", "unreviewed"])
+
+
+def outcome_snapshot(findings: DataFrame, verdicts: list[str]) -> DataFrame:
+    """What a run's report showed: findings by verdict as a map with all verdicts, pending ones, and all; absent ones aren't shown."""
+    shown = findings.filter("verdict <> 'absent'").groupBy("run_id")
+    counts = shown.agg(*(F.count_if(F.col("verdict") == v).alias(v) for v in verdicts), F.count_if(F.col("reviewer_state") == "pending").alias("unreviewed"), F.count("*").alias("total"))
+    return counts.select("run_id", F.create_map(*(x for v in verdicts for x in (F.lit(v), F.col(v)))).alias("verdicts"), "unreviewed", "total")
+
+
+def claimed_groups(groups: DataFrame, least: int = 2) -> DataFrame:
+    """(run_id, place, label, findings): groups (run_id, place, label, findings) less findings that an earlier group claimed.
+
+    The first group that may keep a finding has it; a group left with fewer than least, or without a label, goes and claims
+    nothing. What a group keeps depends on the groups before it, so a run's few groups are folded in order by one aggregate.
+    """
+    row = F.struct("place", F.trim(F.regexp_replace(F.coalesce("label", F.lit("")), r"\s+", " ")).alias("label"), F.array_distinct("findings").alias("findings"))
+
+    def step(kept, group):
+        taken = F.flatten(F.transform(kept, lambda k: k["findings"]))
+        left = F.array_except(group["findings"], taken)
+        good = (F.size(left) >= least) & (group["label"] != "")
+        return F.when(good, F.concat(kept, F.array(F.struct(group["place"].alias("place"), group["label"].alias("label"), left.alias("findings"))))).otherwise(kept)
+
+    lists = groups.groupBy("run_id").agg(F.array_sort(F.collect_list(row)).alias("g"))
+    kept = lists.select("run_id", F.explode(F.aggregate("g", F.filter("g", lambda _: F.lit(False)), step)).alias("k"))
+    return kept.select("run_id", "k.place", "k.label", "k.findings")

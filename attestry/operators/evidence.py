@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions import dates, text
+from attestry.functions import dates, lexical, text
+from attestry.operators import fidelity
 
 
 #: Pieces of needles that are held against texts in their rows.
@@ -156,3 +157,141 @@ def collapse_products(rows: DataFrame) -> DataFrame:
     first = rows.withColumn("_r", F.row_number().over(w)).withColumn("k", F.lower("name"))
     titles = rows.groupBy(*key).agg(F.array_sort(F.collect_set("title")).alias("titles"))
     return first.filter("_r = 1").join(titles, (first["k"] == titles["k"]) & first["version"].eqNullSafe(titles["version"])).select("name", first["version"], "title", F.array_except("titles", F.array("title")).alias("also_in"))
+
+
+def figures_by_section(figures: DataFrame, sections: DataFrame) -> DataFrame:
+    """Figures with the section of their document on whose pages they stand, the last that begins there or before."""
+    met = figures.join(sections.select("document_id", "section", "first_page"), "document_id").filter(F.col("first_page") <= F.col("page"))
+    best = met.groupBy("document_id", "figure_id").agg(F.max_by("section", F.struct("first_page", "section")).alias("section"))
+    return figures.join(best, ["document_id", "figure_id"], "left")
+
+
+def covered_words(passage, cells):
+    """The share of a passage's content words that the cells hold."""
+    words = lexical.content_words(passage)
+    return F.when(F.size(words) > 0, F.size(F.array_intersect(words, lexical.content_words(cells))) / F.size(words)).otherwise(0.0)
+
+
+def tables_for(chunks: DataFrame, clauses: DataFrame, tables: DataFrame, share: float = 0.8) -> DataFrame:
+    """(chunk_id, table_id): the table that a passage (chunk_id, source_kind, source_id, text) is, or was flattened from.
+
+    A table or a row of one names its table. A section, or a clause by its section, is taken for a table if just one of the
+    section's tables (table_id, section_id, cells) holds share of its content words.
+    """
+    named = chunks.filter(F.col("source_kind").isin("table", "table_row"))
+    direct = named.join(tables.select(F.col("table_id").alias("source_id"), "table_id"), "source_id").select("chunk_id", "table_id")
+    of_section = chunks.filter("source_kind = 'section'").select("chunk_id", "text", F.col("source_id").alias("section_id"))
+    of_clause = chunks.filter("source_kind = 'clause'").join(clauses.select(F.col("clause_id").alias("source_id"), "section_id"), "source_id").select("chunk_id", "text", "section_id")
+    met = of_section.unionByName(of_clause).join(tables.select("table_id", "section_id", F.array_join("cells", " ").alias("said")), "section_id")
+    made = met.filter(covered_words(F.col("text"), F.col("said")) >= share).groupBy("chunk_id").agg(F.min("table_id").alias("table_id"), F.count("*").alias("n"))
+    return direct.unionByName(made.filter("n = 1").select("chunk_id", "table_id"))
+
+
+def evidence_order(evidence: DataFrame) -> DataFrame:
+    """place of each cited passage (finding_id, at, breach_quote, document_title, rationale): the breach, then designs that the rationale names, then the rest, in the order given."""
+    title = F.trim(F.coalesce("document_title", F.lit("")))
+    names = (title != "") & F.contains(F.concat(F.lit(" "), text.normalise(F.col("rationale")), F.lit(" ")), F.concat(F.lit(" "), text.normalise(title), F.lit(" ")))
+    band = F.when(F.coalesce("breach_quote", F.lit("")) != "", 0).when(names, 1).otherwise(2)
+    return evidence.withColumn("place", F.row_number().over(Window.partitionBy("finding_id").orderBy(band, "at")))
+
+
+def fold_evidence(evidence: DataFrame, share: float = 0.8, same: float = 0.9) -> DataFrame:
+    """A finding's passages (finding_id, at, document_id, table_id, rows, figure_id, excerpt, cells) as cards, in order.
+
+    A table is one card with all rows that were cited of it. A passage without table or figure goes if a table shown for its
+    document holds share of its words. Of two passages of a document that each hold same of the other's words the longer
+    stays, at the first one's place. What stays depends on what stayed before: a finding's few passages are folded in order.
+    """
+    key = F.when(F.col("table_id").isNotNull(), F.concat(F.lit("t"), F.col("table_id").cast("string"))).otherwise(F.concat(F.lit("p"), F.col("at").cast("string")))
+    cards = evidence.withColumn("_key", key).groupBy("finding_id", "document_id", "_key").agg(
+        F.min("at").alias("at"), F.first("table_id").alias("table_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rows")))).alias("rows"), F.first("figure_id").alias("figure_id"),
+        F.min_by("excerpt", "at").alias("excerpt"), F.array_join(F.flatten(F.collect_list("cells")), " ").alias("said"),
+    )
+    shown = cards.filter("table_id is not null").groupBy("finding_id", "document_id").agg(F.collect_list("said").alias("tables"))
+    rows = cards.join(shown, ["finding_id", "document_id"], "left").withColumn("words", lexical.content_words(F.col("excerpt")))
+    own = F.col("table_id").isNotNull() | F.col("figure_id").isNotNull()
+    twin = F.exists(F.coalesce("tables", F.array().cast("array<string>")), lambda t: covered_words(F.col("excerpt"), t) >= share)
+    card = F.struct("at", own.alias("own"), "document_id", "words", "excerpt", "table_id", "rows", "figure_id")
+    lists = rows.filter(own | ~twin).groupBy("finding_id").agg(F.array_sort(F.collect_list(card)).alias("c"))
+
+    def step(kept, x):
+        both = lambda k: F.size(F.array_intersect(k["words"], x["words"]))
+        alike = lambda k: ~k["own"] & ~x["own"] & (k["document_id"] == x["document_id"]) & (F.size(k["words"]) > 0) & (both(k) >= same * F.size(k["words"])) & (both(k) >= same * F.size(x["words"]))
+        longer = lambda k: F.when(alike(k) & (F.size(x["words"]) > F.size(k["words"])), x.withField("at", k["at"])).otherwise(k)
+        return F.when(F.exists(kept, alike), F.transform(kept, longer)).otherwise(F.concat(kept, F.array(x)))
+
+    out = lists.select("finding_id", F.posexplode(F.aggregate("c", F.filter("c", lambda _: F.lit(False)), step)).alias("place", "k"))
+    return out.select("finding_id", "place", "k.document_id", "k.table_id", "k.rows", "k.figure_id", "k.excerpt")
+
+
+def to_confirm(findings: DataFrame, size: int = 25) -> DataFrame:
+    """(design, batch, findings): what each design is read whole for: absent clauses, and partial or not assessable ones said to be missing; so many a call."""
+    asked = findings.filter((F.col("verdict") == "absent") | (F.col("verdict").isin("partial", "not_assessable") & fidelity.omission(F.col("rationale"))))
+    n = F.row_number().over(Window.partitionBy("run_id", "design").orderBy("clause_ordinal", "clause_id")) - 1
+    rows = asked.withColumn("batch", F.floor(n / size).cast("int")).withColumn("number", (n % size + 1).cast("int"))
+    return rows.select("run_id", "design", "batch", "number", "clause_id")
+
+
+def adopt_confirmations(findings: DataFrame, batches: DataFrame, answers: DataFrame, pages: DataFrame, confidence: float = 0.7) -> DataFrame:
+    """findings (run_id, design, clause_id, verdict, confidence, rationale) with the verdicts that a second reading overturned.
+
+    answers: run_id, design, document_id, batch, number, verdict, quote, page, rationale. A finding moves only to a known verdict
+    other than absent, and only if the quote stands in the document; of several such answers the first number's counts.
+    """
+    known = answers.filter(F.lower(F.trim("verdict")).isin("covered", "partial", "contradicts", "not_assessable", "not_applicable", "needs_review"))
+    met = known.join(batches, ["run_id", "design", "batch", "number"]).withColumn("quote_id", F.xxhash64("run_id", "design", "clause_id", "quote"))
+    stands = verify_quotes(met.select("document_id", "quote_id", "quote", "page").dropDuplicates(["document_id", "quote_id"]), pages).filter("page is not null")
+    good = met.join(stands.select("document_id", "quote_id"), ["document_id", "quote_id"], "left_semi")
+    new = good.groupBy("run_id", "design", "clause_id").agg(F.min_by(F.struct(F.lower(F.trim("verdict")).alias("verdict"), "rationale"), F.struct("batch", "number", "quote_id")).alias("new"))
+    out = findings.join(new, ["run_id", "design", "clause_id"], "left")
+    moved = F.col("new").isNotNull()
+    return out.withColumns({"verdict": F.coalesce("new.verdict", "verdict"), "rationale": F.coalesce("new.rationale", "rationale"), "confidence": F.when(moved, confidence).otherwise(F.col("confidence")), "confirmed": moved}).drop("new")
+
+
+def check_advice(advice: DataFrame, sections: DataFrame, refs: DataFrame) -> DataFrame:
+    """Suggestions (document_id, advice_id, title, recommendation, section, component, kind, quote, clauses) with reason, null for those that stand.
+
+    A suggestion must say something, do something, and name its component in its section; its quote must stand there or in
+    just one other section, to which it then moves; a change (kind improve) needs one. Without a quote a component that its
+    section lacks must stand in just one other. References to clauses not on record (refs) go; of equal titles the first stays.
+    """
+    ready = sections.select("document_id", F.col("section").alias("home"), text.searchable(F.col("text")).alias("body"))
+    asked = advice.withColumn("_parts", text.quote_parts(F.coalesce("quote", F.lit("")))).withColumn("_name", text.quote_parts(F.coalesce("component", F.lit(""))))
+    met = asked.join(ready, "document_id")
+    has_quote = F.size("_parts") > 0
+    own = F.col("home") == F.col("section")
+    quoted, named = has_quote & text.parts_in(F.col("_parts"), F.col("body")), text.parts_in(F.col("_name"), F.col("body"))
+    facts = met.groupBy("document_id", "advice_id").agg(
+        F.bool_or(own).alias("known"), F.bool_or(own & quoted).alias("quoted_here"), F.array_sort(F.collect_set(F.when(quoted, F.col("home")))).alias("quoted_in"), F.array_sort(F.collect_set(F.when(named, F.col("home")))).alias("named_in"),
+    )
+    rows = asked.join(facts, ["document_id", "advice_id"], "left")
+    one = lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0)))
+    by_quote = F.when(F.col("quoted_here"), F.col("section")).otherwise(one(F.col("quoted_in")))
+    by_name = F.when(F.array_contains("named_in", F.col("section")), F.col("section")).otherwise(one(F.col("named_in")))
+    home = F.when(has_quote, by_quote).otherwise(by_name)
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    reason = (
+        F.when(blank("title") | blank("recommendation"), "empty").when((F.size(F.split(F.trim("recommendation"), r"\s+")) < 6) | F.col("recommendation").rlike(text.GENERIC), "generic").when(~F.coalesce("known", F.lit(False)), "unknown section")
+        .when(F.size("named_in") == 0, "unanchored").when(has_quote & home.isNull(), "quote not found").when(~has_quote & (F.col("kind") == "improve"), "missing quote").when(home.isNull(), "unanchored")
+    )
+    rows = rows.withColumn("reason", reason).withColumn("section", F.coalesce(home, "section")).withColumn("_title", text.normalise(F.col("title")))
+    first = F.row_number().over(Window.partitionBy("document_id", "_title", F.col("reason").isNull()).orderBy("advice_id"))
+    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (first > 1), "duplicate").otherwise(F.col("reason")))
+    on_record = refs.groupBy("document_id").agg(F.collect_set("ref").alias("_refs"))
+    rows = rows.join(on_record, "document_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.withColumn("clauses", F.array_intersect(F.coalesce("clauses", none), F.coalesce("_refs", none))).select(*advice.columns, "reason")
+
+
+def reading_statistics(lines: DataFrame, members: DataFrame, labels: DataFrame, checked: DataFrame) -> DataFrame:
+    """Of each document's reading: lines, those covered by a rule or a label, those in rules, rules, requirements, labelled ones by label, numbers checked and invalid."""
+    in_rules = members.join(lines.select("document_id", "ordinal"), ["document_id", "ordinal"], "left_semi")
+    covered = in_rules.select("document_id", "ordinal").unionByName(labels.join(lines, ["document_id", "ordinal"], "left_semi").select("document_id", "ordinal")).distinct()
+    count = lambda df, name: df.groupBy("document_id").agg(F.count("*").alias(name))
+    by_label = labels.groupBy("document_id", "label").count().groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "count")))).alias("labelled"))
+    numbers = checked.groupBy("document_id").agg(F.sum("named").alias("numbers_checked"), F.sum("dropped").alias("numbers_invalid"))
+    rules = members.groupBy("document_id").agg(F.count_distinct("rule_id").alias("rules"), F.count_distinct(F.when(F.col("part") == "requirements", F.struct("rule_id", "ordinal"))).alias("requirements"))
+    out = count(lines, "lines")
+    for part in (count(covered, "covered"), count(in_rules.select("document_id", "ordinal").distinct(), "in_rules"), rules, by_label, numbers):
+        out = out.join(part, "document_id", "left")
+    return out.na.fill(0, ["covered", "in_rules", "rules", "requirements", "numbers_checked", "numbers_invalid"])

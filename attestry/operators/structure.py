@@ -240,3 +240,102 @@ def captions(figures: DataFrame, blocks: DataFrame, reach: int = 46, bonus: int
     met = figures.join(blocks, ["document_id", "page"]).withColumn("gap", gap).filter((F.col("gap") <= reach) & (F.col("b_left") < F.col("right")) & (F.col("b_right") > F.col("left")))
     score = F.col("gap") - F.when(F.col("text").rlike(r"(?i)^\s*figure\b"), bonus).otherwise(0)
     return met.groupBy("document_id", "figure_id").agg(F.min_by("text", F.struct(score, "text")).alias("caption"))
+
+
+PLACEHOLDER = r"^(?:column|col)[ _]?[0-9]*$"
+
+
+def shape_tables(grids: DataFrame, header_rows: int = 3, header_chars: int = 40) -> DataFrame:
+    """(table_id, columns, rows) of raw grids (table_id, row, cells): named columns and filled rows, for grids that are tables.
+
+    Cells are null where a merged neighbour covers them and empty where they are blank. Row 0 is the header. Up to header_rows
+    rows whose columns no later row fills go on with the header; neighbouring columns that a merged cell split are one; names
+    are made unique; two columns must hold values, and some row must fill two. A table's rows are shaped together, in one row.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("row", "cells")))
+    g = grids.groupBy("table_id").agg(F.transform(rows, lambda r: r["cells"]).alias("raw"))
+    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    filled = lambda row: F.exists(row, lambda c: clean(c) != "")
+    name = lambda c, i: F.when(clean(c) == "", F.concat(F.lit("column "), (i + 1).cast("string"))).otherwise(clean(c))
+    g = g.withColumn("names", F.transform(F.get("raw", F.lit(0)), name)).withColumn("width", F.size("names"))
+    at = lambda row: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.get(row, i))
+    g = g.filter("width > 0").withColumn("body", F.filter(F.transform(F.slice("raw", F.lit(2), F.size("raw")), at), filled)).filter(F.size("body") > 0)
+    # The longest block of first rows that share no column with the rows below is the rest of the header.
+    holds = lambda block, i: F.exists(block, lambda r: clean(F.get(r, i)) != "")
+    columns = F.sequence(F.lit(0), F.col("width") - 1)
+
+    def continues(k):
+        top, rest = F.slice("body", F.lit(1), k), F.slice("body", k + 1, F.size("body"))
+        short = F.forall(top, lambda r: F.forall(r, lambda c: F.length(clean(c)) <= header_chars))
+        return (k < F.size("body")) & short & ~F.exists(columns, lambda i: holds(top, i) & holds(rest, i))
+
+    g = g.withColumn("k", F.array_max(F.filter(F.sequence(F.lit(0), F.lit(header_rows)), lambda k: (k == 0) | continues(k))))
+    said = lambda i: F.array_join(F.filter(F.transform(F.slice("body", F.lit(1), F.col("k")), lambda r: clean(F.get(r, i))), lambda c: c != ""), " ")
+    joined = lambda n, i: F.when(said(i) == "", n).when(n.rlike(PLACEHOLDER), said(i)).otherwise(F.concat(n, F.lit(" "), said(i)))
+    g = g.withColumn("names", F.transform("names", joined)).withColumn("body", F.slice("body", F.col("k") + 1, F.size("body")))
+    # Columns as (name, cells), folded from the left.
+    cols = F.transform(columns, lambda i: F.struct(F.get("names", i).alias("name"), F.transform("body", lambda r: F.get(r, i)).alias("cells")))
+
+    def fold(kept, c):
+        last = F.element_at(kept, -1)
+        real = lambda x: ~x["name"].rlike(PLACEHOLDER)
+        has = lambda x: F.exists(x["cells"], lambda v: clean(v) != "")
+        pairs = F.arrays_zip(last["cells"].alias("x"), c["cells"].alias("y"))
+        both = lambda p: (clean(p["x"]) != "") & (clean(p["y"]) != "")
+        repeats = F.exists(pairs, lambda p: both(p) & (clean(p["x"]) == clean(p["y"]))) & ~F.exists(pairs, lambda p: both(p) & (clean(p["x"]) != clean(p["y"])))
+        covered = lambda x: ~real(x) | F.forall(x["cells"], lambda v: v.isNull())
+        may = ~(real(last) & real(c)) & F.when(has(last) & has(c), repeats).when(~has(last), covered(last)).otherwise(covered(c))
+        cell = lambda p: F.when(clean(p["x"]) != "", p["x"]).when(clean(p["y"]) != "", p["y"]).when(p["x"].isNull() & p["y"].isNull(), None).otherwise("")
+        one = F.struct(F.when(real(last), last["name"]).otherwise(c["name"]).alias("name"), F.transform(pairs, cell).alias("cells"))
+        return F.when(F.size(kept) == 0, F.array(c)).when(may, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(one))).otherwise(F.concat(kept, F.array(c)))
+
+    g = g.withColumn("cols", cols).withColumn("cols", F.aggregate("cols", F.filter("cols", lambda _: F.lit(False)), fold))
+    g = g.withColumn("columns", text.unique_headers(F.transform("cols", lambda c: c["name"]))).withColumn("n", F.size("body"))
+    g = g.withColumn("rows", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda r: F.transform("cols", lambda c: F.nullif(clean(F.get(c["cells"], r)), F.lit("")))))
+    values = lambda row: F.size(F.filter(row, lambda v: v.isNotNull()))
+    wide = F.size(F.filter("cols", lambda c: F.exists(c["cells"], lambda v: clean(v) != ""))) >= 2
+    return g.filter(wide & F.exists("rows", lambda r: values(r) >= 2)).select("table_id", "columns", "rows")
+
+
+def pages_in_order(lines: DataFrame, printed: DataFrame, least: int = 12) -> DataFrame:
+    """page of each line (document_id, ordinal, text) of a document whose printed lines (document_id, page, text) are known.
+
+    A line of least characters goes to the first page from the last one found that prints it, or prints a long enough beginning
+    of it, or what it begins. Pages never fall, so a document's candidates are folded in order; lines without any stay on the page before.
+    """
+    flat = lambda c: text.normalise(F.col(c))
+    said = lines.select("document_id", "ordinal", flat("text").alias("wanted")).withColumn("key", F.left("wanted", F.lit(least))).filter(F.length("wanted") >= least)
+    shown = printed.select("document_id", "page", flat("text").alias("line")).withColumn("key", F.left("line", F.lit(least))).filter(F.length("line") >= least).distinct()
+    met = said.join(shown, ["document_id", "key"]).filter(F.startswith("line", F.col("wanted")) | F.startswith("wanted", F.col("line")))
+    found = met.groupBy("document_id", "ordinal").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    lists = found.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "pages"))).alias("c"))
+
+    def step(acc, x):
+        page = F.get(F.filter(x["pages"], lambda p: p >= acc["page"]), F.lit(0))
+        hit = F.struct(x["ordinal"].cast("long").alias("ordinal"), page.cast("long").alias("page"))
+        return F.when(page.isNull(), acc).otherwise(F.struct(page.cast("long").alias("page"), F.concat(acc["hits"], F.array(hit)).alias("hits")))
+
+    start = F.struct(F.lit(1).cast("long").alias("page"), F.expr("cast(array() as array<struct<ordinal:bigint,page:bigint>>)").alias("hits"))
+    hits = lists.select("document_id", F.explode(F.aggregate("c", start, step, lambda a: a["hits"])).alias("h")).select("document_id", "h.ordinal", "h.page")
+    w = Window.partitionBy("document_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    out = lines.join(hits, ["document_id", "ordinal"], "left")
+    return out.withColumn("page", F.coalesce(F.last("page", ignorenulls=True).over(w), F.lit(1)))
+
+
+def outline_sections(lines: DataFrame) -> DataFrame:
+    """(document_id, section, first, last, depth, title) from lines (document_id, ordinal, text, depth) whose depth an outline declares; a document without any is one section."""
+    marked = islands(lines.withColumn("_opens", F.col("depth").isNotNull()), "document_id", "ordinal", F.col("_opens"))
+    out = marked.groupBy("document_id", F.col("island").alias("section")).agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.min_by("depth", "ordinal").alias("depth"), F.min_by("text", "ordinal").alias("_title"))
+    headed = F.max(F.col("section") > 0).over(Window.partitionBy("document_id"))
+    out = out.withColumn("_headed", headed).withColumn("title", F.when(F.col("section") > 0, F.col("_title")).otherwise(F.when(F.col("_headed"), "Front matter").otherwise("Document")))
+    return out.withColumn("depth", F.coalesce("depth", F.lit(1))).select("document_id", "section", "first", "last", "depth", "title")
+
+
+def section_content(sections: DataFrame, lines: DataFrame, clauses_: DataFrame, tables: DataFrame) -> DataFrame:
+    """Each section (document_id, section, first, last) with its lines, live clauses (not superseded) and tables, in order."""
+    n = F.posexplode(F.sequence("first", "last")).alias("_at", "ordinal")
+    own = sections.select("document_id", "section", n).join(lines, ["document_id", "ordinal"])
+    part = lambda rows, name, *c: rows.groupBy("document_id", "section").agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
+    out = sections.join(part(own, "lines", "ordinal", "text"), ["document_id", "section"], "left")
+    out = out.join(part(clauses_.filter("superseded_by_id is null"), "clauses", "ordinal", "clause_id", "statement"), ["document_id", "section"], "left")
+    return out.join(part(tables, "tables", "ordinal", "table_id"), ["document_id", "section"], "left")
