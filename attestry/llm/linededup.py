@@ -12,12 +12,12 @@ placed from its left end and the others from its right. Of two lines within e ed
 segment i of the first, moved by at most i, or e - i, words; so a line's keys are its own segments and the
 ones it might hold of others. A line up to e words longer than the group's longest looks into that group
 too. Candidates that parity masks and outlines leave room for are verified by a banded bit-parallel edit
-distance on word hashes.
+distance on words.
 
 Built-in expressions only. Defined cases: the first place is the least (doc_id, hash of the text, line
 number); rows without doc_id or text are left as they are; rows that repeat a doc_id with another text are
-documents of their own, rows that repeat both are one document twice and lose the same lines; lines and
-words are told apart by 64-bit hashes; an empty table gives none; other columns pass through.
+documents of their own, rows that repeat both are one document twice and lose the same lines; lines are told
+apart by 64-bit hashes; an empty table gives none; other columns pass through.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +27,7 @@ from attestry.llm.common import WORD_GAP, cut, let, words
 from attestry.llm.components import link
 
 #: (least number of words, edits)
-GROUPS = ((8, 1), (20, 2), (40, 3))
+GROUPS = ((10, 1), (24, 2))
 EDITS = max(e for _, e in GROUPS)
 BROADCAST_ROWS = 500_000
 BROADCAST_KEYS = 1_500_000  # 64-bit numbers alone
@@ -159,7 +159,7 @@ def distance(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 
 #: 64-bit masks of a line: a bit for each kind of word, by hash, that stands an odd number of times.
-MASKS = ("m0", "m1", "m2", "m3")
+MASKS = ("m0", "m1")
 
 
 def _mask(w: Column, k: int) -> Column:
@@ -185,7 +185,7 @@ def _profile_fits(p: Column, q: Column) -> Column:
 
 def _near(d: Column, e: Column) -> Column:
     """linked() for lines with their outlines, which are no further apart than the lines, and soon compared."""
-    return F.when(F.call_function("levenshtein", d["s"], e["s"], F.lit(EDITS)) >= 0, linked(d["w"], e["w"])).otherwise(False)
+    return F.when(F.call_function("levenshtein", d["s"], e["s"], F.lit(EDITS)) >= 0, linked(line_words(d["line"]), line_words(e["line"]))).otherwise(False)
 
 
 def linked(a: Column, b: Column) -> Column:
@@ -208,9 +208,11 @@ def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
     members = cut(keys.join(F.broadcast(shared) if n <= BROADCAST_KEYS else shared, "key", "left_semi").groupBy("key", "item").agg(F.max("own").alias("own")))
     items = cut(members.select(F.col("item").alias("h")).distinct())
     wanted = F.broadcast(items) if items.count() <= BROADCAST_KEYS else items
+    facts = lambda w: F.struct(F.size(w).alias("n"), _outline(w).alias("s"), *(_mask(w, k).alias(m) for k, m in enumerate(MASKS)))
+    hashed = F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))
     bodies = places(documents).select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    bodies = cut(bodies.select(F.col("h").alias("item"), F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w)).alias("w")))
-    bodies = cut(bodies.select("item", F.struct("w", _outline(F.col("w")).alias("s")).alias("d"), F.size("w").alias("n"), *(_mask(F.col("w"), k).alias(m) for k, m in enumerate(MASKS))))
+    bodies = bodies.select(F.col("h").alias("item"), "line", F.explode(F.array(let(hashed, facts))).alias("f"))
+    bodies = cut(bodies.select("item", F.struct("line", "f.s").alias("d"), "f.n", *(f"f.{m}" for m in MASKS)))
 
     def verify(pairs):
         side = lambda x: bodies.select(F.col("item").alias(x), F.struct("n", *MASKS, F.lit(0).alias("own")).alias(f"p{x}"), F.col("d").alias(f"d{x}"))
@@ -219,7 +221,7 @@ def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
 
     def profile(of):  # own: pairs of neighbouring words that no other of the items holds
         mine = cut(bodies.join(cut(of), "item"))
-        pairs = F.array_distinct(F.zip_with("d.w", F.slice("d.w", F.lit(2), F.size("d.w")), lambda a, b: F.xxhash64(a, b)))
+        pairs = let(line_words(F.col("d.line")), lambda w: F.array_distinct(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))))
         holders = mine.select("item", F.explode(pairs).alias("g")).groupBy("g").agg(F.min("item").alias("item"), F.max("item").alias("last"))
         own = cut(holders.filter("item = last").groupBy("item").agg(F.count("*").alias("own")))
         return mine.join(own, "item", "left").select("item", F.struct("n", *MASKS, F.coalesce("own", F.lit(0)).alias("own")).alias("p"))
@@ -230,7 +232,7 @@ def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
 
 def repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, version, drop): the numbers of the lines that stand earlier in the corpus, for documents that have any."""
-    words_of = lambda x: F.struct(x.alias("said"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
+    words_of = lambda x: F.struct(x.alias("said"), (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
     # The generator makes a line's words once; a projection would be merged into every place that uses them.
     found = places(documents).select("doc_id", "version", "at", "h", F.explode(F.array(let(spaced(F.col("line")), words_of))).alias("w")).select("doc_id", "version", "at", "h", "w.said", "w.n").filter("said <> ''")
     rows = cut(found.select("doc_id", "version", "at", "h", own_keys(F.col("said"), F.col("n")).alias("own"), near_keys(F.col("said"), F.col("n")).alias("near")))
