@@ -648,5 +648,96 @@ def quote_verification(spark, sf_dir):
     return evidence.verify_quotes(quotes, pages)
 
 
+@_query("SELECT o_custkey AS document_id, CAST(sum(n) AS BIGINT) AS clauses FROM (SELECT o_custkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_tax > 0.06) AS n FROM orders) GROUP BY o_custkey")
+def clauses_per_document(spark, sf_dir):
+    sections = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("section_id"), F.col("o_custkey").alias("document_id"))
+    return analytics.clauses_per_document(sections, table(spark, sf_dir, "lineitem").filter("l_tax > 0.06").select(F.col("l_orderkey").alias("section_id")))
+
+
+@_query("""
+WITH d AS (SELECT o_orderkey AS document_id, o_custkey AS project_id, o_orderstatus = 'F' AS ready, o_orderdate AS ts FROM orders),
+r AS (SELECT l_orderkey * 10 + l_linenumber AS run_id, CASE WHEN l_linenumber % 3 <> 0 THEN l_orderkey END AS document_id, CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey END AS own, l_returnflag <> 'R' AS complete, l_shipdate AS ts, l_linestatus FROM lineitem),
+o AS (SELECT r.*, coalesce(own, d.project_id) AS project_id FROM r LEFT JOIN d USING (document_id)),
+c AS (SELECT *, row_number() OVER (PARTITION BY document_id, CASE WHEN document_id IS NULL THEN project_id END ORDER BY ts DESC, run_id) AS n FROM o WHERE complete AND project_id IS NOT NULL),
+w AS (SELECT c.project_id, count(*) AS unreviewed FROM c JOIN (SELECT l_orderkey * 10 + l_linenumber AS run_id FROM lineitem WHERE l_linestatus = 'O') USING (run_id) WHERE n = 1 GROUP BY 1)
+SELECT c_custkey AS project_id, coalesce(designs, 0) AS designs, coalesce(ready, 0) AS ready, coalesce(runs, 0) AS runs, coalesce(unreviewed, 0) AS unreviewed, last_activity FROM customer
+LEFT JOIN (SELECT project_id, count(*) AS designs, CAST(count_if(ready) AS BIGINT) AS ready, max(ts) AS last_activity FROM d GROUP BY 1) x ON x.project_id = c_custkey
+LEFT JOIN (SELECT project_id, count(*) AS runs FROM o GROUP BY 1) y ON y.project_id = c_custkey LEFT JOIN w ON w.project_id = c_custkey""")
+def project_listing(spark, sf_dir):
+    """Customers as projects, orders as designs, line items as runs, each with one finding."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")  # noqa: E741
+    run = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    whole = F.col("l_linenumber") % 3 == 0
+    documents = o.select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("project_id"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("parsing").alias("status"), F.col("o_orderdate").alias("updated_at"))
+    runs = l.select(run.alias("run_id"), F.when(~whole, F.col("l_orderkey")).alias("document_id"), F.when(whole, F.col("l_suppkey")).alias("project_id"), F.when(F.col("l_returnflag") != "R", "complete").otherwise("failed").alias("state"), F.col("l_shipdate").alias("started_at"))
+    findings = l.select(run.alias("run_id"), F.lit("covered").alias("verdict"), F.when(F.col("l_linestatus") == "O", "pending").otherwise("accepted").alias("reviewer_state"))
+    return analytics.project_listing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id")), documents, runs, findings)
+
+
+@_query(f"""
+SELECT clause AS run_id, CAST(count_if(verdict = 'covered') AS BIGINT) AS covered, CAST(count_if(verdict = 'partial') AS BIGINT) AS partial, CAST(count_if(verdict = 'contradicts') AS BIGINT) AS contradicts, CAST(count_if(doc_id % 3 = 0) AS BIGINT) AS unreviewed, count(*) AS total
+FROM (SELECT *, doc_id % 20 AS clause FROM {_LABELLED}) WHERE verdict <> 'absent' GROUP BY clause""")
+def outcome_snapshot(spark, sf_dir):
+    names = ["covered", "partial", "contradicts"]
+    f = _labelled(spark, sf_dir).select((F.col("doc_id") % 20).alias("run_id"), "verdict", F.when(F.col("doc_id") % 3 == 0, "pending").otherwise("accepted").alias("reviewer_state"))
+    return analytics.outcome_snapshot(f, names).select("run_id", *(F.col("verdicts")[v].alias(v) for v in names), "unreviewed", "total")
+
+
+@_query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, c_mktsegment) AS label FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0")
+def backfilled_labels(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("label"))
+    c = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("label"))
+    return analytics.backfill(o, c, ["o_custkey"], "label").select("o_orderkey", "label")
+
+
+@_query("SELECT o_orderkey AS document_id, c_name AS project FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0")
+def documents_with_project(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("project_id"))
+    c = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"))
+    return analytics.with_project(o, c).select("document_id", "project")
+
+
+@_query("""
+SELECT o.o_custkey AS document_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_orderkey AS figure_id, (SELECT max(page * 1000000000 + s.o_orderkey) % 1000000000 FROM (SELECT o_orderkey % 7 AS page, o_orderkey, o_custkey FROM orders) s WHERE s.o_custkey = o.o_custkey AND s.page <= l_linenumber) AS section FROM lineitem JOIN orders o ON o.o_orderkey = l_orderkey""")
+def figures_by_section(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    sections = o.select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("section"), (F.col("o_orderkey") % 7).alias("first_page"))
+    figures = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").join(o, "o_orderkey").select(F.col("o_custkey").alias("document_id"), (F.col("l_linenumber").cast("long") * 1000000000 + F.col("o_orderkey")).alias("figure_id"), F.col("l_linenumber").alias("page"))
+    return evidence.figures_by_section(figures, sections).select("document_id", "figure_id", "section")
+
+
+@_query("""
+SELECT l_orderkey AS finding_id, l_linenumber AS "at", row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag = 'R' THEN 0 WHEN o_orderpriority LIKE '1%' AND l_linenumber % 2 = 0 THEN 1 ELSE 2 END, l_linenumber) AS place FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+def evidence_order(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("The design of "), "o_orderpriority", F.lit(" fails")).alias("rationale"))
+    title = F.when(F.col("l_linenumber") % 2 == 0, "1-Urgent").otherwise(F.lit(None))
+    e = table(spark, sf_dir, "lineitem").join(o, "l_orderkey").select(F.col("l_orderkey").alias("finding_id"), F.col("l_linenumber").alias("at"), F.when(F.col("l_returnflag") == "R", "quoted").alias("breach_quote"), title.alias("document_title"), "rationale")
+    return evidence.evidence_order(e).select("finding_id", "at", F.col("place").cast("long").alias("place"))
+
+
+@_query(f"""
+WITH f AS (SELECT doc_id AS clause_id, doc_id % 3 AS design, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1 AS n FROM {_LABELLED} WHERE verdict = 'absent' OR (verdict = 'partial' AND doc_id % 2 = 0))
+SELECT design, n // 25 AS batch, n % 25 + 1 AS number, clause_id FROM f""")
+def confirmation_batches(spark, sf_dir):
+    said = F.when(F.col("doc_id") % 2 == 0, "The limit is not specified.").otherwise("The limit differs.")
+    f = _labelled(spark, sf_dir).select(F.lit(1).alias("run_id"), (F.col("doc_id") % 3).alias("design"), F.col("doc_id").alias("clause_id"), F.col("doc_id").alias("clause_ordinal"), "verdict", said.alias("rationale"))
+    return evidence.to_confirm(f).select("design", F.col("batch").cast("long").alias("batch"), F.col("number").cast("long").alias("number"), "clause_id")
+
+
+@_query("""
+WITH m AS (SELECT conv_id, turn, text, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations),
+s AS (SELECT conv_id AS document_id, section, min(turn) AS first, max(turn) AS last, arg_min(text, turn) AS t FROM m GROUP BY conv_id, section)
+SELECT document_id, CAST(section AS BIGINT) AS section, first, last, md5(CASE WHEN section > 0 THEN t WHEN max(section) OVER (PARTITION BY document_id) > 0 THEN 'Front matter' ELSE 'Document' END) AS title FROM s""")
+def outline_sections(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("ordinal"), "text", F.when(F.col("role") == "user", 1).alias("depth"))
+    return structure.outline_sections(c).select("document_id", "section", "first", "last", F.md5("title").alias("title"))
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment = 'HOUSEHOLD' AND c_custkey % 2 = 0")
+def titles_by_reference(spark, sf_dir):
+    title = F.when((F.col("c_mktsegment") == "HOUSEHOLD") & (F.col("c_custkey") % 2 == 0), "AR 0001 plan").when(F.col("c_mktsegment") == "BUILDING", "AR-0001 plan").otherwise("AR-00011 plan")
+    return table(spark, sf_dir, "customer").filter(text.title_starts(title, F.lit("AR-0001"))).select("c_custkey")
+
+
 for _f in (twin_pairs, batch_search, section_tree):
     _query()(_f)
