@@ -9,7 +9,8 @@ library adds 32-bit floats over a whole text and so departs from its own rules o
 
 No piece has U+2581 after another character, so no piece crosses from a character into a space, and
 the text falls into runs (spaces, then others) that are solved apart; tasks remember common runs.
-Defined cases: null and empty texts have no tokens; one result row for each row of documents.
+Defined cases: null and empty texts have no tokens; one result row for each row of documents, repeats
+included; an empty table gives an empty result.
 """
 
 import re

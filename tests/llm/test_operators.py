@@ -6,12 +6,12 @@ import hashlib
 import math
 import random
 import re
-import struct
 import zlib
 
+import brute
 import numpy as np
 import pytest
-import xxhash
+from brute import edit, few_edits, low, split
 from pyspark.sql import functions as F
 
 from attestry.llm import bpe, decontaminate, langid, linededup, lm, minhash, pii, quality, tokencount, warc
@@ -39,14 +39,6 @@ def empty(docs):
     return docs.filter("false")
 
 
-def split(t):
-    return re.findall(r"[^\x20\x09-\x0D]+", t)
-
-
-def low(t):
-    return "".join(c.lower() if c.isascii() else c for c in t)
-
-
 def test_near_duplicates(docs, texts, empty):
     sets = {}
     for d, t in texts:
@@ -114,9 +106,38 @@ def test_token_counts(texts):
         assert n == best[len(run)][1] and math.isclose(s, best[len(run)][0])
 
 
+def best_pieces(pieces, t):
+    """(pieces, score) of a text by the plain rules: all segmentations, first start wins ties, unknown characters a piece a byte."""
+    least = min(pieces.values()) - tokencount.UNKNOWN_PENALTY
+    run = "▁" + t.replace(" ", "▁") if t else ""
+    best = [(0.0, 0)] + [None] * len(run)
+    for end in range(1, len(run) + 1):
+        for start in range(end):
+            piece = run[start:end]
+            if piece in pieces and best[start] and (best[end] is None or best[start][0] + pieces[piece] > best[end][0]):
+                best[end] = (best[start][0] + pieces[piece], best[start][1] + 1)
+        if run[end - 1] not in pieces and (best[end] is None or best[end - 1][0] + least > best[end][0]):
+            best[end] = (best[end - 1][0] + least, best[end - 1][1] + len(run[end - 1].encode()))
+    return best[-1][1], best[-1][0]
+
+
+def test_token_counts_with_ties_and_unknown_runs():
+    rng = random.Random(8)
+    for _ in range(60):
+        letters = ["a", "b", "c", "▁"]
+        pieces = {"▁": -1.0, "a": -2.0, "b": -2.0} | {"".join(rng.choices("abc", k=rng.randrange(1, 4))): float(-rng.randrange(1, 5)) for _ in range(6)} | {"▁" + rng.choice("abc"): -2.0}
+        counter = tokencount.Counter(pieces)
+        for _ in range(30):
+            t = "".join(rng.choice([*letters[:3], " ", "日", "é", "😀"]) for _ in range(rng.randrange(12)))
+            assert tokencount.count(t, counter) == best_pieces(pieces, t), (pieces, t)
+
+
 def test_token_counts_frame(docs, texts):
     got = tokencount.token_counts(docs, P.path("piece_bpe_32k.model")).collect()
-    assert len(got) == len(texts) and all((r["n_tokens"] == 0) == (not t) for r, (_, t) in zip(got, texts, strict=True))
+    pieces = tokencount.load_pieces(P.path("piece_bpe_32k.model"))
+    counter = tokencount.Counter(pieces)
+    assert len(got) == len(texts) and all((r["n_tokens"], r["score"]) == tokencount.count(t, counter) for r, (_, t) in zip(got, texts, strict=True))
+    assert tokencount.token_counts(docs.filter("false"), P.path("piece_bpe_32k.model")).count() == 0
 
 
 def test_language(spark, sf_dir, docs, texts):
@@ -166,24 +187,6 @@ def test_bpe(spark, docs, texts):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
-def edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def line_words(line):
-    return re.sub("([\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af])", r" \1 ", line).encode().split()
-
-
-def few_edits(n):
-    return 2 if n >= 24 else 1 if n >= 10 else 0
-
-
 def mutated(rng, ws, edits):
     ws = list(ws)
     for _ in range(edits):
@@ -222,26 +225,8 @@ def test_line_dedup_against_brute_force(spark):
     texts = ["\n".join(("" if "漢" in x else " ").join(x) for x in rng.choices(lines, k=rng.randrange(1, 8))) for _ in range(60)]
     rows = [(i // 2, t) for i, t in enumerate(texts)] + [(3, texts[6]), (3, texts[6]), (None, texts[0]), (70, None), (71, ""), (72, " \t\n ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("a clashing name")).repartition(5)
-    version = {r["text"]: r["v"] for r in df.select("text", F.xxhash64("text").alias("v")).collect()}
-    places = sorted({(d, version[t], at, line) for d, t in rows if d is not None and t is not None for at, line in enumerate(t.split("\n")) if line_words(line)})
-    kinds = list(dict.fromkeys(p[3] for p in places))
-    toks, parent = {x: line_words(x) for x in kinds}, {x: x for x in kinds}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, a in enumerate(kinds):
-        for b in kinds[:i]:
-            e = few_edits(min(len(toks[a]), len(toks[b])))
-            if abs(len(toks[a]) - len(toks[b])) <= e and edit(toks[a], toks[b]) <= e and e:
-                parent[find(a)] = find(b)
-    first = {}
-    for p in places:
-        first.setdefault(find(p[3]), p[:3])
-    gone = {p[:3] for p in places if first[find(p[3])] != p[:3]}
-    want = collections.Counter((d, t if t is None or d is None else "\n".join(x for at, x in enumerate(t.split("\n")) if (d, version[t], at) not in gone)) for d, t in rows)
+    left, gone = brute.without_repeated_lines(rows)
+    want = collections.Counter((d, t) for (d, _), t in zip(rows, left, strict=True))
     got = collections.Counter((r["doc_id"], r["text"]) for r in linededup.dedup_lines(df).collect())
     assert got == want and len(gone) > 100
 
@@ -327,47 +312,20 @@ def test_base_spans_against_the_patterns():
         assert pii.base_spans(t) == naive_base(t)
 
 
-def xx(value, seed=42):
-    return xxhash.xxh64_intdigest(value if isinstance(value, bytes) else struct.pack("<Q", value), seed)
-
-
-def quality_grams(t):
-    """Buckets of a text's unigrams and bigrams."""
-    h = [xx(w.encode()) for w in split(t)]
-    both = h + [xx(b, xx(a)) for a, b in zip(h, h[1:])]
-    return [(x - (x >> 63 << 64)) % quality.BUCKETS for x in both]
-
-
 def test_quality(spark, sf_dir, docs, texts, empty):
     labels = table(spark, sf_dir, "labels").withColumn("text", F.lit("a clashing name"))
     rows = quality.quality(docs, labels).collect()
     assert len(rows) == len(texts)
-    held, trusted = set(), set()
-    for r in labels.collect():
-        if r["quality"] == 1 and not r["toxic"]:
-            (held if xx(r["doc_id"]) % quality.HELD == 0 else trusted).add(r["doc_id"])
-    raw, target = collections.Counter(), collections.Counter()
-    for d, t in texts:
-        raw.update(quality_grams(t))
-        if d in trusted:
-            target.update(quality_grams(t))
-    n, m = sum(raw.values()), sum(target.values())
-    weight = {b: round(quality.SCALE * (math.log((target[b] + 1) / (m + quality.BUCKETS)) - math.log((raw[b] + 1) / (n + quality.BUCKETS)))) for b in raw}
-    want, passed = [], []
-    for r, (d, t) in zip(rows, texts, strict=True):
+    named = [(r["doc_id"], r["quality"], r["toxic"]) for r in labels.collect()]
+    want = brute.quality(texts, named, quality.BUCKETS, quality.SCALE, quality.HELD, quality.REJECTED)
+    for r, (_, t), (score, kept) in zip(rows, texts, want, strict=True):
         w = split(t)
         n = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
         hit = {j for i in range(len(w) - 7) if n[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
         lines = [x for x in t.split("\n") if split(x)]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
-        assert r["base_failed"] == (len(w) < 20 or 100 * len(hit) > 30 * len(w))
-        g = quality_grams(t)
-        want.append(sum(weight[b] for b in g) / (len(g) * quality.SCALE) if g else 0.0)
-        assert math.isclose(r["score"], want[-1], abs_tol=1e-12)
-        if d in held and not r["base_failed"]:
-            passed.append(want[-1])
-    least = np.quantile(passed, quality.REJECTED)
-    assert len(passed) > 3 and [r["kept"] for r in rows] == [not r["base_failed"] and s >= least - 1e-12 for r, s in zip(rows, want, strict=True)]
+        assert r["base_failed"] == brute.base_failed(t) and math.isclose(r["score"], score, abs_tol=1e-12) and r["kept"] == kept
+    assert sum(r["kept"] for r in rows) > 20
     assert quality.quality(empty, labels.filter("false")).count() == 0 and quality.quality(empty, labels).count() == 0
     assert all(r["score"] == 0 for r in quality.quality(docs, labels.filter("false")).collect())
 
