@@ -96,6 +96,22 @@ def roster(people: DataFrame, usage: DataFrame, key: str) -> DataFrame:
     return people.join(sums, key, "left").withColumn("used", F.coalesce("used", F.lit(0.0)))
 
 
+def roster_counts(people: DataFrame, org: str, states: list[str]) -> DataFrame:
+    """People of each organisation by roster state, a column a state, and all."""
+    return people.groupBy(org).agg(*(F.count_if(F.col("status") == s).alias(s) for s in states), F.count("*").alias("people"))
+
+
+def platform_totals(facts: DataFrame, amount: str, person: str) -> DataFrame:
+    """One row: what was used in all, by how many, in how many calls, and when last."""
+    return facts.agg(F.coalesce(F.sum(amount), F.lit(0)).alias("total"), F.count("*").alias("calls"), F.count_distinct(person).alias("people"), F.max("at").alias("last_at"))
+
+
+def by_priority(suggestions: DataFrame, key: str, order: list[str], most: int = 15) -> DataFrame:
+    """The first most suggestions of a key (priority, at) by priority, their own order within one, each with how many more there are."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("priority")), F.lit(0)), F.lit(len(order) + 1))
+    return capped(suggestions, key, most, rank, F.col("at"))
+
+
 def agreement(reads: DataFrame, k: int) -> DataFrame:
     """Keys (section) seen in a majority of k reads, with the most-quoted, then longest, then least quote."""
     quotes = reads.groupBy("section", "quote").agg(F.count_distinct("read").alias("votes"))

@@ -47,10 +47,17 @@ def font_levels(lines: DataFrame) -> DataFrame:
     return rows.withColumn("level", level).withColumn("confident", F.col("body.chars") >= 0.25 * F.col("all")).select("document_id", "font", "size", "bold", "level", "confident")
 
 
+def in_regions(lines: DataFrame, regions: DataFrame) -> DataFrame:
+    """lines (y, x0 and, where known, y1, x1) whose centre lies inside a region (top, bottom, left, right) of their page."""
+    middle = lambda a, b: (F.col(a) + (F.coalesce(b, a) if b in lines.columns else F.col(a))) / 2
+    met = lines.join(regions.select("document_id", "page", "top", "bottom", "left", "right"), ["document_id", "page"])
+    return met.filter(middle("y", "y1").between(F.col("top"), F.col("bottom")) & middle("x0", "x1").between(F.col("left"), F.col("right"))).select(lines.columns)
+
+
 def headings(lines: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-    """lines with kind, depth and title where they open a section; a line inside a table region never does."""
+    """lines with kind, depth and title where they open a section; a line whose centre lies inside a table region never does."""
     if regions is not None:
-        inside = lines.join(regions, ["document_id", "page"]).filter(F.col("y").between(F.col("top"), F.col("bottom")) & F.col("x0").between(F.col("left"), F.col("right"))).select("document_id", "ordinal").distinct()
+        inside = in_regions(lines, regions).select("document_id", "ordinal").distinct()
         lines = lines.join(inside.withColumn("in_table", F.lit(True)), ["document_id", "ordinal"], "left")
     else:
         lines = lines.withColumn("in_table", F.lit(None).cast("boolean"))
@@ -97,10 +104,14 @@ def as_of(rows: DataFrame, marks: DataFrame, key: str, at: str, value: str) -> D
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("_row = 1").drop("_row")
 
 
-def in_ranges(points: DataFrame, ranges: DataFrame, key: str, at: str) -> DataFrame:
-    """points inside the inclusive ranges (key, from_at, to_at, label): ranges are spread over whole numbers and met by equality."""
+def in_ranges(points: DataFrame, ranges: DataFrame, key: str, at: str, less: DataFrame | None = None) -> DataFrame:
+    """points inside the inclusive ranges (key, from_at, to_at, label): ranges are spread over whole numbers and met by equality.
+
+    less: points (key, at) that belong to something stronger, such as a rule's own lines, and take no label.
+    """
     spread = ranges.select(key, "label", F.explode(F.sequence("from_at", "to_at")).alias(at))
-    return points.join(spread, [key, at])
+    out = points.join(spread, [key, at])
+    return out if less is None else out.join(less.select(key, at).distinct(), [key, at], "left_anti")
 
 
 def islands(rows: DataFrame, key: str, at: str | list[str], breaks: Column) -> DataFrame:
@@ -157,6 +168,17 @@ def contents_check(entries: DataFrame, found: DataFrame, prefix: int = 40) -> Da
     return rows.unionByName(missing).unionByName(extra)
 
 
+def contents_pages(lines: DataFrame, least: int = 5) -> DataFrame:
+    """(document_id, page): pages with least contents lines, title and page with a leader between, or more."""
+    return lines.filter(text.toc_entry(F.col("text")).isNotNull()).groupBy("document_id", "page").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("document_id", "page")
+
+
+def contents_coverage(checked: DataFrame) -> DataFrame:
+    """The share of a document's contents entries that contents_check() found among its sections."""
+    entries = checked.filter("state <> 'unexpected'").groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(F.col("state") != "missing").alias("found"))
+    return entries.select("document_id", (F.col("found") / F.col("n")).alias("coverage"))
+
+
 def stitch_tables(tables: DataFrame, top: int = 160, bottom: int = 160) -> DataFrame:
     """group: a table that opens a page under the same headers as one that closes the page before goes on with it."""
     w = Window.partitionBy("document_id").orderBy("page", "top")

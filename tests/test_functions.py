@@ -81,3 +81,19 @@ def test_dates(spark):
     assert [s("2024-05-31", None), s("2024-06-01", None), s("2030-01-01", "2024-01-01"), s(None, None)] == [("ended", False), ("ending", False), ("supported", True), ("supported", False)]
     assert str(one(spark, F.add_months(d("2024-01-31"), 1))) == "2024-02-29"
     assert str(one(spark, dates.backoff(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit(30)))) == "2024-01-01 01:00:00"
+
+
+def test_sql_functions_are_the_columns(spark):
+    from attestry.functions import lexical, registered
+    from attestry.operators import verdicts
+
+    registered.register(spark)
+    rows = spark.createDataFrame([("The system must use 4.2 keys and Keys", "Key Storage"), ("shall use data", "a"), ("", "")], "body string, heading string")
+    rows.createOrReplaceTempView("said")
+    got = spark.sql("SELECT content_words(body) AS c, search_terms(body) AS q, chunk_weights(heading, body) AS w FROM said").collect()
+    want = rows.select(lexical.content_words(F.col("body")).alias("c"), lexical.query_terms(F.col("body")).alias("q")).collect()
+    assert [(r["c"], r["q"]) for r in got] == [(r["c"], r["q"]) for r in want] and got[0]["q"] == ["4.2", "keys"]
+    assert [(x["term"], x["weight"]) for x in got[0]["w"]][:3] == [("key", 10), ("storage", 10), ("the", 1)]
+    kinds = spark.createDataFrame([(v, o) for v in [*verdicts.KNOWN, "odd"] for o in ("must", "should", "may", "unstated")], "v string, o string")
+    kinds.createOrReplaceTempView("kinds")
+    assert [r[0] for r in spark.sql("SELECT verdict_severity(v, o) FROM kinds").collect()] == [r[0] for r in kinds.select(verdicts.severity(F.col("v"), F.col("o"))).collect()]

@@ -169,3 +169,26 @@ def test_evidence_windows_respect_the_scope(spark):
     assert len(ids) == 6 and [r["design"] for r in got] == list("ababab") and max(ids) < 18
     assert 2 in ids and 6 not in ids  # the same words in the same document
     assert 17 in ids  # a figure on the page keeps a place
+
+
+def test_regions_ranges_and_contents(spark):
+    lines = spark.createDataFrame([("d", 1, 0, 0.0, 0.0, 20.0, 100.0, "x"), ("d", 1, 1, 8.0, 0.0, 40.0, 100.0, "y"), ("d", 2, 2, 12.0, 0.0, 18.0, 100.0, "z")], "document_id string, page int, ordinal int, y double, x0 double, y1 double, x1 double, text string")
+    regions = spark.createDataFrame([("d", 1, 9.0, 15.0, 0.0, 100.0)], "document_id string, page int, top double, bottom double, left double, right double")
+    assert rows(structure.in_regions(lines, regions), "ordinal") == [(0,)]
+    points = spark.createDataFrame([("d", i) for i in range(6)], "document_id string, ordinal int")
+    ranges = spark.createDataFrame([("d", 1, 4, "note")], "document_id string, from_at int, to_at int, label string")
+    assert rows(structure.in_ranges(points, ranges, "document_id", "ordinal", points.filter("ordinal = 2")), "ordinal") == [(1,), (3,), (4,)]
+    toc = spark.createDataFrame([("d", 1, f"Part {i} ........ {i + 3}") for i in range(5)] + [("d", 2, "Part 1 ........ 4")], "document_id string, page int, text string")
+    assert rows(structure.contents_pages(toc), "page") == [(1,)]
+    checked = spark.createDataFrame([("d", "matched"), ("d", "drifted"), ("d", "missing"), ("d", "unexpected")], "document_id string, state string")
+    assert round(structure.contents_coverage(checked).first()["coverage"], 3) == 0.667
+
+
+def test_counts_and_priorities(spark):
+    people = spark.createDataFrame([("o", "invited"), ("o", "blocked"), ("o", "invited"), ("p", "member")], "org string, status string")
+    assert rows(analytics.roster_counts(people, "org", ["invited", "blocked"]), "org", "invited", "blocked", "people") == [("o", 2, 1, 3), ("p", 0, 0, 1)]
+    facts = spark.createDataFrame([("a", 1.5, "2024-01-01"), ("b", 2.0, "2024-01-02"), ("a", 1.0, "2024-01-01")], "who string, spent double, at string")
+    assert tuple(analytics.platform_totals(facts, "spent", "who").first()) == (4.5, 3, 2, "2024-01-02")
+    s = spark.createDataFrame([("d", i, p) for i, p in enumerate(["low", "high", "odd", "high", "medium"])], "document_id string, at int, priority string")
+    got = analytics.by_priority(s, "document_id", ["high", "medium", "low"], most=3).orderBy("place").collect()
+    assert [(r["at"], r["more"]) for r in got] == [(1, 2), (3, 2), (4, 2)]
