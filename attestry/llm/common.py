@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or sc.getCheckpointDir()).rstrip("/")
 
 
+_SCOPES: list[list[str]] = []  # tables written by cut(), for each scratch() that is open
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark writes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that cut() writes inside go at the end; what is built from them must be written before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and go on from there; survives the loss of executors.
 
@@ -30,6 +51,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

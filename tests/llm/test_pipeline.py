@@ -90,6 +90,20 @@ def test_stages_take_an_empty_table(spark, tables):
         assert out.count() == 0 and (name == "byte_bpe" or out.columns == docs.columns)
 
 
+def test_run_leaves_nothing_but_its_result(spark, tables):
+    import os
+
+    import corpus_pipeline as cp
+
+    from attestry.llm.common import shared_dir
+
+    where = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(where))
+    out = cp.run(spark, tables[0])
+    made = set(os.listdir(where)) - before
+    assert out.count() > 20 and len(made) == 1 and os.listdir(f"{where}/{made.pop()}") == ["4-byte_bpe"]
+
+
 def test_registered():
     import __spark_entry__ as e
 
