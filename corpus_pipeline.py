@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm import bpe, decontaminate, linededup, minhash, quality
-from attestry.llm.common import cut, shared_dir, table
+from attestry.llm.common import cut, remove, scratch, shared_dir, table
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -72,13 +72,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written and read again, so a lost executor repeats one stage at most."""
+    """All stages over documents; each is written and read again, so a lost executor repeats one stage at most.
+
+    What a stage wrote on its way goes when it is done, its predecessor's result with it.
+    """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
