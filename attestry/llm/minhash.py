@@ -6,6 +6,7 @@ space); a text of fewer words is one shingle of them all. Two documents are link
 
 Signature: each shingle visits all ``SLOTS`` slots in an order of its own, a pseudo-random affine
 permutation of the prime field, and leaves rank plus a uniform fraction; a slot keeps its least value.
+With 241 * 240 such orders the squared error of an estimate is 0.4 to 0.7 times that of independent slots.
 As ranks grow from visit to visit, a document stops as soon as no slot can still fall: after two or
 three visits for most. ``BANDS`` bands of ``ROWS`` slots miss a pair at the threshold with probability
 (1 - 0.75^5)^48, 2e-6. Texts with equal sets are one class from the start, so copies are never paired.
