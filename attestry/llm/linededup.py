@@ -214,19 +214,24 @@ def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
     bodies = bodies.select(F.col("h").alias("item"), "line", F.explode(F.array(let(hashed, facts))).alias("f"))
     bodies = cut(bodies.select("item", F.struct("line", "f.s").alias("d"), "f.n", *(f"f.{m}" for m in MASKS)))
 
+    def small(rows, most=BROADCAST_ROWS):  # rows: written; lines are then looked for where they lie
+        return F.broadcast(rows) if rows.count() <= most else rows
+
     def verify(pairs):
-        side = lambda x: bodies.select(F.col("item").alias(x), F.struct("n", *MASKS, F.lit(0).alias("own")).alias(f"p{x}"), F.col("d").alias(f"d{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return both.filter(F.when(_profile_fits(F.col("pa"), F.col("pb")), _near(F.col("da"), F.col("db"))).otherwise(False)).select("a", "b")
+        side = lambda x: bodies.select(F.col("item").alias(x), F.struct("n", *MASKS, F.lit(0).alias("own")).alias(f"p{x}"))
+        room = pairs.join(side("a"), "a").join(side("b"), "b").filter(_profile_fits(F.col("pa"), F.col("pb")))
+        room = small(cut(room.select("a", "b")))
+        line = lambda x: bodies.select(F.col("item").alias(x), F.col("d").alias(f"d{x}")).join(room, x)
+        return line("a").join(line("b"), ["a", "b"]).filter(_near(F.col("da"), F.col("db"))).select("a", "b")
 
     def profile(of):  # own: pairs of neighbouring words that no other of the items holds
-        mine = cut(bodies.join(cut(of), "item"))
+        mine = cut(bodies.join(small(cut(of), BROADCAST_KEYS), "item"))
         pairs = let(line_words(F.col("d.line")), lambda w: F.array_distinct(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))))
         holders = mine.select("item", F.explode(pairs).alias("g")).groupBy("g").agg(F.min("item").alias("item"), F.max("item").alias("last"))
         own = cut(holders.filter("item = last").groupBy("item").agg(F.count("*").alias("own")))
         return mine.join(own, "item", "left").select("item", F.struct("n", *MASKS, F.coalesce("own", F.lit(0)).alias("own")).alias("p"))
 
-    describe = lambda refs: refs.select("item").join(bodies.select("item", "d"), "item")
+    describe = lambda refs: bodies.select("item", "d").join(small(cut(refs.select("item")), BROADCAST_KEYS), "item")
     return link(members.select("key", "item"), verify, profile, _profile_fits, (describe, _near), alone=lambda p: p["own"] <= 2 * allowed(p["n"]))
 
 
