@@ -4,9 +4,10 @@ Texts are cut by the tokenizer's pattern. A task hands its texts on in chunks of
 chunk is one row: the words that the task hasn't had before, as arrays of byte ids, and its texts as runs
 of word numbers. After ``WORDS`` words a task numbers anew. Spark higher-order
 functions fold each word: as long as a pair of neighbours has a rank, the leftmost pair of least rank is
-merged. The rank map is a literal: row a of the pair table begins at ``shift[a]``, so the entry of (a, b)
-is ``table[shift[a] + b]``; it holds a beside the rank, which tells other rows' entries apart. The
-texts are then put together from the folded words. Decoding concatenates the ids' byte strings, by
+merged. The rank map is a literal row of two arrays: row a of the pair table begins at ``shift[a]``, so the
+entry of (a, b) is ``table[shift[a] + b]``; it holds a beside the rank, which tells other rows' entries
+apart. (As literals inside the expressions the arrays would stand in every text of every plan, tens of MB
+on the driver.) The texts are then put together from the folded words. Decoding concatenates the ids' byte strings, by
 built-in functions on a literal array.
 
 Words that many chunks hold are folded once: about ``SAMPLE`` texts are counted, and their most frequent
@@ -28,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm.common import cut, let, literal_array
@@ -275,7 +276,19 @@ def _assemble(ready):
     return run
 
 
-def frequent(rows: DataFrame, pattern: str, ranks, by_fold: Callable[[Column], Column]) -> Known:
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """One row: shift and table of pair_table()."""
+    return spark.createDataFrame(pa.table({name: _lists([len(x)], x, kind) for name, x, kind in zip(("_shift", "_table"), pair_table(ranks), (pa.int32(), pa.int64()), strict=True)}))
+
+
+def folded(rows: DataFrame, merges: DataFrame, words: str, *keep: str) -> DataFrame:
+    """rows with each of a row's words (arrays of byte ids) folded. A row should hold many words: it meets the whole rank map."""
+    both = rows.crossJoin(F.broadcast(merges))
+    ids = let(F.col("_shift"), lambda s: let(F.col("_table"), lambda t: F.transform(words, lambda w: fold(w, s, t))))
+    return both.select(*keep, ids.alias(words))
+
+
+def frequent(rows: DataFrame, pattern: str, ranks, merges: DataFrame) -> Known:
     """The most frequent words of about SAMPLE texts and their ids: FREQUENT at most, whatever the corpus."""
     few = rows.filter(F.rand(7) < SAMPLE / max(1, rows.count()))  # whatever ids or copies are common
     counts = cut(few.select("text").mapInArrow(_counts(pattern, ranks), "word string, n long, letters array<int>").groupBy("word").agg(F.sum("n").alias("n"), F.first("letters").alias("letters")))
@@ -285,21 +298,22 @@ def frequent(rows: DataFrame, pattern: str, ranks, by_fold: Callable[[Column], C
     while least > 2 and total + found.get(least - 1, 0) <= FREQUENT:
         least -= 1
         total += found.get(least, 0)
-    got = counts.filter(F.col("n") >= least).select("word", by_fold(F.array("letters"))[0].alias("ids")).toArrow().combine_chunks()  # FREQUENT rows at most
-    return Known(ranks.value, *(got.column(k).chunk(0) if len(got) else pa.array([], kind) for k, kind in enumerate((pa.string(), pa.list_(pa.int32())))))
+    groups = counts.filter(F.col("n") >= least).groupBy(F.pmod(F.xxhash64("word"), F.lit(128)).alias("_g")).agg(F.collect_list(F.struct("word", "letters")).alias("_w"))
+    groups = groups.select(F.col("_w.word").alias("words"), F.col("_w.letters").alias("ids"))  # 2,048 words each, about
+    got = folded(groups, merges, "ids", "words").toArrow()  # FREQUENT words at most
+    words, ids = (pa.concat_arrays([c.flatten() for c in got.column(k).chunks]) if len(got) else pa.array([], kind) for k, kind in enumerate((pa.string(), pa.list_(pa.int32()))))
+    return Known(ranks.value, words, ids)
 
 
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids for each row of documents (doc_id, text)."""
-    sc, ranks = documents.sparkSession.sparkContext, load_ranks(path)
-    shift, table = (literal_array(x.tolist(), kind) for x, kind in zip(pair_table(ranks), ("int", "bigint"), strict=True))
-    # The tables are named once: lambdas see them as variables.
-    by_fold = lambda words: let(shift, lambda s: let(table, lambda t: F.transform(words, lambda w: fold(w, s, t))))
+    spark, ranks = documents.sparkSession, load_ranks(path)
+    sc, merges = spark.sparkContext, rank_map(spark, ranks)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = frequent(rows, pattern, sc.broadcast(ranks), by_fold)  # bounded by the vocabulary and FREQUENT
+    known = frequent(rows, pattern, sc.broadcast(ranks), merges)  # bounded by the vocabulary and FREQUENT
     ready = sc.broadcast((known.flat, known.size))
-    chunks = rows.mapInArrow(_chunks(pattern, sc.broadcast(known)), CHUNK)
-    return chunks.select("fresh", "docs", "codes", "sizes", by_fold(F.col("words")).alias("words"), "long", "done").mapInArrow(_assemble(ready), "doc_id long, ids array<int>")
+    chunks = folded(rows.mapInArrow(_chunks(pattern, sc.broadcast(known)), CHUNK), merges, "words", "fresh", "docs", "codes", "sizes", "long", "done")
+    return chunks.select("fresh", "docs", "codes", "sizes", "words", "long", "done").mapInArrow(_assemble(ready), "doc_id long, ids array<int>")
 
 
 def decoded(ids: Column, path: str) -> Column:
