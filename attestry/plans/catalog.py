@@ -502,7 +502,7 @@ def lifecycle_of_orders(spark, sf_dir):
 
 
 @_query("""
-WITH d AS (SELECT c_custkey AS decision_id, c_nationkey AS ref, c_nationkey % 2 AS org, c_custkey % 25 AS project, c_mktsegment = 'BUILDING' AS whole, 1 + (c_custkey % 7) AS x, 1 + (c_custkey % 5) AS y FROM customer WHERE c_acctbal > 0),
+WITH d AS (SELECT c_custkey AS decision_id, c_nationkey AS ref, c_nationkey % 2 AS org, c_custkey % 25 AS project, c_mktsegment = 'BUILDING' AS whole, 1 + (c_custkey % 7) AS x, 1 AS y FROM customer WHERE c_acctbal > 0),
 m AS (SELECT n_nationkey AS c, decision_id, 0 AS band, CAST(-decision_id AS DOUBLE) * 1000000 AS o FROM nation JOIN d ON ref = n_nationkey AND org = n_nationkey % 2 WHERE whole OR project = n_nationkey
 UNION ALL SELECT n_nationkey, decision_id, 1, 1 - (n_nationkey * x + y) / (sqrt(n_nationkey * n_nationkey + 1) * sqrt(x * x + y * y)) FROM nation JOIN d ON ref <> n_nationkey AND org = n_nationkey % 2 WHERE whole OR project = n_nationkey)
 SELECT c AS c_nationkey, decision_id, band FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY band, round(o, 9), decision_id) AS r FROM m WHERE band = 0 OR o <= 0.42) WHERE r <= 3""")
@@ -514,7 +514,7 @@ def anchored_precedents(spark, sf_dir):
     decisions = c.select(
         F.col("c_custkey").alias("decision_id"), F.col("c_nationkey").alias("clause_ref"), (F.col("c_nationkey") % 2).alias("organisation_id"), F.when(F.col("c_acctbal") > 0, "active").otherwise("expired").alias("status"), F.lit(None).cast("timestamp").alias("expires_at"),
         F.when(F.col("c_mktsegment") == "BUILDING", "organisation").otherwise("project").alias("scope"), (F.col("c_custkey") % 25).alias("project_id"), F.timestamp_seconds("c_custkey").alias("created_at"),
-        F.array((1 + F.col("c_custkey") % 7).cast("double"), (1 + F.col("c_custkey") % 5).cast("double")).alias("vector"), F.lit("accepts").alias("effect"))
+        F.array((1 + F.col("c_custkey") % 7).cast("double"), F.lit(1.0)).alias("vector"), F.lit("accepts").alias("effect"))
     got = search.precedents(clauses, decisions, F.lit("2024-01-01").cast("timestamp"), F.lit(0.42))
     return got.select(F.col("clause_id").alias("c_nationkey"), "decision_id", F.col("band").cast("int").alias("band"))
 

@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -48,5 +50,5 @@ def test_whole_texts_reach_the_operators(spark, tmp_path):
     said = " ".join(f"word{i}" for i in range(200))
     spark.createDataFrame([(0, said, "en", "src0", len(said))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     row = catalog.queries()["clause_extraction"](spark, str(tmp_path)).first()
-    assert "word0" in row["statement"] and "word199" in row["rationale"]
-    assert len(row["statement"]) + len(row["rationale"]) >= len(said) - 2
+    half = len(said) // 2
+    assert [row["statement"], row["rationale"]] == [hashlib.md5(x.strip().encode()).hexdigest() for x in (said[:half], said[half:])]
