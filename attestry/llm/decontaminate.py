@@ -15,24 +15,30 @@ item; an empty benchmark hits nothing; one result row for each row of documents,
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import cut, let, literal_array, translate_ascii
+from attestry.llm.common import cut, let, literal_array
 
 WINDOW, GRAM = 10, 5
 BROADCAST_ROWS = 500_000
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-MARK = "\ue000"
+MARK, ESCAPE = "\ue000", "\ue001"
+# Capitals that lower() folds by their neighbours or to the same letter as another capital does.
+APART = dict(zip("Σ\u03f4\u2126\u212b\u01c5\u01c8\u01cb\u01f2", "σθωå\u01c6\u01c9\u01cc\u01f3"))
 
 
 def fold_ascii(text: Column) -> Column:
     """A-Z to a-z, every other difference kept: equal results mean texts equal but for the case of A-Z.
 
-    lower() is fast but folds other letters too, so those it may change are marked first. A text that holds
-    the mark itself, or a capital sigma, which lower() folds by its neighbours, is folded letter by letter.
+    lower() is fast but folds other letters too. So ``MARK`` goes before each letter that it may change, and
+    ``ESCAPE`` before the letters APART, folded one by one, and before marks in the text itself. One letter
+    always gives one code and no code begins another, so a word's form depends on that word alone.
     """
-    marked = F.lower(F.regexp_replace(text, r"([\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]])", f"$1{MARK}"))
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).when(text.rlike(f"[{MARK}Σ]"), translate_ascii(text)).otherwise(marked)
+    odd = F.regexp_replace(text, f"([{MARK}{ESCAPE}{''.join(APART)}])", f"{ESCAPE}$1")
+    odd = F.translate(odd, "".join(APART), "".join(APART.values()))
+    plain = F.when(text.rlike(f"[{MARK}{ESCAPE}{''.join(APART)}]"), odd).otherwise(text)
+    marked = F.lower(F.regexp_replace(plain, r"([\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]])", f"{MARK}$1"))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(marked)
 
 
 def alnum_words(text: Column) -> Column:

@@ -322,6 +322,16 @@ def test_a_sigma_is_folded_by_itself(spark):
     assert {r["doc_id"]: r["n_hit"] for r in got} == {1: 3, 2: 3, 3: 0, 4: 0, 5: 3, 6: 0, 7: 3}
 
 
+def test_one_folding_for_all_texts(spark):
+    """An item is found whatever letters stand around it; letters that lower() folds alike stay apart."""
+    marks = ["É", "Σ", "ς", "İ", "i\u0307", "\ue000", "\ue001", "Ω", "\u2126", "Å", "\u212b", "ǅ", "Ǆ", "\u212a", "ϴ", "Ⅳ", "A", "é", "σ"]
+    item = lambda m: f"{m}cole un deux trois quatre cinq six sept huit neuf{m}"
+    bench = spark.createDataFrame([(k, item(m)) for k, m in enumerate(marks)], "item_id long, text string")
+    rows = [(100 * k + j, f"{o} x{o} {item(m)} {o}Z ... {o}") for k, m in enumerate(marks) for j, o in enumerate(marks)]
+    got = decontaminate.hits(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert [(r["doc_id"], r["n_hit"], r["item_ids"]) for r in got if r["n_hit"] != 10 or r["item_ids"] != [r["doc_id"] // 100]] == []
+
+
 def test_decontamination(spark, sf_dir, docs, texts, empty):
     bench = table(spark, sf_dir, "benchmark").limit(20).unionByName(spark.createDataFrame([(900, "Ein wort"), (901, None), (None, "wort")], "item_id long, text string"))
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t or ""))
