@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_each(spark: SparkSession, frames: Iterable[DataFrame], schema: str) -> DataFrame:
+    """Frames of one schema, each appended to a table in the shared folder before the next is made, as cut() does with one."""
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for df in frames:
+        df.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import audit, bpe, decontaminate, langid, linededup, lm, minhash, pii, quality, tokencount, warc
+from attestry.llm import audit, bpe, decontaminate, langid, linededup, lm, minhash, negatives, pii, quality, tokencount, warc
 from attestry.llm.common import shared_dir, table
 
 BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -67,6 +67,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.masks(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -114,6 +119,15 @@ sum(CASE WHEN mask & own > 0 AND mask & CAST(before AS INT) = 0 THEN good ELSE 0
 FROM m, s GROUP BY part, filter_order, step, own)
 SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
 CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT row_number() OVER () AS a, * FROM (SELECT DISTINCT * FROM e WHERE vec_id % 100 = 0)),
+s AS (SELECT a.a, a.vec_id AS anchor_id, a.label = e.label AS near, e.vec_id AS id, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score FROM a JOIN e ON e.label <> a.label OR e.vec_id <> a.vec_id),
+p AS (SELECT a, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS k FROM s WHERE near QUALIFY k <= 5),
+n AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.near AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score QUALIFY rank <= 10)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n""",
 }
 
 
