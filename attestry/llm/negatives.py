@@ -32,6 +32,7 @@ SAMPLE, CENTROIDS, ROUNDS = 6_000, 256, 4
 BLOCK = 4_096
 POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90  # per cent of the positive's score
+SEEDS = 4  # for each place, so many rows of the best approximate scores are scored first, which raises the floor
 SCALE = 256
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 _LONG = 2**63
@@ -51,7 +52,7 @@ def dense(column: pa.ListArray, dims: int) -> np.ndarray:
 def pairs_of(x: np.ndarray) -> np.ndarray:
     """Rows as (subspace, 2); an odd last component is paired with zero."""
     x = np.pad(x, ((0, 0), (0, x.shape[1] % 2)))
-    return x.reshape(len(x), -1, 2)
+    return x.reshape(len(x), x.shape[1] // 2, 2)
 
 
 def nearest(books: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -151,23 +152,24 @@ def scan(block: Anchors, books: np.ndarray, dims: int) -> Callable[[Iterator[pa.
             x, reach = dense(batch.column(2), dims), batch.column(4).to_numpy()
             codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(ids), len(books))
             slots = codes.astype(np.int32) + flat_at
-            for label in np.unique(labels):
-                own = np.flatnonzero(labels == label)
+            for label in np.unique(block.labels):
+                own = np.flatnonzero((labels == label) if near else (labels != label))
                 part = slots[own]
-                for a in np.flatnonzero((block.labels == label) if near else (block.labels != label)):
+                for a in np.flatnonzero(block.labels == label):
                     if best[a]:
                         with np.errstate(over="ignore", invalid="ignore"):
                             table = np.einsum("mkd,md->mk", books, pairs_of(block.q[a : a + 1])[0]).ravel()
                             about, bound = table[part].sum(1), length[a] * reach[own]
                             lo, hi = np.clip(about - bound, -_LONG, _LONG), np.clip(about + bound, -_LONG, _LONG)
-                        if near:
-                            lo[ids[own] == block.ids[a]] = -np.inf
-                            found = [~(hi < max(best[a][0].least(), kth(lo, POSITIVES))) & (ids[own] != block.ids[a])]
-                        else:
-                            found = []
-                            for (least, most), b in zip(block.windows[a], best[a], strict=True):
-                                sure = lo[(lo >= least) & (hi <= most)]
-                                found.append(~(hi < max(least, b.least(), kth(sure, NEGATIVES))) & ~(lo > most))
+                        other = ids[own] != block.ids[a] if near else np.ones(len(own), bool)
+                        found = []
+                        for (least, most), b in zip([(-np.inf, np.inf)] if near else block.windows[a], best[a], strict=True):
+                            inside = np.flatnonzero(other & (about >= least) & (about <= most))
+                            seeds = inside if len(inside) <= SEEDS * b.k else inside[np.argpartition(-about[inside], SEEDS * b.k)[: SEEDS * b.k]]
+                            known = exact(x[own[seeds]], block.q[a])
+                            sure = lo[other & (lo >= least) & (hi <= most)]
+                            floor = max(least, b.least(), kth(sure, b.k), kth(known[(known >= least) & (known <= most)], b.k))
+                            found.append(other & ~(hi < floor) & ~(lo > most))
                         some = np.flatnonzero(np.logical_or.reduce(found))
                         if len(some):
                             scores, named = exact(x[own[some]], block.q[a]), ids[own[some]]
