@@ -42,7 +42,7 @@ PERCENT = 80
 GROUPS = 1 << 14
 FAN = 256
 SPLIT = 4_096  # rows of a tile that one task packs
-SAMPLE, FREQUENT, LEAST = 10_000, 1 << 16, 8
+SAMPLE, FREQUENT, LEAST = 5_000, 1 << 16, 5
 BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
@@ -103,32 +103,41 @@ def _sketch(frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        for at in range(0, len(batch), 256):
-            part = batch.slice(at, 256)
-            sets = [shingles(t.as_py(), hashes) for t in part.column(1)]
-            full = [k for k, s in enumerate(sets) if len(s)]
-            sets = [sets[k] for k in full]
-            columns = [part.column(0).take(pa.array(full, pa.int32())), pa.array([len(s) for s in sets], pa.int64()), pa.array([stored(point(s)) for s in sets], pa.binary()), _lists(sets)]
-            yield pa.RecordBatch.from_arrays(columns, ["item", "n", "point", "shingles"])
+def _sets(whole: bool, points: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of texts with shingles: item, n, and as asked the point and the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = [shingles(t.as_py(), hashes) for t in part.column(1)]
+                full = [k for k, s in enumerate(sets) if len(s)]
+                sets = [sets[k] for k in full]
+                columns = {"item": part.column(0).take(pa.array(full, pa.int32())), "n": pa.array([len(s) for s in sets], pa.int64())}
+                if points:
+                    columns["point"] = pa.array([stored(point(s)) for s in sets], pa.binary())
+                if whole:
+                    columns["shingles"] = _lists(sets)
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
 
 
 def frequent_shingles(documents: DataFrame) -> np.ndarray:
     """Shingles that LEAST texts of a sample or more hold, the FREQUENT most held ones at most, sorted."""
     share = F.pmod(F.xxhash64("text"), F.lit(max(1, documents.count() // SAMPLE))) == 0
     texts = documents.filter(share & F.col("text").isNotNull()).groupBy(F.xxhash64("text").alias("item")).agg(F.first("text").alias("text"))
-    held = texts.mapInArrow(_sets, "item long, n long, point binary, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= LEAST)
+    held = texts.mapInArrow(_sets(True, False), "item long, n long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= LEAST)
     rows = held.orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
     return np.sort(np.array([r["s"] for r in rows], np.int64).view(_U))
 
 
-def sets_of(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(item, n, point, shingles) of the documents named in items (item), which must be written."""
+def sets_of(documents: DataFrame, items: DataFrame, whole: bool, points: bool) -> DataFrame:
+    """(item, n, and as asked point, shingles) of the documents named in items (item), which must be written."""
     wanted = F.broadcast(items) if items.count() <= BROADCAST_IDS else items
     texts = documents.select(F.col("doc_id").alias("item"), "text").join(wanted, "item", "left_semi")
-    return cut(texts.mapInArrow(_sets, "item long, n long, point binary, shingles array<long>"))
+    return cut(texts.mapInArrow(_sets(whole, points), "item long, n long" + ", point binary" * points + ", shingles array<long>" * whole))
 
 
 def bound(p: np.ndarray, q: np.ndarray) -> int:
@@ -146,11 +155,13 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(pairs: DataFrame, documents: DataFrame, by_points: bool) -> DataFrame:
     """Of distinct candidates (a, b), written, the linked ones; by_points first if their points are not known to leave room."""
-    sets = sets_of(documents, cut(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()))
+    ends = lambda: cut(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct())
     side = lambda x, *columns: sets.select(F.col("item").alias(x), *[F.col(c).alias(name) for c, name in columns])
     if by_points:
+        sets = sets_of(documents, ends(), False, True)
         both = pairs.join(side("a", ("n", "n"), ("point", "p")), "a").join(side("b", ("n", "m"), ("point", "q")), "b")
         pairs = cut(both.filter(similar_size(F.col("n"), F.col("m"))).select("a", "b", "n", "m", "p", "q").mapInArrow(_bounded, "a long, b long")).distinct()
+    sets = sets_of(documents, ends(), True, False)
     both = pairs.join(side("a", ("shingles", "x")), "a").join(side("b", ("shingles", "y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
     both = both.select("a", "b", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), common.alias("common"))
@@ -251,10 +262,11 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of documents of leaf pairs: item, other component, its document, bound; for each item and component the best, or all."""
+    """Pairs of documents of leaf pairs, or of leaves if there are no ys: item, other component, its document, bound; for each item and component the best, or all."""
     for batch in batches:
-        left, right = _nodes(batch, "xs"), _nodes(batch, "ys")
-        for x, y, same, best in zip(left, right, batch.column("same").to_pylist(), batch.column("best").to_pylist(), strict=True):
+        left = _nodes(batch, "xs")
+        same = "ys" not in batch.schema.names
+        for x, y, best in zip(left, left if same else _nodes(batch, "ys"), batch.column("best").to_pylist(), strict=True):
             i, j, most = meeting(x, y, same)
             item, other = np.concatenate((x.id[i], y.id[j])), np.concatenate((y.id[j], x.id[i]))
             component, most = np.concatenate((y.c_lo[j], x.c_lo[i])), np.concatenate((most, most))
@@ -270,48 +282,75 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def by_trees(rows: DataFrame, best: bool) -> DataFrame:
     """Candidates (a, b) between components within the tiles of rows (key, rows, item, n, at, component, point)."""
     entry = rows.select("key", "rows", F.col("item").alias("id"), F.col("n").alias("n_lo"), F.col("n").alias("n_hi"), F.col("component").alias("c_lo"), F.col("component").alias("c_hi"), "at", F.col("point").alias("corner"))
-    levels = [packed(entry)]
-    many = lambda nodes: cut(nodes.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1"))
-    more = many(levels[0])
-    tall = not more.isEmpty()
-    while tall and not more.isEmpty():
-        nodes = levels[-1].join(more, "key").withColumnRenamed("node", "id").withColumn("at", F.lit(0).cast("long"))
+    levels, more = [packed(entry)], []  # more: at each level, the keys that have several nodes there
+    while True:
+        more.append(cut(levels[-1].groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")))
+        if more[-1].isEmpty():
+            break
+        nodes = levels[-1].join(more[-1], "key").withColumnRenamed("node", "id").withColumn("at", F.lit(0).cast("long"))
         levels.append(packed(nodes.select("key", "rows", *_FIELDS)))
-        more = many(levels[-1])
     mode = F.lit(best).alias("best")
-    self_pairs = levels[0].select(F.col("entries").alias("xs"), F.col("entries").alias("ys"), F.lit(True).alias("same"), mode)
-    found = self_pairs.mapInArrow(_candidates, "item long, component long, other long, most long")
-    if tall:
-        pairs = levels[-1].select(F.col("node").alias("x"), F.col("node").alias("y"))
-        for k in range(len(levels) - 1, -1, -1):
-            side = lambda name, k=k: levels[k].select(F.col("node").alias(name), F.col("entries").alias(f"{name}s"))
-            both = pairs.join(side("x"), "x").join(side("y"), "y").select("xs", "ys", (F.col("x") == F.col("y")).alias("same"), mode)
-            if k:
-                pairs = cut(both.mapInArrow(_children, "x long, y long"))
-            else:  # a leaf against itself is in self_pairs
-                found = found.unionByName(both.filter("not same").mapInArrow(_candidates, "item long, component long, other long, most long"))
+    found = levels[0].select(F.col("entries").alias("xs"), mode).mapInArrow(_candidates, "item long, component long, other long, most long")
+    pairs = None
+    for k in range(len(levels) - 1, -1, -1):
+        if k:
+            roots = levels[k].join(more[k], "key", "left_anti").select(F.col("node").alias("x"), F.col("node").alias("y"))
+            pairs = pairs.unionByName(roots) if pairs else roots
+        elif not pairs:
+            break  # no tile has a second leaf
+        side = lambda name, k=k: levels[k].select(F.col("node").alias(name), F.col("entries").alias(f"{name}s"))
+        both = pairs.join(side("x"), "x").join(side("y"), "y")
+        if k:
+            pairs = cut(both.select("xs", "ys", (F.col("x") == F.col("y")).alias("same")).mapInArrow(_children, "x long, y long"))
+        else:  # a leaf against itself is among found
+            found = found.unionByName(both.filter("x <> y").select("xs", "ys", mode).mapInArrow(_candidates, "item long, component long, other long, most long"))
     if best:
         found = found.groupBy("item", "component").agg(F.max_by("other", F.struct("most", "other")).alias("other"))
     return cut(found.select(F.greatest("item", "other").alias("a"), F.least("item", "other").alias("b")).filter("a <> b").distinct())
 
 
-def links(members: DataFrame, documents: DataFrame) -> DataFrame:
-    """(item, component) of all linked items of members (key, item, n, at), written."""
+def several_texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) from a doc_id with different texts to the items that stand for them."""
+    full = rows.filter("n > 0 and doc_id is not null").select("doc_id", "d1", "d2")
+    again = cut(full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi")).filter("lo <> hi").select("doc_id"))
+    if again.isEmpty():
+        return full.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).filter("false")
+    return cut(full.join(again, "doc_id").join(classes.select("d1", "d2", "item"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("item").alias("b")).filter("a <> b").distinct())
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, in order of their keys, that some row of the key leaves room for by size, place and component; where a tile isn't whole here, all."""
+    for batch in batches:
+        key, n, at, component = (batch.column(c).to_numpy() for c in ("key", "n", "at", "component"))
+        keep = np.ones(len(key), bool)
+        change = np.flatnonzero(key[1:] != key[:-1]) + 1
+        for a, b in zip(change[:-1], change[1:], strict=True):  # the first and the last tile may go on elsewhere
+            if b - a <= FAN:
+                x, c, room = n[a:b], component[a:b], n[a:b] - at[a:b]
+                may = (c[:, None] != c) & (100 * np.minimum(x[:, None], x) >= PERCENT * np.maximum(x[:, None], x)) & linked(np.minimum(room[:, None], room), x[:, None], x)
+                keep[a:b] = may.any(1)
+        yield batch.filter(pa.array(keep))
+
+
+def links(members: DataFrame, documents: DataFrame, known: DataFrame) -> DataFrame:
+    """(item, component) of all linked items of members (key, item, n, at), written; known: links (a, b) besides."""
     tiles = cut(members.groupBy("key").agg(F.min(F.struct("item", "n", "at")).alias("mid"), F.count("*").alias("rows")))
     met = members.join(tiles, "key").filter((F.col("item") != F.col("mid.item")) & similar_size(F.col("n"), F.col("mid.n")))
     met = met.filter(linked(F.least(F.col("n") - F.col("at"), F.col("mid.n") - F.col("mid.at")), F.col("n"), F.col("mid.n")))
-    found = verify(cut(met.select(F.greatest("item", "mid.item").alias("a"), F.least("item", "mid.item").alias("b")).distinct()), documents, True)
+    found = verify(cut(met.select(F.greatest("item", "mid.item").alias("a"), F.least("item", "mid.item").alias("b")).distinct()), documents, True).unionByName(known)
     named = components(found)
     rest = cut(members.join(tiles.filter("rows > 2").select("key", "rows"), "key"))  # two rows have met
     points = None
     for best in (True, False):
         own = cut(rest.join(named, "item", "left").withColumn("component", F.coalesce("component", "item")))
         parts = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        own = cut(own.join(cut(parts), "key", "left_semi"))
+        own = own.join(cut(parts), "key", "left_semi").select("key", "rows", "item", "n", "at", "component")
+        dealt = own.filter(F.col("rows") <= SPLIT).repartition("key").sortWithinPartitions("key")
+        own = cut(dealt.mapInArrow(_hopeful, own.schema).unionByName(own.filter(F.col("rows") > SPLIT)))
         if own.isEmpty():
             return named
         if points is None:
-            points = sets_of(documents, cut(own.select("item").distinct())).select("item", "n", "point")
+            points = sets_of(documents, cut(own.select("item").distinct()), False, True)
         found = found.unionByName(verify(by_trees(own.join(points, ["item", "n"]), best), documents, False))
         named = components(found)
         rest = own.drop("component")
@@ -322,11 +361,12 @@ def similar(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links) for each row of documents (doc_id, text)."""
     documents = documents.select(F.col("doc_id").cast("long"), "text")
     rows = cut(documents.mapInArrow(_sketch(frequent_shingles(documents)), SKETCH))
-    classes = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("item"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
-    classes = cut(classes)
-    keys = classes.filter("item is not null").select("item", "n", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at").cast("long"))
-    shared = keys.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).filter("lo <> hi").select("key")
-    named = links(cut(keys.join(cut(shared), "key", "left_semi")), documents)
+    classes = cut(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("item"), F.count("*").alias("copies")))
+    copies = classes.filter("copies > 1").select("d1", "d2", "item")
+    points = rows.filter("n > 0 and doc_id is not null").join(copies, ["d1", "d2"], "left").filter("item is null or item = doc_id")
+    keys = points.select(F.col("doc_id").alias("item"), "n", F.posexplode("prefix").alias("at", "key")).withColumn("at", F.col("at").cast("long"))
+    shared = keys.groupBy("key").count().filter("count > 1").select("key")
+    named = links(cut(keys.join(cut(shared), "key", "left_semi")), documents, several_texts(rows, classes))
     owner = classes.join(named, "item", "left").withColumn("component_id", F.coalesce("component", "item"))
     owner = cut(owner.filter("copies > 1 or component_id <> item").select("d1", "d2", "component_id"))
     out = rows.select("doc_id", "n", "d1", "d2").join(owner, ["d1", "d2"], "left")
