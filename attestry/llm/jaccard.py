@@ -4,11 +4,12 @@ A document's set is its distinct five-word shingles (words lower-cased A-Z, spli
 text of fewer words is one shingle of them all. Two documents are linked if 100 * |both| >= 80 * |either|.
 
 Shingles are hashed into groups, about one group a shingle (a power of two, ``GROUPS`` at most; a finer
-vector folds to a coarser one by adding halves). A set's point is its counts by group. Two sets share no
+vector folds to a coarser one by adding halves; ``TREE_GROUPS`` in trees). A set's point is its counts by group. Two sets share no
 more than the sum over the groups of the lesser count; two rectangles hold no pair that shares more than the
 sum of the lesser upper corners. Trees are packed in order of component and size, ``FAN`` entries a node;
 node pairs go down only if that bound, the sizes and the components leave room for a new link, and leaf
-pairs give the document pairs of which the points do. Those are verified on whole sets.
+pairs give the document pairs of which the points do. Those are held against their finer points, then
+verified on whole sets.
 
 A tree over all documents would prune little: unrelated points differ in every coordinate a bit, so that the
 corners of a node of them lie over all of them. So there is a tree for each tile. Shingles are put in one
@@ -39,7 +40,7 @@ from attestry.llm.components import components
 from attestry.llm.minhash import WordHashes, _lists, mix, shingles
 
 PERCENT = 80
-GROUPS = 1 << 14
+GROUPS, TREE_GROUPS = 1 << 14, 1 << 9  # in trees, where a long text has many entries, points are coarser
 FAN = 256
 SPLIT = 4_096  # rows of a tile that one task packs
 SAMPLE, FREQUENT, LEAST = 5_000, 1 << 16, 5
@@ -65,9 +66,9 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return s[first[np.lexsort((s[first], order[first]))]]
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Counts by group; as many groups as the largest power of two up to the number of shingles, GROUPS at most."""
-    groups = min(GROUPS, 1 << (len(s).bit_length() - 1))
+def point(s: np.ndarray, most: int = GROUPS) -> np.ndarray:
+    """Counts by group; as many groups as the largest power of two up to the number of shingles, most at most."""
+    groups = min(most, 1 << (len(s).bit_length() - 1))
     counts = np.bincount((s & _U(groups - 1)).astype(np.int64), minlength=groups)
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
 
@@ -103,8 +104,8 @@ def _sketch(frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def _sets(whole: bool, points: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of texts with shingles: item, n, and as asked the point and the whole set."""
+def _sets(whole: bool, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of texts with shingles: item, n, and as asked the point of so many groups and the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -115,8 +116,8 @@ def _sets(whole: bool, points: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sets = [sets[k] for k in full]
                 columns = {"item": part.column(0).take(pa.array(full, pa.int32())), "n": pa.array([len(s) for s in sets], pa.int64())}
-                if points:
-                    columns["point"] = pa.array([stored(point(s)) for s in sets], pa.binary())
+                if groups:
+                    columns["point"] = pa.array([stored(point(s, groups)) for s in sets], pa.binary())
                 if whole:
                     columns["shingles"] = _lists(sets)
                 yield pa.RecordBatch.from_pydict(columns)
@@ -128,16 +129,16 @@ def frequent_shingles(documents: DataFrame) -> np.ndarray:
     """Shingles that LEAST texts of a sample or more hold, the FREQUENT most held ones at most, sorted."""
     share = F.pmod(F.xxhash64("text"), F.lit(max(1, documents.count() // SAMPLE))) == 0
     texts = documents.filter(share & F.col("text").isNotNull()).groupBy(F.xxhash64("text").alias("item")).agg(F.first("text").alias("text"))
-    held = texts.mapInArrow(_sets(True, False), "item long, n long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= LEAST)
+    held = texts.mapInArrow(_sets(True, 0), "item long, n long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= LEAST)
     rows = held.orderBy(F.desc("count"), "s").limit(FREQUENT).collect()
     return np.sort(np.array([r["s"] for r in rows], np.int64).view(_U))
 
 
-def sets_of(documents: DataFrame, items: DataFrame, whole: bool, points: bool) -> DataFrame:
+def sets_of(documents: DataFrame, items: DataFrame, whole: bool, groups: int) -> DataFrame:
     """(item, n, and as asked point, shingles) of the documents named in items (item), which must be written."""
     wanted = F.broadcast(items) if items.count() <= BROADCAST_IDS else items
     texts = documents.select(F.col("doc_id").alias("item"), "text").join(wanted, "item", "left_semi")
-    return cut(texts.mapInArrow(_sets(whole, points), "item long, n long" + ", point binary" * points + ", shingles array<long>" * whole))
+    return cut(texts.mapInArrow(_sets(whole, groups), "item long, n long" + ", point binary" * bool(groups) + ", shingles array<long>" * whole))
 
 
 def bound(p: np.ndarray, q: np.ndarray) -> int:
@@ -153,15 +154,14 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verify(pairs: DataFrame, documents: DataFrame, by_points: bool) -> DataFrame:
-    """Of distinct candidates (a, b), written, the linked ones; by_points first if their points are not known to leave room."""
+def verify(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Of distinct candidates (a, b), written, the linked ones: by their points first, then by whole sets."""
     ends = lambda: cut(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct())
     side = lambda x, *columns: sets.select(F.col("item").alias(x), *[F.col(c).alias(name) for c, name in columns])
-    if by_points:
-        sets = sets_of(documents, ends(), False, True)
-        both = pairs.join(side("a", ("n", "n"), ("point", "p")), "a").join(side("b", ("n", "m"), ("point", "q")), "b")
-        pairs = cut(both.filter(similar_size(F.col("n"), F.col("m"))).select("a", "b", "n", "m", "p", "q").mapInArrow(_bounded, "a long, b long")).distinct()
-    sets = sets_of(documents, ends(), True, False)
+    sets = sets_of(documents, ends(), False, GROUPS)
+    both = pairs.join(side("a", ("n", "n"), ("point", "p")), "a").join(side("b", ("n", "m"), ("point", "q")), "b")
+    pairs = cut(both.filter(similar_size(F.col("n"), F.col("m"))).select("a", "b", "n", "m", "p", "q").mapInArrow(_bounded, "a long, b long")).distinct()
+    sets = sets_of(documents, ends(), True, 0)
     both = pairs.join(side("a", ("shingles", "x")), "a").join(side("b", ("shingles", "y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
     both = both.select("a", "b", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), common.alias("common"))
@@ -337,7 +337,7 @@ def links(members: DataFrame, documents: DataFrame, known: DataFrame) -> DataFra
     tiles = cut(members.groupBy("key").agg(F.min(F.struct("item", "n", "at")).alias("mid"), F.count("*").alias("rows")))
     met = members.join(tiles, "key").filter((F.col("item") != F.col("mid.item")) & similar_size(F.col("n"), F.col("mid.n")))
     met = met.filter(linked(F.least(F.col("n") - F.col("at"), F.col("mid.n") - F.col("mid.at")), F.col("n"), F.col("mid.n")))
-    found = verify(cut(met.select(F.greatest("item", "mid.item").alias("a"), F.least("item", "mid.item").alias("b")).distinct()), documents, True).unionByName(known)
+    found = verify(cut(met.select(F.greatest("item", "mid.item").alias("a"), F.least("item", "mid.item").alias("b")).distinct()), documents).unionByName(known)
     named = components(found)
     rest = cut(members.join(tiles.filter("rows > 2").select("key", "rows"), "key"))  # two rows have met
     points = None
@@ -350,8 +350,8 @@ def links(members: DataFrame, documents: DataFrame, known: DataFrame) -> DataFra
         if own.isEmpty():
             return named
         if points is None:
-            points = sets_of(documents, cut(own.select("item").distinct()), False, True)
-        found = found.unionByName(verify(by_trees(own.join(points, ["item", "n"]), best), documents, False))
+            points = sets_of(documents, cut(own.select("item").distinct()), False, TREE_GROUPS)
+        found = found.unionByName(verify(by_trees(own.join(points, ["item", "n"]), best), documents))
         named = components(found)
         rest = own.drop("component")
     return named
