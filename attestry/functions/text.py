@@ -11,7 +11,11 @@ MODALS = [
     ("should", ["should", "recommended", "expected", "ought"]),
     ("may", ["may", "can", "optional", "permitted", "encouraged"]),
 ]
-COMPOUND_TAILS = "up|out|in|on|off|to|by|end|based|level|time|only|wide|specific|party|tier"
+# Second halves of hyphenated compounds.
+COMPOUND_TAILS = (
+    "oriented server controller response layered op based driven tier end side premise prem time only party specific level wide aware free safe in out off on up down to "
+    "facing critical bound ready heavy light scoped owned backed"
+).split()
 VAGUE = (
     r"(?i)\b(?:appropriate(?:ly)?|adequate(?:ly)?|as\s+necessary|where\s+possible|where\s+appropriate|best\s+practices?|consider(?:ing|ed)?|proper(?:ly)?|robust|sufficient(?:ly)?"
     r"|as\s+needed|if\s+required|suitable|reasonable)\b"
@@ -20,6 +24,16 @@ GENERIC = (
     r"(?i)\b(?:consider\s+(?:implementing|adding|reviewing|using|adopting)|ensure\s+(?:that\s+)?proper|confirm\s+(?:its\s+|the\s+)?support\s+status|align\s+with\s+stakeholders|review\s+and\s+update"
     r"|follow\s+(?:industry\s+)?best\s+practices?|as\s+appropriate|where\s+appropriate)\b"
 )
+# A reading of a rule's lines: broader than NORMATIVE.
+DUTY = r"(?i)\b(?:must|shall|required|requires|prohibited|mandatory|may\s+not|never)\b"
+# A description that opens on a part of the document.
+ABOUT_DOCUMENT = (
+    r"(?i)^\s*(?:an?|the|this)?\s*(?:architecture|context|system|flow|component|high.level|reference)?\s*"
+    r"(?:sketch|diagram|figure|illustration|drawing|matrix|section|page|appendix|heading)\b"
+)
+# What a template leaves to its author, and files that a section points at.
+PLACEHOLDER = r"(?i)\b(?:TBD|TBC|N/A)\b|\bto be (?:confirmed|determined|decided|agreed|received|provided)\b|\btype here\b"
+ATTACHMENT = r"(?i)\S+\.(?:xlsx|xlsm|xls|csv|docx|doc|pdf|pptx|vsdx|vsd|msg|zip)\b"
 
 
 def normative(sentence: Column) -> Column:
@@ -27,15 +41,21 @@ def normative(sentence: Column) -> Column:
     return sentence.rlike(NORMATIVE) & F.length(sentence).between(25, 400)
 
 
-def vague(text: Column) -> Column:
-    """Fewer than six words, boilerplate, or an opening on a figure."""
-    return (F.size(F.split(F.trim(text), r"\s+")) < 6) | text.rlike(GENERIC) | text.rlike(r"(?i)^\s*(?:the\s+)?(?:diagram|figure|image|drawing)\b")
+def generic(text: Column) -> Column:
+    """Advice of fewer than six words, or with a phrase that says nothing."""
+    return (F.size(F.split(F.trim(text), r"\s+")) < 6) | text.rlike(GENERIC)
+
+
+def vague_gap(what: Column) -> Column:
+    """A gap described in fewer than six words, or by where it stands; advice phrases are no fault in a description."""
+    return (F.size(F.split(F.trim(what), r"\s+")) < 6) | what.rlike(ABOUT_DOCUMENT)
 
 
 def substantive(text: Column) -> Column:
-    """Prose that says something: over 200 characters yes, under 60 no, else a sentence that is no placeholder."""
-    hold = text.rlike(r"(?i)\b(?:tbd|tba|to be (?:defined|confirmed|completed)|see attach|attached)\b")
-    return F.when(F.length(text) > 200, True).when(F.length(text) < 60, False).otherwise(text.rlike(r"[.!?]\s*$") & ~hold)
+    """Prose that says something: over 200 characters yes, under 60 no, else sentences without a placeholder or an attached file."""
+    said = F.trim(text)
+    open_ = said.rlike(PLACEHOLDER) | F.replace(said, F.lit("\n"), F.lit("")).rlike(ATTACHMENT)
+    return F.when(F.length(said) > 200, True).when(F.length(said) < 60, False).otherwise(said.rlike(r"[.!?](?:\s|$)") & ~open_)
 
 
 def strongest_modal(text: Column) -> Column:
@@ -60,8 +80,9 @@ def obligation(parsed: Column, requirements: Column, statement: Column, title: C
 
 def rejoin_wraps(text: Column) -> Column:
     """Join words broken by a hyphen at a line end; compounds, capitals and digits keep the hyphen."""
-    kept = F.regexp_replace(text, rf"(\w)-[ \t]*\n[ \t]*(?=(?:{COMPOUND_TAILS})\b|[A-Z0-9])", "$1-")
-    return F.regexp_replace(kept, r"(\p{L})-[ \t]*\n[ \t]*(?=\p{Ll})", "$1")
+    kept = F.regexp_replace(text, rf"([a-z]{{2,}})-\s*\n\s*(?=(?:{'|'.join(COMPOUND_TAILS)})(?![a-z]))", "$1-")
+    joined = F.regexp_replace(kept, r"([a-z]{2,})-\s*\n\s*([a-z]+)", "$1$2")
+    return F.regexp_replace(joined, r"-\s*\n\s*(?=[A-Z0-9])", "-")
 
 
 def reflow(text: Column, least: int = 60) -> Column:
@@ -133,7 +154,7 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def valid_email(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]{2,}$"), F.lit(False))
+    return F.coalesce(F.trim(text).rlike(r"^[^\s@,;]+@[^\s@,;.]+\.[^\s@,;]{2,}$"), F.lit(False))
 
 
 def token_estimate(text: Column) -> Column:
@@ -158,19 +179,32 @@ def file_format(content: Column) -> Column:
     )
 
 
+# How headings, contents lines and the parts of a clause read.
+NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+(\S.*)$"
+APPENDIX = r"(?i)^(Appendix\s+[A-Z])\s*[:.]?\s*(.*)$"
+TITLE_LIKE = r"^[A-Z][^.!?:]{2,78}$"
+CLAUSE_LABEL = r"(?i)^\s*(?:statement|rationale|requirements?|implications?|applicable\s+patterns?|note)\b\s*:"
+CONTENTS_ENTRY = r"^(.+?)[\s.]{2,}(\d{1,4})$"
+
+
 def heading(line: Column) -> Column:
-    """(kind, depth, title) of a line that reads as a heading, else null: numbered, appendix, or a short title."""
-    number = F.regexp_extract(line, r"^\s*(\d+(?:\.\d+)*)\.?\s+\S", 1)
-    appendix = line.rlike(r"(?i)^\s*(?:appendix|annex)\s+[A-Z0-9]\b")
-    title = (F.length(line) <= 78) & line.rlike(r"^\s*\p{Lu}") & ~line.rlike(r"[.!?:]\s*$") & (F.size(F.split(F.trim(line), r"\s+")) <= 10)
-    make = lambda kind, depth: F.struct(F.lit(kind).alias("kind"), depth.cast("int").alias("depth"), F.trim(line).alias("title"))
-    return F.when(number != "", make("numbered", F.size(F.split(number, r"\.")))).when(appendix, make("appendix", F.lit(1))).when(title, make("title", F.lit(None)))
+    """(kind, depth, title) of a line that reads as a heading, else null: numbered, appendix, or a short title; a clause's part never."""
+    said = F.trim(line)
+    number = F.regexp_extract(said, NUMBERED, 1)
+    make = lambda kind, depth: F.struct(F.lit(kind).alias("kind"), depth.cast("int").alias("depth"), said.alias("title"))
+    found = F.when(number != "", make("numbered", F.size(F.split(number, r"\.")))).when(said.rlike(APPENDIX), make("appendix", F.lit(1))).when(said.rlike(TITLE_LIKE), make("title", F.lit(None)))
+    return F.when(~said.rlike(CLAUSE_LABEL), found)
 
 
 def toc_entry(line: Column) -> Column:
-    """(title, page) of a contents line with a leader, else null."""
-    form = r"^\s*(.+?)\s*\.{3,}\s*(\d+)\s*$"
-    return F.when(line.rlike(form), F.struct(F.regexp_extract(line, form, 1).alias("title"), F.regexp_extract(line, form, 2).cast("int").alias("page")))
+    """(number, title, page, depth) of a contents line, else null: a title, two dots or spaces or more, a page up to 5000."""
+    said = F.trim(line)
+    title, page = F.regexp_replace(F.regexp_extract(said, CONTENTS_ENTRY, 1), r"^[ .]+|[ .]+$", ""), F.regexp_extract(said, CONTENTS_ENTRY, 2)
+    number, appendix = F.regexp_extract(title, NUMBERED, 1), F.initcap(F.regexp_extract(title, APPENDIX, 1))
+    rest = F.when(number != "", F.trim(F.regexp_extract(title, NUMBERED, 2))).when(appendix != "", F.coalesce(F.nullif(F.trim(F.regexp_extract(title, APPENDIX, 2)), F.lit("")), appendix)).otherwise(title)
+    depth = F.when(number != "", F.size(F.split(number, r"\."))).otherwise(1)
+    entry = F.struct(F.coalesce(F.nullif(number, F.lit("")), F.nullif(appendix, F.lit(""))).alias("number"), rest.alias("title"), F.try_to_number(page, F.lit("9999")).cast("int").alias("page"), depth.alias("depth"))
+    return F.when(said.rlike(CONTENTS_ENTRY) & (rest != "") & (page.try_cast("int") <= 5000), entry)
 
 
 def render_row(headers: Column, cells: Column) -> Column:

@@ -74,7 +74,7 @@ def rehome(gaps: DataFrame, sections: DataFrame) -> DataFrame:
     homes = met.groupBy("gap_id").agg(F.bool_or(F.col("home") == F.col("section")).alias("own"), F.count("*").alias("n"), F.min("home").alias("home"))
     good = homes.filter("own or n = 1")
     out = gaps.join(good, "gap_id").withColumn("section", F.when(F.col("own"), F.col("section")).otherwise(F.col("home")))
-    return out.filter(~text.vague(F.col("what"))).drop("own", "n", "home").withColumn("_k", text.normalise(F.col("what"))).dropDuplicates(["document_id", "section", "_k"]).drop("_k")
+    return out.filter(~text.vague_gap(F.col("what"))).drop("own", "n", "home").withColumn("_k", text.normalise(F.col("what"))).dropDuplicates(["document_id", "section", "_k"]).drop("_k")
 
 
 def cited_row(rows: DataFrame, excerpts: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def one_part_each(members: DataFrame) -> DataFrame:
 
 def uncovered(lines: DataFrame, covered: DataFrame) -> DataFrame:
     """Lines that no rule or label covers, by document, with how many state a duty; high if any does or a fiftieth of all is left."""
-    rest = lines.join(covered, ["document_id", "ordinal"], "left_anti").groupBy("document_id").agg(F.count("*").alias("left"), F.count_if(F.col("text").rlike(text.NORMATIVE)).alias("duties"))
+    rest = lines.join(covered, ["document_id", "ordinal"], "left_anti").groupBy("document_id").agg(F.count("*").alias("left"), F.count_if(F.col("text").rlike(text.DUTY)).alias("duties"))
     whole = lines.groupBy("document_id").agg(F.count("*").alias("lines"))
     out = whole.join(rest, "document_id", "left").na.fill(0, ["left", "duties"])
     return out.withColumn("severity", F.when((F.col("duties") > 0) | (F.col("left") >= 0.02 * F.col("lines")), "high").otherwise("low"))
@@ -271,7 +271,7 @@ def check_advice(advice: DataFrame, sections: DataFrame, refs: DataFrame) -> Dat
     home = F.when(has_quote, by_quote).otherwise(by_name)
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     reason = (
-        F.when(blank("title") | blank("recommendation"), "empty").when((F.size(F.split(F.trim("recommendation"), r"\s+")) < 6) | F.col("recommendation").rlike(text.GENERIC), "generic").when(~F.coalesce("known", F.lit(False)), "unknown section")
+        F.when(blank("title") | blank("recommendation"), "empty").when(text.generic(F.col("recommendation")), "generic").when(~F.coalesce("known", F.lit(False)), "unknown section")
         .when(F.size("named_in") == 0, "unanchored").when(has_quote & home.isNull(), "quote not found").when(~has_quote & (F.col("kind") == "improve"), "missing quote").when(home.isNull(), "unanchored")
     )
     rows = rows.withColumn("reason", reason).withColumn("section", F.coalesce(home, "section")).withColumn("_title", text.normalise(F.col("title")))

@@ -25,7 +25,7 @@ def test_obligation_takes_parsed_strengths_only_if_they_line_up(spark):
     assert tuple(o(["must"], ["a", "b"])) == ("should", "read")
 
 
-@pytest.mark.parametrize("said,want", [("a multi-\nline text", "a multiline text"), ("cloud-\nbased text", "cloud-based text"), ("in Nord-\nRhein", "in Nord-Rhein")])
+@pytest.mark.parametrize("said,want", [("a multi-\nline text", "a multiline text"), ("cloud-\nbased text", "cloud-based text"), ("in Nord-\nRhein", "in Nord-Rhein"), ("service-\noriented", "service-oriented"), ("aware-\nness in-\nformation", "awareness information"), ("ISO-\n27001 Shibboleth-\n  Based", "ISO-27001 Shibboleth-Based")])
 def test_wraps(spark, said, want):
     assert one(spark, text.rejoin_wraps(F.col("t")), t=said) == want
 
@@ -49,14 +49,17 @@ def test_scrub_and_fingerprint(spark):
     assert one(spark, text.fingerprint(F.lit("a"), F.lit("b"))) != one(spark, text.fingerprint(F.lit("ab"), F.lit("")))
 
 
-@pytest.mark.parametrize("line,want", [("3.1 Key management", ("numbered", 2)), ("Appendix B Terms", ("appendix", 1)), ("Key Management", ("title", None)), ("this is a sentence.", None), ("Ends with a stop.", None)])
+@pytest.mark.parametrize("line,want", [("3.1 Key management", ("numbered", 2)), ("Appendix B Terms", ("appendix", 1)), ("Key Management", ("title", None)), ("this is a sentence.", None), ("Ends with a stop.", None), ("Statement: All of it", None), ("Version 1.2 of it", None), ("Rationale", ("title", None)), ("Appendix b", ("appendix", 1))])
 def test_heading(spark, line, want):
     got = one(spark, text.heading(F.col("t")), t=line)
     assert (got and (got["kind"], got["depth"])) == want
 
 
 def test_small_text_functions(spark):
-    assert tuple(one(spark, text.toc_entry(F.lit("Access control ...... 12")))) == ("Access control", 12)
+    assert tuple(one(spark, text.toc_entry(F.lit("Access control ...... 12")))) == (None, "Access control", 12, 1)
+    assert tuple(one(spark, text.toc_entry(F.lit("1.1. Purpose   5")))) == ("1.1", "Purpose", 5, 2)
+    assert tuple(one(spark, text.toc_entry(F.lit("appendix b: Glossary of Terms ..... 27")))) == ("Appendix B", "Glossary of Terms", 27, 1)
+    assert one(spark, text.toc_entry(F.lit("Room 12"))) is None and one(spark, text.toc_entry(F.lit("Too far ..... 6000"))) is None
     assert one(spark, text.render_row(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("1"), F.lit(None)))) == "a: 1; b: not specified"
     assert one(spark, text.unique_headers(F.col("h")), h=["x", "y", "x"]) == ["x", "y", "x (2)"]
     assert one(spark, text.labelled_part(F.lit("Statement: S. Rationale: R."), "Rationale")) == "R."
@@ -65,7 +68,11 @@ def test_small_text_functions(spark):
     assert one(spark, text.shorten(F.lit("one two three"), 8)) == "one two…" or one(spark, text.shorten(F.lit("one two three"), 8)) == "one…"
     assert one(spark, text.file_format(F.unhex(F.lit("255044462D312E37")))) == "pdf"
     assert one(spark, text.normative(F.lit("All systems must encrypt data at rest."))) and not one(spark, text.normative(F.lit("You must.")))
-    assert one(spark, text.vague(F.lit("Figure 3 shows all parts of it now"))) and not one(spark, text.substantive(F.lit("TBD")))
+    assert one(spark, text.vague_gap(F.lit("Architecture sketch of HR System, ETL Job"))) and one(spark, text.vague_gap(F.lit("Stores keys in files")))
+    assert not one(spark, text.vague_gap(F.lit("Keys are rotated where appropriate by the platform team"))) and one(spark, text.generic(F.lit("Rotate the keys where appropriate in all of them")))
+    for said, want in [("The zone runs in two sites and fails over to the other by itself.", True), ("Details of the availability zones to be agreed with the operator.", False), ("All of the servers are listed in the file Server List.xlsx here.", False), ("TBC. The availability of all of these zones is not known as yet.", False), ("No sentence here but quite some words so that it is long enough", False)]:
+        assert one(spark, text.substantive(F.col("t")), t=said) is want
+    assert not one(spark, text.substantive(F.lit("TBD")))
 
 
 def test_lexical_and_vector(spark):
