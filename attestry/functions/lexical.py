@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions import stemming
+
 #: Wording of standards at large, which finds everything; and the common stop words of English text search.
 FILLER = (
     "must shall should may will can standard standards requirement requirements policy policies guideline guidelines document documents documented documentation "
@@ -55,17 +57,30 @@ def keywords(text: Column) -> Column:
     return F.array_except(F.array_distinct(words), F.array(*map(F.lit, KEYWORD_STOP)))
 
 
+def lexemes(text: Column) -> Column:
+    """Lower-case words, numbers and dotted versions without common stop words, repeats kept; not stemmed yet."""
+    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9.]+"), lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
+    return F.filter(words, lambda w: (w != "") & ~w.isin(STOP))
+
+
 def query_terms(text: Column) -> Column:
-    """Distinct words less filler and stop words; less stop words alone if nothing is left."""
-    words = F.array_except(content_words(text), F.array(*map(F.lit, STOP)))
+    """Distinct lexemes less filler; with the filler if nothing else is left."""
+    words = F.array_distinct(lexemes(text))
     left = F.array_except(words, F.array(*map(F.lit, FILLER)))
     return F.when(F.size(left) > 0, left).otherwise(words)
 
 
-def weighted_tokens(chunks: DataFrame, heading: int = 10, body: int = 1) -> DataFrame:
-    """(chunk_id, term, weight): one row an occurrence; headings count ten times the body.
+def weighted_terms(chunks: DataFrame, heading: int = 10, body: int = 1) -> DataFrame:
+    """(chunk_id, term, weight): the stems of each chunk with the weight of all their occurrences; headings count ten times the body.
 
-    With terms joined by OR each occurrence is a cover of its own, so rank is the sum of weights.
+    With terms joined by OR each occurrence is a cover of its own, so rank is the sum of weights. Occurrences are counted
+    in their row's words before they meet, and distinct words alone are stemmed.
     """
-    part = lambda column, weight: chunks.select("chunk_id", F.explode(tokens(F.col(column))).alias("term"), F.lit(weight).alias("weight"))
-    return part("heading_path", heading).unionByName(part("text", body))
+    part = lambda column, weight: chunks.select("chunk_id", F.explode(lexemes(F.col(column))).alias("word"), F.lit(weight).cast("long").alias("weight"))
+    words = part("heading_path", heading).unionByName(part("text", body)).groupBy("chunk_id", "word").agg(F.sum("weight").alias("weight"))
+    return stemming.with_stems(words, "word", "term").groupBy("chunk_id", "term").agg(F.sum("weight").alias("weight"))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct stems of queries (query_id, terms)."""
+    return stemming.with_stems(queries.select("query_id", F.explode("terms").alias("word")), "word", "term").select("query_id", "term").distinct()

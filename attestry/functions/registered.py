@@ -12,13 +12,14 @@ def _words(words: list[str]) -> str:
 #: name: (parameters, type, body); bodies are plain SQL, so queries that call them stay with the optimizer.
 FUNCTIONS = {
     "content_words": ("body STRING", "ARRAY<STRING>", "array_distinct(filter(split(lower(body), '[^a-z0-9.]+'), w -> length(w) >= 3))"),
+    "lexemes": ("body STRING", "ARRAY<STRING>", f"filter(transform(split(lower(coalesce(body, '')), '[^a-z0-9.]+'), w -> regexp_replace(w, '^[.]+|[.]+$', '')), w -> w <> '' AND NOT array_contains({_words(lexical.STOP)}, w))"),
     "search_terms": (
         "body STRING", "ARRAY<STRING>",
-        f"CASE WHEN size(array_except(array_except(content_words(body), {_words(lexical.STOP)}), {_words(lexical.FILLER)})) > 0 THEN array_except(array_except(content_words(body), {_words(lexical.STOP)}), {_words(lexical.FILLER)}) ELSE array_except(content_words(body), {_words(lexical.STOP)}) END",
+        f"CASE WHEN size(array_except(array_distinct(lexemes(body)), {_words(lexical.FILLER)})) > 0 THEN array_except(array_distinct(lexemes(body)), {_words(lexical.FILLER)}) ELSE array_distinct(lexemes(body)) END",
     ),
     "chunk_weights": (
         "heading STRING, body STRING", "ARRAY<STRUCT<term: STRING, weight: INT>>",
-        "concat(transform(filter(split(lower(heading), '[^a-z0-9.]+'), w -> length(w) >= 3), w -> named_struct('term', w, 'weight', 10)), transform(filter(split(lower(body), '[^a-z0-9.]+'), w -> length(w) >= 3), w -> named_struct('term', w, 'weight', 1)))",
+        "concat(transform(lexemes(heading), w -> named_struct('term', w, 'weight', 10)), transform(lexemes(body), w -> named_struct('term', w, 'weight', 1)))",
     ),
     "verdict_severity": (
         "verdict STRING, obligation STRING", "STRING",

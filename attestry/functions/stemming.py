@@ -118,7 +118,7 @@ def stem(word: Column) -> Column:
         return let(first, with_first)
 
     known = _literal_map(EXCEPTIONS | {w: w for w in UNCHANGED})
-    marked = F.regexp_replace(F.regexp_replace(word, "^y", "Y"), "(?<=[aeiouy])y", "Y")
+    marked = F.regexp_replace(F.regexp_replace(word, "^y", "Y"), "([aeiouy])y", "$1Y")
     return F.when(~word.rlike("^[a-z]{3,}$"), word).otherwise(F.coalesce(F.try_element_at(known, word), let(marked, regular)))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions import lexical, vector
-from attestry.operators import analytics
+from attestry.functions import lexical, stemming, vector
+from attestry.operators import analytics, lexindex
 
 RRF = 60
 BLOCK = 10_000  # queries broadcast at once
@@ -47,18 +47,21 @@ def fuse(dense: DataFrame, lexical_: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def hybrid(chunks: DataFrame, vectors: DataFrame, query_vector: list[float], terms: list[str], key: str, limit: int = 8, pool: int | None = None) -> DataFrame:
-    """The best chunks for one query: ids only until the top is known; terms are counted in their row."""
+    """The best chunks for one query of words: ids only until the top is known; words with its stems are counted in their row."""
     pool = pool or max(4 * limit, 32)
     distance = vector.cosine_distance(F.col("vector"), F.array(*map(F.lit, query_vector)))
     dense = ranked(vectors.select(key, distance.alias("distance")), "vector_rank", F.col("distance"), F.col(key), pool=pool).select(key, "vector_rank")
-    hits = chunks.select(key, F.size(F.filter(lexical.tokens(F.col("text")), lambda w: w.isin(list(terms)))).alias("hits")).filter("hits > 0")
+    stems = F.array_distinct(F.transform(F.array(*map(F.lit, terms)).cast("array<string>"), stemming.stem))
+    hits = chunks.select(key, F.size(F.filter(lexical.lexemes(F.col("text")), lambda w: F.array_contains(stems, stemming.stem(w)))).alias("hits")).filter("hits > 0")
     words = ranked(hits, "lexical_rank", F.desc("hits"), F.col(key), pool=pool).select(key, "lexical_rank")
     return fuse(dense, words, [key]).orderBy(F.desc("score"), F.col(key)).limit(limit)
 
 
-def batch_ranks(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, pool: int, by: tuple[str, ...] = ()) -> DataFrame:
+def batch_ranks(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, pool: int, by: tuple[str, ...] = (), index: DataFrame | None = None) -> DataFrame:
     """(query_id, by, chunk_id, vector_rank, lexical_rank, score) of the pools of many queries (query_id, query, terms).
 
+    terms are words, met by their stems; an index (lexindex.postings, written) of the same chunks answers the lexical side by bounds.
+
     chunks (chunk_id, heading_path, text, by) bound both sides; with by each query has a pool for every value of it. The
     vector side is an exact scan by definition: queries are broadcast in blocks.
     """
@@ -71,9 +74,12 @@ def batch_ranks(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, pool:
         near = own.crossJoin(F.broadcast(block)).select(*keys, "chunk_id", vector.cosine_distance(F.col("vector"), F.col("query")).alias("distance"))
         part = ranked(near, "vector_rank", F.col("distance"), F.col("chunk_id"), by=keys, pool=pool).select(*keys, "chunk_id", "vector_rank")
         dense = part if dense is None else dense.unionByName(part)
-    asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
-    hits = lexical.weighted_tokens(chunks).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("rank"))
+    asked = lexical.asked_terms(queries)
+    if index is not None and not by:
+        hits = lexindex.top(index, asked, pool)
+    else:
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
+        hits = lexical.weighted_terms(chunks).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("rank"))
     hits = hits.join(chunks.select("chunk_id", *by), "chunk_id") if by else hits
     words = ranked(hits, "lexical_rank", F.desc("rank"), F.col("chunk_id"), by=keys, pool=pool).select(*keys, "chunk_id", "lexical_rank")
     return fuse(dense, words, [*keys, "chunk_id"])

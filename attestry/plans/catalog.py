@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import dates, lexical, text, vector
-from attestry.operators import analytics, evidence, fidelity, search, state, structure, verdicts
+from attestry.operators import analytics, evidence, fidelity, lexindex, search, state, structure, verdicts
+from attestry.plans import twins
 from attestry.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,9 +46,10 @@ _COSINE = "1 - list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE *
 WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0 AND vec_id IN (SELECT doc_id FROM documents)),
 dist AS (SELECT query_id, v.vec_id AS doc_id, {_COSINE.format(a='v.embedding', b='q.e')} AS d FROM embeddings v JOIN documents ON doc_id = vec_id, q),
 dense AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS vector_rank FROM dist QUALIFY vector_rank <= 40),
-toks AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9.]+')) AS t FROM documents),
-terms AS (SELECT DISTINCT doc_id AS query_id, t FROM toks WHERE length(t) >= 3 AND doc_id IN (SELECT query_id FROM q)),
-hits AS (SELECT query_id, doc_id, count(*) AS n FROM toks JOIN terms USING (t) GROUP BY ALL),
+toks AS (SELECT doc_id, unnest({twins.lexemes('text')}) AS w FROM documents),
+{twins.stems('toks')},
+terms AS (SELECT DISTINCT query_id, stem FROM (SELECT doc_id AS query_id, unnest({twins.query_terms('text')}) AS w FROM documents WHERE doc_id IN (SELECT query_id FROM q)) JOIN stems USING (w)),
+hits AS (SELECT query_id, doc_id, count(*) AS n FROM toks JOIN stems USING (w) JOIN terms USING (stem) GROUP BY ALL),
 lex AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS lexical_rank FROM hits QUALIFY lexical_rank <= 40),
 f AS (SELECT query_id, doc_id, coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) AS s, vector_rank, lexical_rank FROM dense FULL JOIN lex USING (query_id, doc_id))
 SELECT query_id, doc_id, round(s, 9) AS score, vector_rank, lexical_rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) <= 8""")
@@ -57,11 +59,28 @@ def hybrid_search_rrf(spark, sf_dir):
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.lit("").alias("heading_path"), "text")
     vectors = vecs.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     asked = docs.filter("doc_id % 100 = 0").join(vecs.withColumnRenamed("vec_id", "doc_id"), "doc_id")
-    asked = asked.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query"), lexical.content_words(F.col("text")).alias("terms"))
+    asked = asked.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query"), lexical.query_terms(F.col("text")).alias("terms"))
     hits = search.ranked(search.batch_ranks(asked, chunks, vectors, pool=40), "place", F.desc("score"), F.col("chunk_id"), by="query_id", pool=8)
     return hits.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 9).alias("score"), "vector_rank", "lexical_rank")
 
 
+@_query(f"""
+WITH toks AS (SELECT doc_id, unnest({twins.lexemes('text')}) AS w, 1 AS weight FROM documents UNION ALL SELECT doc_id, unnest({twins.lexemes("lang || ' ' || source")}), 10 FROM documents),
+asked AS (SELECT item_id AS query_id, unnest({twins.query_terms('text')}) AS w FROM benchmark),
+vocabulary AS (SELECT w FROM toks UNION SELECT w FROM asked),
+{twins.stems('vocabulary')},
+terms AS (SELECT DISTINCT query_id, stem FROM asked JOIN stems USING (w)),
+hits AS (SELECT query_id, doc_id, CAST(sum(weight) AS BIGINT) AS rank FROM toks JOIN stems USING (w) JOIN terms USING (stem) GROUP BY ALL)
+SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_id) AS place FROM hits QUALIFY place <= 10""")
+def stemmed_search(spark, sf_dir):
+    """Every benchmark item as a query against all documents, by the stems of their words and of language and source as heading."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.concat_ws(" ", "lang", "source").alias("heading_path"), "text")
+    asked = lexical.asked_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), lexical.query_terms(F.col("text")).alias("terms")))
+    hits = lexindex.top(lexindex.postings(chunks).persist(), asked, 10)
+    return search.ranked(hits, "place", F.desc("rank"), F.col("chunk_id"), by="query_id").select("query_id", F.col("chunk_id").alias("doc_id"), "rank", "place")
+
+
 def _near(spark, sf_dir):
     """Every vector with an id divisible by 100 (query_id, q) beside all vectors."""
     vecs = table(spark, sf_dir, "embeddings")
