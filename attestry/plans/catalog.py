@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestry.functions import dates, lexical, text, vector
 from attestry.operators import analytics, evidence, fidelity, lexindex, search, state, structure, verdicts
 from attestry.plans import twins
+from attestry.sources import pdf
 from attestry.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,6 +223,17 @@ def quote_in_document(spark, sf_dir):
     return evidence.containing(needles, hay)
 
 
+@_query(r"""
+WITH l AS (SELECT doc_id, i, trim(regexp_replace(lines[i], '[ \t\r\f\x0b]+', ' ', 'g')) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ordinal, CAST((i - 1) // 50 + 1 AS INT) AS page, md5(line) AS line FROM l WHERE line <> ''""")
+def pdf_lines(spark, sf_dir):
+    """Every document as a PDF of 50 lines a page, read back line by line."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    files = pdf.to_pdf(docs.select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("lines")))
+    lines, _ = pdf.read_lines(files)
+    return lines.select(F.col("document_id").cast("long").alias("doc_id"), F.col("ordinal").cast("long").alias("ordinal"), "page", F.md5("text").alias("line"))
+
+
 @_query("SELECT source, sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY source, sha256(text)")
 def content_hash_dedupe(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source", F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
