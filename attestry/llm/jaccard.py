@@ -43,6 +43,7 @@ PERCENT = 80
 GROUPS, TREE_GROUPS = 1 << 14, 1 << 9  # in trees, where a long text has many entries, points are coarser
 FAN = 256
 SPLIT = 4_096  # rows of a tile that one task packs
+FEW = 32  # rows of a tile whose pairs are all verified at once
 SAMPLE, FREQUENT, LEAST = 5_000, 1 << 16, 5
 BROADCAST_IDS = 1_000_000
 
@@ -79,11 +80,11 @@ def stored(p: np.ndarray) -> bytes:
 
 
 def loaded(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if data[0] == 1 else np.uint32, offset=1).astype(np.uint32)
+    return np.frombuffer(data, np.uint8 if data[0] == 1 else np.uint32, offset=1)
 
 
 def folded(p: np.ndarray, groups: int) -> np.ndarray:
-    return p.reshape(-1, groups).sum(0, dtype=np.uint32)
+    return p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.uint32)
 
 
 SKETCH = "doc_id long, n long, d1 long, d2 long, prefix array<long>"
@@ -144,7 +145,7 @@ def sets_of(documents: DataFrame, items: DataFrame, whole: bool, groups: int) ->
 def bound(p: np.ndarray, q: np.ndarray) -> int:
     """The most that sets of these points can have in common."""
     groups = min(len(p), len(q))
-    return int(np.minimum(folded(p, groups), folded(q, groups)).sum())
+    return int(np.minimum(folded(p, groups), folded(q, groups)).sum(dtype=np.int64))
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,26 +224,32 @@ class Entries:
     def of(self, groups: int) -> np.ndarray:
         """A row for each entry that has so many groups or more, zeros for the others."""
         if groups not in self._of:
-            self._of[groups] = np.stack([folded(p, groups) if len(p) >= groups else np.zeros(groups, np.uint32) for p in self.points])
+            self._of[groups] = np.stack([folded(p, groups) if len(p) >= groups else np.zeros(groups, np.uint8) for p in self.points])
         return self._of[groups]
 
 
 def meeting(x: Entries, y: Entries, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of entries (i, j) that leave room for a link between components, and the bound of each."""
     out = [(np.empty(0, np.int64),) * 3]
-    for i in range(len(x.id)):
-        room = (100 * x.n_hi[i] >= PERCENT * y.n_lo) & (100 * y.n_hi >= PERCENT * x.n_lo[i]) & ((x.c_lo[i] != x.c_hi[i]) | (y.c_lo != y.c_hi) | (x.c_lo[i] != y.c_lo))
+    step = max(1, (1 << 16) // len(y.id))
+    for a in range(0, len(x.id), step):
+        n_lo, n_hi, c_lo, c_hi, at = (c[a : a + step, None] for c in (x.n_lo, x.n_hi, x.c_lo, x.c_hi, x.at))
+        room = (100 * n_hi >= PERCENT * y.n_lo) & (100 * y.n_hi >= PERCENT * n_lo) & ((c_lo != c_hi) | (y.c_lo != y.c_hi) | (c_lo != y.c_lo))
         # What stands before the shared key in the order isn't shared, in the first tile that a pair shares.
-        least = x.n_lo[i] + y.n_lo
-        room &= linked(np.minimum(x.n_hi[i] - x.at[i], y.n_hi - y.at), 0, least)
-        if same:
-            room[: i + (x.c_lo[i] == x.c_hi[i])] = False
-        j = np.flatnonzero(room)
-        for groups in np.unique(np.minimum(x.groups[i], y.groups[j])):
-            some = j[np.minimum(x.groups[i], y.groups[j]) == groups]
-            most = np.minimum(y.of(groups)[some], folded(x.points[i], groups)).sum(1).astype(np.int64)
-            ok = linked(most, 0, least[some])
-            out.append((np.full(ok.sum(), i), some[ok], most[ok]))
+        room &= linked(np.minimum(n_hi - at, y.n_hi - y.at), 0, n_lo + y.n_lo)
+        if same:  # each pair once; a node meets itself, a document doesn't
+            first = np.arange(a, a + len(n_lo)) + (c_lo == c_hi)[:, 0]
+            room &= np.arange(len(y.id)) >= first[:, None]
+        i, j = np.nonzero(room)
+        i += a
+        groups = np.minimum(x.groups[i], y.groups[j])
+        for g in np.unique(groups):
+            of_g = np.flatnonzero(groups == g)
+            for k in range(0, len(of_g), 2048):
+                p, q = i[of_g[k : k + 2048]], j[of_g[k : k + 2048]]
+                most = np.minimum(x.of(g)[p], y.of(g)[q]).sum(1, dtype=np.int64)
+                ok = linked(most, 0, x.n_lo[p] + y.n_lo[q])
+                out.append((p[ok], q[ok], most[ok]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -340,7 +347,6 @@ def links(members: DataFrame, documents: DataFrame, known: DataFrame) -> DataFra
     found = verify(cut(met.select(F.greatest("item", "mid.item").alias("a"), F.least("item", "mid.item").alias("b")).distinct()), documents).unionByName(known)
     named = components(found)
     rest = cut(members.join(tiles.filter("rows > 2").select("key", "rows"), "key"))  # two rows have met
-    points = None
     for best in (True, False):
         own = cut(rest.join(named, "item", "left").withColumn("component", F.coalesce("component", "item")))
         parts = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
@@ -349,9 +355,14 @@ def links(members: DataFrame, documents: DataFrame, known: DataFrame) -> DataFra
         own = cut(dealt.mapInArrow(_hopeful, own.schema).unionByName(own.filter(F.col("rows") > SPLIT)))
         if own.isEmpty():
             return named
-        if points is None:
+        if best:
             points = sets_of(documents, cut(own.select("item").distinct()), False, TREE_GROUPS)
-        found = found.unionByName(verify(by_trees(own.join(points, ["item", "n"]), best), documents))
+            own_now = own.filter(F.col("rows") > FEW)  # in a small tile, all pairs are few
+            if own_now.isEmpty():
+                continue
+        else:
+            own_now = own
+        found = found.unionByName(verify(by_trees(own_now.join(points, ["item", "n"]), best), documents))
         named = components(found)
         rest = own.drop("component")
     return named
