@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attestry.functions.text import normalise
+from attestry.functions.text import plain_words
 
 
 def read_list(payload: Column, schema: str, fits, most: int) -> Column:
@@ -22,7 +22,7 @@ def patch(payload: Column, **values: Column) -> Column:
 
 def evidence_quotes(payload: Column, least: int = 4) -> Column:
     """Quotes of a JSON evidence list, normalised, of at least so many words."""
-    said = F.transform(F.coalesce(F.from_json(payload, "array<struct<quote:string>>"), F.expr("cast(array() as array<struct<quote:string>>)")), lambda x: normalise(x["quote"]))
+    said = F.transform(F.coalesce(F.from_json(payload, "array<struct<quote:string>>"), F.expr("cast(array() as array<struct<quote:string>>)")), lambda x: plain_words(x["quote"]))
     return F.filter(said, lambda q: F.size(F.split(q, " ")) >= least)
 
 

@@ -108,13 +108,21 @@ def first_sentences(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.when(head == "", shorten(text, most)).otherwise(head))
 
 
+def plain_words(text: Column) -> Column:
+    """Words only, lower case, of a text in compatibility form."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(text, "‘’“”–—\u00a0", "''\"\"-- ")), r"[^\p{L}\p{N}]+", " "))
+
+
 def normalise(text: Column) -> Column:
-    """Words only, lower case, typographic marks as plain ones; ligatures and full-width forms as plain letters."""
+    """Words only, lower case, typographic marks as plain ones; ligatures and full-width forms as plain letters.
+
+    Other compatibility forms and combining accents: operators.evidence.with_compatible() first.
+    """
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))  # full-width ASCII
-    plain = F.translate(text, "‘’“”–—\u00a0" + wide, "''\"\"-- " + "".join(map(chr, range(0x21, 0x7F))))
+    plain = F.translate(text, wide, "".join(map(chr, range(0x21, 0x7F))))
     for mark, letters in {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}.items():
         plain = F.replace(plain, F.lit(mark), F.lit(letters))
-    return F.trim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]+", " "))
+    return plain_words(plain)
 
 
 def searchable(passage: Column) -> Column:

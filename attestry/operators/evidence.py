@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +18,26 @@ from attestry.operators import fidelity
 PROBES = 20_000
 
 
+def with_compatible(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows with these string columns in Unicode's compatibility form, composed; columns of ASCII pass through untouched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in columns:
+                said = batch.column(name)
+                if not pc.all(pc.string_is_ascii(said)).as_py() and len(batch):
+                    new = [x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in said.to_pylist()]
+                    batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(new, said.type))
+            yield batch
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def page_stretches(pages: DataFrame) -> DataFrame:
     """Pages (document_id, page, text) made ready for quotes, alone and with the page after joined on."""
     w = Window.partitionBy("document_id").orderBy("page")
     following = F.when(F.lead("page").over(w) == F.col("page") + 1, F.lead("text").over(w))
-    rows = pages.withColumn("_next", following)
+    rows = with_compatible(pages.select("document_id", "page", "text"), "text").withColumn("_next", following)
     return rows.select("document_id", "page", text.searchable(F.col("text")).alias("one"), F.when(F.col("_next").isNotNull(), text.searchable(F.concat_ws("\n", "text", "_next"))).alias("both"))
 
 
@@ -26,7 +46,8 @@ def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
 
     Quotes meet only the pages of their own document, by an equality join; pages and quotes are normalised once each.
     """
-    ready = quotes.select("document_id", "quote_id", F.col("page").alias("named"), text.quote_parts(F.col("quote")).alias("parts"))
+    ready = with_compatible(quotes.select("document_id", "quote_id", F.col("page").alias("named"), "quote"), "quote")
+    ready = ready.select("document_id", "quote_id", "named", text.quote_parts(F.col("quote")).alias("parts"))
     met = ready.join(page_stretches(pages), "document_id")
     whole = text.parts_in(F.col("parts"), F.col("one"))
     rank = F.when(whole & (F.col("page") == F.col("named")), 0).when(whole, 1).when(text.parts_in(F.col("parts"), F.col("both")), 2)

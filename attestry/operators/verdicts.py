@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions import lexical, text
-from attestry.functions.text import normalise
+from attestry.functions.text import plain_words
 from attestry.operators import fidelity
 
 # Fixed values of the contract.
@@ -194,7 +194,7 @@ def sharpening(lines: DataFrame) -> DataFrame:
     names = F.regexp_extract_all(F.split(F.coalesce("design_name", F.lit("")), " › ")[0], F.lit(r"\b([A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+)+)\b"), 1)
     reason = (
         F.when(F.length(c) > 240, "too long").when(F.size(F.split(F.trim(c), r"\s+")) < 6, "too short").when(F.size(F.coalesce("basis", F.array().cast("array<string>"))) == 0, "rests on nothing")
-        .when(~c.rlike(text.BINDING), "states no duty").when(c.rlike(text.VAGUE), "vague").when(F.exists("existing", lambda e: normalise(e) == normalise(c)), "exists already")
+        .when(~c.rlike(text.BINDING), "states no duty").when(c.rlike(text.VAGUE), "vague").when(F.exists("existing", lambda e: plain_words(e) == plain_words(c)), "exists already")
         .when(F.exists(names, lambda n: F.contains(F.lower(c), F.lower(n))), "names the design")
     )
     return lines.withColumn("reason", reason)
