@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import dates, lexical, text, vector
-from attestry.operators import analytics, evidence, fidelity, lexindex, search, state, structure, verdicts
+from attestry.operators import analytics, coverage, evidence, fidelity, lexindex, search, state, structure, verdicts
 from attestry.plans import twins
 from attestry.sources import pdf
 from attestry.streaming import events as streams
@@ -234,6 +234,28 @@ def pdf_lines(spark, sf_dir):
     return lines.select(F.col("document_id").cast("long").alias("doc_id"), F.col("ordinal").cast("long").alias("ordinal"), "page", F.md5("text").alias("line"))
 
 
+@_query(r"""
+WITH t AS (SELECT conv_id, turn, text, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS n FROM conversations),
+g AS (SELECT conv_id, conv_id % 3 AS named, array_to_string(list_filter(regexp_split_to_array(regexp_replace(arg_min(text, turn), '[.!?;…]', ' ', 'g'), '\s+'), lambda x: x <> '')[1:8], ' ') AS q FROM conversations GROUP BY conv_id),
+p AS (SELECT *, trim(regexp_replace(lower(q), '[^\p{L}\p{N}]+', ' ', 'g')) AS nq FROM g),
+s AS (SELECT *, nq <> '' AND len(string_split(nq, ' ')) >= 4 AS sound FROM p),
+h AS (SELECT conv_id, any_value(named) AS named, any_value(nq) AS nq, any_value(sound) AS sound, bool_or(turn = named) AS known, bool_or(turn = named AND contains(' ' || n || ' ', ' ' || nq || ' ')) AS own, list(turn) FILTER (WHERE turn <> named AND contains(' ' || n || ' ', ' ' || nq || ' ')) AS others,
+bool_or(turn = named AND list_contains(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'))), nq)) AS line FROM s JOIN t USING (conv_id) GROUP BY conv_id),
+r AS (SELECT *, NOT sound AND nq <> '' AND line AND len(list_filter(string_split(nq, ' '), lambda x: NOT regexp_full_match(x, '[0-9]+'))) >= 2 AS by_lines FROM h)
+SELECT conv_id, CASE WHEN sound AND NOT own AND len(others) = 1 THEN others[1] ELSE named END AS section, coalesce(known AND by_lines, false) AS by_lines,
+CASE WHEN NOT known THEN 'unknownSection' WHEN sound THEN CASE WHEN NOT own AND coalesce(len(others), 0) <> 1 THEN 'outsideSection' END WHEN NOT by_lines THEN 'unverified' END AS reason FROM r""")
+def placed_gaps(spark, sf_dir):
+    """Conversations as documents of a section a turn; each one's gap quotes its first turn and names one of the first three."""
+    c = table(spark, sf_dir, "conversations")
+    sections = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("section"), F.split("text", "\n").alias("lines"))
+    pages = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), "text")
+    words = F.filter(F.split(F.regexp_replace("text", "[.!?;…]", " "), r"\s+"), lambda x: x != "")
+    gaps = c.groupBy("conv_id").agg(F.min_by(F.array_join(F.slice(words, 1, 8), " "), "turn").alias("quote"))
+    gaps = gaps.select(F.col("conv_id").alias("document_id"), F.col("conv_id").alias("gap_id"), (F.col("conv_id") % 3).alias("section"), "quote", F.lit("Nothing says who looks after this part").alias("what"))
+    out = coverage.place_gaps(gaps, sections, pages, pages.select("document_id", F.col("text").alias("passage")).filter("false"))
+    return out.select(F.col("document_id").alias("conv_id"), "section", "by_lines", "reason")
+
+
 @_query("SELECT source, sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY source, sha256(text)")
 def content_hash_dedupe(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source", F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
