@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -106,30 +107,87 @@ def office_lines(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_office, LINES)
 
 
-# Header names of a roster and what they are worth.
-ROSTER = {"email": (r"e-?mail", 3), "name": r"(?:full\s*)?name", "role": r"role|title|position", "team": r"team|department|group"}
-NOT_THEIRS = r"(?i)^(?:manager|supervisor|sponsor|approver)\b"
-
-
-def roster(spark: SparkSession, path: str, search: int = 25) -> tuple[DataFrame, DataFrame]:
-    """People and rejected rows of CSV rosters: the best-scoring header of the first rows, else the column with most addresses."""
-    raw = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    columns = raw.columns
-    rows = raw.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("id"), F.array(*(F.coalesce(F.trim(c), F.lit("")) for c in columns)).alias("cells"))
-    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("id")))
-    score = lambda cell: F.when(cell.rlike(NOT_THEIRS), 0).when(cell.rlike(rf"(?i)^{ROSTER['email'][0]}"), ROSTER["email"][1]).when(cell.rlike("(?i)^(?:" + "|".join(v for v in ROSTER.values() if isinstance(v, str)) + ")$"), 1).otherwise(0)
-    head = rows.filter(F.col("row") <= search).withColumn("score", F.aggregate(F.transform("cells", score), F.lit(0), lambda a, x: a + x)).filter("score >= 3")
-    head = head.groupBy("file").agg(F.min_by(F.struct("row", "cells"), F.struct(-F.col("score"), F.col("row"))).alias("h"))
-    mails = rows.select("file", F.posexplode("cells").alias("at", "c")).filter(text.valid_email(F.col("c"))).groupBy("file", "at").count()
+# How the headers of a roster begin, by field, and those of columns that are somebody else's; letters and digits only.
+ROSTER = {
+    "email": ["workemail", "emailaddress", "email", "mail", "userprincipalname", "upn", "login"],
+    "name": ["fullname", "displayname", "employeename", "name", "firstname", "givenname"],
+    "job_title": ["jobtitle", "title", "position", "role", "designation"],
+    "department": ["department", "dept", "team", "division", "businessunit", "function"],
+}
+NOT_THEIRS = ["manager", "supervisor", "approver", "lineman", "reportsto", "alternate"]
+HEADER_ROWS = 25
+CELLS = "file string, row int, cells array<string>"
+
+
+def _csv_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for path, data in zip(frame["path"], frame["content"], strict=True):
+            reader = csv.reader(io.StringIO(bytes(data).decode("utf-8-sig", "replace"), newline=""))
+            rows, line = [], 1
+            for cells in reader:
+                rows.append((path, line, [c.strip() for c in cells]))
+                line = reader.line_num + 1
+            yield pd.DataFrame(rows, columns=["file", "row", "cells"])
+
+
+def sheet_rows(files: DataFrame) -> DataFrame:
+    """(file, row, cells) of CSV and XLSX files (path, content, kind by content); of a workbook the first sheet that has rows.
+
+    A file is read whole by one task, so that its rows keep their numbers.
+    """
+    texts = files.filter(~F.col("kind").isin("zip", "legacy office")).select("path", "content").mapInPandas(_csv_rows, CELLS)
+    books = office_lines(files.filter("kind = 'zip'"))
+    sheet = F.max(F.when(F.col("kind") == "heading", F.col("ordinal"))).over(Window.partitionBy("path").orderBy("ordinal"))
+    rows = books.withColumn("sheet", sheet).filter("kind = 'table_row'")
+    first = rows.groupBy("path").agg(F.min("sheet").alias("sheet"))
+    books = rows.join(first, ["path", "sheet"]).select(F.col("path").alias("file"), (F.col("ordinal") - F.col("sheet")).cast("int").alias("row"), F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("cells"))
+    return texts.unionByName(books)
+
+
+def _header(cells: Column) -> Column:
+    """Which column each field of ROSTER is, and what that is worth: a header names the first field that is still open and begins it."""
+    kind = "struct<" + ",".join(f"{k}:int" for k in ROSTER) + ",score:int>"
+    start = F.from_json(F.lit("{\"score\": 0}"), kind)
+
+    def step(s, x):
+        begins = lambda starts: F.exists(F.array(*map(F.lit, starts)), lambda p: F.startswith(x["header"], p))
+        taken, out = (x["header"] == "") | begins(NOT_THEIRS), {}
+        score = s["score"]
+        for field, starts in ROSTER.items():
+            mine = ~taken & s[field].isNull() & begins(starts)
+            out[field] = F.when(mine, x["at"]).otherwise(s[field])
+            score = F.when(mine, score + (3 if field == "email" else 1)).otherwise(score)
+            taken = taken | mine
+        return F.struct(*[out[f].alias(f) for f in ROSTER], score.alias("score"))
+
+    headers = F.transform(cells, lambda c, i: F.struct(F.regexp_replace(F.lower(c), "[^a-z0-9]", "").alias("header"), i.alias("at")))
+    return F.aggregate(headers, start, step)
+
+
+def roster(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """People (file, row, email, name, job_title, department) and rejected rows (file, row, reason, value) of sheet_rows().
+
+    The header is the best of a file's first filled rows that names an address column; without one the column with most
+    addresses is it. Blank rows don't count; of rows with one address the first stays.
+    """
+    filled = rows.filter(F.exists("cells", lambda c: c != ""))
+    numbered = filled.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("row")))
+    head = numbered.filter(F.col("_n") <= HEADER_ROWS).select("file", "_n", _header(F.col("cells")).alias("h")).filter("h.email is not null")
+    head = head.groupBy("file").agg(F.min_by(F.struct("_n", "h"), F.struct(-F.col("h.score"), F.col("_n"))).alias("head"))
+    mails = numbered.select("file", F.posexplode("cells").alias("at", "c")).filter(text.valid_email(F.col("c"))).groupBy("file", "at").count()
     most = mails.groupBy("file").agg(F.min_by("at", F.struct(-F.col("count"), F.col("at"))).alias("fallback"))
-    met = rows.join(head, "file", "left").join(most, "file", "left")
-    find = lambda pattern: F.get(F.filter(F.transform("h.cells", lambda c, i: F.when(c.rlike(pattern) & ~c.rlike(NOT_THEIRS), i)), lambda i: i.isNotNull()), F.lit(0))
-    at = F.coalesce(find(rf"(?i)^{ROSTER['email'][0]}"), F.col("fallback"))
-    name = find(f"(?i)^{ROSTER['name']}$")
-    body = met.filter(F.col("h").isNull() | (F.col("row") > F.col("h.row"))).select("file", "row", F.lower(F.get("cells", at)).alias("email"), F.get("cells", name).alias("name"))
-    reason = F.when(F.coalesce("email", F.lit("")) == "", "no address").when(~text.valid_email(F.col("email")), "not an address")
+    body = numbered.join(head, "file", "left").join(most, "file", "left").filter(F.col("head").isNull() | (F.col("_n") > F.col("head._n")))
+    cell = lambda at: F.trim(F.coalesce(F.get("cells", at), F.lit("")))
+    body = body.withColumn("raw", cell(F.coalesce("head.h.email", "fallback"))).withColumn("email", F.lower("raw"))
+    good = text.valid_email(F.col("email"))
+    earlier = F.row_number().over(Window.partitionBy("file", "email", good).orderBy("row")) > 1
+    reason = F.when(F.col("raw") == "", "No email address").when(~good, "Not an email address").when(earlier, "Duplicate of an earlier row")
     marked = body.withColumn("reason", reason)
-    return marked.filter("reason is null").drop("reason").dropDuplicates(["email"]), marked.filter("reason is not null")
+    local = F.regexp_replace(F.substring_index("raw", "@", 1), "[._-]+", " ")
+    field = lambda name: F.coalesce(cell(F.col(f"head.h.{name}")), F.lit(""))
+    people = marked.filter("reason is null").select("file", "row", "email", F.when(field("name") == "", local).otherwise(field("name")).alias("name"), field("job_title").alias("job_title"), field("department").alias("department"))
+    value = F.when(F.col("raw") == "", F.get(F.filter("cells", lambda c: c != ""), F.lit(0))).otherwise(F.col("raw"))
+    return people, marked.filter("reason is not null").select("file", "row", "reason", value.alias("value"))
 
 
 def json_lines(rows: DataFrame) -> DataFrame:

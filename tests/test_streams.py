@@ -58,11 +58,37 @@ def test_docx(spark, tmp_path):
     assert [(r["kind"], r["depth"], r["text"], r["cells"]) for r in got] == [("heading", 2, "Scope", None), ("text", None, "All of it.", None), ("table_row", None, "", ["a", None])]
 
 
+def rosters(spark, tmp_path, **texts):
+    for name, said in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(said.encode("utf-8"))
+    good, bad = files.roster(files.sheet_rows(files.binary(spark, str(tmp_path))))
+    name = lambda r: r["file"].rsplit("/", 1)[1].split(".")[0]
+    return sorted((name(r), *list(r)[1:]) for r in good.collect()), sorted((name(r), *list(r)[1:]) for r in bad.collect())
+
+
 def test_roster(spark, tmp_path):
-    (tmp_path / "r.csv").write_text('Team list,,\nManager email,Email,Name\nm@x.org,a@x.org,"A, B"\n,b@x.org,B\n,not,C\n,a@x.org,A\n')
-    good, bad = files.roster(spark, str(tmp_path / "r.csv"))
-    assert {r["email"] for r in good.collect()} == {"a@x.org", "b@x.org"}
-    assert [(r["email"], r["reason"]) for r in bad.collect()] == [("not", "not an address")]
+    said = '\ufeffTeam list,,\n\nManager email,E-Mail Address,Full Name,Role\nm@x.org,A@x.org,"A, ""B""\nC",Lead\n,b.c-d@x.org,,\n,,No one,\n,not,C\n,a@x.org,A\n,"a@x,org",D\n,,,\n'
+    good, bad = rosters(spark, tmp_path, r=said)
+    assert good == [("r", 4, "a@x.org", 'A, "B"\nC', "Lead", ""), ("r", 6, "b.c-d@x.org", "b c d", "", "")]
+    assert bad == [("r", 7, "No email address", "No one"), ("r", 8, "Not an email address", "not"), ("r", 9, "Duplicate of an earlier row", "a@x.org"), ("r", 10, "Not an email address", "a@x,org")]
+
+
+def test_rosters_without_and_with_odd_headers(spark, tmp_path):
+    plain = "x,a@x.org\ny,b@x.org\nz@x.org,c@x.org\n"
+    best = "Name,Email\nDept,UPN,Display name,Designation,email\nIT,u@x.org,U,Boss,v@x.org\n"
+    good, bad = rosters(spark, tmp_path, plain=plain, best=best, none="a,b\n1,2\n", empty="", alternate="Alternate email,Line manager mail,Login\nq@x.org,r@x.org,s@x.org\n")
+    assert good == [("alternate", 2, "s@x.org", "s", "", ""), ("best", 3, "u@x.org", "U", "Boss", "IT"), *[("plain", k, f"{c}@x.org", c, "", "") for k, c in enumerate("abc", 1)]]
+    assert {r[0] for r in bad} == {"none"}
+
+
+def test_roster_of_a_workbook(spark, tmp_path):
+    n = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    cell = lambda at, said: f'<c r="{at}" t="inlineStr"><is><t>{said}</t></is></c>'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", "<workbook/>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{n}"><sheetData/></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{n}"><sheetData><row>{cell("B1", "Mail")}{cell("C1", "Team")}</row><row>{cell("A2", "x")}{cell("B2", "A@x.org")}{cell("C2", "Ops")}</row></sheetData></worksheet>')
+    assert rosters(spark, tmp_path) == ([("w", 2, "a@x.org", "A", "", "Ops")], [])
 
 
 def test_cached_texts_are_not_asked_again(spark):
