@@ -69,6 +69,103 @@ def headings(lines: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     return out.withColumn("depth", F.when(F.col("h").isNotNull(), depth)).withColumn("title", F.col("h.title")).withColumn("kind", F.col("h.kind")).drop("h", "numbered", "in_table")
 
 
+def with_path(heads: DataFrame, name: str, deepest: int = 9, between: str = " > ") -> DataFrame:
+    """Headings (document_id, ordinal, depth, name) with path: for each level above, the last name there that no shallower heading has closed since."""
+    up = Window.partitionBy("document_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    out = heads
+    for d in range(1, deepest + 1):
+        last_at = F.max(F.when(F.col("depth") == d, F.col("ordinal"))).over(up)
+        said = F.max_by(name, F.when(F.col("depth") == d, F.col("ordinal"))).over(up)
+        closed = F.max(F.when(F.col("depth") < d, F.col("ordinal"))).over(up)
+        out = out.withColumn(f"_a{d}", F.when((F.col("depth") > d) & (last_at > F.coalesce(closed, F.lit(-1))), said))
+    above = [f"_a{d}" for d in range(1, deepest + 1)]
+    return out.withColumn("path", F.concat_ws(between, *above, name)).drop(*above)
+
+
+# Shares, sizes and counts by which a document's own printing tells its headings.
+BIGGER, NEARLY, MOST_OF_TEXT, SMALL_SLACK, NUMBERED_LEAST, BOLD_SHARE, LONGEST_HEADING = 0.4, 0.1, 0.20, 1.5, 5, 0.9, 160
+DEEP_NUMBERED = r"^\d+(?:\.\d+){2,}\.?\s+[A-Z(]"
+
+
+def printing(lines: DataFrame) -> DataFrame:
+    """(document_id, body (size, bold), levels): the signature that sets most text, and the (size, bold) of heading signatures.
+
+    A heading is larger than the body, or bold about its size where the body isn't, and sets a fifth of the text at most.
+    """
+    sig = ["font", "size", "bold", "italic", "color"]
+    mass = lines.groupBy("document_id", *sig).agg(F.sum(F.length("text")).alias("chars"), F.min("ordinal").alias("first"))
+    whole = mass.groupBy("document_id").agg(F.sum("chars").alias("all"), F.max_by(F.struct("size", "bold"), F.struct("chars", -F.col("first"))).alias("body"))
+    larger = F.col("size") > F.col("body.size") + BIGGER
+    stressed = (F.col("size") >= F.col("body.size") - NEARLY) & F.col("bold") & ~F.col("body.bold")
+    heads = F.collect_set(F.when((larger | stressed) & (F.col("chars") <= MOST_OF_TEXT * F.col("all")), F.struct("size", "bold")))
+    return mass.join(whole, "document_id").groupBy("document_id", "body").agg(heads.alias("levels"))
+
+
+def printed_headings(lines: DataFrame, contents: DataFrame | None = None, tables: DataFrame | None = None, figures: DataFrame | None = None) -> DataFrame:
+    """lines with number, title and depth where they open a section, by how the whole document prints its headings.
+
+    contents: pages (document_id, page) that open none; tables, figures: regions as in in_regions(): in a table no line opens
+    a section, in a figure no unnumbered one. A bold line with a deep number may be a little smaller than the body. Where a
+    document sets its numbered headings in bold, a line that isn't bold is no heading without a number. An unnumbered heading
+    lies one below the last number.
+    """
+    mark = lambda regions: in_regions(lines, regions).select("document_id", "ordinal").distinct().withColumn("_in", F.lit(True))
+    rows = lines.join(printing(lines), "document_id")
+    for name, regions in (("_table", tables), ("_figure", figures)):
+        rows = rows.withColumn(name, F.lit(False)) if regions is None else rows.join(mark(regions).withColumnRenamed("_in", name), ["document_id", "ordinal"], "left").na.fill(False, [name])
+    if contents is not None:
+        rows = rows.join(contents.select("document_id", "page").distinct().withColumn("_skip", F.lit(True)), ["document_id", "page"], "left").na.fill(False, ["_skip"])
+    else:
+        rows = rows.withColumn("_skip", F.lit(False))
+    said = F.trim("text")
+    level = F.array_contains("levels", F.struct("size", "bold"))
+    small = F.col("bold") & ~F.col("body.bold") & (F.col("size") >= F.col("body.size") - SMALL_SLACK) & said.rlike(DEEP_NUMBERED)
+    open_ = (level | small) & ~F.col("_skip") & ~F.col("_table") & (F.length(said) <= LONGEST_HEADING) & ~said.rlike(text.CLAUSE_LABEL)
+    number, appendix = F.regexp_extract(said, text.NUMBERED, 1), F.initcap(F.regexp_extract(said, text.APPENDIX, 1))
+    make = lambda n, title: F.struct(n.alias("number"), title.alias("title"))
+    found = (
+        F.when(number != "", make(number, F.trim(F.regexp_extract(said, text.NUMBERED, 2))))
+        .when(appendix != "", make(appendix, F.coalesce(F.nullif(F.trim(F.regexp_extract(said, text.APPENDIX, 2)), F.lit("")), appendix)))
+        .when(said.rlike(text.TITLE_LIKE) & ~F.col("_figure"), make(F.lit(None).cast("string"), said))
+    )
+    rows = rows.withColumn("h", F.when(open_, found))
+    digit = F.coalesce(F.col("h.number").rlike("^[0-9]"), F.lit(False))
+    of = Window.partitionBy("document_id")
+    n, bold = F.count_if(digit).over(of), F.count_if(digit & F.col("bold")).over(of)
+    rows = rows.withColumn("_bold", (n >= NUMBERED_LEAST) & (bold >= BOLD_SHARE * n))
+    rows = rows.withColumn("h", F.when(~(F.col("h.number").isNull() & F.col("_bold") & ~F.col("bold")), F.col("h")))
+    anchor = F.when(digit, F.size(F.split("h.number", r"\."))).when(F.col("h.number").isNotNull(), 1)
+    before = F.last(anchor, ignorenulls=True).over(of.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    depth = F.when(F.col("h").isNotNull(), F.coalesce(anchor, before + 1, F.lit(1)))
+    return rows.withColumns({"number": F.col("h.number"), "title": F.col("h.title"), "depth": depth}).select(*lines.columns, "number", "title", "depth")
+
+
+def printed_sections(lines: DataFrame, titles: DataFrame, **regions: DataFrame) -> DataFrame:
+    """(document_id, section, number, title, depth, path, page_start, page_end, y_start, text) of lines with their printing.
+
+    titles: document_id, document_title, which begins each path; a document without headings is one section of that title.
+    regions: contents, tables, figures as printed_headings() takes them; contents pages' lines are left out.
+    """
+    rows = printed_headings(lines, **regions)
+    if "contents" in regions:
+        rows = rows.join(regions["contents"].select("document_id", "page").distinct(), ["document_id", "page"], "left_anti")
+    w = Window.partitionBy("document_id").orderBy("ordinal")
+    rows = rows.withColumn("section", F.count("title").over(w)).withColumn("_any", F.count("title").over(Window.partitionBy("document_id")) > 0)
+    name = F.when(F.col("number").isNotNull(), F.concat_ws(" ", "number", "title")).otherwise(F.col("title"))
+    heads = with_path(rows.filter("title is not null").withColumn("name", name), "name", between=" › ")
+    heads = heads.select("document_id", "section", "number", "title", "depth", F.col("path").alias("_path"), F.col("page").alias("page_start"), F.col("y").alias("y_start"))
+    body = rows.filter("title is null and (section > 0 or not _any)").filter(F.trim("text") != "")
+    said = body.groupBy("document_id", "section").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n").alias("text"), F.min("page").alias("_first"), F.max("page").alias("_last"),
+    )
+    out = heads.join(said, ["document_id", "section"], "full").join(titles.select("document_id", "document_title"), "document_id")
+    path = F.concat_ws(" › ", "document_title", "_path")
+    return out.select(
+        "document_id", F.greatest("section", F.lit(1)).alias("section"), "number", F.coalesce("title", "document_title").alias("title"), F.coalesce("depth", F.lit(1)).alias("depth"), path.alias("path"),
+        F.coalesce("page_start", "_first").alias("page_start"), F.greatest("page_start", "_last").alias("page_end"), F.coalesce("y_start", F.lit(0.0)).alias("y_start"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+
+
 def sections(lines: DataFrame, regions: DataFrame | None = None, deepest: int = 9) -> DataFrame:
     """(document_id, section, depth, title, path, first, last, is_parent): the section tree of lines in order.
 
@@ -77,15 +174,8 @@ def sections(lines: DataFrame, regions: DataFrame | None = None, deepest: int =
     h = headings(lines, regions)
     w = Window.partitionBy("document_id").orderBy("ordinal")
     h = h.withColumn("section", F.sum(F.col("title").isNotNull().cast("int")).over(w))
-    heads = h.filter(F.col("title").isNotNull())
-    up = w.rowsBetween(Window.unboundedPreceding, -1)
-    for d in range(1, deepest + 1):
-        last_at = F.max(F.when(F.col("depth") == d, F.col("ordinal"))).over(up)
-        name = F.max_by("title", F.when(F.col("depth") == d, F.col("ordinal"))).over(up)
-        closed = F.max(F.when(F.col("depth") < d, F.col("ordinal"))).over(up)
-        heads = heads.withColumn(f"_a{d}", F.when((F.col("depth") > d) & (last_at > F.coalesce(closed, F.lit(-1))), name))
-    path = F.concat_ws(" > ", *(f"_a{d}" for d in range(1, deepest + 1)), "title")
-    heads = heads.withColumn("path", path).withColumn("is_parent", F.coalesce(F.lead("depth").over(w) > F.col("depth"), F.lit(False)))
+    heads = with_path(h.filter(F.col("title").isNotNull()), "title", deepest)
+    heads = heads.withColumn("is_parent", F.coalesce(F.lead("depth").over(w) > F.col("depth"), F.lit(False)))
     span = h.groupBy("document_id", "section").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
     return span.join(heads.select("document_id", "section", "depth", "title", "path", "is_parent"), ["document_id", "section"], "left")
 

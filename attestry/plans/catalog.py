@@ -613,10 +613,10 @@ def _guard_sql() -> str:
     items = lambda xs: "[" + ", ".join(q(x) for x in xs) + "]"
     has = lambda x, pattern: f"regexp_matches({x}, {q(pattern)})"
     words = lambda x, form: f"regexp_extract_all(lower({x}), '{form}')"
-    families = lambda x: "list_filter([" + ", ".join(f"CASE WHEN {has(x, rf'(?i)\b(?:{w})\b')} THEN {q(n)} END" for n, w in fidelity.FAMILIES.items()) + "], lambda v: v IS NOT NULL)"
-    kinds = " ".join(f"WHEN list_contains({items(g.split())}, w) THEN {q(min(g.split()))}" for g in fidelity.SUBJECT_ALIASES)
+    families = lambda x: "list_filter([" + ", ".join(f"CASE WHEN {has(x, rf'(?i)\b(?:{chr(124).join(w)})\b')} THEN {q(n)} END" for n, w in fidelity.FAMILIES.items()) + "], lambda v: v IS NOT NULL)"
+    kinds = " ".join(f"WHEN list_contains({items(g)}, w) THEN {q(min(g))}" for g in fidelity.SUBJECT_ALIASES)
     terms = lambda x: f"list_distinct(list_transform(list_filter({words(x, '[a-z0-9]+')}, lambda w: length(w) > 2 AND NOT list_contains({items(fidelity.SUBJECT_STOP)}, w)), lambda w: CASE {kinds} ELSE w END))"
-    domains = lambda t: "list_filter([" + ", ".join(f"CASE WHEN list_has_any({t}, {items(w.split())}) THEN {q(n)} END" for n, w in fidelity.SUBJECT_DOMAINS.items()) + "], lambda v: v IS NOT NULL)"
+    domains = lambda t: "list_filter([" + ", ".join(f"CASE WHEN list_has_any({t}, {items(w)}) THEN {q(n)} END" for n, w in fidelity.SUBJECT_DOMAINS.items()) + "], lambda v: v IS NOT NULL)"
     figure = lambda x: f"list_filter(list_distinct({words(x, '[a-z0-9]{4,}')}), lambda w: NOT list_contains({items(lexical.KEYWORD_STOP)}, w))"
     value = lambda v: "NULL" if v is None else q(v) if isinstance(v, str) else str(v)
     rows = ", ".join("(" + ", ".join([str(k), *map(value, a)]) + ")" for k, a in enumerate(_ANSWERS))
