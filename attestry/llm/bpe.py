@@ -4,7 +4,7 @@ Texts are cut by the tokenizer's pattern. A task hands its texts on in chunks of
 chunk is one row: the words that the task hasn't had before, as arrays of byte ids, and its texts as runs
 of word numbers. After ``WORDS`` words a task numbers anew. Spark higher-order
 functions fold each word: as long as a pair of neighbours has a rank, the leftmost pair of least rank is
-merged. The rank map is a literal row of two arrays: row a of the pair table begins at ``shift[a]``, so the
+merged. The rank map is a broadcast row of two arrays: row a of the pair table begins at ``shift[a]``, so the
 entry of (a, b) is ``table[shift[a] + b]``; it holds a beside the rank, which tells other rows' entries
 apart. (As literals inside the expressions the arrays would stand in every text of every plan, tens of MB
 on the driver.) The texts are then put together from the folded words. Decoding concatenates the ids' byte strings, by

@@ -3,8 +3,8 @@ edits of it, stands again.
 
 Lines are texts between line feeds. Equal lines that hold a word are one class, whatever their length.
 Lines are also linked if few edits apart; an edit puts in, takes out or replaces a word (a run of anything
-but ASCII white space; Chinese, Japanese and Korean characters are words of their own). Lines of 8 to 19
-words, by the shorter one, may be one edit apart, of 20 to 39 two, of 40 or more three (``GROUPS``). Linked
+but ASCII white space; Chinese, Japanese and Korean characters are words of their own). Lines of 10 to 23
+words, by the shorter one, may be one edit apart, longer ones two (``GROUPS``). Linked
 classes are one (union-find).
 
 Segment-partition join: a line of a group with e edits has e + 1 segments of fixed length, the first half
