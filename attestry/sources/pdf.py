@@ -456,11 +456,11 @@ def pieces(pages_: DataFrame) -> DataFrame:
     return good.repartition("path", "page").mapInPandas(_pieces, PIECES)
 
 
-def lines(pieces_: DataFrame, gutter: float = 1.5, spanning: float = 0.6) -> DataFrame:
+def lines(pieces_: DataFrame, gutter: float = 1.5, spanning: float = 0.6, column: float = 0.15) -> DataFrame:
     """(document_id, ordinal, page, y, x0, text, font, size, bold, italic, color, has_bold): lines in reading order.
 
     Pieces on one baseline without a gap of gutter times their size are a line; its signature is the one that sets most of
-    it. Lines over spanning of the page's text width cut a page into bands; in a band columns are read one after the other.
+    it. Lines over spanning of the page's text width cut a page into bands; in a band columns are read one after the other, if what stands left of one takes column of the width.
     """
     page = ["path", "page"]
     rows = pieces_.withColumn("size", F.round(F.col("size") * 2) / 2)
@@ -480,10 +480,11 @@ def lines(pieces_: DataFrame, gutter: float = 1.5, spanning: float = 0.6) -> Dat
     whole = whole.join(marks, line).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).filter("text <> ''")
     on_page = Window.partitionBy(*page)
     width = F.max("_end").over(on_page) - F.min("x0").over(on_page)
-    whole = whole.withColumn("_wide", F.col("_end") - F.col("x0") > spanning * width)
+    whole = whole.withColumns({"_wide": F.col("_end") - F.col("x0") > spanning * width, "_left": F.min("x0").over(on_page), "_width": width})
     whole = whole.withColumn("_band", F.sum(F.col("_wide").cast("int")).over(Window.partitionBy(*page).orderBy("y", "x0")))
     across = Window.partitionBy(*page, "_band", "_wide").orderBy("x0", "y")
-    new = F.col("x0") > F.coalesce(F.max("_end").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1e9))
+    so_far = F.max("_end").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("x0") > so_far) & (so_far - F.col("_left") > column * F.col("_width")), F.lit(False))
     whole = whole.withColumn("_column", F.sum(new.cast("int")).over(across))
     order = Window.partitionBy("path").orderBy("page", "_band", F.desc("_wide"), "_column", "y", "x0")
     return whole.select(F.col("path").alias("document_id"), F.row_number().over(order).alias("ordinal"), "page", "y", "x0", "text", "sig.*", "has_bold")
