@@ -192,3 +192,19 @@ def test_counts_and_priorities(spark):
     s = spark.createDataFrame([("d", i, p) for i, p in enumerate(["low", "high", "odd", "high", "medium"])], "document_id string, at int, priority string")
     got = analytics.by_priority(s, "document_id", ["high", "medium", "low"], most=3).orderBy("place").collect()
     assert [(r["at"], r["more"]) for r in got] == [(1, 2), (3, 2), (4, 2)]
+
+
+def test_earlier_twins_against_all_pairs(spark):
+    import random
+
+    from attestry.operators import search
+
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(5, 60))] for _ in range(25)]
+    texts = base + [[w for w in b if rng.random() > 0.06] + [f"w{rng.randrange(60)}"] * (k % 3) for k, b in enumerate(base)] + base[:3]
+    said = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    words = {k: {w for w in t.split() if len(w) >= 3} for k, t in said}
+    held = lambda a, b: len(words[a] & words[b]) >= 0.9 * len(words[b])
+    want = {b: min(a for a in range(b) if held(a, b)) for b, w in words.items() if len(w) >= 20 and any(held(a, b) for a in range(b))}
+    got = search.earlier_twins(spark.createDataFrame(said, "id long, text string")).collect()
+    assert {r["id"]: r["twin"] for r in got} == want and len(want) > 10
