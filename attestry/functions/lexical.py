@@ -57,10 +57,14 @@ def keywords(text: Column) -> Column:
     return F.array_except(F.array_distinct(words), F.array(*map(F.lit, KEYWORD_STOP)))
 
 
+def _split(text: Column) -> Column:
+    """Lower-case runs of letters, digits and inner dots; empty ones among them."""
+    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<![a-z0-9])[.]+|[.]+(?![a-z0-9])", " "), "[^a-z0-9.]+")
+
+
 def lexemes(text: Column) -> Column:
     """Lower-case words, numbers and dotted versions without common stop words, repeats kept; not stemmed yet."""
-    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9.]+"), lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
-    return F.filter(words, lambda w: (w != "") & ~w.isin(STOP))
+    return F.filter(_split(text), lambda w: (w != "") & ~w.isin(STOP))
 
 
 def query_terms(text: Column) -> Column:
@@ -76,7 +80,8 @@ def weighted_terms(chunks: DataFrame, heading: int = 10, body: int = 1) -> DataF
     With terms joined by OR each occurrence is a cover of its own, so rank is the sum of weights. Occurrences are counted
     in their row's words before they meet, and distinct words alone are stemmed.
     """
-    part = lambda column, weight: chunks.select("chunk_id", F.explode(lexemes(F.col(column))).alias("word"), F.lit(weight).cast("long").alias("weight"))
+    # Stop words go once words are rows, where the test is compiled.
+    part = lambda column, weight: chunks.select("chunk_id", F.explode(_split(F.col(column))).alias("word"), F.lit(weight).cast("long").alias("weight")).filter((F.col("word") != "") & ~F.col("word").isin(STOP))
     words = part("heading_path", heading).unionByName(part("text", body)).groupBy("chunk_id", "word").agg(F.sum("weight").alias("weight"))
     return stemming.with_stems(words, "word", "term").groupBy("chunk_id", "term").agg(F.sum("weight").alias("weight"))
 
