@@ -9,8 +9,8 @@ The threshold is set on labelled rows: one in ``HELD`` trusted documents, by the
 counted in the target; those of them that pass the base rules are scored, and the threshold is the
 ``REJECTED`` quantile of their scores. Without such rows it is ``MIN_SCORE``.
 
-Built-in expressions only. Corpus counts cover all rows; of labels about ``TRUSTED`` rows are used at most,
-a share of them by the hash of doc_id. Defined cases: null and empty texts have no words and fail;
+Built-in expressions only. Counts cover all documents and all labels; ids meet by shuffle, whatever their
+number. Defined cases: null and empty texts have no words and fail;
 without trusted rows every score is 0; repeated rows give repeated results; repeated labels of a doc_id
 count once, and as trusted if one of them is; n_words under 20 fails; a score at the threshold is kept; an
 empty table gives an empty result.
@@ -26,8 +26,8 @@ from attestry.llm.common import cut, let, literal_array, words
 BUCKETS = 1 << 16
 SCALE = 10_000  # weights are whole ten-thousandths, so sums don't depend on their order
 MIN_SCORE = -0.5
-TRUSTED = 400_000
 HELD, REJECTED = 4, 0.005
+BINS = 4096  # counted at once in the search of a quantile
 
 
 def hashes(toks: Column) -> Column:
@@ -82,20 +82,24 @@ def grams(h: Column, two: Column) -> Column:
     return F.transform(F.concat(h, two), lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(HELD)) == 0
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """(doc_id, held) of trusted documents; about TRUSTED at most."""
-    rows = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    at = F.xxhash64("doc_id")
-    few = rows.filter(F.pmod(F.shiftrightunsigned(at, 8), F.lit(1 << 30)) < min(1.0, TRUSTED / max(1, rows.count())) * (1 << 30))
-    return cut(few.withColumn("held", F.pmod(at, F.lit(HELD)) == 0))
+    """(doc_id, held) of all trusted documents."""
+    rows = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull())
+    return cut(rows.select("doc_id").distinct().withColumn("held", held_out(F.col("doc_id"))))
 
 
 def weights(documents: DataFrame, trusted: DataFrame) -> list[int]:
     """log(p_target / p_raw) of every bucket, in ten-thousandths; trusted: (doc_id)."""
-    target = F.broadcast(trusted.withColumn("t", F.lit(1)))  # TRUSTED rows, about
-    rows = documents.select("doc_id", let(hashes(words(F.col("text"))), lambda h: let(pairs(h), lambda two: grams(h, two))).alias("b")).join(target, "doc_id", "left")
+    # Both sides are exchanged, so the number of trusted documents has no bound; buckets travel as two bytes each.
+    target = trusted.withColumn("t", F.lit(1)).hint("shuffle_hash")
+    small = lambda b: F.transform(b, lambda x: (x - F.lit(BUCKETS // 2)).cast("smallint"))
+    rows = documents.select("doc_id", let(hashes(words(F.col("text"))), lambda h: let(pairs(h), lambda two: small(grams(h, two)))).alias("b")).join(target, "doc_id", "left")
     counts = rows.select(F.explode("b").alias("b"), F.coalesce("t", F.lit(0)).alias("t")).groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
-    found = counts.collect()  # BUCKETS rows at most, whatever the corpus
+    found = counts.select((F.col("b") + F.lit(BUCKETS // 2)).alias("b"), "n", "t").collect()  # BUCKETS rows at most, whatever the corpus
     n, t = sum(r["n"] for r in found), sum(r["t"] for r in found)
     out = [0] * BUCKETS
     for r in found if t else ():
@@ -116,11 +120,35 @@ def scored(documents: DataFrame, weight: Column, keep: tuple[str, ...]) -> DataF
     return rows.select(*keep, F.explode(F.array(let(hashes(words(F.col("_text"))), lambda h: let(pairs(h), lambda two: parts(h, two))))).alias("_p")).select(*keep, "_p.*")
 
 
+def quantile(rows: DataFrame, q: float) -> float | None:
+    """The q quantile of score, as percentile() gives it, from counts of ever narrower bins; rows (score) are written. None without rows."""
+    n, least, most = rows.agg(F.count("*"), F.min("score"), F.max("score")).first()
+
+    def ranked(k: int) -> float:  # from 0
+        low, high = least, most
+        while low < high:
+            at = F.least(F.floor((F.col("score") - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+            bins = rows.filter(F.col("score").between(low, high)).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+            for x in sorted(bins.collect(), key=lambda x: x["at"]):  # BINS rows at most
+                if k < x["n"]:
+                    low, high = x["low"], x["high"]
+                    break
+                k -= x["n"]
+        return low
+
+    if not n:
+        return None
+    at = (n - 1) * q
+    first = ranked(int(at))
+    return first if at == int(at) else (int(at) + 1 - at) * first + (at - int(at)) * ranked(int(at) + 1)
+
+
 def threshold(documents: DataFrame, held: DataFrame, weight: Column) -> float:
     """The REJECTED quantile of the scores of held trusted documents that pass the base rules."""
-    rows = scored(documents.join(F.broadcast(held.select("doc_id")), "doc_id", "left_semi"), weight, ("doc_id",))
-    rows = rows.filter(~fails(F.col("n_words"), F.col("n_repeat_words")))
-    found = rows.agg(F.percentile("score", F.lit(REJECTED))).first()[0]  # TRUSTED / HELD rows, about
+    # Only texts that the hash holds out are exchanged, one in HELD.
+    mine = documents.select("doc_id", "text").filter(held_out(F.col("doc_id").cast(held.schema["doc_id"].dataType)))
+    rows = scored(mine.join(held.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), weight, ("doc_id",))
+    found = quantile(cut(rows.filter(~fails(F.col("n_words"), F.col("n_repeat_words"))).select("score")), REJECTED)
     return MIN_SCORE if found is None else found
 
 

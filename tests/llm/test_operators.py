@@ -315,6 +315,21 @@ def test_quality(spark, sf_dir, docs, texts, empty):
     assert all(r["score"] == 0 for r in quality.quality(docs, labels.filter("false")).collect())
 
 
+def test_all_trusted_labels_are_used(spark):
+    n = 450_000
+    ids = quality.trusted_ids(spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(None).cast("int").alias("toxic")))
+    assert ids.count() == n and abs(ids.filter("held").count() - n / quality.HELD) < 3000
+
+
+def test_quantile_of_scores_is_percentile(spark):
+    rng = random.Random(5)
+    for values in ([0.25], [0.5, -0.5], [rng.gauss(0, 1) for _ in range(3000)], [rng.choice([-0.1, 0.1 + 0.2, 0.3, 2.0]) for _ in range(500)], [1.0 + k * 2.0**-52 for k in range(1, 300)] + [-9.0]):
+        rows = spark.createDataFrame([(v,) for v in values], "score double")
+        for q in (0.0, 0.005, 0.3, 1.0):
+            assert quality.quantile(rows, q) == rows.agg(F.percentile("score", F.lit(q))).first()[0]
+    assert quality.quantile(rows.filter("false"), 0.5) is None
+
+
 def test_a_sigma_is_folded_by_itself(spark):
     bench = spark.createDataFrame([(1, "Σab two three"), (2, "ΑΣ İx end")], "item_id long, text string")
     rows = [(1, "a.Σab two three"), (2, "a:Σab two three"), (3, "aΣab two three"), (4, "σab two three"), (5, "x ΑΣ İx END \ue000"), (6, "ας İx end"), (7, "Σab TWO\ue000three Σab TWO three")]
