@@ -5,7 +5,7 @@ import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -58,6 +58,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+    """cut(df) and how many of its rows hold which, all if not given, counted as they are written.
+
+    A count of its own would be another job, with plans and broadcasts that the driver holds. A stage run
+    again may be counted twice; none stays none.
+    """
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")))
+    return out, seen.get["n"]
+
+
 def cut_each(spark: SparkSession, frames: Iterable[DataFrame], schema: str) -> DataFrame:
     """Frames of one schema, each appended to a table in the shared folder before the next is made, as cut() does with one."""
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"

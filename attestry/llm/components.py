@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import cut
+from attestry.llm.common import cut, cut_counted
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,21 +16,21 @@ def components(edges: DataFrame) -> DataFrame:
     sides of a join are exchanged and a hot root is split at run time.
     """
     ordered = lambda df, x, y: df.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
-    left = cut(ordered(edges.filter("a <> b"), "a", "b"))
+    left, n = cut_counted(ordered(edges.filter("a <> b"), "a", "b"))
     rounds = []
-    while not left.isEmpty():
+    while n:
         forest = cut(left.groupBy("a").agg(F.min("b").alias("root")))
         while True:  # two jumps a pass
             up = lambda x, y: forest.select(F.col("a").alias(x), F.col("root").alias(y))  # noqa: E731, B023
             far = forest.join(up("root", "r2"), "root", "left").join(up("r2", "r3"), "r2", "left")
-            far = cut(far.select("a", F.coalesce("r3", "r2", "root").alias("root"), F.col("r2").isNotNull().alias("moved")))
+            far, moved = cut_counted(far.select("a", F.coalesce("r3", "r2", "root").alias("root"), F.col("r2").isNotNull().alias("moved")), F.col("moved"))
             forest = far.select("a", "root")
-            if far.filter("moved").isEmpty():
+            if not moved:
                 break
         rounds.append(forest)
         a, b = forest.select("a", F.col("root").alias("ra")), forest.select(F.col("a").alias("b"), F.col("root").alias("rb"))
         ends = left.join(a, "a").join(b, "b", "left").select(F.col("ra").alias("x"), F.coalesce("rb", "b").alias("y")).filter("x <> y")
-        left = cut(ordered(ends, "x", "y"))
+        left, n = cut_counted(ordered(ends, "x", "y"))
     if not rounds:
         return edges.select(F.col("a").alias("item"), F.col("b").alias("component")).filter("false")
     # A round's roots are the next round's items: follow them to the last.
@@ -64,28 +64,28 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profile:
     links = cut(verify(tested))
     named = components(links)
 
-    def unsettled(rows: DataFrame) -> DataFrame:
+    def unsettled(rows: DataFrame) -> tuple[DataFrame, int]:
         own = cut(rows.join(named, "item", "left").withColumn("component", F.coalesce("component", "item")))
         parts = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        return cut(own.join(cut(parts), "key", "left_semi"))
+        return cut_counted(own.join(cut(parts), "key", "left_semi"))
 
-    rest = unsettled(members)
-    if rest.isEmpty():
+    rest, n = unsettled(members)
+    if not n:
         return named
     rest = cut(rest.join(cut(profile(rest.select("item").distinct())), "item"))
     if alone:
-        rest = unsettled(rest.filter(alone(F.col("p"))).drop("component"))
-        if rest.isEmpty():
+        rest, n = unsettled(rest.filter(alone(F.col("p"))).drop("component"))
+        if not n:
             return named
     middle = cut(rest.groupBy("key").agg(F.min_by(F.struct("item", "component", "p"), F.struct("p.own", "item")).alias("mid")))
     met = rest.join(middle, "key").filter((F.col("component") != F.col("mid.component")) & possible(F.col("p"), F.col("mid.p")))
     again = cut(met.select(*pair("item", "mid.item")).distinct().join(tested, ["a", "b"], "left_anti"))
-    found = cut(verify(again))
-    if not found.isEmpty():
+    found, n = cut_counted(verify(again))
+    if n:
         tested, links = tested.unionByName(again), links.unionByName(found)
         named = components(links)
-        rest = unsettled(rest.drop("component"))
-        if rest.isEmpty():
+        rest, n = unsettled(rest.drop("component"))
+        if not n:
             return named
     if compare:
         refs = rest.join(middle, "key").groupBy("item").agg(F.min_by("mid.item", F.struct("mid.p.own", "mid.item")).alias("ref"))
@@ -100,5 +100,5 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profile:
         room = room & compare[1](F.col("dx"), F.col("d"))
     met = cut(apart).join(rest, "key").filter((F.col("cx") != F.col("component")) & room)
     more = met.select(*pair("item", "x")).distinct().join(tested, ["a", "b"], "left_anti")
-    found = cut(verify(cut(more)))
-    return named if found.isEmpty() else components(links.unionByName(found))
+    found, n = cut_counted(verify(cut(more)))
+    return components(links.unionByName(found)) if n else named

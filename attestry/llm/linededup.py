@@ -23,7 +23,7 @@ apart by 64-bit hashes; an empty table gives none; other columns pass through.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import WORD_GAP, cut, let, words
+from attestry.llm.common import WORD_GAP, cut, cut_counted, let, words
 from attestry.llm.components import link
 
 #: (least number of words, edits)
@@ -185,7 +185,7 @@ def _profile_fits(p: Column, q: Column) -> Column:
 
 def _near(d: Column, e: Column) -> Column:
     """linked() for lines with their outlines, which are no further apart than the lines, and soon compared."""
-    return F.when(F.call_function("levenshtein", d["s"], e["s"], F.lit(EDITS)) >= 0, linked(line_words(d["line"]), line_words(e["line"]))).otherwise(False)
+    return F.when(F.call_function("levenshtein", d["s"], e["s"], F.lit(EDITS)) >= 0, linked(F.split(d["said"], " "), F.split(e["said"], " "))).otherwise(False)
 
 
 def linked(a: Column, b: Column) -> Column:
@@ -203,43 +203,44 @@ def places(documents: DataFrame) -> DataFrame:
 def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """(item, component) of the lines that are linked with others; rows (h, own, near): keys of lines, written."""
     keys = rows.select(F.col("h").alias("item"), F.explode("own").alias("key"), F.lit(True).alias("own")).unionByName(rows.select(F.col("h").alias("item"), F.explode("near").alias("key"), F.lit(False).alias("own")))
-    shared = cut(keys.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.max("own").alias("own")).filter("lo <> hi and own").select("key"))
-    n = shared.count()
+    shared, n = cut_counted(keys.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.max("own").alias("own")).filter("lo <> hi and own").select("key"))
     members = cut(keys.join(F.broadcast(shared) if n <= BROADCAST_KEYS else shared, "key", "left_semi").groupBy("key", "item").agg(F.max("own").alias("own")))
-    items = cut(members.select(F.col("item").alias("h")).distinct())
-    wanted = F.broadcast(items) if items.count() <= BROADCAST_KEYS else items
+
+    def small(df, most=BROADCAST_ROWS):  # written; lines are then looked for where they lie
+        rows, n = cut_counted(df)
+        return F.broadcast(rows) if n <= most else rows
+
+    wanted = small(members.select(F.col("item").alias("h")).distinct(), BROADCAST_KEYS)
     facts = lambda w: F.struct(F.size(w).alias("n"), _outline(w).alias("s"), *(_mask(w, k).alias(m) for k, m in enumerate(MASKS)))
-    hashed = F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))
+    hashed = F.transform(F.split("said", " "), lambda w: F.xxhash64(w))
     bodies = places(documents).select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    bodies = bodies.select(F.col("h").alias("item"), "line", F.explode(F.array(let(hashed, facts))).alias("f"))
-    bodies = cut(bodies.select("item", F.struct("line", "f.s").alias("d"), "f.n", *(f"f.{m}" for m in MASKS)))
-
-    def small(rows, most=BROADCAST_ROWS):  # rows: written; lines are then looked for where they lie
-        return F.broadcast(rows) if rows.count() <= most else rows
+    bodies = bodies.select(F.col("h").alias("item"), spaced(F.col("line")).alias("said"))
+    bodies = bodies.select("item", "said", F.explode(F.array(let(hashed, facts))).alias("f"))
+    bodies = cut(bodies.select("item", F.struct("said", "f.s").alias("d"), "f.n", *(f"f.{m}" for m in MASKS)))
 
     def verify(pairs):
         side = lambda x: bodies.select(F.col("item").alias(x), F.struct("n", *MASKS, F.lit(0).alias("own")).alias(f"p{x}"))
         room = pairs.join(side("a"), "a").join(side("b"), "b").filter(_profile_fits(F.col("pa"), F.col("pb")))
-        room = small(cut(room.select("a", "b")))
+        room = small(room.select("a", "b"))
         line = lambda x: bodies.select(F.col("item").alias(x), F.col("d").alias(f"d{x}")).join(room, x)
         return line("a").join(line("b"), ["a", "b"]).filter(_near(F.col("da"), F.col("db"))).select("a", "b")
 
     def profile(of):  # own: pairs of neighbouring words that no other of the items holds
-        mine = cut(bodies.join(small(cut(of), BROADCAST_KEYS), "item"))
-        pairs = let(line_words(F.col("d.line")), lambda w: F.array_distinct(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))))
+        mine = cut(bodies.join(small(of, BROADCAST_KEYS), "item"))
+        pairs = let(F.split("d.said", " "), lambda w: F.array_distinct(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))))
         holders = mine.select("item", F.explode(pairs).alias("g")).groupBy("g").agg(F.min("item").alias("item"), F.max("item").alias("last"))
         own = cut(holders.filter("item = last").groupBy("item").agg(F.count("*").alias("own")))
         return mine.join(own, "item", "left").select("item", F.struct("n", *MASKS, F.coalesce("own", F.lit(0)).alias("own")).alias("p"))
 
-    describe = lambda refs: bodies.select("item", "d").join(small(cut(refs.select("item")), BROADCAST_KEYS), "item")
+    describe = lambda refs: bodies.select("item", "d").join(small(refs.select("item"), BROADCAST_KEYS), "item")
     return link(members.select("key", "item"), verify, profile, _profile_fits, (describe, _near), alone=lambda p: p["own"] <= 2 * allowed(p["n"]))
 
 
 def repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, version, drop): the numbers of the lines that stand earlier in the corpus, for documents that have any."""
-    words_of = lambda x: F.struct(x.alias("said"), (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
-    # The generator makes a line's words once; a projection would be merged into every place that uses them.
-    found = places(documents).select("doc_id", "version", "at", "h", F.explode(F.array(let(spaced(F.col("line")), words_of))).alias("w")).select("doc_id", "version", "at", "h", "w.said", "w.n").filter("said <> ''")
+    # The filter is on the line: one on said would be pushed below and make it twice.
+    found = places(documents).filter(F.ltrim("line", F.lit(" \t\x0b\f\r")) != "").select("doc_id", "version", "at", "h", spaced(F.col("line")).alias("said"))
+    found = found.withColumn("n", F.octet_length("said") - F.octet_length(F.replace("said", F.lit(" "), F.lit(""))) + 1)
     rows = cut(found.select("doc_id", "version", "at", "h", own_keys(F.col("said"), F.col("n")).alias("own"), near_keys(F.col("said"), F.col("n")).alias("near")))
     place = F.struct("doc_id", "version", "at")
     firsts = cut(rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
@@ -257,9 +258,9 @@ def repeats(documents: DataFrame) -> DataFrame:
 def dedup_lines(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """For each row of documents: keep, the text less its repeated lines, n_lines, n_dropped, and where lines went words_before and words_after."""
     rows = documents.select(*keep, F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.xxhash64("text").alias("_version"))
-    gone = cut(repeats(documents)).select(F.col("doc_id").alias("_gone"), F.col("version").alias("_of"), F.col("drop").alias("_drop"))
-    few = gone.count() <= BROADCAST_ROWS
-    out = rows.join(F.broadcast(gone) if few else gone, (rows["_id"] == gone["_gone"]) & (rows["_version"] == gone["_of"]), "left")
+    gone, n = cut_counted(repeats(documents))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("version").alias("_of"), F.col("drop").alias("_drop"))
+    out = rows.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, (rows["_id"] == gone["_gone"]) & (rows["_version"] == gone["_of"]), "left")
     lines, dropped = F.split("_text", "\n"), F.coalesce(F.size("_drop"), F.lit(0))
     kept = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_drop")), lambda i: F.get(x, i)), "\n"))
     out = out.select(*keep, "_text", F.when(dropped == 0, F.col("_text")).otherwise(kept).alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))

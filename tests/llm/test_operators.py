@@ -15,7 +15,8 @@ from brute import edit, few_edits, low, split
 from pyspark.sql import functions as F
 
 from attestry.llm import bpe, decontaminate, langid, linededup, lm, minhash, pii, quality, tokencount, warc
-from attestry.llm.common import table
+from attestry.llm.common import cut_counted, table
+from attestry.llm.components import components
 
 P = pytest.importorskip("public_tokenizers")
 BPE = P.path("byte_bpe_multi_50k.tiktoken")
@@ -230,6 +231,27 @@ def test_rows_that_repeat_a_doc_id_keep_their_own_lines(spark):
     assert got == {rows[0][1], "x", rows[2][1]}
 
 
+def test_rows_are_counted_as_they_are_written(spark):
+    rows = spark.range(100)
+    none = [rows.filter("id < 0"), rows.join(rows.filter("id < 0"), "id"), rows.groupBy("id").count().filter("count > 1"), spark.createDataFrame([], "id long")]
+    for df, n in ((rows, 100), *((df, 0) for df in none)):
+        table, seen = cut_counted(df)
+        assert seen == table.count() == n and cut_counted(df, F.col("id") < 50)[1] == n // 2
+
+
+def test_components_take_few_jobs(spark):
+    """Counts and tests for emptiness come with the tables, so that the driver holds no plans for them."""
+    sc, edges = spark.sparkContext, spark.createDataFrame([(i, i + 1) for i in range(1, 60) if i % 20] + [(7, 33)], "a long, b long")
+    sc.setJobGroup("components", "")
+    try:
+        got = {r["item"]: r["component"] for r in components(edges).collect()}
+        jobs = len(sc.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        sc._jsc.clearJobGroup()
+    assert got == {i: 41 if i > 40 else 1 for i in range(1, 61)}
+    assert jobs <= 32
+
+
 def test_near_copies_and_short_lines_go(spark):
     line = "a long line of prose that was copied with one word changed, as happens to boilerplate in many places"
     rows = [(1, f"{line}\nShare\n{'漢字' * 200}"), (2, f"{line.replace('copied', 'quoted')}\nShare\nnew words"), (3, f"own\n{'漢字' * 200}")]
