@@ -108,3 +108,14 @@ def test_registered():
     import __spark_entry__ as e
 
     assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {k.split("_")[0] for k in e.queries()}
+
+
+def test_quality_stage_uses_all_trusted_labels(spark, tables, tmp_path):
+    """Labels of documents that aren't there change nothing, however many they are."""
+    import corpus_pipeline as cp
+
+    path, _, _, labels = tables
+    docs, stage = spark.read.parquet(f"{path}/documents.parquet"), dict(cp.STAGES)["quality_rules"]
+    more = spark.range(1_000_000, 5_000_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    more.unionByName(spark.read.parquet(f"{path}/labels.parquet")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert pairs(stage(spark, docs, str(tmp_path))) == pairs(stage(spark, docs, path))
