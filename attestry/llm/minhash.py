@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import cut
+from attestry.llm.common import cut, cut_counted
 from attestry.llm.components import link
 
 SHINGLE = 5
@@ -149,7 +149,7 @@ def verifier(documents: DataFrame):
     """Candidates (a, b) to those whose full sets meet the threshold."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sets = _texts_of(documents, cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+        sets = _texts_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         side = lambda x: sets.select(F.col("item").alias(x), F.col("shingles").alias(f"s{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         # Sets whose sizes alone rule out the threshold are not intersected.
@@ -163,8 +163,9 @@ def verifier(documents: DataFrame):
 
 
 def _texts_of(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(item, shingles) of the documents named in items (doc_id), which must be written."""
-    wanted = F.broadcast(items) if items.count() <= BROADCAST_IDS else items
+    """(item, shingles) of the documents named in items (doc_id)."""
+    items, n = cut_counted(items)
+    wanted = F.broadcast(items) if n <= BROADCAST_IDS else items
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     return cut(texts.mapInArrow(_sets, SETS))
 
@@ -173,7 +174,7 @@ def profiler(documents: DataFrame):
     """For items: n, the size of the set; own, how many of its shingles no other of the items holds; sure, if it has one text."""
 
     def profile(items: DataFrame) -> DataFrame:
-        sets = _texts_of(documents, cut(items.select(F.col("item").alias("doc_id"))))
+        sets = _texts_of(documents, items.select(F.col("item").alias("doc_id")))
         holders = sets.select("item", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("item").alias("item"), F.max("item").alias("last"))
         own = holders.filter("item = last").groupBy("item").agg(F.count("*").alias("own"))
         sizes = sets.groupBy("item").agg(F.max(F.size("shingles").cast("long")).alias("n"), (F.count("*") == 1).alias("sure"))
@@ -192,7 +193,7 @@ def describer(documents: DataFrame):
     """For (item, ref): what the item's set lacks of ref's, what it has besides, and the size of ref's."""
 
     def describe(refs: DataFrame) -> DataFrame:
-        sets = _texts_of(documents, cut(refs.select(F.explode(F.array("item", "ref")).alias("doc_id")).distinct()))
+        sets = _texts_of(documents, refs.select(F.explode(F.array("item", "ref")).alias("doc_id")).distinct())
         # A document with several texts has no one difference.
         one = sets.groupBy("item").agg(F.count("*").alias("n")).filter("n = 1").select("item")
         sets = cut(sets.join(cut(one), "item"))

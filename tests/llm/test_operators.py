@@ -252,6 +252,16 @@ def test_components_take_few_jobs(spark):
     assert jobs <= 32
 
 
+def test_verification_takes_few_jobs(spark, docs):
+    sc = spark.sparkContext
+    sc.setJobGroup("verification", "")
+    try:
+        minhash.verifier(docs)(spark.createDataFrame([(2, 1), (5, 3)], "a long, b long"))
+        assert len(sc.statusTracker().getJobIdsForGroup("verification")) <= 5
+    finally:
+        sc._jsc.clearJobGroup()
+
+
 def test_near_copies_and_short_lines_go(spark):
     line = "a long line of prose that was copied with one word changed, as happens to boilerplate in many places"
     rows = [(1, f"{line}\nShare\n{'漢字' * 200}"), (2, f"{line.replace('copied', 'quoted')}\nShare\nnew words"), (3, f"own\n{'漢字' * 200}")]
