@@ -20,12 +20,12 @@ def components(edges: DataFrame) -> DataFrame:
     rounds = []
     while n:
         forest = cut(left.groupBy("a").agg(F.min("b").alias("root")))
-        while True:  # two jumps a pass
+        while True:  # three jumps a pass; only what all three led on for may not be at its root yet
             up = lambda x, y: forest.select(F.col("a").alias(x), F.col("root").alias(y))  # noqa: E731, B023
-            far = forest.join(up("root", "r2"), "root", "left").join(up("r2", "r3"), "r2", "left")
-            far, moved = cut_counted(far.select("a", F.coalesce("r3", "r2", "root").alias("root"), F.col("r2").isNotNull().alias("moved")), F.col("moved"))
+            far = forest.join(up("root", "r2"), "root", "left").join(up("r2", "r3"), "r2", "left").join(up("r3", "r4"), "r3", "left")
+            far, open_ = cut_counted(far.select("a", F.coalesce("r4", "r3", "r2", "root").alias("root"), F.col("r4").isNotNull().alias("open")), F.col("open"))
             forest = far.select("a", "root")
-            if not moved:
+            if not open_:
                 break
         rounds.append(forest)
         a, b = forest.select("a", F.col("root").alias("ra")), forest.select(F.col("a").alias("b"), F.col("root").alias("rb"))
@@ -35,11 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("item"), F.col("b").alias("component")).filter("false")
     # A round's roots are the next round's items: follow them to the last.
     whole = rounds[-1]
-    for forest in reversed(rounds[:-1]):
-        later = whole.select(F.col("a").alias("root"), F.col("root").alias("far"))
-        whole = cut(forest.join(later, "root", "left").select("a", F.coalesce("far", "root").alias("root")).unionByName(whole))
+    for k, forest in enumerate(reversed(rounds[:-1])):
+        later = (cut(whole) if k else whole).select(F.col("a").alias("root"), F.col("root").alias("far"))
+        settled = later.select(F.col("root").alias("a"), F.col("far").alias("root"))
+        whole = forest.join(later, "root", "left").select("a", F.coalesce("far", "root").alias("root")).unionByName(settled)
     # Roots are items too.
-    return cut(whole.unionByName(whole.select(F.col("root").alias("a"), "root")).groupBy(F.col("a").alias("item")).agg(F.min("root").alias("component")))
+    return cut(whole.select(F.explode(F.array("a", "root")).alias("item"), "root").groupBy("item").agg(F.min("root").alias("component")))
 
 
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profile: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column], compare: tuple[Callable, Callable] | None = None, alone: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -252,6 +252,35 @@ def test_components_take_few_jobs(spark):
     assert jobs <= 32
 
 
+def test_components_of_several_rounds_take_few_jobs(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    sc, edges = spark.sparkContext, spark.createDataFrame(rows, "a long, b long")
+    sc.setJobGroup("rounds", "")
+    try:
+        got = {r["item"]: r["component"] for r in components(edges).collect()}
+        jobs = len(sc.statusTracker().getJobIdsForGroup("rounds"))
+    finally:
+        sc._jsc.clearJobGroup()
+    want = {x: x for e in rows if e[0] != e[1] for x in e}
+    for _ in want:
+        for a, b in rows:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want and jobs <= 50
+
+
+def test_lines_are_spaced_and_outlined(spark):
+    """Odd white space and characters that are words by themselves; an outline is a byte a word."""
+    lines = ["plain words", "é ü – two  spaces", "\ttab\x0bvt\fff\rcr ", "  both ends ", "日本 mixed 語 한a", "\u3000 wide \u303f\u3040", "\x01 control \U0001f600 face", "nb\u00a0sp"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    said = linededup.spaced(F.col("line"))
+    outline = linededup._outline(F.transform(F.split(said, " "), lambda w: F.xxhash64(w)))
+    for r in df.select("line", said.alias("said"), F.octet_length(outline).alias("n")).collect():
+        words = brute.split("".join(f" {c} " if re.match(linededup.OWN_WORDS, c) else c for c in r["line"]))
+        assert r["said"] == " ".join(words) and r["n"] == len(words)
+
+
 def test_verification_takes_few_jobs(spark, docs):
     sc = spark.sparkContext
     sc.setJobGroup("verification", "")
