@@ -7,8 +7,8 @@ functions fold each word: as long as a pair of neighbours has a rank, the leftmo
 merged. The rank map is a broadcast row of two arrays: row a of the pair table begins at ``shift[a]``, so the
 entry of (a, b) is ``table[shift[a] + b]``; it holds a beside the rank, which tells other rows' entries
 apart. (As literals inside the expressions the arrays would stand in every text of every plan, tens of MB
-on the driver.) The texts are then put together from the folded words. Decoding concatenates the ids' byte strings, by
-built-in functions on a literal array.
+on the driver.) The texts are then put together from the folded words, and the ids decoded in the same task, by
+taking the byte string of each. Ids that come without it are decoded by built-in functions on a literal array.
 
 Words that many chunks hold are folded once: about ``SAMPLE`` texts are counted, and their most frequent
 words, ``FREQUENT`` at most, are folded ahead and broadcast. That saves time and changes no result. Words
@@ -248,8 +248,16 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarr
     return flat[at + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def _assemble(ready):
+def _spelled(pieces: pa.Array, ids: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """The bytes that the runs of ids between edges stand for."""
+    found = pieces.take(pa.array(ids, pa.int32()))
+    ends = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(ends[edge].astype(np.int32)), found.buffers()[2]])
+
+
+def _assemble(ready, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(sorted(ranks.value, key=ranks.value.get), pa.binary())
         flat = start_of = size_of = np.empty(0, np.int64)
         for batch in batches:
             for i in range(len(batch)):
@@ -271,7 +279,8 @@ def _assemble(ready):
                     mine = codes[edge[d] : edge[min(d + 512, len(sizes))]]
                     n = size_of[mine]
                     upto = np.concatenate(([0], np.cumsum(n)))[edge[d : d + 513] - edge[d]]
-                    yield pa.RecordBatch.from_arrays([docs.slice(d, 512), _lists(np.diff(upto), _gather(start_of[mine], n, flat), pa.int32())], ["doc_id", "ids"])
+                    own_ids = _gather(start_of[mine], n, flat)
+                    yield pa.RecordBatch.from_arrays([docs.slice(d, 512), _lists(np.diff(upto), own_ids, pa.int32()), _spelled(pieces, own_ids, upto)], ["doc_id", "ids", "decoded"])
 
     return run
 
@@ -306,14 +315,15 @@ def frequent(rows: DataFrame, pattern: str, ranks, merges: DataFrame) -> Known:
 
 
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids for each row of documents (doc_id, text)."""
+    """doc_id, ids and what these stand for (decoded) for each row of documents (doc_id, text)."""
     spark, ranks = documents.sparkSession, load_ranks(path)
     sc, merges = spark.sparkContext, rank_map(spark, ranks)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = frequent(rows, pattern, sc.broadcast(ranks), merges)  # bounded by the vocabulary and FREQUENT
+    sent = sc.broadcast(ranks)
+    known = frequent(rows, pattern, sent, merges)  # bounded by the vocabulary and FREQUENT
     ready = sc.broadcast((known.flat, known.size))
     chunks = folded(rows.mapInArrow(_chunks(pattern, sc.broadcast(known)), CHUNK), merges, "words", "fresh", "docs", "codes", "sizes", "long", "done")
-    return chunks.select("fresh", "docs", "codes", "sizes", "words", "long", "done").mapInArrow(_assemble(ready), "doc_id long, ids array<int>")
+    return chunks.select("fresh", "docs", "codes", "sizes", "words", "long", "done").mapInArrow(_assemble(ready, sent), "doc_id long, ids array<int>, decoded binary")
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -323,8 +333,8 @@ def decoded(ids: Column, path: str) -> Column:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded (with ids) and the bytes that the ids stand for, in column decoded."""
-    return encoded.withColumn("decoded", decoded(F.col("ids"), path))
+    """encoded (with ids) and the bytes that the ids stand for, in column decoded, which encode() makes beside them."""
+    return encoded if "decoded" in encoded.columns else encoded.withColumn("decoded", decoded(F.col("ids"), path))
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:

@@ -181,6 +181,15 @@ def mutated(rng, ws, edits):
     return ws
 
 
+def test_digests_hold_no_vocabulary_in_their_plan(spark, docs):
+    """Its text in the plan stayed on the driver. Ids without their bytes are still decoded."""
+    encoded = bpe.encode(docs, BPE, P.PATTERN)
+    assert len(bpe.digests(encoded, BPE)._jdf.queryExecution().toString()) < 50_000
+    both = bpe.decode(encoded.drop("decoded").limit(20), BPE).collect()
+    by_id = {(r["doc_id"], tuple(r["ids"])): r["decoded"] for r in encoded.collect()}
+    assert both and all(by_id[r["doc_id"], tuple(r["ids"])] == r["decoded"] for r in both)
+
+
 def test_edit_join(spark):
     rng = random.Random(5)
     pairs = []
