@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding of whole texts, as the tiktoken library encodes ordinary text.
 
 Texts are cut by the tokenizer's pattern. A task hands its texts on in chunks of about ``TOKENS`` words; a
-chunk is one row: the words that the task hasn't had before, as arrays of byte ids, and its texts as runs
-of word numbers. After ``WORDS`` words a task numbers anew. Spark higher-order
+chunk is one row and stands by itself: its words that aren't known beforehand, as arrays of byte ids, and its
+texts as runs of word numbers. Chunks are shuffled, so a task has one Python process, either to
+cut texts or to put them together; with both in one task an executor held twice as many. Spark higher-order
 functions fold each word: as long as a pair of neighbours has a rank, the leftmost pair of least rank is
 merged. The rank map is a broadcast row of two arrays: row a of the pair table begins at ``shift[a]``, so the
 entry of (a, b) is ``table[shift[a] + b]``; it holds a beside the rank, which tells other rows' entries
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import cut, let, literal_array
 
-WORDS, TOKENS = 1 << 18, 1 << 17
+TOKENS = 1 << 18
 SAMPLE, FREQUENT = 32_000, 1 << 18
 LONG = 256
 RANK_BITS, PLACE_BITS = 17, 12  # a rank from 2^RANK_BITS up is none; a place is one in a word of LONG bytes at most
@@ -140,38 +141,42 @@ class Known:
         lengths = ids.value_lengths().to_numpy().astype(np.int64)
         self.flat = np.concatenate([np.arange(self.tokens, dtype=np.int32), ids.flatten().to_numpy().astype(np.int32)])
         self.size = np.concatenate([np.ones(self.tokens, np.int64), lengths])
-        self._numbers: dict[str, int] = {}
+        self._coder: Coder | None = None
 
     def __getstate__(self):  # what cuts texts into numbers needs no ids
         return self.__dict__ | {"flat": None, "size": None}
 
-    def numbers(self) -> dict[str, int]:
-        """The number of each word; made where it is used."""
-        if not self._numbers:
-            for token, i in self.ranks.items():
-                try:
-                    self._numbers[token.decode()] = i
-                except UnicodeDecodeError:
-                    pass
-            self._numbers.update(zip(self.words.to_pylist(), range(self.tokens, self.n), strict=True))
-        return self._numbers
+    def coder(self) -> "Coder":
+        """The number of each word, without any new ones; made once a process, where it is used."""
+        if self._coder is None:
+            self._coder = Coder(self)
+        self._coder.forget()
+        return self._coder
 
 
 class Coder(dict):
-    """Numbers of words: known ones, and from there on a task's new words in order."""
+    """Numbers of words: known ones, and from there on a chunk's new words in order."""
 
     def __init__(self, known: Known):
-        self.known, self.n, self.new = known.numbers(), known.n, []
+        for token, i in known.ranks.items():
+            try:
+                self[token.decode()] = i
+            except UnicodeDecodeError:
+                pass
+        self.update(zip(known.words.to_pylist(), range(known.tokens, known.n), strict=True))
+        self.n, self.new = known.n, []
 
     def __missing__(self, word: str) -> int:
-        code = self.known.get(word)
-        if code is None:
-            code = self.n
-            self.n += 1
-            self.new.append(word)
-        self[word] = code
+        code = self[word] = self.n + len(self.new)
+        self.new.append(word)
         return code
 
+    def forget(self) -> None:
+        """Leave the known words alone."""
+        for word in self.new:
+            del self[word]
+        self.new = []
+
 
 def _lists(sizes, flat: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat, kind))
@@ -183,9 +188,18 @@ def _letters(ranks: dict[bytes, int], words: list[bytes]) -> pa.ListArray:
     return _lists([len(w) for w in words], ids[np.frombuffer(b"".join(words), np.uint8)], pa.int32())
 
 
+def _planes(codes: array) -> bytes:
+    """Numbers as all their lowest bytes, then all second ones and so on, of which the upper ones take little in a shuffle."""
+    return np.array(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def _counts(pattern: str, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, count = splitter(pattern), Known(ranks.value, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))).numbers(), Counter()
+        find, known, count = splitter(pattern), Known(ranks.value, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))).coder(), Counter()
 
         def rows():
             words = [(w, n, w.encode("utf-8", "surrogatepass")) for w, n in count.items() if w not in known]
@@ -206,7 +220,7 @@ def _counts(pattern: str, ranks):
 def _chunks(pattern: str, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks = splitter(pattern), known.value.ranks
-        coder, fresh, codes, sizes, ids = Coder(known.value), True, array("I"), array("q"), []
+        coder, codes, sizes, ids = known.value.coder(), array("I"), array("q"), []
 
         def row():
             words = [w.encode("utf-8", "surrogatepass") for w in coder.new]
@@ -216,7 +230,7 @@ def _chunks(pattern: str, known):
                 words[i] = b""  # its ids come by themselves
             inner, done = _letters(ranks, words), _lists([len(x) for x in merged], np.concatenate([np.empty(0, np.int32), *merged]), pa.int32())
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            columns = [pa.array([fresh]), one(pa.array(ids, pa.int64())), pa.array([codes.tobytes()]), pa.array([sizes.tobytes()]), one(inner), one(pa.array(long, pa.int32())), one(done)]
+            columns = [one(pa.array(ids, pa.int64())), pa.array([_planes(codes)]), pa.array([sizes.tobytes()]), one(inner), one(pa.array(long, pa.int32())), one(done)]
             return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in CHUNK.split(", ")])
 
         for batch in batches:
@@ -228,17 +242,15 @@ def _chunks(pattern: str, known):
                 if len(codes) >= TOKENS:
                     yield row()
                     pa.default_memory_pool().release_unused()
-                    fresh = coder.n - known.value.n >= WORDS
-                    if fresh:
-                        coder = Coder(known.value)
-                    codes, sizes, ids, coder.new = array("I"), array("q"), [], []
+                    coder.forget()
+                    codes, sizes, ids = array("I"), array("q"), []
         if ids:
             yield row()
 
     return run
 
 
-CHUNK = "fresh boolean, docs array<long>, codes binary, sizes binary, words array<array<int>>, long array<int>, done array<array<int>>"
+CHUNK = "docs array<long>, codes binary, sizes binary, words array<array<int>>, long array<int>, done array<array<int>>"
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -258,22 +270,20 @@ def _spelled(pieces: pa.Array, ids: np.ndarray, edge: np.ndarray) -> pa.Array:
 def _assemble(ready, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(sorted(ranks.value, key=ranks.value.get), pa.binary())
-        flat = start_of = size_of = np.empty(0, np.int64)
+        known, known_size = ready.value
+        known_start = np.cumsum(known_size) - known_size
         for batch in batches:
             for i in range(len(batch)):
-                fresh, docs, codes, sizes, folded, long, done = (batch.column(k)[i] for k in range(7))
+                docs, codes, sizes, folded, long, done = (batch.column(k)[i] for k in range(6))
                 docs = docs.values
-                codes, sizes = np.frombuffer(codes.as_py(), np.uint32), np.frombuffer(sizes.as_py(), np.int64)
-                if fresh.as_py():
-                    flat, size_of = ready.value
-                    start_of = np.cumsum(size_of) - size_of
-                # The ids of all words end to end: earlier ones, the row's folded words, its long words.
+                codes, sizes = _numbers(codes.as_py()), np.frombuffer(sizes.as_py(), np.int64)
+                # The ids of all words end to end: known ones, the row's folded words, its long words.
                 ids, size = ([f(x.values) for x in (folded, done)] for f in (lambda x: x.flatten().to_numpy(), lambda x: x.value_lengths().to_numpy().astype(np.int64)))
                 where = long.values.to_numpy()
-                own = np.cumsum(size[0]) - size[0] + len(flat)
-                own[where] = len(flat) + len(ids[0]) + np.cumsum(size[1]) - size[1]
+                own = np.cumsum(size[0]) - size[0] + len(known)
+                own[where] = len(known) + len(ids[0]) + np.cumsum(size[1]) - size[1]
                 size[0][where] = size[1]
-                flat, start_of, size_of = np.concatenate([flat, *ids]), np.concatenate([start_of, own]), np.concatenate([size_of, size[0]])
+                flat, start_of, size_of = np.concatenate([known, *ids]), np.concatenate([known_start, own]), np.concatenate([known_size, size[0]])
                 edge = np.concatenate(([0], np.cumsum(sizes)))
                 for d in range(0, len(sizes), 512):
                     mine = codes[edge[d] : edge[min(d + 512, len(sizes))]]
@@ -322,8 +332,9 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     sent = sc.broadcast(ranks)
     known = frequent(rows, pattern, sent, merges)  # bounded by the vocabulary and FREQUENT
     ready = sc.broadcast((known.flat, known.size))
-    chunks = folded(rows.mapInArrow(_chunks(pattern, sc.broadcast(known)), CHUNK), merges, "words", "fresh", "docs", "codes", "sizes", "long", "done")
-    return chunks.select("fresh", "docs", "codes", "sizes", "words", "long", "done").mapInArrow(_assemble(ready, sent), "doc_id long, ids array<int>, decoded binary")
+    made = rows.mapInArrow(_chunks(pattern, sc.broadcast(known)), CHUNK)
+    chunks = folded(made.repartition(F.xxhash64("docs", "codes")), merges, "words", "docs", "codes", "sizes", "long", "done")
+    return chunks.select("docs", "codes", "sizes", "words", "long", "done").mapInArrow(_assemble(ready, sent), "doc_id long, ids array<int>, decoded binary")
 
 
 def decoded(ids: Column, path: str) -> Column:

@@ -190,6 +190,16 @@ def test_digests_hold_no_vocabulary_in_their_plan(spark, docs):
     assert both and all(by_id[r["doc_id"], tuple(r["ids"])] == r["decoded"] for r in both)
 
 
+def test_bpe_chunks_stand_by_themselves(docs, monkeypatch):
+    """Chunks of few words, put together in any order; a task that cuts texts isn't one that puts them together (twice the Python memory)."""
+    whole = collections.Counter((r["doc_id"], tuple(r["ids"])) for r in bpe.encode(docs, BPE, P.PATTERN).collect())
+    monkeypatch.setattr(bpe, "TOKENS", 40)
+    encoded = bpe.encode(docs, BPE, P.PATTERN)
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in encoded.collect()) == whole
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"MapInArrow(?s:.)*RepartitionByExpression(?s:.)*MapInArrow", plan)
+
+
 def test_edit_join(spark):
     rng = random.Random(5)
     pairs = []
