@@ -167,9 +167,9 @@ def _mask(w: Column, k: int) -> Column:
     return F.aggregate(w, F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(bit(x)))
 
 
-def _outline(w: Column) -> Column:
-    """A line as a string of one character a word, of 128 characters by the word's hash."""
-    return F.array_join(F.transform(w, lambda x: F.char(x.bitwiseAND(127))), "")
+def _outline(w: Column, bits: int = 0) -> Column:
+    """A line as a string of one character a word, of 128 characters by the word's hash from its lowest bit or a higher one on."""
+    return F.array_join(F.transform(w, lambda x: F.char(F.shiftright(x, bits).bitwiseAND(127))), "")
 
 
 def _profile_fits(p: Column, q: Column) -> Column:
@@ -181,10 +181,21 @@ def _profile_fits(p: Column, q: Column) -> Column:
     return fits
 
 
+def _outlines_fit(d: Column, e: Column, outlines: tuple[str, ...] = ("s", "t")) -> Column:
+    """Whether two lines' outlines leave room for a link; they are no further apart than the lines, and soon compared.
+
+    One takes different words for the same once in 128 times, which among many near copies is often; two seldom.
+    """
+    near = lambda k: F.call_function("levenshtein", d[k], e[k], F.lit(EDITS)).between(0, allowed(F.least(F.length(d[k]), F.length(e[k]))))
+    fits = near(outlines[0])
+    for k in outlines[1:]:
+        fits = fits & near(k)
+    return fits
+
+
 def _near(d: Column, e: Column) -> Column:
-    """linked() for lines with their outlines, which are no further apart than the lines, and soon compared."""
-    room = F.call_function("levenshtein", d["s"], e["s"], F.lit(EDITS)).between(0, allowed(F.least(F.length(d["s"]), F.length(e["s"]))))
-    return F.when(room, linked(F.split(d["said"], " "), F.split(e["said"], " "))).otherwise(False)
+    """linked() for lines with their outlines."""
+    return F.when(_outlines_fit(d, e, ("s",)), linked(F.split(d["said"], " "), F.split(e["said"], " "))).otherwise(False)
 
 
 def linked(a: Column, b: Column) -> Column:
@@ -210,18 +221,18 @@ def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
         return F.broadcast(rows) if n <= most else rows
 
     wanted = small(members.select(F.col("item").alias("h")).distinct(), BROADCAST_KEYS)
-    facts = lambda w: F.struct(F.size(w).alias("n"), _outline(w).alias("s"), *(_mask(w, k).alias(m) for k, m in enumerate(MASKS)))
+    facts = lambda w: F.struct(F.size(w).alias("n"), _outline(w).alias("s"), _outline(w, 40).alias("t"), *(_mask(w, k).alias(m) for k, m in enumerate(MASKS)))
     hashed = F.transform(F.split("said", " "), lambda w: F.xxhash64(w))
     bodies = places(documents).select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     bodies = bodies.select(F.col("h").alias("item"), spaced(F.col("line")).alias("said"))
     bodies = bodies.select("item", "said", F.explode(F.array(let(hashed, facts))).alias("f"))
-    bodies = cut(bodies.select("item", F.struct("said", "f.s").alias("d"), "f.n", *(f"f.{m}" for m in MASKS)))
+    bodies = cut(bodies.select("item", F.struct("said", "f.s", "f.t").alias("d"), "f.n", *(f"f.{m}" for m in MASKS)))
 
     def verify(pairs):
         side = lambda x: bodies.select(F.col("item").alias(x), F.struct("n", *MASKS, F.lit(0).alias("own")).alias(f"p{x}"))
         room = pairs.join(side("a"), "a").join(side("b"), "b").filter(_profile_fits(F.col("pa"), F.col("pb")))
         room = small(room.select("a", "b"))
-        line = lambda x: bodies.select(F.col("item").alias(x), F.col("d").alias(f"d{x}")).join(room, x)
+        line = lambda x: bodies.select(F.col("item").alias(x), F.struct("d.said", "d.s").alias(f"d{x}")).join(room, x)
         return line("a").join(line("b"), ["a", "b"]).filter(_near(F.col("da"), F.col("db"))).select("a", "b")
 
     def profile(of):  # own: pairs of neighbouring words that no other of the items holds
@@ -231,8 +242,9 @@ def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
         own = cut(holders.filter("item = last").groupBy("item").agg(F.count("*").alias("own")))
         return mine.join(own, "item", "left").select("item", F.struct("n", *MASKS, F.coalesce("own", F.lit(0)).alias("own")).alias("p"))
 
-    describe = lambda refs: bodies.select("item", "d").join(small(refs.select("item"), BROADCAST_KEYS), "item")
-    return link(members.select("key", "item"), verify, profile, _profile_fits, (describe, _near), alone=lambda p: p["own"] <= 2 * allowed(p["n"]))
+    # Outlines alone: a pair meets under several keys, its words are compared once, by verify.
+    describe = lambda refs: bodies.select("item", F.struct("d.s", "d.t").alias("d")).join(small(refs.select("item"), BROADCAST_KEYS), "item")
+    return link(members.select("key", "item"), verify, profile, _profile_fits, (describe, _outlines_fit), alone=lambda p: p["own"] <= 2 * allowed(p["n"]))
 
 
 def repeats(documents: DataFrame) -> DataFrame:

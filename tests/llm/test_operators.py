@@ -200,6 +200,26 @@ def test_bpe_chunks_stand_by_themselves(docs, monkeypatch):
     assert re.search(r"MapInArrow(?s:.)*RepartitionByExpression(?s:.)*MapInArrow", plan)
 
 
+def test_buckets_compare_outlines_alone(spark, monkeypatch):
+    """A pair meets under several keys: there outlines rule it out, without its words, and no linked pair is lost."""
+    rng, seen = random.Random(7), []
+    link = linededup.link
+    monkeypatch.setattr(linededup, "link", lambda *a, **k: seen.append(a[4]) or link(*a, **k))
+    first = [f"w{rng.randrange(40)}" for _ in range(26)]
+    lines = [" ".join(mutated(rng, first, k % 4)) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    linededup.dedup_lines(docs)
+    describe, fits = seen[0]
+    rows = {r["item"]: r["d"] for r in describe(linededup.places(docs).select(F.col("h").alias("item")).distinct()).collect()}
+    assert rows and all(len(x) < 30 for d in rows.values() for x in d)
+    hashed = lambda c: F.transform(linededup.line_words(F.col(c)), lambda w: F.xxhash64(w))
+    outline = lambda c: F.struct(linededup._outline(hashed(c)).alias("s"), linededup._outline(hashed(c), 40).alias("t"))
+    pairs = spark.createDataFrame([(a, b) for a in lines for b in lines if a < b], "a string, b string")
+    got = pairs.select(linededup.linked(linededup.line_words(F.col("a")), linededup.line_words(F.col("b"))).alias("is"), fits(outline("a"), outline("b")).alias("may"))
+    counts = {(r["is"], r["may"]): r["count"] for r in got.groupBy("is", "may").count().collect()}
+    assert counts[True, True] and counts[False, False] and (True, False) not in counts
+
+
 def test_edit_join(spark):
     rng = random.Random(5)
     pairs = []
