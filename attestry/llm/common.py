@@ -5,6 +5,7 @@ import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,5 +106,10 @@ def literal_array(values, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def array_row(spark: SparkSession, name: str, values: list[int]) -> DataFrame:
+    """One row with an array of ints, to be broadcast; for tables of a fixed size that are too long for a literal."""
+    return spark.createDataFrame(pa.table({name: pa.array([values], pa.list_(pa.int32()))}))
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n

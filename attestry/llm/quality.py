@@ -21,7 +21,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import cut, let, literal_array, words
+from attestry.llm.common import array_row, cut, let, words
 
 BUCKETS = 1 << 16
 SCALE = 10_000  # weights are whole ten-thousandths, so sums don't depend on their order
@@ -107,15 +107,16 @@ def weights(documents: DataFrame, trusted: DataFrame) -> list[int]:
     return out
 
 
-def scored(documents: DataFrame, weight: Column, keep: tuple[str, ...]) -> DataFrame:
-    """keep, the base counts and score, for each row of documents."""
+def scored(documents: DataFrame, weight: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """keep, the base counts and score, for each row of documents; weight: one row with the weights of all buckets, as _weight."""
 
     def parts(h, two):
-        total = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + F.get(weight, x))
+        total = lambda b: let(F.col("_weight"), lambda w: F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + F.get(w, x)))
         score = let(grams(h, two), lambda b: F.when(F.size(b) > 0, total(b) / (F.size(b) * SCALE)).otherwise(F.lit(0.0)))
         return F.struct(*(c.alias(k) for k, c in base_columns(F.col("_text"), h, two).items()), score.alias("score"))
 
-    rows = documents.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    # As a literal the weights would stand in every text of every plan, some 400 kB each, which the driver keeps.
+    rows = documents.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).crossJoin(F.broadcast(weight))
     # The generator makes a row's struct once; a projection would be merged into every place that uses it.
     return rows.select(*keep, F.explode(F.array(let(hashes(words(F.col("_text"))), lambda h: let(pairs(h), lambda two: parts(h, two))))).alias("_p")).select(*keep, "_p.*")
 
@@ -143,7 +144,7 @@ def quantile(rows: DataFrame, q: float) -> float | None:
     return first if at == int(at) else (int(at) + 1 - at) * first + (at - int(at)) * ranked(int(at) + 1)
 
 
-def threshold(documents: DataFrame, held: DataFrame, weight: Column) -> float:
+def threshold(documents: DataFrame, held: DataFrame, weight: DataFrame) -> float:
     """The REJECTED quantile of the scores of held trusted documents that pass the base rules."""
     # Only texts that the hash holds out are exchanged, one in HELD.
     mine = documents.select("doc_id", "text").filter(held_out(F.col("doc_id").cast(held.schema["doc_id"].dataType)))
@@ -155,7 +156,7 @@ def threshold(documents: DataFrame, held: DataFrame, weight: Column) -> float:
 def quality(documents: DataFrame, labels: DataFrame, min_score: float | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every row of documents: the columns of keep, the base counts, base_failed, score and kept."""
     trusted = trusted_ids(labels)
-    weight = literal_array(weights(documents, trusted.filter("not held").select("doc_id")), "int")
+    weight = array_row(documents.sparkSession, "_weight", weights(documents, trusted.filter("not held").select("doc_id")))
     least = threshold(documents, trusted.filter("held"), weight) if min_score is None else min_score
     rows = scored(documents, weight, keep).withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))

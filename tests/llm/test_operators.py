@@ -415,6 +415,12 @@ def test_quality(spark, sf_dir, docs, texts, empty):
     assert all(r["score"] == 0 for r in quality.quality(docs, labels.filter("false")).collect())
 
 
+def test_plans_of_quality_hold_no_weights(spark, sf_dir, docs):
+    """65,536 weights in a plan's text took 350 kB, in each of the texts of all nodes and stages that the driver keeps."""
+    plan = quality.quality(docs, table(spark, sf_dir, "labels"), keep=("doc_id",))._jdf.queryExecution().toString()
+    assert "_weight" in plan and len(plan) < 50_000
+
+
 def test_all_trusted_labels_are_used(spark):
     n = 450_000
     ids = quality.trusted_ids(spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(None).cast("int").alias("toxic")))
