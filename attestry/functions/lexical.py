@@ -59,7 +59,7 @@ def keywords(text: Column) -> Column:
 
 def _split(text: Column) -> Column:
     """Lower-case runs of letters, digits and inner dots; empty ones among them."""
-    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<![a-z0-9])[.]+|[.]+(?![a-z0-9])", " "), "[^a-z0-9.]+")
+    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<![a-z0-9.])[.]+|[.]+(?![a-z0-9.])", " "), "[^a-z0-9.]+")
 
 
 def lexemes(text: Column) -> Column:
@@ -69,9 +69,8 @@ def lexemes(text: Column) -> Column:
 
 def query_terms(text: Column) -> Column:
     """Distinct lexemes less filler; with the filler if nothing else is left."""
-    words = F.array_distinct(lexemes(text))
-    left = F.array_except(words, F.array(*map(F.lit, FILLER)))
-    return F.when(F.size(left) > 0, left).otherwise(words)
+    said = lambda words, left: F.when(F.size(left) > 0, left).otherwise(words)
+    return stemming.let(F.array_distinct(lexemes(text)), lambda words: stemming.let(F.array_except(words, F.array(*map(F.lit, FILLER))), lambda left: said(words, left)))
 
 
 def weighted_terms(chunks: DataFrame, heading: int = 10, body: int = 1) -> DataFrame:

@@ -54,72 +54,89 @@ def _plural(w: Column) -> Column:
     return F.when(w.rlike("sses$"), _without(w, 2)).when(w.rlike("(?:ied|ies)$"), ied).when(w.rlike("(?:us|ss)$"), w).when(w.rlike("s$"), s).otherwise(w)
 
 
-def _past(w: Column, first: Column) -> Column:
-    def mended(x):  # what is left once the ending is gone
-        short = x.rlike(SHORT_END) & (F.length(x) <= first)
-        return F.when(x.rlike("(?:at|bl|iz)$"), F.concat(x, F.lit("e"))).when(x.rlike("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), _without(x, 1)).when(short, F.concat(x, F.lit("e"))).otherwise(x)
+def _past(w: Column, s: Column, first: Column, second: Column) -> Column:
+    rest = _without(w, F.length(s))
+    short = rest.rlike(SHORT_END) & (F.length(rest) <= first)
+    mended = F.when(rest.rlike("(?:at|bl|iz)$"), F.concat(rest, F.lit("e"))).when(rest.rlike("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), _without(rest, 1)).when(short, F.concat(rest, F.lit("e"))).otherwise(rest)
+    ee = F.when(_inside(w, s, first), F.concat(rest, F.lit("ee"))).otherwise(w)
+    return F.when(s == "", w).when(s.startswith("eed"), ee).when(rest.rlike(V), mended).otherwise(w)
 
-    def by_suffix(s):
-        ee = F.when(_inside(w, s, first), F.concat(_without(w, F.length(s)), F.lit("ee"))).otherwise(w)
-        rest = _without(w, F.length(s))
-        return F.when(s == "", w).when(s.startswith("eed"), ee).when(rest.rlike(V), let(rest, mended)).otherwise(w)
 
-    return let(_suffix(w, ["eedly", "eed", "ingly", "edly", "ing", "ed"]), by_suffix)
-
-
-def _final_y(w: Column) -> Column:
+def _final_y(w: Column, s: Column, first: Column, second: Column) -> Column:
     return F.when(w.rlike("^.+[^aeiouy][yY]$"), F.concat(_without(w, 1), F.lit("i"))).otherwise(w)
 
 
-def _map(w: Column, first: Column, second: Column, table: dict[str, str]) -> Column:
-    def by_suffix(s):
+def _map(table: dict[str, str]):
+    def step(w: Column, s: Column, first: Column, second: Column) -> Column:
         new = F.concat(_without(w, F.length(s)), F.try_element_at(_literal_map(table), s))
         may = F.when(s == "ogi", w.rlike("logi$")).when(s == "li", w.rlike("[cdeghkmnrt]li$")).when(s == "ative", _inside(w, s, second)).otherwise(True)
         return F.when((s != "") & _inside(w, s, first) & may, new).otherwise(w)
 
-    return let(_suffix(w, table), by_suffix)
+    return step
 
 
-def _last_suffix(w: Column, second: Column) -> Column:
-    def by_suffix(s):
-        may = F.when(s == "ion", w.rlike("[st]ion$")).otherwise(True)
-        return F.when((s != "") & _inside(w, s, second) & may, _without(w, F.length(s))).otherwise(w)
+def _last_suffix(w: Column, s: Column, first: Column, second: Column) -> Column:
+    may = F.when(s == "ion", w.rlike("[st]ion$")).otherwise(True)
+    return F.when((s != "") & _inside(w, s, second) & may, _without(w, F.length(s))).otherwise(w)
 
-    return let(_suffix(w, STEP_4), by_suffix)
 
-
-def _final_e(w: Column, first: Column, second: Column) -> Column:
+def _final_e(w: Column, s: Column, first: Column, second: Column) -> Column:
     before = F.length(w) - 1
     e = w.rlike("e$") & ((before >= second) | ((before >= first) & ~_without(w, 1).rlike(SHORT_END)))
     return F.when(e | (w.rlike("ll$") & (before >= second)), _without(w, 1)).otherwise(w)
 
 
-def stem(word: Column) -> Column:
-    """The stem of a lower-case word; anything but a word of three letters a to z or more is left as it is."""
+#: What follows once a plural is gone: the suffixes that a step looks for, and what it makes of the word.
+STEPS = [(["eedly", "eed", "ingly", "edly", "ing", "ed"], _past), ([], _final_y), (STEP_2, _map(STEP_2)), (STEP_3, _map(STEP_3)), (STEP_4, _last_suffix), ([], _final_e)]
+
 
-    def regular(w):
-        begun = F.regexp_extract(w, f"^(gener|commun|arsen|{REGION})", 1)
-        first = F.when(begun == "", F.length(w)).otherwise(F.length(begun))
+def _marked(word: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(word, "^y", "Y"), "([aeiouy])y", "$1Y")
 
-        def with_first(r1):
-            more = F.regexp_extract(F.substring(w, r1 + 1, F.length(w)), f"^({REGION})", 1)
-            second = F.when(more == "", F.length(w)).otherwise(r1 + F.length(more))
 
-            def with_second(r2):
-                def after_plural(x):
-                    steps = [lambda y: _past(y, r1), _final_y, lambda y: _map(y, r1, r2, STEP_2), lambda y: _map(y, r1, r2, STEP_3), lambda y: _last_suffix(y, r2), lambda y: _final_e(y, r1, r2)]
-                    for_all = lambda y, k: let(steps[k](y), lambda z: for_all(z, k + 1) if k + 1 < len(steps) else F.lower(z))
-                    return F.when(x.isin(COMPLETE), x).otherwise(for_all(x, 0))
+def _first(w: Column) -> Column:
+    begun = F.regexp_extract(w, f"^(gener|commun|arsen|{REGION})", 1)
+    return F.when(begun == "", F.length(w)).otherwise(F.length(begun))
 
-                return let(_plural(w), after_plural)
 
-            return let(second, with_second)
+def _second(w: Column, first: Column) -> Column:
+    more = F.regexp_extract(F.substring(w, first + 1, F.length(w)), f"^({REGION})", 1)
+    return F.when(more == "", F.length(w)).otherwise(first + F.length(more))
 
-        return let(first, with_first)
 
+def _or_as_it_is(word: Column, regular: Column) -> Column:
     known = _literal_map(EXCEPTIONS | {w: w for w in UNCHANGED})
-    marked = F.regexp_replace(F.regexp_replace(word, "^y", "Y"), "([aeiouy])y", "$1Y")
-    return F.when(~word.rlike("^[a-z]{3,}$"), word).otherwise(F.coalesce(F.try_element_at(known, word), let(marked, regular)))
+    return F.when(~word.rlike("^[a-z]{3,}$"), word).otherwise(F.coalesce(F.try_element_at(known, word), regular))
+
+
+def stem(word: Column) -> Column:
+    """The stem of a lower-case word; anything but a word of three letters a to z or more is left as it is."""
+
+    def after_plural(x, r1, r2):
+        def step(y, k):
+            suffixes, body = STEPS[k]
+            done = let(_suffix(y, suffixes), lambda s: body(y, s, r1, r2)) if suffixes else body(y, F.lit(""), r1, r2)
+            return let(done, lambda z: step(z, k + 1) if k + 1 < len(STEPS) else F.lower(z))
+
+        return F.when(x.isin(COMPLETE), x).otherwise(step(x, 0))
+
+    regular = lambda w: let(_first(w), lambda r1: let(_second(w, r1), lambda r2: let(_plural(w), lambda x: after_plural(x, r1, r2))))
+    return _or_as_it_is(word, let(_marked(word), regular))
+
+
+def stems_of(words: DataFrame, word: str = "word", name: str = "stem") -> DataFrame:
+    """(word, stem) of distinct words: stem() with a column for each step, which is compiled.
+
+    Write it before joining by the stem: planning a join spells a key's steps out, over and over.
+    """
+    rows = words.select(F.col(word).alias("_word"), _marked(F.col(word)).alias("_w"))
+    rows = rows.withColumn("_first", _first(F.col("_w")))
+    rows = rows.withColumn("_second", _second(F.col("_w"), F.col("_first"))).withColumn("_plain", _plural(F.col("_w"))).withColumn("_x", F.col("_plain"))
+    for suffixes, body in STEPS:
+        rows = rows.withColumn("_s", _suffix(F.col("_x"), suffixes) if suffixes else F.lit(""))
+        rows = rows.withColumn("_x", body(F.col("_x"), F.col("_s"), F.col("_first"), F.col("_second")))
+    regular = F.when(F.col("_plain").isin(COMPLETE), F.col("_plain")).otherwise(F.lower("_x"))
+    return rows.select(F.col("_word").alias(word), _or_as_it_is(F.col("_word"), regular).alias(name))
 
 
 def with_stems(rows: DataFrame, word: str = "word", name: str = "stem") -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import lexical, stemming, vector
-from attestry.operators import analytics, lexindex
+from attestry.lineage import cut
+from attestry.operators import analytics, lexindex, tiles
+from attestry.operators.tiles import spread
 
 RRF = 60
-BLOCK = 10_000  # queries broadcast at once
-BROADCAST_TERMS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def scoped(rows: DataFrame, organisation=None, documents=None, sensitivities=None) -> DataFrame:
@@ -63,24 +64,16 @@ def batch_ranks(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, pool:
     terms are words, met by their stems; an index (lexindex.postings, written) of the same chunks answers the lexical side by bounds.
 
     chunks (chunk_id, heading_path, text, by) bound both sides; with by each query has a pool for every value of it. The
-    vector side is an exact scan by definition: queries are broadcast in blocks.
+    vector side is an exact scan by definition, the lexical side without an index one of all texts: both by tiles of rows
+    against blocks of queries, of which a task keeps the pools only. Ids of chunks are whole numbers.
     """
     keys = ["query_id", *by]
+    queries = cut(queries.select("query_id", "query", "terms"))  # read again and again, and before filters on terms reach all texts
     own = vectors.join(chunks.select("chunk_id", *by), "chunk_id")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    dense = None
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "query")
-        near = own.crossJoin(F.broadcast(block)).select(*keys, "chunk_id", vector.cosine_distance(F.col("vector"), F.col("query")).alias("distance"))
-        part = ranked(near, "vector_rank", F.col("distance"), F.col("chunk_id"), by=keys, pool=pool).select(*keys, "chunk_id", "vector_rank")
-        dense = part if dense is None else dense.unionByName(part)
-    asked = lexical.asked_terms(queries)
-    if index is not None and not by:
-        hits = lexindex.top(index, asked, pool)
-    else:
-        asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
-        hits = lexical.weighted_terms(chunks).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("rank"))
-    hits = hits.join(chunks.select("chunk_id", *by), "chunk_id") if by else hits
+    dense = tiles.nearest(queries.select("query_id", "query"), own, pool, by)
+    dense = ranked(dense, "vector_rank", F.col("distance"), F.col("chunk_id"), by=keys, pool=pool).select(*keys, "chunk_id", "vector_rank")
+    asked = cut(lexical.asked_terms(queries))
+    hits = lexindex.top(index, asked, pool) if index is not None and not by else tiles.lexical_best(asked, chunks, pool, by)
     words = ranked(hits, "lexical_rank", F.desc("rank"), F.col("chunk_id"), by=keys, pool=pool).select(*keys, "chunk_id", "lexical_rank")
     return fuse(dense, words, [*keys, "chunk_id"])
 
@@ -88,8 +81,13 @@ def batch_ranks(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, pool:
 def batch_hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int = 8, pool: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """As hybrid() for many queries at once, with some passages more than limit for the folds; place is the rank by score."""
     fused = batch_ranks(queries, chunks, vectors, pool or max(4 * limit, 32), by)
-    fused = ranked(fused, "place", F.desc("score"), F.col("chunk_id"), by=["query_id", *by], pool=max(2 * limit, limit + 8))
-    return fused.join(chunks.drop("heading_path", *by), "chunk_id")
+    fused = cut(ranked(fused, "place", F.desc("score"), F.col("chunk_id"), by=["query_id", *by], pool=max(2 * limit, limit + 8)))
+    return few(fused).join(chunks.drop("heading_path", *by), "chunk_id")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Written rows as the side that is broadcast, as long as they are few: what they are joined with stays where it is."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def evidence_windows(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, limit: int = 8, most: int = 24, organisation=None, documents=None) -> DataFrame:
@@ -100,11 +98,14 @@ def evidence_windows(queries: DataFrame, chunks: DataFrame, vectors: DataFrame,
     chunks: chunk_id, design, document_id, organisation_id, source_id, source_kind, heading_path, heading, page, text.
     """
     own = scoped(chunks, organisation, documents)
-    hits = batch_hybrid(queries, own, vectors, limit, by=("design",))
+    hits = batch_hybrid(queries, own, vectors, limit, by=("design",)).drop("text")
     # The folds see a query and a design as one query.
-    hits = hits.withColumnRenamed("query_id", "asked").withColumn("query_id", F.struct("asked", "design"))
-    kept = fold_twins(fold_tables(hits)).select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("place")).cast("long").alias("place"))
-    shown = keep_figure(kept.join(own.select("chunk_id", "document_id", "source_kind", "heading", "page", "text"), "chunk_id"), limit)
+    hits = cut(fold_tables(hits.withColumnRenamed("query_id", "asked").withColumn("query_id", F.struct("asked", "design"))))
+    # Many queries find the same long passages, whose words are made once.
+    said = own.join(few(cut(hits.select("chunk_id").distinct())), "chunk_id", "left_semi").select("chunk_id", "text")
+    words = spread(said).select("chunk_id", lexical.content_words(F.col("text")).alias("words"))
+    kept = fold_twins(hits.join(words, "chunk_id")).select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("place")).cast("long").alias("place"))
+    shown = keep_figure(few(cut(kept)).join(own.select("chunk_id", "document_id", "source_kind", "heading", "page", "text"), "chunk_id"), limit)
     rows = shown.select(F.col("query_id.asked").alias("query_id"), F.col("query_id.design").alias("design"), F.col("place").alias("rank"), "chunk_id")
     return analytics.weave(rows, "query_id", "design", "rank", limit, most).select("query_id", F.col("place").cast("long").alias("place"), "chunk_id", "design")
 
@@ -128,7 +129,8 @@ def fold_twins(hits: DataFrame, share: float = 0.9, least: int = 20) -> DataFram
 
     Greedy by definition: what is kept depends on what was kept before, so a query's few hits are folded in order by one aggregate.
     """
-    row = F.struct("place", "chunk_id", "document_id", "source_kind", lexical.content_words(F.col("text")).alias("words"))
+    words = F.col("words") if "words" in hits.columns else lexical.content_words(F.col("text"))
+    row = F.struct("place", "chunk_id", "document_id", "source_kind", words.alias("words"))
     hit = F.array_sort(F.collect_list(row))
 
     def step(kept, x):
