@@ -228,7 +228,7 @@ WITH l AS (SELECT doc_id, i, trim(regexp_replace(lines[i], '[ \t\r\f\x0b]+', ' '
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ordinal, CAST((i - 1) // 50 + 1 AS INT) AS page, md5(line) AS line FROM l WHERE line <> ''""")
 def pdf_lines(spark, sf_dir):
     """Every document as a PDF of 50 lines a page, read back line by line."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    docs = tiles.spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"))
     files = pdf.to_pdf(docs.select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("lines")))
     lines, _ = pdf.read_lines(files)
     return lines.select(F.col("document_id").cast("long").alias("doc_id"), F.col("ordinal").cast("long").alias("ordinal"), "page", F.md5("text").alias("line"))
