@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import dates, lexical, text
+from attestry.lineage import cut
 from attestry.operators import fidelity
 
 
@@ -34,21 +35,29 @@ def with_compatible(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def page_stretches(pages: DataFrame) -> DataFrame:
-    """Pages (document_id, page, text) made ready for quotes, alone and with the page after joined on."""
+    """Pages (document_id, page, text) made ready for quotes, alone and with the page after joined on; each text is made ready once."""
     w = Window.partitionBy("document_id").orderBy("page")
-    following = F.when(F.lead("page").over(w) == F.col("page") + 1, F.lead("text").over(w))
-    rows = with_compatible(pages.select("document_id", "page", "text"), "text").withColumn("_next", following)
-    return rows.select("document_id", "page", text.searchable(F.col("text")).alias("one"), F.when(F.col("_next").isNotNull(), text.searchable(F.concat_ws("\n", "text", "_next"))).alias("both"))
+    rows = with_compatible(pages.select("document_id", "page", "text"), "text").select("document_id", "page", text.searchable(F.col("text")).alias("one"))
+    following = F.when(F.lead("page").over(w) == F.col("page") + 1, F.lead("one").over(w))
+    # A page ends a word, so both together are the one's words and then the other's.
+    return rows.withColumn("_next", following).select("document_id", "page", "one", F.concat(F.lit(" "), F.trim(F.concat(F.trim("one"), F.lit(" "), F.trim("_next"))), F.lit(" ")).alias("both"))
 
 
 def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """(document_id, quote_id, page): where a quote stands; the named page first, then any, then over a page end; null if nowhere.
 
-    Quotes meet only the pages of their own document, by an equality join; pages and quotes are normalised once each.
+    Quotes meet the pages of their own document that have their longest word; pages and quotes are normalised once each.
     """
     ready = with_compatible(quotes.select("document_id", "quote_id", F.col("page").alias("named"), "quote"), "quote")
-    ready = ready.select("document_id", "quote_id", "named", text.quote_parts(F.col("quote")).alias("parts"))
-    met = ready.join(page_stretches(pages), "document_id")
+    ready = ready.select("document_id", "quote_id", "named", text.quote_parts(F.col("quote")).alias("parts")).filter(F.size("parts") > 0)
+    words = F.transform(F.split(F.array_join("parts", " "), " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("word")))
+    ready = cut(ready.withColumn("probe", F.array_max(words)["word"]))
+    probes = ready.select("probe").distinct().limit(PROBES + 1).collect()
+    stretch = page_stretches(pages)
+    own = F.split(F.trim(F.coalesce("both", "one")), " ")
+    if len(probes) <= PROBES:  # few: a page is looked through in its row
+        own = F.array_intersect(own, F.array(*(F.lit(r["probe"]) for r in probes)).cast("array<string>"))
+    met = stretch.withColumn("probe", F.explode(F.array_distinct(own))).join(F.broadcast(ready) if ready.count() <= PROBES else ready, ["document_id", "probe"])
     whole = text.parts_in(F.col("parts"), F.col("one"))
     rank = F.when(whole & (F.col("page") == F.col("named")), 0).when(whole, 1).when(text.parts_in(F.col("parts"), F.col("both")), 2)
     best = met.withColumn("rank", rank).filter(F.col("rank").isNotNull()).groupBy("document_id", "quote_id").agg(F.min_by("page", F.struct("rank", "page")).alias("page"))

@@ -698,7 +698,7 @@ def quote_verification(spark, sf_dir):
     pages = docs.select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("quote_id"), F.col("text").alias("quote"), F.col("item_id").alias("page"))
     quotes = docs.select(F.col("source").alias("document_id")).distinct().crossJoin(F.broadcast(items))  # sources and items are few
-    return evidence.verify_quotes(quotes, pages)
+    return evidence.verify_quotes(quotes, tiles.spread(pages))
 
 
 @_query("SELECT o_custkey AS document_id, CAST(sum(n) AS BIGINT) AS clauses FROM (SELECT o_custkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_tax > 0.06) AS n FROM orders) GROUP BY o_custkey")

@@ -63,6 +63,15 @@ def test_quotes(spark):
     assert {r["quote_id"]: r["page"] for r in evidence.verify_quotes(q, pages).collect()} == {"named": 3, "other": 2, "over": 1, "none": None}
 
 
+def test_quotes_meet_pages_with_their_longest_word(spark):
+    """Of 400 pages two have the word; before, each quote was held against each page of its document."""
+    pages = spark.createDataFrame([("d", k, "plain words are here" + " and cryptography" * (k in (7, 300))) for k in range(400)] + [("d", 401, "the lone end"), ("d", 402, ""), ("d", 403, "of it"), ("d", 404, None)], "document_id string, page int, text string")
+    said = [("d", "a", "and cryptography", 300), ("d", "b", "cryptography … plain", 1), ("d", "c", "HERE and Cryptography plain", 9), ("d", "e", "end of", 1), ("d", "f", " … ", 1), ("d", "g", None, 1), ("x", "h", "plain", 1)]
+    got = evidence.verify_quotes(spark.createDataFrame(said, "document_id string, quote_id string, quote string, page int"), pages)
+    assert {r["quote_id"]: r["page"] for r in got.collect()} == {"a": 300, "b": 7, "c": 7, "e": None, "f": None, "g": None, "h": None}
+    assert "array_intersect" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rehome(spark):
     s = spark.createDataFrame([("d", 1, "keys rotate yearly here"), ("d", 2, "logs are kept"), ("d", 3, "logs are kept")], "document_id string, section int, text string")
     what = "Nothing states who rotates these keys at all"
