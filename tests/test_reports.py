@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import text
@@ -208,3 +209,14 @@ def test_earlier_twins_against_all_pairs(spark):
     want = {b: min(a for a in range(b) if held(a, b)) for b, w in words.items() if len(w) >= 20 and any(held(a, b) for a in range(b))}
     got = search.earlier_twins(spark.createDataFrame(said, "id long, text string")).collect()
     assert {r["id"]: r["twin"] for r in got} == want and len(want) > 10
+
+
+@pytest.mark.parametrize("more", [0, 4, 100])
+def test_twins_share_enough_rare_words(spark, monkeypatch, more):
+    """Texts that meet by one rare word only are no pair that is verified; any number of further words gives the same twins."""
+    monkeypatch.setattr(search, "MORE", more)
+    said = [(k, " ".join(f"w{k}x{j}" for j in range(30)) + f" rare{k // 2} shared") for k in range(12)]
+    said += [(20, said[3][1] + " one two three"), (21, " ".join(said[4][1].split()[:28])), (22, " ".join(said[5][1].split()[3:]) + " a1b c2d e3f g4h")]
+    got = search.earlier_twins(spark.createDataFrame(said, "id long, text string"))
+    assert {r["id"]: r["twin"] for r in got.collect()} == {20: 3, 21: 4}
+    assert "need" in got._jdf.queryExecution().optimizedPlan().toString()
